@@ -92,6 +92,17 @@ def to_predictions(generations: DataFrame, variant: str) -> DataFrame:
                               extract_answer(F.col("prompt"), F.col("full_text")).alias("prediction"))
 
 
+def join_predictions_references(predictions: DataFrame, inputs: DataFrame) -> DataFrame:
+    """Align predictions with observations / questions / references by example key.
+
+    Equi-join on (distribution, example_id); each input row matches one
+    prediction per (model, variant), so the fan-out is bounded by the fleet.
+    """
+    return (predictions.select("model_id", "variant", *KEY, "prediction")
+            .join(inputs.select(*KEY, *TEXT_COLS), KEY)
+            .select("model_id", "variant", *KEY, *TEXT_COLS, "prediction"))
+
+
 # ------------------------------------------------------------------ fit / answer
 @dataclass
 class RareTokenIndex:
