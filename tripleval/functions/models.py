@@ -14,6 +14,8 @@ SIZE_MARKERS = [
 ]
 # Documented parameter-count bands, billions: <2 small, 2-8 medium, >8 large.
 SIZE_BANDS = (2.0, 8.0)
+# parameter count followed by b/m and then a non-letter or the end
+SIZE_PATTERN = r"(\d+(?:\.\d+)?)([bm])(?:[^a-z]|$)"
 # Power-law exponent bands and fine-tune quality thresholds.
 ALPHA_BANDS = (2.0, 6.0)
 QUALITY_THRESHOLDS = (-1.0, 0.0)
@@ -50,12 +52,26 @@ def sql_size_category(e: str) -> str:
 def size_billions(model_id: Column) -> Column:
     """Parameter count in billions read from the id (``1.5B``, ``500M``), else null."""
     low = F.lower(model_id)
-    num = F.regexp_extract(low, r"(\d+(?:\.\d+)?)([bm])(?![a-z])", 1)
-    unit = F.regexp_extract(low, r"(\d+(?:\.\d+)?)([bm])(?![a-z])", 2)
+    num = F.regexp_extract(low, SIZE_PATTERN, 1)
+    unit = F.regexp_extract(low, SIZE_PATTERN, 2)
     val = F.when(num == "", None).otherwise(num.cast("double"))
     return F.when(unit == "m", val / 1000.0).otherwise(val)
 
 
+def sql_size_billions(e: str) -> str:
+    num = f"regexp_extract(lower({e}), '{SIZE_PATTERN}', 1)"
+    unit = f"regexp_extract(lower({e}), '{SIZE_PATTERN}', 2)"
+    val = f"(CASE WHEN {num} = '' THEN NULL ELSE CAST({num} AS DOUBLE) END)"
+    return f"(CASE WHEN {unit} = 'm' THEN {val} / 1000.0 ELSE {val} END)"
+
+
+def sql_size_category_numeric(e: str) -> str:
+    lo, hi = SIZE_BANDS
+    b = sql_size_billions(e)
+    return (f"CASE WHEN {b} IS NULL THEN 'unknown' WHEN {b} < {lo} THEN 'small' "
+            f"WHEN {b} <= {hi} THEN 'medium' ELSE 'large' END")
+
+
 def size_category_numeric(model_id: Column) -> Column:
     b = size_billions(model_id)
     lo, hi = SIZE_BANDS
@@ -89,7 +105,8 @@ def sql_finetune_quality_band(e: str) -> str:
 
 def run_duration(start: Column, end: Column) -> Column:
     """Seconds between two timestamps, double precision (microseconds kept)."""
-    return (F.unix_micros(end) - F.unix_micros(start)) / F.lit(1_000_000.0)
+    micros = F.unix_micros(end.cast("timestamp")) - F.unix_micros(start.cast("timestamp"))
+    return micros / F.lit(1_000_000.0)
 
 
 def sql_run_duration(start: str, end: str) -> str:

@@ -13,7 +13,8 @@ from ..functions.text import sql_bleu_tokens, sql_cap_words, sql_ngrams, sql_rou
 from ..operators.generate import END_MARK, MAX_NEW_WORDS, NATIVE_GENERATORS
 from ..operators.split import sql_seeded_split
 from ..operators.triplets import sql_facts_to_triplets
-from ..sources.fixtures import CONV_TRIPLETS_SQL, FACTS_SQL, ID_TRIPLETS_SQL, PARAMETERS_SQL, RUNS_SQL, WEIGHTS_SQL
+from ..sources.fixtures import (CONV_TRIPLETS_SQL, FACTS_SQL, ID_TRIPLETS_SQL, PARAMETERS_SQL, REGISTRY_SQL, RUNS_SQL,
+                                WEIGHTS_SQL)
 
 K = "model_id, variant, distribution, example_id"
 
@@ -172,6 +173,7 @@ CTES: dict[str, tuple[str, list[str]]] = {
     "runs": (RUNS_SQL, []),
     "params": (PARAMETERS_SQL, []),
     "weights": (WEIGHTS_SQL, []),
+    "registry": (REGISTRY_SQL, ["runs"]),
 }
 
 

@@ -113,10 +113,10 @@ WHERE role = 'user' AND next_role = 'assistant'
 
 # ---------------------------------------------------------------- weight matrices
 def weights(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """embeddings -> layer rows; finetuned halves the even rows so the change is non-zero."""
+    """embeddings -> weight rows: label picks (model, layer); finetuned halves the even rows."""
     e = table(spark, sf_dir, "embeddings", "vec_id", "embedding", "label")
-    base = e.select(F.lit("embeddings").alias("model_id"),
-                    F.concat(F.lit("layer_"), F.col("label").cast("string")).alias("layer"),
+    base = e.select(F.concat(F.lit("org/model-"), F.pmod("label", F.lit(5)).cast("string"), F.lit("b")).alias("model_id"),
+                    F.concat(F.lit("layer_"), F.floor(F.col("label") / 5).cast("string")).alias("layer"),
                     F.col("vec_id").alias("row_id"),
                     F.col("embedding").cast("array<double>").alias("values"))
     fine = base.select("model_id", "layer", "row_id",
@@ -128,7 +128,8 @@ def weights(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 WEIGHTS_SQL = """
-SELECT 'embeddings' AS model_id, v.variant, 'layer_' || CAST(label AS VARCHAR) AS layer, vec_id AS row_id,
+SELECT 'org/model-' || CAST(label % 5 AS VARCHAR) || 'b' AS model_id, v.variant,
+       'layer_' || CAST(label // 5 AS VARCHAR) AS layer, vec_id AS row_id,
        CASE WHEN v.variant = 'finetuned' AND vec_id % 2 = 0
             THEN list_transform(CAST(embedding AS DOUBLE[]), lambda x: x * 0.5)
             ELSE CAST(embedding AS DOUBLE[]) END AS "values"
@@ -183,3 +184,21 @@ SELECT p_brand AS model_id, p_name AS name, CAST(p_size AS BIGINT) * 1000 AS num
        (p_size % 5 = 0) AS requires_grad
 FROM part
 """
+
+
+# ---------------------------------------------------------------- model registry
+def model_registry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Distinct model ids of the run log, 0-based ``idx`` in id order; every third id lacks a directory."""
+    from ..operators.numbering import rank_global
+    ids = runs(spark, sf_dir).select("model_id").distinct()
+    ranked = rank_global(ids, ["model_id"], rank_col="idx", start=0)
+    short = F.lower(F.regexp_replace(model_short_name(F.col("model_id")), "-", "_"))
+    return ranked.select(F.col("idx").cast("int").alias("idx"), "model_id",
+                         F.when(F.pmod("idx", F.lit(3)) != 2, short).alias("output_dir"))
+
+
+REGISTRY_SQL = f"""
+SELECT CAST(idx AS INTEGER) AS idx, model_id,
+       CASE WHEN idx % 3 <> 2 THEN lower(replace({sql_model_short_name('model_id')}, '-', '_')) END AS output_dir
+FROM (SELECT model_id, row_number() OVER (ORDER BY model_id) - 1 AS idx FROM (SELECT DISTINCT model_id FROM runs))
+"""
