@@ -61,6 +61,22 @@ def _nonempty_lines(e: str) -> str:
     return f"len(list_filter(string_split({e}, chr(10)), lambda x: length(x) > 0))"
 
 
+def _encode_sql(src: str, keys=("example_id",)) -> str:
+    k = ", ".join(keys)
+
+    def ids(col: str, out: str) -> str:
+        return f"""(SELECT {k}, list(coalesce(v.token_id, 2) ORDER BY i) AS {out} FROM
+            (SELECT {k}, i, toks[i] AS token FROM
+               (SELECT {k}, toks, unnest(range(1, len(toks) + 1)) AS i FROM
+                  (SELECT {k}, {sql_rouge_tokens(col)} AS toks FROM {src})))
+            LEFT JOIN vocab v USING (token) GROUP BY {k})"""
+    sel = ", ".join(f"e.{c}" for c in keys)
+    return f"""SELECT {sel}, coalesce(p.prompt_ids, []::INTEGER[]) AS prompt_ids,
+        coalesce(a.answer_ids, []::INTEGER[]) AS answer_ids
+        FROM {src} e LEFT JOIN {ids('prompt', 'prompt_ids')} p USING ({k})
+        LEFT JOIN {ids('response', 'answer_ids')} a USING ({k})"""
+
+
 CTES: dict[str, tuple[str, list[str]]] = {
     "id_trip": (ID_TRIPLETS_SQL, []),
     "id_split": (sql_seeded_split("SELECT * FROM id_trip", "triplet_id"), ["id_trip"]),
@@ -169,6 +185,24 @@ CTES: dict[str, tuple[str, list[str]]] = {
         round(max(CASE WHEN variant = 'finetuned' THEN value END) - max(CASE WHEN variant = 'baseline' THEN value END), 6)
             AS delta
         FROM metrics GROUP BY ALL""", ["metrics"]),
+    "train_ex": ("SELECT example_id, prompt, response FROM examples WHERE split = 'train'", ["examples"]),
+    "val_ex": ("SELECT dataset, example_id, prompt, response FROM examples WHERE split IN ('id_val', 'od_val')",
+               ["examples"]),
+    "vocab": (f"""SELECT token, CAST(row_number() OVER (ORDER BY cnt DESC, token) + 2 AS INTEGER) AS token_id,
+        cnt AS count FROM (SELECT token, count(*) AS cnt FROM (SELECT unnest(list_concat(
+            {sql_rouge_tokens('prompt')}, {sql_rouge_tokens('response')})) AS token FROM train_ex) GROUP BY token)""",
+              ["train_ex"]),
+    "enc": (_encode_sql("train_ex"), ["train_ex", "vocab"]),
+    "enc_val": (_encode_sql("val_ex", ["dataset", "example_id"]), ["val_ex", "vocab"]),
+    "masked": ("""SELECT example_id, prompt_ids, answer_ids, input_ids, kept_prompt,
+        list_concat(list_transform(range(kept_prompt), lambda x: -100),
+                    list_slice(input_ids, kept_prompt + 1, len(input_ids))) AS labels,
+        list_transform(range(len(input_ids)), lambda x: 1) AS attention_mask
+        FROM (SELECT *, CASE WHEN len(prompt_ids) + len(answer_ids) > 512
+                 THEN list_slice(list_concat(prompt_ids, answer_ids), len(prompt_ids) + len(answer_ids) - 511,
+                                 len(prompt_ids) + len(answer_ids))
+                 ELSE list_concat(prompt_ids, answer_ids) END AS input_ids,
+              least(len(prompt_ids), greatest(0, 512 - len(answer_ids))) AS kept_prompt FROM enc)""", ["enc"]),
     "conv_trip": (CONV_TRIPLETS_SQL, []),
     "runs": (RUNS_SQL, []),
     "params": (PARAMETERS_SQL, []),
