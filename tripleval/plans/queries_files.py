@@ -1 +1,197 @@
-"""Registered queries."""
+"""Registered queries: file sources and sinks, exports, the streaming summary, the fleet.
+
+Each sink query writes the derived table to a fresh folder under the shared
+checkpoint folder and reads it back through the matching source, so both
+directions of the format run over the whole table.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from ..functions.models import export_file_name, sql_export_file_name
+from ..operators.explore import sorted_forms
+from ..session import scratch_path
+from ..sinks import writers
+from ..sources import files, fixtures
+from ..streaming.run_summary import stream_run_summary
+from . import evaluate as ev
+from .fleet import run_fleet
+from .oracle import sql
+from .registry import evaluation, examples, register
+
+TRIP = ["triplet_id", "dataset", "form", "observations", "question", "answer"]
+FACT_COLS = fixtures.FACT_COLS
+MD_FORM = "en"
+
+
+@register("src_triplets_json", sql(f"SELECT {', '.join(TRIP)} FROM id_trip", "id_trip"))
+def q_src_triplets_json(spark, d):
+    path = scratch_path(spark, "triplets-json")
+    writers.export_json(fixtures.id_triplets(spark, d), None, path)
+    return files.src_triplets_json(spark, path).select(*TRIP)
+
+
+@register("export_json", sql(f"SELECT {', '.join(TRIP)} FROM id_trip WHERE form = 'fr'", "id_trip"))
+def q_export_json(spark, d):
+    path = scratch_path(spark, "export-json")
+    writers.export_json(fixtures.id_triplets(spark, d), "fr", path)
+    return files.src_triplets_json(spark, path).select(*TRIP)
+
+
+_TRIPLET_CSV = T.StructType([T.StructField("id", T.LongType()), T.StructField("form", T.StringType()),
+                             T.StructField("Training Observations", T.StringType()),
+                             T.StructField("Question", T.StringType()), T.StructField("Answer", T.StringType())])
+
+
+def _read_triplet_csv(spark, path):
+    return files.src_csv(spark, path, _TRIPLET_CSV).select(
+        F.col("id").alias("triplet_id"), "form", F.col("`Training Observations`").alias("observations"),
+        F.col("Question").alias("question"), F.col("Answer").alias("answer"))
+
+
+@register("export_csv", sql("SELECT triplet_id, form, observations, question, answer FROM id_trip WHERE form = 'de'",
+                            "id_trip"))
+def q_export_csv(spark, d):
+    path = scratch_path(spark, "export-csv")
+    writers.export_csv(fixtures.id_triplets(spark, d), "de", path)
+    return _read_triplet_csv(spark, path)
+
+
+@register("sink_csv", sql("SELECT triplet_id, form, observations, question, answer FROM id_trip", "id_trip"))
+def q_sink_csv(spark, d):
+    path = scratch_path(spark, "sink-csv")
+    writers.sink_csv(writers.export_records(fixtures.id_triplets(spark, d), None), path)
+    return _read_triplet_csv(spark, path)
+
+
+_FACT_OUT = ["fact_id", *FACT_COLS, "rule template", "rule type", "rule"]
+
+
+@register("src_csv", sql("SELECT " + ", ".join(f'"{c}"' for c in _FACT_OUT) + " FROM facts", "facts"))
+def q_src_csv(spark, d):
+    path = scratch_path(spark, "facts-csv")
+    writers.sink_csv(fixtures.facts(spark, d).select(*[F.col(f"`{c}`") for c in _FACT_OUT]), path)
+    return files.src_csv(spark, path, files.FACT_SCHEMA)
+
+
+@register("src_fact_files", sql(
+    "SELECT fact_id, file_split, " + ", ".join(
+        f'CASE WHEN file_split = \'val\' THEN NULL ELSE "{c}" END AS "{c}"' if c == "fact 3.2" else f'"{c}"'
+        for c in _FACT_OUT[1:]) + " FROM facts", "facts"))
+def q_src_fact_files(spark, d):
+    """Three files (test, train, val): train has its columns in another order, val lacks ``fact 3.2``."""
+    f = fixtures.facts(spark, d)
+    base = scratch_path(spark, "fact-files")
+    layouts = {"test": _FACT_OUT, "train": list(reversed(_FACT_OUT)),
+               "val": [c for c in _FACT_OUT if c != "fact 3.2"]}
+    paths = {}
+    for split, cols in layouts.items():
+        paths[split] = f"{base}/{split}"
+        writers.sink_csv(f.where(F.col("file_split") == split).select(*[F.col(f"`{c}`") for c in cols]),
+                         paths[split])
+    out = files.src_fact_files(spark, paths, "csv", header=True, multiLine=True, escape='"')
+    return out.select(F.col("fact_id").cast("bigint").alias("fact_id"), "file_split",
+                      *[F.col(f"`{c}`") for c in _FACT_OUT[1:]])
+
+
+def _batch_summary(spark, d):
+    path = scratch_path(spark, "batch-summary")
+    writers.sink_batch_summary(fixtures.runs(spark, d), path)
+    return path
+
+
+@register("sink_batch_summary", sql("""SELECT count(*) AS total_models,
+    count(*) FILTER (WHERE status = 'success') AS successful,
+    count(*) FILTER (WHERE status = 'failed') AS failed FROM runs""", "runs"))
+def q_sink_batch_summary(spark, d):
+    return files.src_summary_header(spark, _batch_summary(spark, d)).select("total_models", "successful", "failed")
+
+
+@register("src_run_summaries", sql("""SELECT run_id, model_id, model_name, status, duration_seconds, output_dir, error
+    FROM runs""", "runs"))
+def q_src_run_summaries(spark, d):
+    return files.src_run_summaries(spark, _batch_summary(spark, d)).select(
+        "run_id", "model_id", "model_name", "status", "duration_seconds", "output_dir", "error")
+
+
+@register("sink_predictions_jsonl", sql("""SELECT model_id, distribution, variant,
+    observations AS "Training Observations", question AS "Question", reference AS "Reference",
+    prediction AS "Prediction" FROM preds""", "preds"))
+def q_sink_predictions_jsonl(spark, d):
+    path = scratch_path(spark, "predictions")
+    writers.sink_predictions_jsonl(ev.predictions(examples(spark, d)), path)
+    schema = T.StructType([T.StructField(k, T.StringType())
+                           for k in ["Training Observations", "Question", "Reference", "Prediction",
+                                     "model_id", "distribution", "variant"]])
+    return spark.read.schema(schema).json(path)
+
+
+def _metric_files(spark, d):
+    path = scratch_path(spark, "metric-files")
+    writers.sink_metrics_summary(evaluation(spark, d).comparison, path)
+    return path
+
+
+@register("src_metric_files", sql("""SELECT model_id AS model_dir, distribution, variant, metric, value FROM metrics""",
+                                  "metrics"))
+def q_src_metric_files(spark, d):
+    return files.src_metric_files(spark, f"{_metric_files(spark, d)}/*/*.json")
+
+
+@register("sink_metrics_summary", sql("""SELECT model_id AS model_dir, distribution, metric, delta AS improvement
+    FROM comparison""", "comparison"))
+def q_sink_metrics_summary(spark, d):
+    df = spark.read.schema(files.METRICS_SUMMARY_SCHEMA).json(f"{_metric_files(spark, d)}/*/*.json") \
+        .withColumn("model_dir", F.regexp_extract(F.col("_metadata.file_path"), r"model_dir=([^/]+)/[^/]+$", 1))
+    rows = [F.struct(F.lit(dist).alias("distribution"), F.lit(m).alias("metric"),
+                     F.col(f"{block}.improvements.{m}").alias("improvement"))
+            for dist, block in (("id", "in_distribution"), ("od", "out_of_distribution")) for m in writers.METRICS]
+    return df.select("model_dir", F.explode(F.array(*rows)).alias("r")).select("model_dir", "r.*")
+
+
+@register("export_markdown", sql(f"""SELECT 0 AS item, '# IR-Triplet Export: {MD_FORM}' || chr(10) AS block
+    UNION ALL
+    SELECT item, concat_ws(chr(10),
+        chr(10) || '## Triplet ' || CAST(item AS VARCHAR) || chr(10),
+        '**Form:** ' || coalesce(form, 'None') || chr(10),
+        chr(10) || '**Observations:**' || chr(10) || observations || chr(10),
+        chr(10) || '**Question:**' || chr(10) || question || chr(10),
+        chr(10) || '**Answer:**' || chr(10) || answer || chr(10),
+        chr(10) || '---' || chr(10)) AS block
+    FROM (SELECT *, row_number() OVER (ORDER BY triplet_id) AS item FROM id_trip WHERE form = '{MD_FORM}')""",
+                                 "id_trip"))
+def q_export_markdown(spark, d):
+    return writers.export_markdown(fixtures.id_triplets(spark, d), MD_FORM, scratch_path(spark, "export-md"))
+
+
+@register("export_file_name", sql(f"""SELECT form, ext, {sql_export_file_name('form', 'ext')} AS file_name FROM
+    (SELECT 'All' AS form UNION ALL SELECT DISTINCT form FROM id_trip WHERE form IS NOT NULL),
+    (VALUES ('json'), ('csv'), ('md')) e(ext)""", "id_trip"))
+def q_export_file_name(spark, d):
+    forms = sorted_forms(fixtures.id_triplets(spark, d)).select("form")
+    exts = F.explode(F.array(F.lit("json"), F.lit("csv"), F.lit("md")))
+    return (forms.select("form", exts.alias("ext"))
+            .select("form", "ext", export_file_name(F.col("form"), F.col("ext")).alias("file_name")))
+
+
+@register("stream_run_summary", sql("SELECT status, count(*) AS n FROM runs GROUP BY status", "runs"))
+def q_stream_run_summary(spark, d):
+    """Run records land as several files; the stream's final state equals the batch counts."""
+    base = scratch_path(spark, "stream")
+    runs_dir, out_dir = f"{base}/runs", f"{base}/summary"
+    fixtures.runs(spark, d).repartitionByRange(4, "run_id").write.mode("overwrite").parquet(runs_dir)
+    q = stream_run_summary(spark, runs_dir, f"{base}/checkpoint", out_dir)
+    q.awaitTermination()
+    if q.exception() is not None:
+        raise RuntimeError(str(q.exception()))
+    return spark.read.parquet(out_dir)
+
+
+@register("run_fleet")
+def q_run_fleet(spark, d):
+    """One generation job per model with failure isolation, then one scoring job; rows = run records."""
+    runs, m = run_fleet(spark, examples(spark, d), ev.NATIVE_GENERATORS)
+    n = m.groupBy("model_id").agg(F.count(F.lit(1)).alias("n_metrics"))
+    return runs.join(n, "model_id", "left").select("model_id", "model_name", "status", "error", "n_metrics")

@@ -47,7 +47,8 @@ def _load_all() -> None:
     if _LOADED:
         return
     _LOADED = True
-    from . import queries_core, queries_explore, queries_runs, queries_train, queries_files  # noqa: F401
+    from . import (queries_core, queries_explore, queries_files, queries_runs, queries_spectral,  # noqa: F401
+                   queries_train)
 
 
 # ------------------------------------------------------------------ shared pipeline pieces
