@@ -16,7 +16,8 @@ from pyspark.sql import functions as F
 
 from ..functions.prompts import extract_answer, render_inference_prompt
 from ..functions.text import cap_words, rouge_tokens
-from .joins import checked_join, salted_join
+from ..session import write_table
+from .joins import checked_join
 
 # New-token limit of generation, and the native generators.
 MAX_NEW_WORDS = 64
@@ -61,6 +62,28 @@ def generate_native(inputs: DataFrame, models: Sequence[str]) -> DataFrame:
                        F.concat(prompt, cont, F.lit("\n" + END_MARK)).alias("full_text"))
 
 
+def generate_native_variants(inputs: DataFrame, models: Sequence[str]) -> DataFrame:
+    """Baseline and trained generations of native generators in one pass.
+
+    ``inputs`` carries ``answer``: the trained answerer's retrieved answer (null
+    when no train row shares a rare token).  Each input row fans out to
+    (model, variant) rows; the trained variant falls back to the baseline
+    continuation, so no second pass or join over generated rows is needed.
+    """
+    pairs = F.array(*[F.struct(F.lit(m).alias("model_id"), F.lit(v).alias("variant"))
+                      for m in models for v in ("baseline", "finetuned")])
+    rows = inputs.withColumn("_mv", F.explode(pairs)).select("*", "_mv.model_id", "_mv.variant").drop("_mv")
+    prompt = render_inference_prompt(F.col("observations"), F.col("question"))
+    cont = None
+    for m in models:
+        c = native_continuation(m, F.col("observations"), F.col("question"))
+        cont = F.when(F.col("model_id") == m, c) if cont is None else cont.when(F.col("model_id") == m, c)
+    base = F.concat(cont, F.lit("\n" + END_MARK))
+    tuned = F.coalesce(F.concat(F.col("answer"), F.lit("\n" + END_MARK)), base)
+    full = F.concat(prompt, F.when(F.col("variant") == "baseline", base).otherwise(tuned))
+    return rows.select("model_id", "variant", *KEY, *TEXT_COLS, prompt.alias("prompt"), full.alias("full_text"))
+
+
 GeneratorFactory = Callable[[], Callable[[pd.DataFrame], pd.Series]]
 
 
@@ -86,9 +109,12 @@ def generate_with(inputs: DataFrame, model_id: str, factory: GeneratorFactory) -
     return src.mapInPandas(run, schema)
 
 
-def to_predictions(generations: DataFrame, variant: str) -> DataFrame:
-    """generations -> ``predictions`` (model, variant, distribution, example, texts, prediction)."""
-    return generations.select("model_id", F.lit(variant).alias("variant"), *KEY, *TEXT_COLS,
+def to_predictions(generations: DataFrame, variant: str | None = None) -> DataFrame:
+    """generations -> ``predictions`` (model, variant, distribution, example, texts, prediction).
+
+    ``variant`` labels single-variant generations; None keeps their ``variant`` column."""
+    v = F.lit(variant) if variant is not None else F.col("variant")
+    return generations.select("model_id", v.alias("variant"), *KEY, *TEXT_COLS,
                               extract_answer(F.col("prompt"), F.col("full_text")).alias("prediction"))
 
 
@@ -121,19 +147,26 @@ class RareTokenIndex:
         return best.join(self.answers, "train_id").select(*KEY, "train_id", "score", "answer")
 
 
-def fit_answerer(train: DataFrame, df_min: int = 2, df_max: int = 20, salts: int = 32) -> RareTokenIndex:
+def fit_answerer(train: DataFrame, df_min: int = 2, df_max: int = 20, salts: int = 32,
+                 materialize: bool = True) -> RareTokenIndex:
     """Inverted index over train observations restricted to rare tokens (df in [df_min, df_max]).
 
     ``train`` has (example_id, observations, response).  Document frequency is a
-    grouped count with map-side combine; the postings join is salted because a
-    common token can sit on every train row.
+    grouped count with map-side combine.  The postings join is size-checked:
+    the rare-token list is broadcast when small, else the join is salted,
+    because a common token can sit on every train row.  The fitted index is
+    written as a table (the model artifact) so answering reads it once.
     """
     toks = train.select(F.col("example_id").alias("train_id"),
                         F.explode(F.array_distinct(rouge_tokens(F.col("observations")))).alias("token"))
     rare = (toks.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
             .where(F.col("df").between(df_min, df_max)).select("token"))
-    postings = salted_join(toks, rare, ["token"], ["train_id"], salts=salts)
+    if materialize:
+        rare = write_table(rare, "rare-tokens")
+    postings = checked_join(toks, rare, ["token"], ["train_id"], salts=salts)
     answers = train.select(F.col("example_id").alias("train_id"), F.col("response").alias("answer"))
+    if materialize:
+        postings = write_table(postings, "postings")
     return RareTokenIndex(postings, answers)
 
 

@@ -14,11 +14,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.compare import compare_variants
-from ..operators.generate import (NATIVE_GENERATORS, fit_answerer, generate_finetuned, generate_native,
+from ..operators.generate import (KEY, NATIVE_GENERATORS, fit_answerer, generate_native, generate_native_variants,
                                   to_predictions, validation_inputs)
 from ..operators.metrics import ALL_METRICS, metric_bundle
 from ..operators.split import assemble_datasets, seeded_split
 from ..operators.triplets import facts_to_triplets, parse_prompt, render_prompt
+from ..session import write_table
 from ..sources import fixtures
 
 SEED = 42
@@ -27,7 +28,9 @@ VAL_FRACTION = 0.30
 
 def id_examples(spark: SparkSession, sf_dir: str, seed: int = SEED, val_fraction: float = VAL_FRACTION) -> DataFrame:
     """documents -> triplets -> seeded split -> rendered prompts."""
-    trip = fixtures.id_triplets(spark, sf_dir)
+    # the triplet source is written once: the split reads it in three passes
+    # (bucket sizes on the id column alone, decided buckets, the one straddling bucket)
+    trip = write_table(fixtures.id_triplets(spark, sf_dir), "id-triplets")
     return render_prompt(seeded_split(trip, "triplet_id", seed, val_fraction))
 
 
@@ -35,8 +38,12 @@ def od_examples(spark: SparkSession, sf_dir: str) -> DataFrame:
     return render_prompt(facts_to_triplets(fixtures.facts(spark, sf_dir)))
 
 
-def examples(spark: SparkSession, sf_dir: str, seed: int = SEED, val_fraction: float = VAL_FRACTION) -> DataFrame:
-    return assemble_datasets(id_examples(spark, sf_dir, seed, val_fraction), od_examples(spark, sf_dir))
+def examples(spark: SparkSession, sf_dir: str, seed: int = SEED, val_fraction: float = VAL_FRACTION,
+             materialize: bool = True) -> DataFrame:
+    """All examples with their split.  Materialised (partitioned by split) because the
+    train, validation, generation and retrieval branches all read it."""
+    ex = assemble_datasets(id_examples(spark, sf_dir, seed, val_fraction), od_examples(spark, sf_dir))
+    return write_table(ex, "examples", ["split"]) if materialize else ex
 
 
 @dataclass
@@ -50,14 +57,14 @@ def predictions(examples_df: DataFrame, models: Sequence[str] = NATIVE_GENERATOR
                 skip_finetuning: bool = False) -> DataFrame:
     parsed = parse_prompt(examples_df)
     inputs = validation_inputs(parsed)
-    base = generate_native(inputs, models)
-    preds = to_predictions(base, "baseline")
-    if not skip_finetuning:
-        train = parsed.where(F.col("split") == "train").select(
-            "example_id", "observations", F.col("reference").alias("response"))
-        tuned = generate_finetuned(inputs, base, fit_answerer(train))
-        preds = preds.unionByName(to_predictions(tuned, "finetuned"))
-    return preds
+    if skip_finetuning:
+        return to_predictions(generate_native(inputs, models), "baseline")
+    train = parsed.where(F.col("split") == "train").select(
+        "example_id", "observations", F.col("reference").alias("response"))
+    hits = fit_answerer(train).retrieve(inputs).select(*KEY, "answer")
+    # one row per validation example on each side; AQE broadcasts the hits when small
+    with_answer = inputs.join(hits, KEY, "left")
+    return to_predictions(generate_native_variants(with_answer, models))
 
 
 def evaluate_models(examples_df: DataFrame, models: Sequence[str] = NATIVE_GENERATORS,

@@ -60,3 +60,15 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint (survives executor loss); never a local checkpoint."""
     checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def write_table(df: DataFrame, name: str, partition_by: list[str] | None = None) -> DataFrame:
+    """Materialise a table that several branches reuse: parquet in the shared
+    checkpoint folder, read back (lineage cut, survives executor loss, and
+    partition columns prune at the scan)."""
+    path = scratch_path(df.sparkSession, name)
+    w = df.write.mode("overwrite")
+    if partition_by:
+        w = w.partitionBy(*partition_by)
+    w.parquet(path)
+    return df.sparkSession.read.parquet(path)
