@@ -9,10 +9,11 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# The characters Python's ``str.strip()``/``str.split()``
-# treat as whitespace: \t \n \x0b \x0c \r \x1c-\x1f \x85 and Unicode Z*.
-WS_CLASS = r"[\t\n\x0B\f\r\x1C-\x1F\x{85}\p{Z}]"
-STRIP_PATTERN = rf"^{WS_CLASS}+|{WS_CLASS}+$"
+# The characters Python's ``str.strip()`` / ``str.split()`` treat as whitespace,
+# by the rule ``str.isspace`` (29 code points, the highest is U+3000).
+WS_CHARS = "".join(chr(c) for c in range(0x3001) if chr(c).isspace())
+WS_CLASS = "[" + "".join(f"\\x{{{ord(c):X}}}" for c in WS_CHARS) + "]"
+SQL_WS_CHARS = "(" + " || ".join(f"chr({ord(c)})" for c in WS_CHARS) + ")"
 
 # ROUGE default tokens are maximal runs of [a-z0-9] after
 # lower-casing (no stemming).
@@ -34,12 +35,12 @@ BLEU13A_ENTITIES = [("&quot;", '"'), ("&amp;", "&"), ("&lt;", "<"), ("&gt;", ">"
 
 
 def py_strip(c: Column) -> Column:
-    """``str.strip()``: remove leading/trailing Unicode whitespace."""
-    return F.regexp_replace(c, STRIP_PATTERN, "")
+    """``str.strip()``: remove leading/trailing Unicode whitespace (character-set trim, no regex)."""
+    return F.trim(c, F.lit(WS_CHARS))
 
 
 def sql_strip(expr: str) -> str:
-    return f"regexp_replace({expr}, '{STRIP_PATTERN}', '', 'g')"
+    return f"trim({expr}, {SQL_WS_CHARS})"
 
 
 def non_blank_lines(c: Column) -> Column:

@@ -134,12 +134,13 @@ def join_predictions_references(predictions: DataFrame, inputs: DataFrame) -> Da
 class RareTokenIndex:
     postings: DataFrame   # (token, train_id)
     answers: DataFrame    # (train_id, answer)
+    max_postings: int | None = None   # proven bound: df_max * number of rare tokens
 
     def retrieve(self, inputs: DataFrame, salts: int = 32) -> DataFrame:
         """Best train answer per validation example: most shared rare tokens, ties -> lowest id."""
         vt = inputs.select(*KEY, F.explode(F.array_distinct(rouge_tokens(F.col("observations")))).alias("token"))
         # validation tokens include stop-words on every row; postings only rare tokens
-        pairs = checked_join(vt, self.postings, ["token"], KEY, salts=salts)
+        pairs = checked_join(vt, self.postings, ["token"], KEY, salts=salts, max_rows=self.max_postings)
         scores = pairs.groupBy(*KEY, "train_id").agg(F.count(F.lit(1)).alias("score"))
         best = (scores.groupBy(*KEY)
                 .agg(F.max(F.struct("score", (-F.col("train_id")).alias("neg_id"))).alias("b"))
@@ -151,23 +152,22 @@ def fit_answerer(train: DataFrame, df_min: int = 2, df_max: int = 20, salts: int
                  materialize: bool = True) -> RareTokenIndex:
     """Inverted index over train observations restricted to rare tokens (df in [df_min, df_max]).
 
-    ``train`` has (example_id, observations, response).  Document frequency is a
-    grouped count with map-side combine.  The postings join is size-checked:
-    the rare-token list is broadcast when small, else the join is salted,
-    because a common token can sit on every train row.  The fitted index is
-    written as a table (the model artifact) so answering reads it once.
+    ``train`` has (example_id, observations, response).  The distinct
+    (train_id, token) table is written once (the index artifact); document
+    frequency is a grouped count over it with map-side combine.  The postings
+    join is size-checked: the rare-token list is broadcast when small, else the
+    join is salted, because a common token can sit on every train row.
     """
     toks = train.select(F.col("example_id").alias("train_id"),
                         F.explode(F.array_distinct(rouge_tokens(F.col("observations")))).alias("token"))
+    if materialize:
+        toks = write_table(toks, "train-tokens")
     rare = (toks.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
             .where(F.col("df").between(df_min, df_max)).select("token"))
-    if materialize:
-        rare = write_table(rare, "rare-tokens")
-    postings = checked_join(toks, rare, ["token"], ["train_id"], salts=salts)
+    n_rare = rare.count()
+    postings = checked_join(toks, rare, ["token"], ["train_id"], salts=salts, max_rows=n_rare)
     answers = train.select(F.col("example_id").alias("train_id"), F.col("response").alias("answer"))
-    if materialize:
-        postings = write_table(postings, "postings")
-    return RareTokenIndex(postings, answers)
+    return RareTokenIndex(postings, answers, df_max * n_rare)
 
 
 def generate_finetuned(inputs: DataFrame, baseline: DataFrame, index: RareTokenIndex) -> DataFrame:
