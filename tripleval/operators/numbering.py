@@ -25,11 +25,18 @@ def _cols(cols: Sequence[str | Column]) -> list[Column]:
 
 
 def rank_global(df: DataFrame, order_cols: Sequence[str | Column], rank_col: str = "rank",
-                start: int = 1, partitions: int | None = None) -> DataFrame:
-    """Add ``rank_col`` = position in ``order_cols`` order (ties broken by the caller's keys)."""
+                start: int = 1, partitions: int | None = None, spread_ties: bool = True) -> DataFrame:
+    """Add ``rank_col`` = position in ``order_cols`` order.
+
+    Ties (rows equal on every order column) take the order of a row hash when
+    ``spread_ties``; that also lets the range partitioner split a value shared
+    by many rows instead of sending them all to one partition.
+    """
     spark = df.sparkSession
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     order = _cols(order_cols)
+    if spread_ties:
+        order = [*order, F.xxhash64(*[F.col(f"`{c}`") for c in df.columns])]
     ranged = (df.repartitionByRange(n, *order).sortWithinPartitions(*order)
               .withColumn("_pid", F.spark_partition_id())
               .withColumn("_pos", F.monotonically_increasing_id()))

@@ -7,7 +7,7 @@ operators.  Each builder has a DuckDB twin (``*_SQL``) used by the oracle.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.models import model_short_name, sql_model_short_name
@@ -80,34 +80,46 @@ FACTS_SQL = _sql_facts()
 
 
 # ---------------------------------------------------------------- conversation triplets
-def conversation_triplets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One triplet per user turn followed by an assistant turn; earlier turns observe."""
+CONTEXT_TURNS = 8
+
+
+def conversation_triplets(spark: SparkSession, sf_dir: str, context_turns: int = CONTEXT_TURNS) -> DataFrame:
+    """One triplet per user turn directly followed (turn + 1) by an assistant turn.
+
+    Observations are the up to ``context_turns`` turns before the user turn,
+    joined by ``\n`` in turn order.  Every step is keyed by (conv_id, turn):
+    each turn is fanned out to the ``context_turns`` turns after it and grouped
+    there (groups of at most ``context_turns`` rows), and the next-turn match is
+    an equi-join, so a very long conversation spreads over many tasks.
+    """
     c = table(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text")
-    w = Window.partitionBy("conv_id").orderBy("turn")
-    prior = w.rowsBetween(Window.unboundedPreceding, -1)
-    return (c.select("conv_id", "turn", "role", "text",
-                     F.lead("role").over(w).alias("next_role"),
-                     F.lead("text").over(w).alias("next_text"),
-                     F.collect_list("text").over(prior).alias("prior"))
-            .where((F.col("role") == "user") & (F.col("next_role") == "assistant"))
+    user = c.where(F.col("role") == "user").select("conv_id", "turn", F.col("text").alias("question"))
+    nxt = c.where(F.col("role") == "assistant").select(
+        "conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("answer"))
+    ctx = (c.select("conv_id", "turn", "text",
+                    F.explode(F.sequence(F.lit(1), F.lit(context_turns))).alias("k"))
+           .select("conv_id", (F.col("turn") + F.col("k")).alias("turn"), F.struct(
+               F.col("k").__neg__().alias("order"), F.col("text").alias("text")).alias("t"))
+           .groupBy("conv_id", "turn")
+           .agg(F.array_join(F.transform(F.array_sort(F.collect_list("t")), lambda x: x["text"]), "\n")
+                .alias("observations")))
+    pairs = user.join(nxt, ["conv_id", "turn"])
+    return (pairs.join(ctx, ["conv_id", "turn"], "left")
             .select((F.col("conv_id") * 1000 + F.col("turn")).alias("triplet_id"),
                     F.lit("conv").alias("dataset"),
                     F.concat(F.lit("turn_"), F.col("turn").cast("string")).alias("form"),
-                    F.array_join("prior", "\n").alias("observations"),
-                    F.col("text").alias("question"),
-                    F.col("next_text").alias("answer")))
-
-
-CONV_TRIPLETS_SQL = """
-SELECT conv_id * 1000 + turn AS triplet_id, 'conv' AS dataset, 'turn_' || CAST(turn AS VARCHAR) AS form,
-       coalesce(prior, '') AS observations, text AS question, next_text AS answer
-FROM (SELECT conv_id, turn, role, text,
-             lead(role) OVER (PARTITION BY conv_id ORDER BY turn) AS next_role,
-             lead(text) OVER (PARTITION BY conv_id ORDER BY turn) AS next_text,
-             string_agg(text, chr(10)) OVER (PARTITION BY conv_id ORDER BY turn
-                                             ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS prior
-      FROM conversations)
-WHERE role = 'user' AND next_role = 'assistant'
+                    F.coalesce("observations", F.lit("")).alias("observations"),
+                    "question", "answer"))
+
+
+CONV_TRIPLETS_SQL = f"""
+SELECT u.conv_id * 1000 + u.turn AS triplet_id, 'conv' AS dataset, 'turn_' || CAST(u.turn AS VARCHAR) AS form,
+       coalesce((SELECT string_agg(p.text, chr(10) ORDER BY p.turn) FROM conversations p
+                 WHERE p.conv_id = u.conv_id AND p.turn BETWEEN u.turn - {CONTEXT_TURNS} AND u.turn - 1), '')
+           AS observations,
+       u.text AS question, a.text AS answer
+FROM conversations u JOIN conversations a ON a.conv_id = u.conv_id AND a.turn = u.turn + 1
+WHERE u.role = 'user' AND a.role = 'assistant'
 """
 
 
