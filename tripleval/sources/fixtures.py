@@ -125,18 +125,19 @@ WHERE u.role = 'user' AND a.role = 'assistant'
 
 # ---------------------------------------------------------------- weight matrices
 def weights(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """embeddings -> weight rows: label picks (model, layer); finetuned halves the even rows."""
+    """embeddings -> weight rows: label picks (model, layer); finetuned halves the even rows.
+
+    Both variants come from one scan (variant is a generated column)."""
     e = table(spark, sf_dir, "embeddings", "vec_id", "embedding", "label")
-    base = e.select(F.concat(F.lit("org/model-"), F.pmod("label", F.lit(5)).cast("string"), F.lit("b")).alias("model_id"),
-                    F.concat(F.lit("layer_"), F.floor(F.col("label") / 5).cast("string")).alias("layer"),
-                    F.col("vec_id").alias("row_id"),
-                    F.col("embedding").cast("array<double>").alias("values"))
-    fine = base.select("model_id", "layer", "row_id",
-                       F.when(F.pmod("row_id", F.lit(2)) == 0,
-                              F.transform("values", lambda v: v * 0.5)).otherwise(F.col("values")).alias("values"))
-    return (base.withColumn("variant", F.lit("baseline"))
-            .unionByName(fine.withColumn("variant", F.lit("finetuned")))
-            .select("model_id", "variant", "layer", "row_id", "values"))
+    vals = F.col("embedding").cast("array<double>")
+    rows = e.withColumn("variant", F.explode(F.array(F.lit("baseline"), F.lit("finetuned"))))
+    halve = (F.col("variant") == "finetuned") & (F.pmod("vec_id", F.lit(2)) == 0)
+    return rows.select(
+        F.concat(F.lit("org/model-"), F.pmod("label", F.lit(5)).cast("string"), F.lit("b")).alias("model_id"),
+        "variant",
+        F.concat(F.lit("layer_"), F.floor(F.col("label") / 5).cast("string")).alias("layer"),
+        F.col("vec_id").alias("row_id"),
+        F.when(halve, F.transform(vals, lambda v: v * 0.5)).otherwise(vals).alias("values"))
 
 
 WEIGHTS_SQL = """
