@@ -62,8 +62,11 @@ def predictions(examples_df: DataFrame, models: Sequence[str] = NATIVE_GENERATOR
     train = parsed.where(F.col("split") == "train").select(
         "example_id", "observations", F.col("reference").alias("response"))
     hits = fit_answerer(train).retrieve(inputs).select(*KEY, "answer")
-    # one row per validation example on each side; AQE broadcasts the hits when small
-    with_answer = inputs.join(hits, KEY, "left")
+    # Generation and scoring are CPU-bound and small in bytes: an explicit partition
+    # count keeps them spread over every core (AQE does not coalesce it), and the
+    # join with the hits reuses this partitioning instead of adding an exchange.
+    n = int(examples_df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    with_answer = inputs.repartition(n, *KEY).join(hits, KEY, "left")
     return to_predictions(generate_native_variants(with_answer, models))
 
 

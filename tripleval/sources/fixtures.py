@@ -21,7 +21,7 @@ SENTENCE_SPLIT = r"\.\s*"
 # ---------------------------------------------------------------- triplets (ID)
 def id_triplets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """documents -> triplets: observations = all non-blank lines but the last."""
-    d = table(spark, sf_dir, "documents", "doc_id", "text", "lang", "source")
+    d = table(spark, sf_dir, "documents", "doc_id", "text", "lang", "source", spread=True)
     lines = non_blank_lines(F.col("text"))
     return (d.select("doc_id", "lang", "source", lines.alias("lines"))
             .where(F.size("lines") >= 3)
