@@ -62,7 +62,8 @@ def q_rank_global(spark, d):
 
 
 @register("page_slice", sql(f"""SELECT triplet_id, form, item,
-    '{(PAGE - 1) * PAGE_SIZE + 1}-' || CAST(least({PAGE * PAGE_SIZE}, n) AS VARCHAR) || ' of ' || CAST(n AS VARCHAR)
+    'Showing items {(PAGE - 1) * PAGE_SIZE + 1}-' || CAST(least({PAGE * PAGE_SIZE}, n) AS VARCHAR) || ' of '
+        || CAST(n AS VARCHAR)
         AS caption,
     CAST(floor((n - 1) / {PAGE_SIZE}) + 1 AS BIGINT) AS pages
     FROM (SELECT triplet_id, form, row_number() OVER (ORDER BY triplet_id) AS item, count(*) OVER () AS n FROM id_trip)
@@ -80,7 +81,9 @@ def q_jump_to_page(spark, d):
                            explore.jump_to_page(F.col("item"), JUMP_SIZE).cast("bigint").alias("page"))
 
 
-@register("first_n", sql(f"""SELECT {', '.join(TRIP)}, total, least({FIRST_N}, total) AS shown FROM
+@register("first_n", sql(f"""SELECT {', '.join(TRIP)}, total, least({FIRST_N}, total) AS shown,
+    CASE WHEN total > {FIRST_N} THEN 'Showing {FIRST_N} of ' || CAST(total AS VARCHAR)
+         || ' results. Use Export tab to get all.' END AS caption FROM
     (SELECT *, count(*) OVER () AS total FROM id_trip WHERE form = 'de') ORDER BY triplet_id LIMIT {FIRST_N}""",
                          "id_trip"))
 def q_first_n(spark, d):

@@ -66,10 +66,24 @@ def src_fact_files(spark: SparkSession, paths: dict[str, str], fmt: str = "parqu
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
 
 
-def src_csv(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    """Header CSV with an explicit schema; quoted multi-line fields allowed."""
-    return (spark.read.option("header", True).option("multiLine", True).option("escape", '"')
-            .schema(schema).csv(path))
+# The strings pandas.read_csv reads as missing by default.
+PANDAS_NA_VALUES = ["", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN",
+                    "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null"]
+
+
+def src_csv(spark: SparkSession, path: str, schema: T.StructType, na_values=PANDAS_NA_VALUES) -> DataFrame:
+    """Header CSV with an explicit schema; quoted multi-line fields allowed.
+
+    String fields equal to one of ``na_values`` become null, as pandas reads them."""
+    df = (spark.read.option("header", True).option("multiLine", True).option("escape", '"')
+          .schema(schema).csv(path))
+    if not na_values:
+        return df
+    na = F.array(*[F.lit(v) for v in na_values])
+    return df.select(*[
+        F.when(F.array_contains(na, F.col(f"`{f.name}`")), F.lit(None).cast("string"))
+        .otherwise(F.col(f"`{f.name}`")).alias(f.name) if isinstance(f.dataType, T.StringType)
+        else F.col(f"`{f.name}`") for f in schema.fields])
 
 
 def src_run_summaries(spark: SparkSession, path: str) -> DataFrame:

@@ -92,7 +92,7 @@ def conversation_triplets(spark: SparkSession, sf_dir: str, context_turns: int =
     there (groups of at most ``context_turns`` rows), and the next-turn match is
     an equi-join, so a very long conversation spreads over many tasks.
     """
-    c = table(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text")
+    c = table(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text", spread=True)
     user = c.where(F.col("role") == "user").select("conv_id", "turn", F.col("text").alias("question"))
     nxt = c.where(F.col("role") == "assistant").select(
         "conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("answer"))
