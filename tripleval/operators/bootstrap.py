@@ -1,10 +1,12 @@
 """Poisson bootstrap of per-example scores (Chamandy et al. 2012).
 
-Each (example, replicate) weight is Poisson(1), drawn by inverting the CDF at a
-uniform number derived from a 64-bit hash of (seed, replicate, example key):
-reproducible under retries and independent of partitioning.  Replicate means
-are weighted sums with map-side partial aggregation; the percentiles run over
-``replicates`` values per group.
+Each (example, replicate) weight is Poisson(1), drawn by inverting the CDF at
+a uniform number: the first 52 bits of ``md5('seed|replicate|key')``.  The
+weights are therefore reproducible under task retries and independent of
+partitioning, and the same example carries the same weight in every model and
+variant (a paired bootstrap).  All metrics of a replicate are weighted sums in
+one grouped aggregation with map-side partial sums; the exact percentiles then
+run over ``replicates`` values per group.
 """
 
 from __future__ import annotations
@@ -15,10 +17,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 POISSON_MAX_K = 16
-_U_SCALE = float(1 << 53)
+_U_BITS = 52
 
 
-def _poisson_cdf() -> list[float]:
+def poisson_cdf() -> list[float]:
+    """P(K <= k) for k = 0 .. POISSON_MAX_K - 1 of Poisson(1)."""
     out, acc = [], 0.0
     for k in range(POISSON_MAX_K):
         acc += math.exp(-1.0) / math.factorial(k)
@@ -26,32 +29,46 @@ def _poisson_cdf() -> list[float]:
     return out
 
 
+def uniform_from_md5(parts: list[Column]) -> Column:
+    h = F.md5(F.concat_ws("|", *[p.cast("string") for p in parts]))
+    return F.conv(F.substring(h, 1, _U_BITS // 4), 16, 10).cast("bigint") / F.lit(float(1 << _U_BITS))
+
+
 def poisson_weight(u: Column) -> Column:
-    cdf = _poisson_cdf()
+    cdf = poisson_cdf()
     expr = F.when(u < cdf[0], F.lit(0))
     for k in range(1, len(cdf)):
         expr = expr.when(u < cdf[k], F.lit(k))
     return expr.otherwise(F.lit(POISSON_MAX_K))
 
 
+def sql_poisson_weight(u: str) -> str:
+    cdf = poisson_cdf()
+    whens = " ".join(f"WHEN {u} < CAST('{c!r}' AS DOUBLE) THEN {k}" for k, c in enumerate(cdf))
+    return f"(CASE {whens} ELSE {POISSON_MAX_K} END)"
+
+
+def sql_uniform_from_md5(parts: list[str]) -> str:
+    joined = " || '|' || ".join(f"CAST({p} AS VARCHAR)" for p in parts)
+    return f"(CAST(('0x' || substr(md5({joined}), 1, {_U_BITS // 4})) AS BIGINT) / {float(1 << _U_BITS)})"
+
+
 def rouge_bootstrap(scores: DataFrame, key_cols, metrics, group=("model_id", "variant", "distribution"),
                     replicates: int = 200, seed: int = 42) -> DataFrame:
     """(group..., metric, low, mid, high, mean): 2.5 / 50 / 97.5 percentiles of replicate means."""
-    group = list(group)
-    longm = scores.select(*group, *key_cols, F.explode(F.array(*[
-        F.struct(F.lit(m).alias("metric"), F.col(m).cast("double").alias("x")) for m in metrics])).alias("s")) \
-        .select(*group, *key_cols, "s.metric", "s.x")
-    # replicate -1 carries weight 1: its mean is the plain mean, so one pass serves both
-    reps = longm.withColumn("rep", F.explode(F.sequence(F.lit(-1), F.lit(replicates - 1))))
-    h = F.xxhash64(F.lit(seed), F.col("rep"), *[F.col(c) for c in key_cols])
-    u = F.shiftright(h, 11).bitwiseAND(F.lit((1 << 53) - 1)) / F.lit(_U_SCALE)
-    w = F.when(F.col("rep") < 0, F.lit(1)).otherwise(poisson_weight(u))
-    per_rep = (reps.withColumn("w", w)
-               .groupBy(*group, "metric", "rep")
-               .agg(F.sum(F.col("w") * F.col("x")).alias("wx"), F.sum("w").alias("ws"))
-               .where(F.col("ws") > 0)
-               .withColumn("m", F.col("wx") / F.col("ws")))
-    out = per_rep.groupBy(*group, "metric").agg(
+    group, key_cols, metrics = list(group), list(key_cols), list(metrics)
+    rows = scores.select(*group, *key_cols, *metrics)
+    # replicate -1 has weight 1: its mean is the plain mean, so one pass serves both
+    reps = rows.withColumn("rep", F.explode(F.sequence(F.lit(-1), F.lit(replicates - 1))))
+    w = F.when(F.col("rep") < 0, F.lit(1)).otherwise(
+        poisson_weight(uniform_from_md5([F.lit(seed), F.col("rep"), *[F.col(c) for c in key_cols]])))
+    per_rep = (reps.withColumn("w", w).groupBy(*group, "rep")
+               .agg(F.sum("w").alias("ws"), *[F.sum(F.col("w") * F.col(m)).alias(m) for m in metrics])
+               .where(F.col("ws") > 0))
+    per_rep_long = per_rep.select(*group, "rep", F.explode(F.array(*[
+        F.struct(F.lit(m).alias("metric"), (F.col(m) / F.col("ws")).alias("m")) for m in metrics])).alias("s")) \
+        .select(*group, "rep", "s.metric", "s.m")
+    out = per_rep_long.groupBy(*group, "metric").agg(
         F.percentile(F.when(F.col("rep") >= 0, F.col("m")), [0.025, 0.5, 0.975]).alias("p"),
         F.max(F.when(F.col("rep") < 0, F.col("m"))).alias("mean"))
     return out.select(*group, "metric", F.round(F.col("p")[0], 6).alias("low"),

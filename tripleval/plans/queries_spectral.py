@@ -1,7 +1,9 @@
 """Registered queries: spectral statistics of weight tables, bootstrap intervals.
 
-Eigenvalues and power-law fits have no SQL twin: these keys are rows-only in
+Eigenvalues and power-law fits have no SQL twin: those keys are rows-only in
 the oracle check and are verified against numpy / brute force in the tests.
+The bootstrap draws its weights from md5, which both engines compute alike,
+so it has an exact twin.
 """
 
 from __future__ import annotations
@@ -10,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.models import alpha_band, finetune_quality_band
 from ..operators import compare, metrics, spectral
-from ..operators.bootstrap import rouge_bootstrap
+from ..operators.bootstrap import rouge_bootstrap, sql_poisson_weight, sql_uniform_from_md5
 from ..sources import fixtures
 from . import evaluate as ev
 from .oracle import sql
@@ -76,7 +78,25 @@ def q_filter_has_spectra(spark, d):
             .select("run_id", "model_id", "status", "alpha_weighted_delta"))
 
 
-@register("rouge_bootstrap")
+def _bootstrap_sql(replicates: int = 200, seed: int = 42) -> str:
+    u = sql_uniform_from_md5([str(seed), "r.rep", "e.distribution", "e.example_id"])
+    metric_rows = " UNION ALL ".join(
+        f"SELECT model_id, variant, distribution, rep, '{m}' AS metric, sum(w * {m}) / sum(w) AS m "
+        f"FROM wx GROUP BY ALL HAVING sum(w) > 0" for m in metrics.ROUGE_KEYS)
+    mean_rows = " UNION ALL ".join(
+        f"SELECT model_id, variant, distribution, '{m}' AS metric, avg({m}) AS mean FROM ex_scores GROUP BY ALL"
+        for m in metrics.ROUGE_KEYS)
+    return sql(f"""SELECT p.model_id, p.variant, p.distribution, p.metric,
+        round(quantile_cont(m, 0.025), 6) AS low, round(quantile_cont(m, 0.5), 6) AS mid,
+        round(quantile_cont(m, 0.975), 6) AS high, round(any_value(mn.mean), 6) AS mean
+        FROM (WITH wx AS (SELECT e.*, r.rep, {sql_poisson_weight(u)} AS w
+                          FROM ex_scores e, range(0, {replicates}) r(rep))
+              {metric_rows}) p
+        JOIN ({mean_rows}) mn USING (model_id, variant, distribution, metric)
+        GROUP BY p.model_id, p.variant, p.distribution, p.metric""", "ex_scores")
+
+
+@register("rouge_bootstrap", _bootstrap_sql())
 def q_rouge_bootstrap(spark, d):
     preds = ev.predictions(examples(spark, d))
     scores = metrics.example_scores(metrics.example_stats(preds, metrics.ROUGE_KEYS))
