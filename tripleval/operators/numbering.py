@@ -35,8 +35,9 @@ def rank_global(df: DataFrame, order_cols: Sequence[str | Column], rank_col: str
     spark = df.sparkSession
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     order = _cols(order_cols)
-    if spread_ties:
-        order = [*order, F.xxhash64(*[F.col(f"`{c}`") for c in df.columns])]
+    hashable = [f.name for f in df.schema.fields if "map<" not in f.dataType.simpleString()]
+    if spread_ties and hashable:
+        order = [*order, F.xxhash64(*[F.col(f"`{c}`") for c in hashable])]
     ranged = (df.repartitionByRange(n, *order).sortWithinPartitions(*order)
               .withColumn("_pid", F.spark_partition_id())
               .withColumn("_pos", F.monotonically_increasing_id()))
