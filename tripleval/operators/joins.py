@@ -25,11 +25,13 @@ def salted_join(big: DataFrame, small: DataFrame, keys: Sequence[str], salt_cols
 
 
 def checked_join(big: DataFrame, small: DataFrame, keys: Sequence[str], salt_cols: Sequence[str],
-                 limit: int = BROADCAST_ROW_LIMIT, salts: int = 32, how: str = "inner",
+                 limit: int | None = None, salts: int = 32, how: str = "inner",
                  max_rows: int | None = None) -> DataFrame:
     """Broadcast ``small`` when its size is proven small, else a salted shuffle join.
 
-    ``max_rows`` is an upper bound the caller can prove (skips the count)."""
+    ``max_rows`` is an upper bound the caller can prove (skips the count);
+    ``limit`` defaults to ``BROADCAST_ROW_LIMIT``."""
+    limit = BROADCAST_ROW_LIMIT if limit is None else limit
     bound = max_rows if max_rows is not None else small.count()
     if bound <= limit:
         return big.join(F.broadcast(small), list(keys), how)
