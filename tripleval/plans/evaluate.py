@@ -43,7 +43,12 @@ def examples(spark: SparkSession, sf_dir: str, seed: int = SEED, val_fraction: f
     """All examples with their split.  Materialised (partitioned by split) because the
     train, validation, generation and retrieval branches all read it."""
     ex = assemble_datasets(id_examples(spark, sf_dir, seed, val_fraction), od_examples(spark, sf_dir))
-    return write_table(ex, "examples", ["split"]) if materialize else ex
+    if not materialize:
+        return ex
+    # ``text`` is prompt + response: derived on read instead of stored twice
+    cols = ex.columns
+    stored = write_table(ex.drop("text"), "examples", ["split"])
+    return stored.withColumn("text", F.concat("prompt", "response")).select(*cols)
 
 
 @dataclass
