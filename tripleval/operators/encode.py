@@ -54,6 +54,11 @@ def encode_examples(examples: DataFrame, vocab: DataFrame, keys=("example_id",))
     per example; one example's tokens form one group by definition.
     """
     keys = [keys] if isinstance(keys, str) else list(keys)
+    # One hash partitioning by the example key: explode and a broadcast vocabulary
+    # join keep it, so the per-example regroup and the prompt/answer join below
+    # need no further exchange.
+    n = int(examples.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    examples = examples.select(*keys, "prompt", "response").repartition(n, *keys)
     p = _ids(examples, vocab, "prompt", keys)
     a = _ids(examples, vocab, "response", keys).withColumnRenamed("response_ids", "answer_ids")
     empty = F.array().cast("array<int>")
