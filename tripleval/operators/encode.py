@@ -35,37 +35,39 @@ def build_vocab(train_examples: DataFrame, max_size: int | None = None) -> DataF
     return ranked.select("token", (F.col("rank") + UNK_ID).cast("int").alias("token_id"), "count")
 
 
-def _ids(examples: DataFrame, vocab: DataFrame, text_col: str, keys: list[str]) -> DataFrame:
-    pos = examples.select(*keys, F.posexplode(rouge_tokens(F.col(text_col))).alias("pos", "token"))
-    v = vocab.select("token", "token_id")
-    joined = checked_join(pos, v, ["token"], [*keys, "pos"], how="left")
-    return (joined.groupBy(*keys)
-            .agg(F.array_sort(F.collect_list(F.struct("pos", F.coalesce("token_id", F.lit(UNK_ID)).alias("id"))))
-                 .alias("_p"))
-            .select(*keys, F.transform("_p", lambda s: s["id"]).alias(f"{text_col}_ids")))
-
-
 def encode_examples(examples: DataFrame, vocab: DataFrame, keys=("example_id",)) -> DataFrame:
     """Tokenise prompt and response separately (no special tokens): (keys, prompt_ids, answer_ids).
 
     ``keys`` must identify an example (``(dataset, example_id)`` when datasets
-    are mixed).  Tokens join the vocabulary (broadcast when its counted size
-    allows, salted otherwise, since frequent tokens are hot keys) and regroup
-    per example; one example's tokens form one group by definition.
+    are mixed).  Plan: one hash partitioning by the example key; prompt and
+    response tokens (and one sentinel per example, so an example without tokens
+    keeps its row) are exploded together with their side and position; the
+    vocabulary join is broadcast when its counted size allows, salted otherwise
+    (frequent tokens are hot keys); the per-example regroup then needs no
+    further exchange on the broadcast path.  One example's tokens form one
+    group by definition.
     """
     keys = [keys] if isinstance(keys, str) else list(keys)
-    # One hash partitioning by the example key: explode and a broadcast vocabulary
-    # join keep it, so the per-example regroup and the prompt/answer join below
-    # need no further exchange.
     n = int(examples.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    examples = examples.select(*keys, "prompt", "response").repartition(n, *keys)
-    p = _ids(examples, vocab, "prompt", keys)
-    a = _ids(examples, vocab, "response", keys).withColumnRenamed("response_ids", "answer_ids")
-    empty = F.array().cast("array<int>")
-    base = examples.select(*keys)
-    return (base.join(p, keys, "left").join(a, keys, "left")
-            .select(*keys, F.coalesce("prompt_ids", empty).alias("prompt_ids"),
-                    F.coalesce("answer_ids", empty).alias("answer_ids")))
+    ex = examples.select(*keys, "prompt", "response").repartition(n, *keys)
+
+    def tagged(col: str, side: int) -> Column:
+        return F.transform(rouge_tokens(F.col(col)), lambda t, i: F.struct(
+            F.lit(side).alias("side"), i.alias("pos"), t.alias("token")))
+
+    sentinel = F.array(F.struct(F.lit(-1).alias("side"), F.lit(-1).alias("pos"),
+                                F.lit(None).cast("string").alias("token")))
+    toks = ex.select(*keys, F.explode(F.concat(sentinel, tagged("prompt", 0), tagged("response", 1))).alias("t")) \
+        .select(*keys, "t.side", "t.pos", "t.token")
+    joined = checked_join(toks, vocab.select("token", "token_id"), ["token"], [*keys, "side", "pos"], how="left")
+    items = (joined.groupBy(*keys)
+             .agg(F.array_sort(F.collect_list(F.struct(
+                 "side", "pos", F.coalesce("token_id", F.lit(UNK_ID)).alias("id")))).alias("_items")))
+
+    def side_ids(side: int) -> Column:
+        return F.transform(F.filter("_items", lambda x: x["side"] == side), lambda x: x["id"])
+
+    return items.select(*keys, side_ids(0).alias("prompt_ids"), side_ids(1).alias("answer_ids"))
 
 
 def truncate_left(ids: Column, max_len: int = MAX_LEN) -> Column:
