@@ -94,3 +94,19 @@ def test_src_csv_reads_pandas_na_tokens(spark):
                            T.StructField("b", T.StringType())])
     got = sorted(tuple(r) for r in src_csv(spark, path + "/t", schema).collect())
     assert got == [(1, None, 'say "hi"\nline'), (2, None, None)]
+
+
+def test_fleet_rerun_is_idempotent(spark):
+    ex = spark.createDataFrame([(1, "train", "p", "r")], "example_id long, split string, prompt string, "
+                                                          "response string")
+
+    def predict(examples, model):
+        return spark.createDataFrame([(model, "baseline", "id", 1, "a b", "a b")],
+                                     "model_id string, variant string, distribution string, example_id long, "
+                                     "prediction string, reference string")
+
+    path = tempfile.mkdtemp(prefix="tripleval-fleet-")
+    run_fleet(spark, ex, ["m1", "m2"], predict, path)
+    run_fleet(spark, ex, ["m2"], predict, path)          # resume / repeat of one model
+    counts = {r.model_id: r["count"] for r in spark.read.parquet(path).groupBy("model_id").count().collect()}
+    assert counts == {"m1": 1, "m2": 1}
