@@ -31,6 +31,28 @@ def sql_lcs(a: str, b: str) -> str:
     return f"CASE WHEN len({a}) = 0 OR len({b}) = 0 THEN 0 ELSE {LCS.format(a=a, b=b)} END"
 
 
+_ROW = """list_transform([list_filter(range(1, len(c) + 1), lambda k: c[k] = tok)],
+      lambda M: list_transform(range(0, len(c) + 1), lambda j:
+          old[j + 1] + CASE WHEN j > 0 AND list_max(list_filter(M, lambda k: k <= j)) IS NOT NULL
+                             AND old[list_max(list_filter(M, lambda k: k <= j))] = old[j + 1] THEN 1 ELSE 0 END))[1]"""
+# full LCS table of token lists r (rows) and c (columns), 1-based: T(i, j) = t[i + 1][j + 1]
+LCS_TABLE = ("list_reduce(r, lambda rows, tok: list_append(rows, " + _ROW.replace("old", "rows[len(rows)]")
+             + "), [list_transform(range(0, len(c) + 1), lambda j: 0)])")
+# 1-based positions in r of the LCS found by the standard backtrack of table t
+LCS_BACKTRACK = """list_reduce(range(len(r) + len(c)), lambda s, step:
+    CASE WHEN s.i > 0 AND s.j > 0 THEN
+      CASE WHEN r[s.i] = c[s.j] THEN {'i': s.i - 1, 'j': s.j - 1, 'acc': list_prepend(s.i, s.acc)}
+           WHEN t[s.i + 1][s.j] > t[s.i][s.j + 1] THEN {'i': s.i, 'j': s.j - 1, 'acc': s.acc}
+           ELSE {'i': s.i - 1, 'j': s.j, 'acc': s.acc} END
+    ELSE s END,
+    {'i': len(r), 'j': len(c), 'acc': []::INTEGER[]}).acc"""
+
+
+def _line_tokens_sql(e: str) -> str:
+    return (f"list_transform(list_filter(string_split({e}, chr(10)), lambda x: length(x) > 0), "
+            f"lambda l: {sql_rouge_tokens('l')})")
+
+
 def f1(hit: str, lp: str, lr: str) -> str:
     p = f"({hit}) / greatest({lp}, 1)"
     r = f"({hit}) / greatest({lr}, 1)"
@@ -204,6 +226,35 @@ CTES: dict[str, tuple[str, list[str]]] = {
                  ELSE list_concat(prompt_ids, answer_ids) END AS input_ids,
               least(len(prompt_ids), greatest(0, 512 - len(answer_ids))) AS kept_prompt FROM enc)""", ["enc"]),
     "conv_trip": (CONV_TRIPLETS_SQL, []),
+    "conv_gen": (f"""SELECT m.model_id, distribution, example_id, observations, question, reference, prompt,
+        prompt || {_gen_case()} || chr(10) || '{END_MARK}' AS full_text
+        FROM (SELECT 'conv' AS distribution, triplet_id AS example_id, observations, question, answer AS reference,
+                     {sql_render_inference_prompt('observations', 'question')} AS prompt FROM conv_trip),
+             (VALUES {', '.join(f"('{m}')" for m in NATIVE_GENERATORS)}) m(model_id)""", ["conv_trip"]),
+    "conv_preds": (f"""SELECT model_id, 'baseline' AS variant, distribution, example_id, reference,
+        {sql_extract_answer('prompt', 'full_text')} AS prediction FROM conv_gen""", ["conv_gen"]),
+    "lsum_lines": (f"""SELECT {K}, {_line_tokens_sql('reference')} AS rl, {_line_tokens_sql('prediction')} AS pl
+        FROM conv_preds""", ["conv_preds"]),
+    "lsum_pairs": (f"""SELECT {K}, ri, rl[ri] AS r, pl[ci] AS c FROM
+        (SELECT *, unnest(range(1, len(pl) + 1)) AS ci FROM
+           (SELECT *, unnest(range(1, len(rl) + 1)) AS ri FROM lsum_lines))""", ["lsum_lines"]),
+    "lsum_idx": (f"""SELECT {K}, ri, r, CASE WHEN len(r) = 0 OR len(c) = 0 THEN []::INTEGER[]
+        ELSE (SELECT {LCS_BACKTRACK} FROM (SELECT {LCS_TABLE} AS t)) END AS acc FROM lsum_pairs""", ["lsum_pairs"]),
+    "lsum_union": (f"""SELECT {K}, token, count(*) AS u FROM
+        (SELECT {K}, r[p] AS token FROM
+           (SELECT {K}, r, unnest(ps) AS p FROM
+              (SELECT {K}, ri, any_value(r) AS r, list_distinct(flatten(list(acc))) AS ps FROM lsum_idx GROUP BY ALL)))
+        GROUP BY ALL""", ["lsum_idx"]),
+    "lsum_pred_counts": (f"""SELECT {K}, token, count(*) AS c FROM
+        (SELECT {K}, unnest(flatten(pl)) AS token FROM lsum_lines) GROUP BY ALL""", ["lsum_lines"]),
+    "lsum_scores": (f"""SELECT l.model_id, l.variant, l.distribution, l.example_id,
+        CASE WHEN len(rl) = 0 OR len(pl) = 0 OR len(flatten(rl)) = 0 OR len(flatten(pl)) = 0 THEN 0.0
+             ELSE {f1('coalesce(h.hits, 0)', 'len(flatten(pl))', 'len(flatten(rl))')} END AS rougeLsum
+        FROM lsum_lines l LEFT JOIN
+          (SELECT {K}, sum(least(u, c)) AS hits FROM lsum_union JOIN lsum_pred_counts
+           USING (model_id, variant, distribution, example_id, token) GROUP BY ALL) h
+        USING (model_id, variant, distribution, example_id)""",
+                    ["lsum_lines", "lsum_union", "lsum_pred_counts"]),
     "runs": (RUNS_SQL, []),
     "params": (PARAMETERS_SQL, []),
     "weights": (WEIGHTS_SQL, []),

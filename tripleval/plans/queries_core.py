@@ -114,7 +114,8 @@ for _m in ["rouge1", "rouge2", "rougeL", "bleu"]:
     register(_m, _metric_sql(_m))(_metric_query(_m))
 
 
-@register("rougeLsum")
+@register("rougeLsum", sql("""SELECT model_id, variant, distribution, 'rougeLsum' AS metric,
+    round(avg(rougeLsum), 6) AS value, count(*) AS n_examples FROM lsum_scores GROUP BY ALL""", "lsum_scores"))
 def q_rouge_lsum(spark, d):
     """Summary-level ROUGE-L on conversation triplets, whose references span several lines."""
     conv = fixtures.conversation_triplets(spark, d)
