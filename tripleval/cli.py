@@ -24,7 +24,7 @@ from .operators.split import assemble_datasets, seeded_split
 from .operators.triplets import facts_to_triplets, render_prompt
 from .plans import evaluate as ev
 from .plans.fleet import run_fleet
-from .session import write_table
+from .session import ship_package, write_table
 from .sinks import writers
 from .sources import files
 
@@ -162,6 +162,7 @@ def build_parser() -> argparse.ArgumentParser:
 def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> int:
     a = build_parser().parse_args(argv)
     spark = spark or _session(a.master)
+    ship_package(spark)
     {"evaluate": cmd_evaluate, "fleet": cmd_fleet, "explore": cmd_explore,
      "output-dirs": cmd_output_dirs}[a.cmd](spark, a)
     return 0

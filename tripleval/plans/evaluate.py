@@ -19,7 +19,7 @@ from ..operators.generate import (KEY, NATIVE_GENERATORS, fit_answerer, generate
 from ..operators.metrics import ALL_METRICS, metric_bundle
 from ..operators.split import assemble_datasets, seeded_split
 from ..operators.triplets import facts_to_triplets, parse_prompt, render_prompt
-from ..session import write_table
+from ..session import cpu_partitions, write_table
 from ..sources import fixtures
 
 SEED = 42
@@ -68,9 +68,9 @@ def predictions(examples_df: DataFrame, models: Sequence[str] = NATIVE_GENERATOR
         "example_id", "observations", F.col("reference").alias("response"))
     hits = fit_answerer(train).retrieve(inputs).select(*KEY, "answer")
     # Generation and scoring are CPU-bound and small in bytes: an explicit partition
-    # count keeps them spread over every core (AQE does not coalesce it), and the
-    # join with the hits reuses this partitioning instead of adding an exchange.
-    n = int(examples_df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # count (a few waves over the cores) keeps them spread over every core (AQE does
+    # not coalesce it), and the join with the hits reuses this partitioning.
+    n = cpu_partitions(examples_df.sparkSession)
     with_answer = inputs.repartition(n, *KEY).join(hits, KEY, "left")
     return to_predictions(generate_native_variants(with_answer, models))
 

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import evaluate as ev
+from ..session import ship_package
 from .oracle import sql
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -22,7 +23,11 @@ _SQL: dict[str, str] = {}
 
 def register(key: str, oracle: str | None = None):
     def deco(fn: Query) -> Query:
-        _Q[key] = fn
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            ship_package(spark)
+            return fn(spark, sf_dir)
+        run.__name__, run.__doc__ = fn.__name__, fn.__doc__
+        _Q[key] = run
         if oracle is not None:
             _SQL[key] = oracle
         return fn
@@ -61,6 +66,7 @@ def evaluation(spark: SparkSession, sf_dir: str) -> ev.Evaluation:
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship_package(spark)
     return evaluation(spark, sf_dir).metrics
 
 

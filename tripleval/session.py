@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -62,6 +63,13 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def cpu_partitions(spark: SparkSession, waves: int = 4) -> int:
+    """Partition count for a CPU-bound stage: a few waves over the cluster's cores,
+    never more than ``spark.sql.shuffle.partitions``."""
+    shuffle = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return max(1, min(shuffle, waves * spark.sparkContext.defaultParallelism))
+
+
 def write_table(df: DataFrame, name: str, partition_by: list[str] | None = None) -> DataFrame:
     """Materialise a table that several branches reuse: parquet in the shared
     checkpoint folder, read back (lineage cut, survives executor loss, and
@@ -72,3 +80,29 @@ def write_table(df: DataFrame, name: str, partition_by: list[str] | None = None)
         w = w.partitionBy(*partition_by)
     w.parquet(path)
     return df.sparkSession.read.parquet(path)
+
+
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make ``tripleval`` importable in every Python worker (what ``--py-files`` does).
+
+    The package sources are zipped once per application on the driver and
+    registered with ``SparkContext.addPyFile``; Spark serves the file to the
+    executors, whose Python workers unpickle UDFs that reference this package.
+    """
+    sc = spark.sparkContext
+    if sc.applicationId in _SHIPPED:
+        return
+    pkg = os.path.dirname(os.path.abspath(__file__))
+    root = os.path.dirname(pkg)
+    out = os.path.join(tempfile.mkdtemp(prefix="tripleval-pyfiles-"), "tripleval.zip")
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+        for dirpath, _, names in os.walk(pkg):
+            for name in names:
+                if name.endswith(".py"):
+                    full = os.path.join(dirpath, name)
+                    z.write(full, os.path.relpath(full, root))
+    sc.addPyFile(out)
+    _SHIPPED.add(sc.applicationId)

@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
+from ..session import cpu_partitions
+
 RUN_SCHEMA = T.StructType([
     T.StructField("run_id", T.LongType()), T.StructField("model_id", T.StringType()),
     T.StructField("model_name", T.StringType()), T.StructField("status", T.StringType()),
@@ -32,12 +34,20 @@ def status_counts_stream(spark: SparkSession, runs_dir: str, watermark: str = "1
 
 
 def stream_run_summary(spark: SparkSession, runs_dir: str, checkpoint: str, out_dir: str,
-                       available_now: bool = True) -> StreamingQuery:
+                       available_now: bool = True, state_partitions: int | None = None) -> StreamingQuery:
     """Start the summary stream; each micro-batch overwrites ``out_dir`` with the full counts."""
     def write(batch: DataFrame, _epoch: int) -> None:
         batch.coalesce(1).write.mode("overwrite").parquet(out_dir)
 
-    writer = (status_counts_stream(spark, runs_dir).writeStream.outputMode("complete")
-              .option("checkpointLocation", checkpoint).foreachBatch(write))
-    writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="10 seconds")
-    return writer.start()
+    # The state-store partition count is fixed from spark.sql.shuffle.partitions when
+    # a query first starts (then kept in its checkpoint); size it for this query.
+    key = "spark.sql.shuffle.partitions"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(state_partitions or cpu_partitions(spark)))
+    try:
+        writer = (status_counts_stream(spark, runs_dir).writeStream.outputMode("complete")
+                  .option("checkpointLocation", checkpoint).foreachBatch(write))
+        writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="10 seconds")
+        return writer.start()
+    finally:
+        spark.conf.set(key, before)
