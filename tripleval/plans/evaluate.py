@@ -58,12 +58,14 @@ class Evaluation:
     comparison: DataFrame
 
 
-def predictions(examples_df: DataFrame, models: Sequence[str] = NATIVE_GENERATORS,
-                skip_finetuning: bool = False) -> DataFrame:
+def answered_inputs(examples_df: DataFrame, materialize: bool = False) -> DataFrame:
+    """Validation inputs with the trained answerer's retrieved answer (null when none).
+
+    The answerer is fitted on the train split once; it does not depend on the
+    generator, so a fleet shares this table across its models.
+    """
     parsed = parse_prompt(examples_df)
     inputs = validation_inputs(parsed)
-    if skip_finetuning:
-        return to_predictions(generate_native(inputs, models), "baseline")
     train = parsed.where(F.col("split") == "train").select(
         "example_id", "observations", F.col("reference").alias("response"))
     hits = fit_answerer(train).retrieve(inputs).select(*KEY, "answer")
@@ -71,7 +73,17 @@ def predictions(examples_df: DataFrame, models: Sequence[str] = NATIVE_GENERATOR
     # count (a few waves over the cores) keeps them spread over every core (AQE does
     # not coalesce it), and the join with the hits reuses this partitioning.
     n = cpu_partitions(examples_df.sparkSession)
-    with_answer = inputs.repartition(n, *KEY).join(hits, KEY, "left")
+    out = inputs.repartition(n, *KEY).join(hits, KEY, "left")
+    return write_table(out, "answered-inputs") if materialize else out
+
+
+def predictions(examples_df: DataFrame, models: Sequence[str] = NATIVE_GENERATORS,
+                skip_finetuning: bool = False, answered: DataFrame | None = None) -> DataFrame:
+    """Predictions of every model in both variants (baseline only with ``skip_finetuning``)."""
+    if skip_finetuning:
+        inputs = validation_inputs(parse_prompt(examples_df))
+        return to_predictions(generate_native(inputs, models), "baseline")
+    with_answer = answered if answered is not None else answered_inputs(examples_df)
     return to_predictions(generate_native_variants(with_answer, models))
 
 

@@ -189,9 +189,12 @@ def q_stream_run_summary(spark, d):
     return spark.read.parquet(out_dir)
 
 
-@register("run_fleet")
+@register("run_fleet", sql("""SELECT model_id, model_id AS model_name, 'success' AS status,
+    CAST(NULL AS VARCHAR) AS error, variant, distribution, metric, value, n_examples FROM metrics""", "metrics"))
 def q_run_fleet(spark, d):
-    """One generation job per model with failure isolation, then one scoring job; rows = run records."""
+    """One generation job per model with failure isolation, then one scoring job over all
+    successful models; rows = each run record with its model's metrics (timings left out)."""
     runs, m = run_fleet(spark, examples(spark, d), ev.NATIVE_GENERATORS)
-    n = m.groupBy("model_id").agg(F.count(F.lit(1)).alias("n_metrics"))
-    return runs.join(n, "model_id", "left").select("model_id", "model_name", "status", "error", "n_metrics")
+    return (runs.join(m, "model_id", "left")
+            .select("model_id", "model_name", "status", "error", "variant", "distribution", "metric", "value",
+                    "n_examples"))
