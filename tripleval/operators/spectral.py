@@ -1,10 +1,11 @@
 """Spectral statistics of weight matrices (per layer, then per model).
 
 Plan shape: each task folds its rows into a partial Gram matrix WᵀW per layer
-(numpy inside ``mapInPandas``); partial matrices are summed entry-wise by a
-grouped aggregation (map-side combine), so only d² numbers per layer reach
-the final stage; one task per layer then solves the d×d symmetric
-eigenproblem.  Valid while d² doubles of one layer fit in a task.
+(numpy inside ``mapInPandas``, at most ``MAX_OPEN_LAYERS`` open at once);
+partial matrices are summed entry-wise by a grouped aggregation (map-side
+combine), so only d² numbers per layer reach the final stage; one task per
+layer then solves the d×d symmetric eigenproblem.  Valid while d² doubles of
+one layer fit in a task.
 """
 
 from __future__ import annotations
@@ -27,22 +28,41 @@ def frobenius_norm(weights: DataFrame) -> DataFrame:
     return weights.groupBy(*LAYER).agg(F.round(F.sqrt(F.sum(sq)), 6).alias("frobenius_norm"))
 
 
-def _partial_gram(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+# Partial Gram matrices a task keeps in memory before it emits the oldest; the
+# partials are summed downstream, so flushing early only adds rows, never changes sums.
+MAX_OPEN_LAYERS = 16
+
+
+def _emit(key: tuple, gram: np.ndarray) -> pd.DataFrame:
+    m, v, layer = key
+    return pd.DataFrame({"model_id": [m], "variant": [v], "layer": [layer], "d": [gram.shape[0]],
+                         "gram": [gram.ravel()]})
+
+
+def _partial_gram(batches: Iterator[pd.DataFrame], max_open: int = MAX_OPEN_LAYERS) -> Iterator[pd.DataFrame]:
     acc: dict[tuple, np.ndarray] = {}
     for b in batches:
         for key, g in b.groupby(LAYER, sort=False):
             x = np.vstack(g["values"].to_numpy())
             part = x.T @ x
-            acc[key] = acc[key] + part if key in acc else part
-    for (m, v, layer), gram in acc.items():
-        yield pd.DataFrame({"model_id": [m], "variant": [v], "layer": [layer], "d": [gram.shape[0]],
-                            "gram": [gram.ravel()]})
-
-
-def gram_matrices(weights: DataFrame) -> DataFrame:
+            if key in acc:
+                acc[key] += part
+                continue
+            if len(acc) >= max_open:
+                oldest = next(iter(acc))
+                yield _emit(oldest, acc.pop(oldest))
+            acc[key] = part
+    for key, gram in acc.items():
+        yield _emit(key, gram)
+
+
+def gram_matrices(weights: DataFrame, max_open_layers: int = MAX_OPEN_LAYERS) -> DataFrame:
     """(model_id, variant, layer, idx, value): entries of WᵀW summed over all rows."""
+    def partial_gram(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        return _partial_gram(batches, max_open_layers)
+
     partial = weights.select(*LAYER, "values").mapInPandas(
-        _partial_gram, "model_id string, variant string, layer string, d int, gram array<double>")
+        partial_gram, "model_id string, variant string, layer string, d int, gram array<double>")
     return (partial.select(*LAYER, "d", F.posexplode("gram").alias("idx", "v"))
             .groupBy(*LAYER, "d", "idx").agg(F.sum("v").alias("value")))
 
