@@ -35,6 +35,9 @@ SUMMARY_HEADER_SCHEMA = T.StructType([
     T.StructField("timestamp", T.StringType()), T.StructField("total_models", T.LongType()),
     T.StructField("successful", T.LongType()), T.StructField("failed", T.LongType())])
 
+# The keys of the nested metrics-summary file format
+# (timestamp, in_distribution / out_of_distribution with baseline / finetuned /
+# improvements blocks of the five metrics, and the weightwatcher block of maps).
 METRIC_BLOCK = T.StructType([T.StructField(m, T.DoubleType())
                              for m in ["rouge1", "rouge2", "rougeL", "rougeLsum", "bleu"]])
 DIST_BLOCK = T.StructType([T.StructField("baseline", METRIC_BLOCK), T.StructField("finetuned", METRIC_BLOCK),
