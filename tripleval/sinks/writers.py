@@ -55,7 +55,8 @@ def metrics_summary(comparison: DataFrame, spectra: DataFrame | None = None) ->
 
 def sink_metrics_summary(comparison: DataFrame, path: str, spectra: DataFrame | None = None,
                          dir_col: F.Column | None = None) -> None:
-    """``path/<model dir>/part-*.json``: the nested summary of each model (null blocks omitted)."""
+    """``path/model_dir=<dir>/part-*.json``: the nested summary of each model (null blocks are
+    omitted by the JSON writer); ``src_metric_files`` reads the folder name back."""
     s = metrics_summary(comparison, spectra)
     d = dir_col if dir_col is not None else F.regexp_replace(F.col("model_id"), "[^A-Za-z0-9._-]", "_")
     s.withColumn("model_dir", d).write.mode("overwrite").partitionBy("model_dir").json(path)

@@ -90,7 +90,8 @@ def src_csv(spark: SparkSession, path: str, schema: T.StructType, na_values=PAND
 
 
 def src_run_summaries(spark: SparkSession, path: str) -> DataFrame:
-    """Batch summary folder: ``results/`` JSON lines flattened, header counts attached."""
+    """Run results of a batch summary folder: the ``results/`` JSON lines, one row per run
+    (nested ``metrics`` map kept; the header counts are read by ``src_summary_header``)."""
     results = spark.read.schema(RESULT_SCHEMA).json(f"{path}/results")
     return results
 
