@@ -21,7 +21,8 @@ def _trip(spark, d):
     return fixtures.id_triplets(spark, d)
 
 
-@register("dataset_stats", sql("""SELECT count(*) AS total_triplets, count(DISTINCT form) AS unique_forms,
+@register("dataset_stats", sql("""SELECT count(*) AS total_triplets,
+    count(DISTINCT form) + max(CASE WHEN form IS NULL THEN 1 ELSE 0 END) AS unique_forms,
     round(avg(length(observations)), 6) AS avg_observation_length,
     round(avg(length(question)), 6) AS avg_question_length,
     round(avg(length(answer)), 6) AS avg_answer_length FROM id_trip""", "id_trip"))
