@@ -42,3 +42,15 @@ def test_cli_evaluate_fleet_explore(spark, sf_dir, capsys):
     assert cli.main(["output-dirs", "--models", "a/x,a/y", "--dirs", "a/x=xd"], spark) == 0
     out = capsys.readouterr().out
     assert "cache/models/xd" in out and "cache/models/y_evaluation" in out
+
+
+def test_cli_fleet_results_feed_improvement_stream(spark, sf_dir):
+    from tripleval.streaming.run_summary import stream_improvement_table
+    base, facts = _inputs(spark, sf_dir)
+    assert cli.main(["fleet", "--triplets", f"{base}/triplets", "--facts", facts, "--out", f"{base}/fl"], spark) == 0
+    results = spark.read.json(f"{base}/fl/batch_summary/results")
+    assert results.where("metrics is not null").count() == 3
+    q = stream_improvement_table(spark, f"{base}/fl/batch_summary/results", f"{base}/ck", f"{base}/impr")
+    q.awaitTermination()
+    rows = spark.read.parquet(f"{base}/impr").collect()
+    assert len(rows) == 3 and all(r.delta_bleu.startswith(("+", "-")) for r in rows)

@@ -110,3 +110,27 @@ def test_fleet_rerun_is_idempotent(spark):
     run_fleet(spark, ex, ["m2"], predict, path)          # resume / repeat of one model
     counts = {r.model_id: r["count"] for r in spark.read.parquet(path).groupBy("model_id").count().collect()}
     assert counts == {"m1": 1, "m2": 1}
+
+
+def test_stream_improvement_table_equals_batch(spark, sf_dir):
+    from tripleval.operators.compare import improvement_table
+    from tripleval.plans import evaluate as ev
+    from tripleval.streaming.run_summary import metrics_map, stream_improvement_table
+    comparison = ev.evaluate_models(ev.examples(spark, sf_dir)).comparison
+    mm = metrics_map(comparison)
+    base = tempfile.mkdtemp(prefix="tripleval-impr-")
+    res = os.path.join(base, "results")
+    # landing 1: an older run of every model with wrong (stale) metrics and a failed run
+    stale = mm.select(F.lit(1).cast("long").alias("run_id"), "model_id", F.lit("success").alias("status"),
+                      F.map_from_arrays(F.array(F.lit("id.delta.bleu")), F.array(F.lit(-99.0))).alias("metrics"))
+    stale.write.mode("append").json(res)
+    # landing 2: the real runs; landing 3: a later failed run that must not replace them
+    mm.select(F.lit(2).cast("long").alias("run_id"), "model_id", F.lit("success").alias("status"),
+              "metrics").write.mode("append").json(res)
+    mm.select(F.lit(3).cast("long").alias("run_id"), "model_id", F.lit("failed").alias("status"),
+              F.lit(None).cast("map<string,double>").alias("metrics")).write.mode("append").json(res)
+    q = stream_improvement_table(spark, res, os.path.join(base, "ckpt"), os.path.join(base, "out"))
+    q.awaitTermination()
+    got = sorted(tuple(r) for r in spark.read.parquet(os.path.join(base, "out")).collect())
+    expect = sorted(tuple(r) for r in improvement_table(comparison).collect())
+    assert got == expect

@@ -27,6 +27,7 @@ from .plans.fleet import run_fleet
 from .session import ship_package, write_table
 from .sinks import writers
 from .sources import files
+from .streaming.run_summary import metrics_map
 
 
 def _session(master: str | None) -> SparkSession:
@@ -77,8 +78,9 @@ def cmd_fleet(spark: SparkSession, a) -> None:
     selected = [m for m in model_list if m in {r.model_id for r in chosen.select("model_id").collect()}]
     ex = _examples(spark, a)
     run_log, metrics = run_fleet(spark, ex, selected)
-    writers.sink_batch_summary(run_log, f"{a.out}/batch_summary")
     comparison = compare.compare_variants(metrics)
+    # result lines carry each model's metrics map; stream_improvement_table can follow them
+    writers.sink_batch_summary(run_log.join(metrics_map(comparison), "model_id", "left"), f"{a.out}/batch_summary")
     writers.sink_metrics_summary(comparison, f"{a.out}/metrics")
     runs.run_status_counts(run_log).show()
     compare.improvement_table(comparison).show(truncate=False)

@@ -1,4 +1,4 @@
-"""Keep the run-status summary current while run records land in a folder.
+"""Keep the run-status summary and the improvement table current while run records land.
 
 Structured Streaming file source over ``runs/`` (explicit schema), duplicates
 of a run dropped within an event-time watermark (bounded state), status counts
@@ -51,3 +51,47 @@ def stream_run_summary(spark: SparkSession, runs_dir: str, checkpoint: str, out_
         return writer.start()
     finally:
         spark.conf.set(key, before)
+
+
+RESULT_STREAM_SCHEMA = T.StructType([
+    T.StructField("run_id", T.LongType()), T.StructField("model_id", T.StringType()),
+    T.StructField("status", T.StringType()),
+    T.StructField("metrics", T.MapType(T.StringType(), T.DoubleType()))])
+
+IMPROVEMENT_METRICS = ("rouge1", "rougeL", "bleu")
+
+
+def metrics_map(comparison: DataFrame) -> DataFrame:
+    """(model_id, metrics): the comparison table as one map per model with keys
+    ``{distribution}.{baseline|finetuned|delta}.{metric}`` (bounded by the metric list)."""
+    entries = comparison.select("model_id", F.explode(F.array(*[
+        F.struct(F.concat_ws(".", "distribution", F.lit(part), "metric").alias("k"), F.col(part).alias("v"))
+        for part in ("baseline", "finetuned", "delta")])).alias("e")).where(F.col("e.v").isNotNull())
+    return entries.groupBy("model_id").agg(F.map_from_entries(F.collect_list("e")).alias("metrics"))
+
+
+def improvement_stream(spark: SparkSession, results_dir: str, metrics=IMPROVEMENT_METRICS) -> DataFrame:
+    """Per model, the deltas of its latest successful run (highest ``run_id``), formatted ``%+.4f``."""
+    results = spark.readStream.schema(RESULT_STREAM_SCHEMA).json(results_dir)
+    latest = (results.where(F.col("status") == "success")
+              .groupBy("model_id").agg(F.max_by("metrics", "run_id").alias("m")))
+    return latest.select("model_id", *[F.format_string("%+.4f", F.col("m")[f"id.delta.{k}"]).alias(f"delta_{k}")
+                                       for k in metrics])
+
+
+def stream_improvement_table(spark: SparkSession, results_dir: str, checkpoint: str, out_dir: str,
+                             available_now: bool = True) -> StreamingQuery:
+    """Keep the improvement table current as run results land (complete mode, one row per model)."""
+    def write(batch: DataFrame, _epoch: int) -> None:
+        batch.coalesce(1).write.mode("overwrite").parquet(out_dir)
+
+    key = "spark.sql.shuffle.partitions"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(cpu_partitions(spark)))
+    try:
+        writer = (improvement_stream(spark, results_dir).writeStream.outputMode("complete")
+                  .option("checkpointLocation", checkpoint).foreachBatch(write))
+        writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="10 seconds")
+        return writer.start()
+    finally:
+        spark.conf.set(key, before)
