@@ -36,10 +36,12 @@ def _fixture(seed=5, n_train=60, n_val=25):
     return train, val
 
 
-@pytest.mark.parametrize("limit", [None, 0])   # 0 forces the salted join path
+# None: broadcast; 0: shuffle joins (no key is heavy); 20: stop-words become heavy keys
+@pytest.mark.parametrize("limit", [None, 0, 20])
 def test_fit_answerer_matches_brute_force(spark, monkeypatch, limit):
     if limit is not None:
         monkeypatch.setattr(joins, "BROADCAST_ROW_LIMIT", limit)
+        monkeypatch.setattr(generate, "ANSWER_BROADCAST_ROWS", limit)
     train, val = _fixture()
     tdf = spark.createDataFrame(train, "example_id long, observations string, response string")
     vdf = spark.createDataFrame(val, "distribution string, example_id long, observations string")
@@ -48,7 +50,7 @@ def test_fit_answerer_matches_brute_force(spark, monkeypatch, limit):
     assert got == _brute(train, val)
 
 
-@pytest.mark.parametrize("limit", [None, 0])
+@pytest.mark.parametrize("limit", [None, 0, 3])
 def test_encode_paths_agree(spark, monkeypatch, limit):
     if limit is not None:
         monkeypatch.setattr(joins, "BROADCAST_ROW_LIMIT", limit)
@@ -59,3 +61,16 @@ def test_encode_paths_agree(spark, monkeypatch, limit):
     ids = {r.token: r.token_id for r in vocab.collect()}
     assert got == {1: ([ids["the"]] * 2 + [ids["a"], ids["b"]], [ids["c"], ids["the"]]),
                    2: ([ids["b"], ids["zz"], ids["the"]], [])}
+
+
+@pytest.mark.parametrize("how", ["inner", "left"])
+def test_skew_split_join_matches_plain_join(spark, how):
+    # key 0 holds a third of the rows; keys >= 50 have no partner
+    big = spark.createDataFrame([(i, 0 if i % 3 == 0 else i % 70) for i in range(900)], "id long, k long")
+    small = spark.createDataFrame([(k, f"v{k}-{j}") for k in range(50) for j in range(2)], "k long, v string")
+    got = sorted(tuple(r) for r in joins.skew_split_join(big, small, ["k"], 2, how, limit=10)
+                 .select("id", "k", "v").collect())
+    expect = sorted(tuple(r) for r in big.join(small, "k", how).select("id", "k", "v").collect())
+    assert got == expect
+    heavy = big.groupBy("k").count().where("count > 90").collect()
+    assert [r.k for r in heavy] == [0]   # the hot key really takes the heavy path

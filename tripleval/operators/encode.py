@@ -43,8 +43,8 @@ def encode_examples(examples: DataFrame, vocab: DataFrame, keys=("example_id",))
     are mixed).  Plan: one hash partitioning by the example key; prompt and
     response tokens (and one sentinel per example, so an example without tokens
     keeps its row) are exploded together with their side and position; the
-    vocabulary join is broadcast when its counted size allows, salted otherwise
-    (frequent tokens are hot keys); the per-example regroup then needs no
+    vocabulary join is broadcast when its counted size allows, else a skew-split
+    join (frequent tokens are hot keys); the per-example regroup then needs no
     further exchange on the broadcast path.  One example's tokens form one
     group by definition.
     """
@@ -60,7 +60,8 @@ def encode_examples(examples: DataFrame, vocab: DataFrame, keys=("example_id",))
                                 F.lit(None).cast("string").alias("token")))
     toks = ex.select(*keys, F.explode(F.concat(sentinel, tagged("prompt", 0), tagged("response", 1))).alias("t")) \
         .select(*keys, "t.side", "t.pos", "t.token")
-    joined = checked_join(toks, vocab.select("token", "token_id"), ["token"], [*keys, "side", "pos"], how="left")
+    joined = checked_join(toks, vocab.select("token", "token_id"), ["token"], [*keys, "side", "pos"], how="left",
+                          small_rows_per_key=1)
     items = (joined.groupBy(*keys)
              .agg(F.array_sort(F.collect_list(F.struct(
                  "side", "pos", F.coalesce("token_id", F.lit(UNK_ID)).alias("id")))).alias("_items")))

@@ -25,6 +25,8 @@ NATIVE_GENERATORS = ("lead", "last_line", "echo")
 END_MARK = "<|end|>"
 
 KEY = ["distribution", "example_id"]
+# answers are text: a tighter row bound before they are broadcast
+ANSWER_BROADCAST_ROWS = 100_000
 TEXT_COLS = ["observations", "question", "reference"]
 
 
@@ -135,17 +137,24 @@ class RareTokenIndex:
     postings: DataFrame   # (token, train_id)
     answers: DataFrame    # (train_id, answer)
     max_postings: int | None = None   # proven bound: df_max * number of rare tokens
+    df_max: int = 20
+    n_train: int | None = None        # rows of ``answers`` (one per train row)
 
     def retrieve(self, inputs: DataFrame, salts: int = 32) -> DataFrame:
         """Best train answer per validation example: most shared rare tokens, ties -> lowest id."""
         vt = inputs.select(*KEY, F.explode(F.array_distinct(rouge_tokens(F.col("observations")))).alias("token"))
         # validation tokens include stop-words on every row; postings only rare tokens
-        pairs = checked_join(vt, self.postings, ["token"], KEY, salts=salts, max_rows=self.max_postings)
+        # a rare token has at most df_max postings
+        pairs = checked_join(vt, self.postings, ["token"], KEY, salts=salts, max_rows=self.max_postings,
+                             small_rows_per_key=self.df_max)
         scores = pairs.groupBy(*KEY, "train_id").agg(F.count(F.lit(1)).alias("score"))
         best = (scores.groupBy(*KEY)
                 .agg(F.max(F.struct("score", (-F.col("train_id")).alias("neg_id"))).alias("b"))
                 .select(*KEY, (-F.col("b.neg_id")).alias("train_id"), F.col("b.score").alias("score")))
-        return best.join(self.answers, "train_id").select(*KEY, "train_id", "score", "answer")
+        # one train row can be the best match of many rows: heavy train ids join map-side
+        return (checked_join(best, self.answers, ["train_id"], KEY, max_rows=self.n_train, small_rows_per_key=1,
+                             limit=ANSWER_BROADCAST_ROWS)
+                .select(*KEY, "train_id", "score", "answer"))
 
 
 def fit_answerer(train: DataFrame, df_min: int = 2, df_max: int = 20, salts: int = 32,
@@ -155,8 +164,9 @@ def fit_answerer(train: DataFrame, df_min: int = 2, df_max: int = 20, salts: int
     ``train`` has (example_id, observations, response).  The distinct
     (train_id, token) table is written once (the index artifact); document
     frequency is a grouped count over it with map-side combine.  The postings
-    join is size-checked: the rare-token list is broadcast when small, else the
-    join is salted, because a common token can sit on every train row.
+    join is size-checked: the rare-token list is broadcast when small, else a
+    skew-split join isolates the common tokens (a stop-word sits on every
+    train row) with a proven bound.
     """
     toks = train.select(F.col("example_id").alias("train_id"),
                         F.explode(F.array_distinct(rouge_tokens(F.col("observations")))).alias("token"))
@@ -165,9 +175,10 @@ def fit_answerer(train: DataFrame, df_min: int = 2, df_max: int = 20, salts: int
     rare = (toks.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
             .where(F.col("df").between(df_min, df_max)).select("token"))
     n_rare = rare.count()
-    postings = checked_join(toks, rare, ["token"], ["train_id"], salts=salts, max_rows=n_rare)
+    postings = checked_join(toks, rare, ["token"], ["train_id"], salts=salts, max_rows=n_rare,
+                            small_rows_per_key=1)
     answers = train.select(F.col("example_id").alias("train_id"), F.col("response").alias("answer"))
-    return RareTokenIndex(postings, answers, df_max * n_rare)
+    return RareTokenIndex(postings, answers, df_max * n_rare, df_max, train.count())
 
 
 def generate_finetuned(inputs: DataFrame, baseline: DataFrame, index: RareTokenIndex) -> DataFrame:

@@ -1,13 +1,18 @@
-"""Join helpers: size-checked broadcast and salted joins for hot keys."""
+"""Join helpers: size-checked broadcast, skew-split join, salted join.
+
+Hot keys are the norm in token joins (a stop-word sits on every row) and can
+appear in lookups (one training row may be the best match for many rows).
+"""
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# Rows below which a side is broadcast after an explicit count.
+# Rows below which a side is broadcast after an explicit count or a proven bound.
 BROADCAST_ROW_LIMIT = 2_000_000
 
 
@@ -24,15 +29,47 @@ def salted_join(big: DataFrame, small: DataFrame, keys: Sequence[str], salt_cols
     return salted.join(fanned, [*keys, "_salt"], how).drop("_salt")
 
 
-def checked_join(big: DataFrame, small: DataFrame, keys: Sequence[str], salt_cols: Sequence[str],
+def skew_split_join(big: DataFrame, small: DataFrame, keys: Sequence[str], small_rows_per_key: int,
+                    how: str = "inner", limit: int | None = None) -> DataFrame:
+    """Equi-join that isolates heavy keys with a proven bound instead of replicating ``small``.
+
+    With n rows on ``big``, at most ``limit`` key values can hold more than
+    ``T = ceil(n / limit)`` rows (their counts would exceed n otherwise), so
+    the heavy-key list is broadcast.  Heavy keys join map-side against their
+    slice of ``small`` (at most ``limit * small_rows_per_key`` rows, also
+    broadcast); every other key joins by a shuffle in which no key has more
+    than T rows on ``big``.  ``how`` is ``inner`` or ``left`` (``big`` kept).
+    """
+    if how not in ("inner", "left"):
+        raise ValueError("how must be 'inner' or 'left'")
+    limit = BROADCAST_ROW_LIMIT if limit is None else limit
+    keys = list(keys)
+    n = big.count()
+    threshold = max(1, math.ceil(n / max(1, limit)))
+    heavy = F.broadcast(big.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+                        .where(F.col("_n") > threshold).select(*keys))
+    big_hot = big.join(heavy, keys, "left_semi")
+    big_cool = big.join(heavy, keys, "left_anti")
+    small_hot = small.join(heavy, keys, "left_semi")
+    hot = big_hot.join(F.broadcast(small_hot), keys, how)
+    cool = big_cool.join(small, keys, how)
+    return hot.unionByName(cool)
+
+
+def checked_join(big: DataFrame, small: DataFrame, keys: Sequence[str], salt_cols: Sequence[str] = (),
                  limit: int | None = None, salts: int = 32, how: str = "inner",
-                 max_rows: int | None = None) -> DataFrame:
-    """Broadcast ``small`` when its size is proven small, else a salted shuffle join.
+                 max_rows: int | None = None, small_rows_per_key: int | None = None) -> DataFrame:
+    """Broadcast ``small`` when its size is proven small; otherwise a skew-safe shuffle join.
 
     ``max_rows`` is an upper bound the caller can prove (skips the count);
-    ``limit`` defaults to ``BROADCAST_ROW_LIMIT``."""
+    ``limit`` defaults to ``BROADCAST_ROW_LIMIT``.  Beyond the limit the join is
+    a skew-split join when ``small`` has a known bound of rows per key, else a
+    salted join.
+    """
     limit = BROADCAST_ROW_LIMIT if limit is None else limit
     bound = max_rows if max_rows is not None else small.count()
     if bound <= limit:
         return big.join(F.broadcast(small), list(keys), how)
+    if small_rows_per_key is not None and how in ("inner", "left"):
+        return skew_split_join(big, small, keys, small_rows_per_key, how, limit)
     return salted_join(big, small, keys, salt_cols, salts, how)
