@@ -51,11 +51,54 @@ METRICS_SUMMARY_SCHEMA = T.StructType([
                                                  T.StructField("changes", MAP)]))])
 
 
+SUMMARY_RESULT = T.StructType([
+    T.StructField("model_id", T.StringType()), T.StructField("model_name", T.StringType()),
+    T.StructField("status", T.StringType()), T.StructField("duration_seconds", T.DoubleType()),
+    T.StructField("output_dir", T.StringType()), T.StructField("error", T.StringType()),
+    T.StructField("metrics", T.StructType([T.StructField("in_distribution", DIST_BLOCK),
+                                           T.StructField("out_of_distribution", DIST_BLOCK)]))])
+BATCH_SUMMARY_DOC_SCHEMA = T.StructType([
+    T.StructField("timestamp", T.StringType()), T.StructField("total_models", T.LongType()),
+    T.StructField("successful", T.LongType()), T.StructField("failed", T.LongType()),
+    T.StructField("results", T.ArrayType(SUMMARY_RESULT))])
+
+
+def src_batch_summary_documents(spark: SparkSession, path: str) -> DataFrame:
+    """Batch summaries written as one (pretty-printed) JSON document per fleet run.
+
+    One row per result: the document's timestamp and run fields, with the
+    nested ``metrics`` struct kept for path access (for example
+    ``metrics.in_distribution.improvements.bleu``).  A document is bounded by
+    its fleet size; files are parsed in parallel, one task per file.
+    """
+    docs = spark.read.schema(BATCH_SUMMARY_DOC_SCHEMA).option("multiLine", True).json(path)
+    return (docs.select(F.col("timestamp").alias("summary_timestamp"), F.explode("results").alias("r"))
+            .select("summary_timestamp", "r.*"))
+
+
+TRIPLET_RECORD = T.StructType([f for f in TRIPLET_JSON_SCHEMA.fields if f.name != "_corrupt_record"])
+
+
 def src_triplets_json(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
-    """Triplet records; ``multi_line`` for one JSON array per file (one task per file),
-    JSON lines otherwise (splittable).  Malformed records keep ``_corrupt_record``."""
-    df = (spark.read.schema(TRIPLET_JSON_SCHEMA).option("multiLine", multi_line)
-          .option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt_record").json(path))
+    """Triplet records.
+
+    JSON lines (default, splittable): ``id`` comes from the record; malformed
+    lines keep ``_corrupt_record``.  ``multi_line``: one JSON array per file, as
+    existing datasets are stored.  Each file is parsed by one task (the format
+    is one document); a record without ``id`` takes its position, numbered
+    globally in (file, position) order, so the dataset order is kept.
+    """
+    if not multi_line:
+        df = (spark.read.schema(TRIPLET_JSON_SCHEMA).option("mode", "PERMISSIVE")
+              .option("columnNameOfCorruptRecord", "_corrupt_record").json(path))
+    else:
+        from ..operators.numbering import rank_global
+        raw = spark.read.text(path, wholetext=True).select(
+            F.col("_metadata.file_path").alias("_file"), "value")
+        recs = raw.select("_file", F.posexplode(F.from_json("value", T.ArrayType(TRIPLET_RECORD))).alias("_pos", "r"))
+        numbered = rank_global(recs.select("_file", "_pos", "r.*"), ["_file", "_pos"], rank_col="_item", start=0)
+        df = (numbered.withColumn("id", F.coalesce(F.col("id"), F.col("_item")))
+              .withColumn("_corrupt_record", F.lit(None).cast("string")))
     return df.select(F.col("id").alias("triplet_id"), F.lit("id").alias("dataset"), "form",
                      F.col("`Training Observations`").alias("observations"),
                      F.col("Question").alias("question"), F.col("Answer").alias("answer"), "_corrupt_record")
@@ -102,7 +145,8 @@ def src_summary_header(spark: SparkSession, path: str) -> DataFrame:
 
 def src_metric_files(spark: SparkSession, path_glob: str) -> DataFrame:
     """Metrics summaries of many model folders -> long (model_dir, distribution, variant, metric, value)."""
-    df = spark.read.schema(METRICS_SUMMARY_SCHEMA).json(path_glob).withColumn(
+    # one summary object per file, possibly pretty-printed over several lines
+    df = spark.read.schema(METRICS_SUMMARY_SCHEMA).option("multiLine", True).json(path_glob).withColumn(
         "model_dir", F.regexp_extract(F.col("_metadata.file_path"), r"/(?:[^/=]+=)?([^/=]+)/[^/]+$", 1))
     rows = []
     for dist, block in (("id", "in_distribution"), ("od", "out_of_distribution")):
