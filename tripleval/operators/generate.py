@@ -64,7 +64,7 @@ def generate_native(inputs: DataFrame, models: Sequence[str]) -> DataFrame:
                        F.concat(prompt, cont, F.lit("\n" + END_MARK)).alias("full_text"))
 
 
-def generate_native_variants(inputs: DataFrame, models: Sequence[str]) -> DataFrame:
+def generate_native_variants(inputs: DataFrame, models: Sequence[str], carry: Sequence[str] = ()) -> DataFrame:
     """Baseline and trained generations of native generators in one pass.
 
     ``inputs`` carries ``answer``: the trained answerer's retrieved answer (null
@@ -83,7 +83,8 @@ def generate_native_variants(inputs: DataFrame, models: Sequence[str]) -> DataFr
     base = F.concat(cont, F.lit("\n" + END_MARK))
     tuned = F.coalesce(F.concat(F.col("answer"), F.lit("\n" + END_MARK)), base)
     full = F.concat(prompt, F.when(F.col("variant") == "baseline", base).otherwise(tuned))
-    return rows.select("model_id", "variant", *KEY, *TEXT_COLS, prompt.alias("prompt"), full.alias("full_text"))
+    return rows.select("model_id", "variant", *KEY, *TEXT_COLS, *carry, prompt.alias("prompt"),
+                       full.alias("full_text"))
 
 
 GeneratorFactory = Callable[[], Callable[[pd.DataFrame], pd.Series]]
@@ -111,12 +112,12 @@ def generate_with(inputs: DataFrame, model_id: str, factory: GeneratorFactory) -
     return src.mapInPandas(run, schema)
 
 
-def to_predictions(generations: DataFrame, variant: str | None = None) -> DataFrame:
+def to_predictions(generations: DataFrame, variant: str | None = None, carry: Sequence[str] = ()) -> DataFrame:
     """generations -> ``predictions`` (model, variant, distribution, example, texts, prediction).
 
     ``variant`` labels single-variant generations; None keeps their ``variant`` column."""
     v = F.lit(variant) if variant is not None else F.col("variant")
-    return generations.select("model_id", v.alias("variant"), *KEY, *TEXT_COLS,
+    return generations.select("model_id", v.alias("variant"), *KEY, *TEXT_COLS, *carry,
                               extract_answer(F.col("prompt"), F.col("full_text")).alias("prediction"))
 
 

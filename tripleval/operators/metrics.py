@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
-from ..functions.text import bleu_tokens, ngrams, rouge_tokens
+from ..functions.text import bleu_tokens, rouge_tokens
 
 GROUP = ["model_id", "variant", "distribution"]
 ROUGE_KEYS = ["rouge1", "rouge2", "rougeL", "rougeLsum"]
@@ -137,21 +137,43 @@ def _line_tokens(c: Column) -> Column:
     return F.transform(F.filter(F.split(c, "\n"), lambda x: F.length(x) > 0), rouge_tokens)
 
 
+# Reference token columns a caller may carry (tokenised once per example before
+# fanning out to models and variants); computed here when absent.
+REF_TOKEN_COLS = {"ref_rouge_tokens": lambda c: rouge_tokens(c), "ref_line_tokens": lambda c: _line_tokens(c),
+                  "ref_bleu_tokens": lambda c: bleu_tokens(c)}
+
+
+def reference_tokens(df: DataFrame, metrics=ALL_METRICS) -> DataFrame:
+    """Add the reference token columns the wanted metrics need."""
+    want = frozenset(metrics)
+    need = {"ref_rouge_tokens": True, "ref_line_tokens": "rougeLsum" in want, "ref_bleu_tokens": "bleu" in want}
+    for name, fn in REF_TOKEN_COLS.items():
+        if need[name]:
+            df = df.withColumn(name, fn(F.col("reference")))
+    return df
+
+
 def example_stats(predictions: DataFrame, metrics=ALL_METRICS) -> DataFrame:
     """Per-example counts; keeps all input columns."""
     want = frozenset(metrics)
     empty = F.array().cast("array<string>")
     empty2 = F.array().cast("array<array<string>>")
-    rp, rr = rouge_tokens(F.col("prediction")), rouge_tokens(F.col("reference"))
+    cols = set(predictions.columns)
+
+    def ref(name: str) -> Column:
+        return F.col(name) if name in cols else REF_TOKEN_COLS[name](F.col("reference"))
+
+    rp = rouge_tokens(F.col("prediction"))
     with_tokens = predictions.select(
-        "*", rp.alias("_rp"), rr.alias("_rr"),
+        "*", rp.alias("_rp"), ref("ref_rouge_tokens").alias("_rr"),
         (_line_tokens(F.col("prediction")) if "rougeLsum" in want else empty2).alias("_rpl"),
-        (_line_tokens(F.col("reference")) if "rougeLsum" in want else empty2).alias("_rrl"),
+        (ref("ref_line_tokens") if "rougeLsum" in want else empty2).alias("_rrl"),
         (bleu_tokens(F.col("prediction")) if "bleu" in want else empty).alias("_bp"),
-        (bleu_tokens(F.col("reference")) if "bleu" in want else empty).alias("_br"))
+        (ref("ref_bleu_tokens") if "bleu" in want else empty).alias("_br"))
     st = _stats_udf(want)("_rp", "_rr", "_rpl", "_rrl", "_bp", "_br")
     lens = [F.size("_rp").alias("r_pred_len"), F.size("_rr").alias("r_ref_len"),
-            F.size(ngrams(F.col("_rp"), 2)).alias("r2_pred_len"), F.size(ngrams(F.col("_rr"), 2)).alias("r2_ref_len"),
+            F.greatest(F.size("_rp") - 1, F.lit(0)).alias("r2_pred_len"),
+            F.greatest(F.size("_rr") - 1, F.lit(0)).alias("r2_ref_len"),
             F.aggregate("_rpl", F.lit(0), lambda a, x: a + F.size(x)).alias("lsum_pred_len"),
             F.aggregate("_rrl", F.lit(0), lambda a, x: a + F.size(x)).alias("lsum_ref_len"),
             F.size("_bp").alias("sys_len"), F.size("_br").alias("ref_len")]

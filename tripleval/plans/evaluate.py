@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from ..operators.compare import compare_variants
 from ..operators.generate import (KEY, NATIVE_GENERATORS, fit_answerer, generate_native, generate_native_variants,
                                   to_predictions, validation_inputs)
-from ..operators.metrics import ALL_METRICS, metric_bundle
+from ..operators.metrics import ALL_METRICS, metric_bundle, reference_tokens
 from ..operators.split import assemble_datasets, seeded_split
 from ..operators.triplets import facts_to_triplets, parse_prompt, render_prompt
 from ..session import cpu_partitions, write_table
@@ -84,7 +84,10 @@ def predictions(examples_df: DataFrame, models: Sequence[str] = NATIVE_GENERATOR
         inputs = validation_inputs(parse_prompt(examples_df))
         return to_predictions(generate_native(inputs, models), "baseline")
     with_answer = answered if answered is not None else answered_inputs(examples_df)
-    return to_predictions(generate_native_variants(with_answer, models))
+    # references are tokenised once per example, before the fan-out to models and variants
+    with_tokens = reference_tokens(with_answer)
+    carry = [c for c in with_tokens.columns if c not in with_answer.columns]
+    return to_predictions(generate_native_variants(with_tokens, models, carry), carry=carry)
 
 
 def evaluate_models(examples_df: DataFrame, models: Sequence[str] = NATIVE_GENERATORS,
