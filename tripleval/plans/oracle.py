@@ -224,7 +224,8 @@ CTES: dict[str, tuple[str, list[str]]] = {
                  THEN list_slice(list_concat(prompt_ids, answer_ids), len(prompt_ids) + len(answer_ids) - 511,
                                  len(prompt_ids) + len(answer_ids))
                  ELSE list_concat(prompt_ids, answer_ids) END AS input_ids,
-              least(len(prompt_ids), greatest(0, 512 - len(answer_ids))) AS kept_prompt FROM enc)""", ["enc"]),
+              CAST(least(len(prompt_ids), greatest(0, 512 - len(answer_ids))) AS INTEGER) AS kept_prompt
+              FROM enc)""", ["enc"]),
     "conv_trip": (CONV_TRIPLETS_SQL, []),
     "conv_gen": (f"""SELECT m.model_id, distribution, example_id, observations, question, reference, prompt,
         prompt || {_gen_case()} || chr(10) || '{END_MARK}' AS full_text
