@@ -4,7 +4,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
-from tools.check_oracle import TABLES, rows_of
+from tools.check_oracle import TABLES, rows_of, type_mismatches
 
 KEYS = sorted(entry.queries())
 SQL = entry.oracle_sql()
@@ -28,4 +28,5 @@ def test_query_matches_oracle(spark, sf_dir, con, key):
     cur = con.execute(SQL[key])
     cols = [d[0] for d in cur.description]
     assert sorted(df.columns) == sorted(cols)
+    assert type_mismatches(df, con.sql(SQL[key])) == {}
     assert rows_of(df.columns, rows) == rows_of(cols, cur.fetchall())
