@@ -1,3 +1,4 @@
+import pytest
 from pyspark.sql import functions as F
 
 from tripleval.operators.numbering import rank_global
@@ -41,3 +42,10 @@ def test_rank_global_skewed_key(spark):
     df = spark.createDataFrame(rows, "id long, v long")
     got = sorted((r.rank, r.id) for r in rank_global(df, ["v", "id"], partitions=5).collect())
     assert [i for _, i in got] == [i for i, _ in sorted(rows, key=lambda t: (t[1], t[0]))]
+
+
+@pytest.mark.parametrize("digits", [1, 2, 5])
+def test_split_independent_of_bucket_digits(spark, digits):
+    df = spark.range(700).withColumnRenamed("id", "k")
+    base = {r.k: r.split for r in seeded_split(df, "k", 11, 0.3, digits=5).collect()}
+    assert {r.k: r.split for r in seeded_split(df, "k", 11, 0.3, digits=digits).collect()} == base

@@ -51,7 +51,7 @@ def rank_global(df: DataFrame, order_cols: Sequence[str | Column], rank_col: str
             .drop("_pid", "_pos", "_off"))
 
 
-def hash_bucket_cut(df: DataFrame, hash_col: str, tie_col: str, cut: Column, digits: int = 4,
+def hash_bucket_cut(df: DataFrame, hash_col: str, tie_col: str, cut: Column, digits: int = 5,
                     flag_col: str = "_below") -> DataFrame:
     """Flag rows whose rank in (hash, tie) order is <= ``cut``.
 
