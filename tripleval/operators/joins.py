@@ -33,19 +33,20 @@ def skew_split_join(big: DataFrame, small: DataFrame, keys: Sequence[str], small
                     how: str = "inner", limit: int | None = None) -> DataFrame:
     """Equi-join that isolates heavy keys with a proven bound instead of replicating ``small``.
 
-    With n rows on ``big``, at most ``limit`` key values can hold more than
-    ``T = ceil(n / limit)`` rows (their counts would exceed n otherwise), so
-    the heavy-key list is broadcast.  Heavy keys join map-side against their
-    slice of ``small`` (at most ``limit * small_rows_per_key`` rows, also
-    broadcast); every other key joins by a shuffle in which no key has more
-    than T rows on ``big``.  ``how`` is ``inner`` or ``left`` (``big`` kept).
+    With n rows on ``big`` and at most k = ``small_rows_per_key`` rows per key
+    on ``small``, take ``T = ceil(n * k / limit)``.  At most ``limit / k`` key
+    values can hold more than T rows of ``big`` (their counts would exceed n
+    otherwise), so the heavy-key list and the heavy keys' slice of ``small``
+    (at most ``limit`` rows) are both broadcast, and heavy keys join map-side.
+    Every other key joins by a shuffle in which no key has more than T rows on
+    ``big``.  ``how`` is ``inner`` or ``left`` (``big`` kept).
     """
     if how not in ("inner", "left"):
         raise ValueError("how must be 'inner' or 'left'")
     limit = BROADCAST_ROW_LIMIT if limit is None else limit
     keys = list(keys)
     n = big.count()
-    threshold = max(1, math.ceil(n / max(1, limit)))
+    threshold = max(1, math.ceil(n * max(1, small_rows_per_key) / max(1, limit)))
     heavy = F.broadcast(big.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
                         .where(F.col("_n") > threshold).select(*keys))
     big_hot = big.join(heavy, keys, "left_semi")

@@ -71,7 +71,7 @@ def _gen_case(models=NATIVE_GENERATORS) -> str:
     return "CASE " + " ".join(f"WHEN m.model_id = '{m}' THEN {_continuation(m)}" for m in models) + " END"
 
 
-def _overlap(name: str, a: str, b: str, n: int) -> str:
+def _overlap(a: str, b: str, n: int) -> str:
     ga, gb = sql_ngrams(a, n), sql_ngrams(b, n)
     return f"""SELECT {K}, sum(least(x.c, y.c)) AS o FROM
   (SELECT {K}, g, count(*) AS c FROM (SELECT {K}, unnest({ga}) AS g FROM tok) GROUP BY ALL) x
@@ -152,9 +152,9 @@ CTES: dict[str, tuple[str, list[str]]] = {
     "tok": (f"""SELECT {K}, prediction, reference,
         {sql_rouge_tokens('prediction')} AS rp, {sql_rouge_tokens('reference')} AS rr,
         {sql_bleu_tokens('prediction')} AS bp, {sql_bleu_tokens('reference')} AS br FROM preds""", ["preds"]),
-    "ov_r1": (_overlap("r1", "rp", "rr", 1), ["tok"]),
-    "ov_r2": (_overlap("r2", "rp", "rr", 2), ["tok"]),
-    **{f"ov_b{n}": (_overlap(f"b{n}", "bp", "br", n), ["tok"]) for n in range(1, 5)},
+    "ov_r1": (_overlap("rp", "rr", 1), ["tok"]),
+    "ov_r2": (_overlap("rp", "rr", 2), ["tok"]),
+    **{f"ov_b{n}": (_overlap("bp", "br", n), ["tok"]) for n in range(1, 5)},
     "ex_scores": (f"""SELECT {K}, lp, lr, sys_len, ref_len,
         {f1('o1', 'lp', 'lr')} AS rouge1,
         {f1('o2', 'greatest(lp - 1, 0)', 'greatest(lr - 1, 0)')} AS rouge2,

@@ -24,7 +24,7 @@ def sink_predictions_jsonl(predictions: DataFrame, path: str) -> None:
      .write.mode("overwrite").partitionBy("model_id", "distribution", "variant").json(path))
 
 
-def _block(comparison: DataFrame, dist: str, field: str) -> F.Column:
+def _block(dist: str, field: str) -> F.Column:
     return F.struct(*[F.max(F.when((F.col("distribution") == dist) & (F.col("metric") == m), F.col(field)))
                       .alias(m) for m in METRICS])
 
@@ -33,12 +33,12 @@ def metrics_summary(comparison: DataFrame, spectra: DataFrame | None = None) ->
     """One nested record per model.  The OD block is present only when both OD variants exist;
     the spectral block only when spectral results are given."""
     g = comparison.groupBy("model_id").agg(
-        F.struct(_block(comparison, "id", "baseline").alias("baseline"),
-                 _block(comparison, "id", "finetuned").alias("finetuned"),
-                 _block(comparison, "id", "delta").alias("improvements")).alias("in_distribution"),
-        F.struct(_block(comparison, "od", "baseline").alias("baseline"),
-                 _block(comparison, "od", "finetuned").alias("finetuned"),
-                 _block(comparison, "od", "delta").alias("improvements")).alias("od"),
+        F.struct(_block("id", "baseline").alias("baseline"),
+                 _block("id", "finetuned").alias("finetuned"),
+                 _block("id", "delta").alias("improvements")).alias("in_distribution"),
+        F.struct(_block("od", "baseline").alias("baseline"),
+                 _block("od", "finetuned").alias("finetuned"),
+                 _block("od", "delta").alias("improvements")).alias("od"),
         F.max(F.when(F.col("distribution") == "od", F.col("baseline"))).alias("_odb"),
         F.max(F.when(F.col("distribution") == "od", F.col("finetuned"))).alias("_odf"))
     g = g.withColumn("out_of_distribution",
