@@ -10,7 +10,6 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from . import evaluate as ev
 from ..session import ship_package
@@ -72,4 +71,4 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 FLAGSHIP_SQL = sql("SELECT * FROM metrics", "metrics")
 
-__all__ = ["register", "queries", "oracle_sql", "sql", "F", "examples", "evaluation", "flagship", "FLAGSHIP_SQL"]
+__all__ = ["register", "queries", "oracle_sql", "examples", "evaluation", "flagship", "FLAGSHIP_SQL"]
