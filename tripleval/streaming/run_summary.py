@@ -4,8 +4,10 @@ Structured Streaming file source over ``runs/`` (explicit schema), duplicates
 of a run dropped within an event-time watermark (bounded state), status counts
 in complete mode written by ``foreachBatch`` to an overwrite-idempotent
 folder.  The checkpoint makes the query restartable; the ``availableNow``
-trigger processes what has landed and stops, and its final output equals the
-batch aggregate over the same files.
+trigger processes what has landed and stops.  With landings in time order the
+final output equals the batch aggregate over the same files; a record whose
+``started_at`` is more than the watermark delay behind the newest one already
+seen is dropped by the bounded-state de-duplication (late data).
 """
 
 from __future__ import annotations
@@ -25,8 +27,9 @@ RUN_SCHEMA = T.StructType([
     T.StructField("output_dir", T.StringType())])
 
 
-def status_counts_stream(spark: SparkSession, runs_dir: str, watermark: str = "1 day") -> DataFrame:
-    runs = spark.readStream.schema(RUN_SCHEMA).option("maxFilesPerTrigger", 64).parquet(runs_dir)
+def status_counts_stream(spark: SparkSession, runs_dir: str, watermark: str = "1 day",
+                         max_files_per_trigger: int = 64) -> DataFrame:
+    runs = spark.readStream.schema(RUN_SCHEMA).option("maxFilesPerTrigger", max_files_per_trigger).parquet(runs_dir)
     dedup = (runs.withColumn("event_time", F.col("started_at").cast("timestamp"))
              .withWatermark("event_time", watermark)
              .dropDuplicatesWithinWatermark(["run_id"]))
@@ -34,7 +37,8 @@ def status_counts_stream(spark: SparkSession, runs_dir: str, watermark: str = "1
 
 
 def stream_run_summary(spark: SparkSession, runs_dir: str, checkpoint: str, out_dir: str,
-                       available_now: bool = True, state_partitions: int | None = None) -> StreamingQuery:
+                       available_now: bool = True, state_partitions: int | None = None,
+                       max_files_per_trigger: int = 64) -> StreamingQuery:
     """Start the summary stream; each micro-batch overwrites ``out_dir`` with the full counts."""
     def write(batch: DataFrame, _epoch: int) -> None:
         batch.coalesce(1).write.mode("overwrite").parquet(out_dir)
@@ -45,7 +49,8 @@ def stream_run_summary(spark: SparkSession, runs_dir: str, checkpoint: str, out_
     before = spark.conf.get(key)
     spark.conf.set(key, str(state_partitions or cpu_partitions(spark)))
     try:
-        writer = (status_counts_stream(spark, runs_dir).writeStream.outputMode("complete")
+        writer = (status_counts_stream(spark, runs_dir, max_files_per_trigger=max_files_per_trigger)
+                  .writeStream.outputMode("complete")
                   .option("checkpointLocation", checkpoint).foreachBatch(write))
         writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="10 seconds")
         return writer.start()
