@@ -54,3 +54,15 @@ def test_cli_fleet_results_feed_improvement_stream(spark, sf_dir):
     q.awaitTermination()
     rows = spark.read.parquet(f"{base}/impr").collect()
     assert len(rows) == 3 and all(r.delta_bleu.startswith(("+", "-")) for r in rows)
+
+
+def test_cli_evaluate_baseline_only_still_writes_summary(spark, sf_dir):
+    from tripleval.sources.files import METRICS_SUMMARY_SCHEMA
+    base, facts = _inputs(spark, sf_dir)
+    assert cli.main(["evaluate", "--triplets", f"{base}/triplets", "--facts", facts, "--skip-finetuning",
+                     "--models", "lead", "--out", f"{base}/ev"], spark) == 0
+    preds = spark.read.json(f"{base}/ev/predictions")
+    assert {r.variant for r in preds.select("variant").distinct().collect()} == {"baseline"}
+    summary = spark.read.schema(METRICS_SUMMARY_SCHEMA).json(f"{base}/ev/metrics").first()
+    assert summary.in_distribution.baseline.rouge1 is not None
+    assert summary.in_distribution.finetuned.rouge1 is None and summary.out_of_distribution is None
