@@ -37,15 +37,37 @@ def shape(plan: str) -> dict:
     }
 
 
+def node_tree(node, depth: int = 0) -> list[str]:
+    """Operator tree from the JVM plan nodes: names, exchange partitioning, scanned folders."""
+    name = node.nodeName()
+    if name == "AdaptiveSparkPlan":
+        return [("  " * depth) + name] + node_tree(node.executedPlan(), depth + 1)
+    label = name
+    if "Exchange" in name and name != "BroadcastExchange":
+        label += " " + re.sub(r"#\d+L?", "", node.outputPartitioning().toString())
+    if name.startswith("Scan") or "FileScan" in name or name == "Scan parquet":
+        m = re.search(r"Location: \w+\[([^\]]*)\]", node.simpleString(5))
+        if m:
+            label += " " + m.group(1).rstrip("/").rsplit("/", 1)[-1][:40]
+    lines = [("  " * depth) + label]
+    children = node.children()
+    for i in range(children.size()):
+        lines += node_tree(children.apply(i), depth + 1)
+    return lines
+
+
 def main() -> None:
     sf = sys.argv[1] if len(sys.argv) > 1 else "/root/testdata/sf0.01"
     spark = local_session()
     qs, sq = queries(), oracle_sql()
     rows = []
+    flagship_tree = ""
     for k, fn in qs.items():
         df = fn(spark, sf)
         plan = df._jdf.queryExecution().executedPlan().toString()
         rows.append((k, shape(plan)))
+        if k == "evaluate_models":
+            flagship_tree = "\n".join(node_tree(df._jdf.queryExecution().executedPlan()))
     out = ["# Physical plan shapes", "",
            f"Generated by `tools/plan_report.py` at `{sf}` with `spark.sql.shuffle.partitions=8`.",
            "Counts are over the initial adaptive plan of each registered query (AQE may coalesce",
@@ -60,6 +82,10 @@ def main() -> None:
         out.append(f"| `{k}` | {'SQL' if k in sq else 'rows'} | {s['shuffles']} | {s['single']} | {s['repart']} | "
                    f"{s['bcast']} | {s['bhj']} | {s['smj']} | {s['bnlj']} | {s['python']} | {s['window']} | "
                    f"{'; '.join(s['pushed'])[:120]} |")
+    out += ["", "## Flagship (`evaluate_models`) physical plan", "",
+            "Operator tree of the initial adaptive plan. Inputs are the materialised examples and",
+            "index-token tables in the shared folder (folder names end in a random suffix).", "",
+            "```", flagship_tree, "```"]
     open(__file__.rsplit("/tools/", 1)[0] + "/PLANS.md", "w").write("\n".join(out) + "\n")
     print("\n".join(out))
 
