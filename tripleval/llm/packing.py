@@ -11,6 +11,7 @@ documents falls with every round, so the later rounds are small.
 from __future__ import annotations
 
 import os
+import unicodedata
 import zlib
 from array import array
 from collections.abc import Iterator
@@ -22,26 +23,45 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import write_table
+from .shingles import steps, word_codes
 
 SEQUENCE = 4096
 END_ID = 1
 GROUP_ITEMS = 50_000
 MAX_ROUNDS = 6
-# Entries (a word and its ids, some 200 bytes) that a worker remembers; beyond it starts anew.
-REMEMBERED_WORDS = 600_000
-REMEMBERED_BYTES = 64
-TEXT_STEP = 2 << 20
+# Entries (a word and its ids, some 250 bytes) that a worker remembers; beyond it starts anew.
+REMEMBERED_WORDS = 1_000_000
+REMEMBERED_CHARS = 64
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 PACKED = PIECES + ", sequence_id long, offset long, open boolean, bins long, bound long"
 
 
+def _byte_chars() -> dict[int, str]:
+    """Byte-level alphabet: printable bytes stand for themselves, the others for the characters
+    from 256 on, in order."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in plain]
+    return {b: chr(256 + k) for k, b in enumerate(rest)}
+
+
+BYTE_CHARS = _byte_chars()
+
+
+def simple_latin(word: str) -> bool:
+    """Letters below U+0250 in composed form, whose lower case needs no context."""
+    return max(word) < "\u0250" and "\u0130" not in word and unicodedata.is_normalized("NFC", word)
+
+
 class WordIds:
-    """Token ids of words, as little-endian bytes, remembered within one Python worker.
+    """Token ids of words, remembered within one Python worker.
 
     The pre-tokeniser never joins text across white space, so a document's ids are the ids of its
-    white-space separated words in order.  An ASCII word is looked up in lower case and without a
-    closing comma or full stop, which the pre-tokeniser splits off and the normaliser lowers.
+    white-space separated words in order; Arrow splits and numbers the words, and each distinct
+    word is tokenised once.  A word of plain Latin letters is taken in lower case and without a
+    closing comma or full stop, which the normaliser lowers and the pre-tokeniser splits off; its
+    letters are one pre-token and go to the vocabulary's model directly.  All else goes through
+    the whole tokeniser.
     """
 
     _by_path: dict[str, WordIds] = {}
@@ -50,7 +70,8 @@ class WordIds:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[bytes, bytes] = {}
+        self.model = self.tokenizer.model
+        self.known: dict[str, array] = {}
 
     @classmethod
     def at(cls, path: str) -> WordIds:
@@ -58,50 +79,47 @@ class WordIds:
             cls._by_path[path] = cls(path)
         return cls._by_path[path]
 
-    def _ids(self, found: list[bytes]) -> list[bytes]:
-        out = self.tokenizer.encode_batch([w.decode("utf-8", "replace") for w in found], add_special_tokens=False)
-        return [array("I", e.ids).tobytes() for e in out]
-
-    def learn(self, missing: set[bytes]) -> dict[bytes, bytes]:
-        """Ids of words not remembered yet; returns the ids of words too long to remember."""
-        plain, derived = set(), []
-        for w in missing:
-            end = w[-1:] if w[-1:] in b",." and len(w) > 1 else b""
-            core = w[:-1] if end else w
-            if core.isalpha() and (low := core.lower()) != w:
-                derived.append((w, low, end))
-                plain.update(x for x in (low, end) if x and x not in self.known)
-            else:
-                plain.add(w)
-        new = list(plain)
-        ids = dict(zip(new, self._ids(new)))
-        long = {w: x for w, x in ids.items() if len(w) > REMEMBERED_BYTES}
-        self.known.update((w, x) for w, x in ids.items() if len(w) <= REMEMBERED_BYTES)
-        for w, low, end in derived:
-            x = (long.get(low) or self.known[low]) + (self.known[end] if end else b"")
-            (long if len(w) > REMEMBERED_BYTES else self.known)[w] = x
-        return long
-
-    def encode(self, texts: list[bytes]) -> Iterator[bytes]:
-        """Ids of each text, in steps of a bounded number of bytes (one text at least)."""
-        k = 0
-        while k < len(texts):
-            step, size = [], 0
-            while k < len(texts) and (not step or size + len(texts[k]) <= TEXT_STEP):
-                step.append(texts[k].split())
-                size += len(texts[k])
-                k += 1
-            all_words = set().union(*step)
-            missing = {w for w in all_words if w not in self.known}
-            if missing and len(self.known) + 2 * len(missing) > REMEMBERED_WORDS:
+    def _letters(self, low: str) -> array:
+        """Ids of one run of lower-case letters: the model takes it byte by byte as characters."""
+        ids = self.known.get(low)
+        if ids is None:
+            chars = low if low.isascii() else low.encode().decode("latin-1").translate(BYTE_CHARS)
+            ids = array("I", [t.id for t in self.model.tokenize(chars)])
+            if len(low) <= REMEMBERED_CHARS:
+                self.known[low] = ids
+        return ids
+
+    def ids(self, word: str) -> array:
+        """Ids of a word without white space ('' has none)."""
+        end = word[-1] if word[-1:] in (",", ".") and len(word) > 1 else ""
+        core = word[:-1] if end else word
+        if core.isalpha() and (core.isascii() or simple_latin(core)):
+            ids = self._letters(core.lower())
+            if end:
+                ids = ids + (self.known.get(end) or self.ids(end))
+        else:
+            ids = array("I", self.tokenizer.encode(word, add_special_tokens=False).ids)
+        if len(word) <= REMEMBERED_CHARS:
+            self.known[word] = ids
+        return ids
+
+    def encode(self, texts: pa.StringArray) -> Iterator[np.ndarray]:
+        """Ids (32-bit) of each text, a bounded number of bytes at a time (one text at least)."""
+        for first, last in steps(texts):
+            codes, distinct, counts = word_codes(texts.slice(first, last - first))
+            if len(self.known) > REMEMBERED_WORDS:
                 self.known.clear()
-                missing = all_words
-            long = self.learn(missing) if missing else {}
-            for ws in step:
-                if long:
-                    yield b"".join([long.get(w) or self.known[w] for w in ws])
-                else:
-                    yield b"".join(map(self.known.__getitem__, ws))
+            each = list(map(self.known.get, distinct))
+            each = [self.ids(w) if x is None else x for w, x in zip(distinct, each)]
+            sizes = np.fromiter(map(len, each), np.int64, len(each))
+            flat = np.frombuffer(b"".join(each), np.uint32)
+            begin = np.cumsum(sizes) - sizes
+            n = sizes[codes]
+            ends = np.cumsum(n)
+            at = np.arange(int(n.sum())) + np.repeat(begin[codes] - (ends - n), n)
+            ids = flat[at]
+            stops = np.concatenate([[0], ends])[np.cumsum(counts)]
+            yield from np.split(ids, stops[:-1])
 
 
 def token_pieces(docs: DataFrame, tokenizer_path: str, limit: int = SEQUENCE, end_id: int = END_ID) -> DataFrame:
@@ -113,10 +131,9 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, limit: int = SEQUENCE, en
         words = WordIds.at(tokenizer_path)
         for batch in batches:
             ids = batch.column(0).to_pylist()
-            texts = [x or b"" for x in batch.column(1).to_pylist()]
             rows: list[tuple] = []
-            for doc_id, buf in zip(ids, words.encode(texts)):
-                view = memoryview(buf + end)
+            for doc_id, tokens in zip(ids, words.encode(batch.column(1))):
+                view = memoryview(tokens.tobytes() + end)
                 n = len(view) // 4
                 for piece, s in enumerate(range(0, n, limit)):
                     e = min(n, s + limit)
@@ -126,7 +143,7 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, limit: int = SEQUENCE, en
                 [pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()))],
                 names=["doc_id", "piece", "start", "length", "ids_crc32"])
 
-    src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
+    src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     return src.mapInArrow(run, PIECES)
 
 
