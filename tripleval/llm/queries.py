@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..session import ship_package, write_table
 from ..sources.tables import table
-from . import mixing, packing
+from . import mixing, near_dedup, packing, substring_dedup
 
 Query = Callable[[SparkSession, str], DataFrame]
 _Q: dict[str, Query] = {}
@@ -37,6 +37,12 @@ def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(pieces)
 
 
+@query
+def op6_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of near-duplicate documents at a similarity of 0.85."""
+    return near_dedup.near_duplicates(table(spark, sf_dir, "documents", "doc_id", "text", spread=True))
+
+
 @query
 def op7_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words that a mix of 150 % of all words takes from every document."""
@@ -44,5 +50,12 @@ def op7_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(docs).drop("source", "shard")
 
 
+@query
+def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the 20-word windows that also start earlier."""
+    out = substring_dedup.remove_repeats(table(spark, sf_dir, "documents", "doc_id", "text", spread=True))
+    return out.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def oracle_sql() -> dict[str, str]:
     return {}
