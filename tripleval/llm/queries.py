@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..session import ship_package, write_table
 from ..sources.tables import table
-from . import mixing, near_dedup, packing, substring_dedup
+from . import mixing, near_dedup, packing, substring_dedup, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 _Q: dict[str, Query] = {}
@@ -50,6 +50,15 @@ def op7_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(docs).drop("source", "shard")
 
 
+@query
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Calibrated toxicity score of every document, learned from the rows that are not held out."""
+    docs = table(spark, sf_dir, "documents", "doc_id", "text", spread=True)
+    out = toxicity.score(docs, table(spark, sf_dir, "labels", "doc_id", "toxic"))
+    return out.select("doc_id", F.col("tox_held_out").alias("held_out"), F.col("tox_score").alias("score"),
+                      F.col("tox_predicted").alias("predicted"))
+
+
 @query
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document without the 20-word windows that also start earlier."""
