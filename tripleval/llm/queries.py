@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..session import ship_package, write_table
 from ..sources.tables import table
-from . import mixing, near_dedup, packing, substring_dedup, toxicity
+from . import chat, line_dedup, mixing, near_dedup, packing, secrets, substring_dedup, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 _Q: dict[str, Query] = {}
@@ -29,6 +29,21 @@ def queries() -> dict[str, Query]:
     return dict(_Q)
 
 
+@query
+def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations and one of control strings alone, formatted and read back."""
+    said = "</s>[INST] ok [/INST]"
+    turns = table(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text").unionByName(spark.createDataFrame(
+        [(-1, 0, "user", said), (-1, 1, "assistant", said)], "conv_id long, turn long, role string, text string"))
+    done = chat.format_conversations(turns).withColumn("_turns", chat.read_turns(F.col("formatted"))) \
+        .withColumn("_loss", chat.loss_text(F.col("formatted"), F.col("loss_spans")))
+    turn = F.transform("_turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n")))
+    return done.select("conv_id", F.size("_turns").cast("long").alias("n_turns"),
+                       F.sha2(F.array_join(turn, ""), 256).alias("turns_sha256"),
+                       F.length("_loss").cast("long").alias("loss_chars"), F.sha2("_loss", 256).alias("loss_sha256"),
+                       F.length("formatted").cast("long").alias("formatted_chars"))
+
+
 @query
 def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sequences of at most 4096 tokens for all documents."""
@@ -37,6 +52,16 @@ def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(pieces)
 
 
+@query
+def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spans of secrets in every document."""
+    out = secrets.scan(table(spark, sf_dir, "documents", "doc_id", "text", spread=True))
+    count = lambda k: F.size(F.filter("spans", lambda s: s["kind"] == k)).cast("long")
+    base = F.filter("spans", lambda s: s["kind"] < secrets.KINDS.index("random"))
+    return out.select("doc_id", count(0).alias("n_assign"), count(1).alias("n_access"), count(2).alias("n_hex"),
+                      F.sha2(secrets.spans_text(base), 256).alias("base_sha256"), secrets.spans_text(F.col("spans")).alias("spans"))
+
+
 @query
 def op6_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Groups of near-duplicate documents at a similarity of 0.85."""
@@ -59,6 +84,14 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
                       F.col("tox_predicted").alias("predicted"))
 
 
+@query
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the lines of three-line windows that also occur earlier."""
+    out = line_dedup.drop_repeated_lines(table(spark, sf_dir, "documents", "doc_id", "text", spread=True))
+    return out.select("doc_id", F.col("n_lines").cast("long").alias("n_lines"), F.col("n_removed").cast("long").alias("n_removed"),
+                      F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
 @query
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document without the 20-word windows that also start earlier."""
