@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..session import ship_package, write_table
 from ..sources.tables import table
-from . import chat, line_dedup, mixing, near_dedup, packing, secrets, substring_dedup, toxicity
+from . import chat, fingerprints, line_dedup, mixing, near_dedup, packing, secrets, substring_dedup, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 _Q: dict[str, Query] = {}
@@ -29,6 +29,23 @@ def queries() -> dict[str, Query]:
     return dict(_Q)
 
 
+@query
+def op1_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every document and of its text with the second half taken from the next document."""
+    docs = table(spark, sf_dir, "documents", "doc_id", "text", spread=True).withColumn("text", F.coalesce("text", F.lit("")))
+    marked = docs.withColumn("mark", fingerprints.fingerprint(F.col("text")))
+    n, half = F.length("text"), F.floor(F.length("text") / 2).cast("int")
+    edited = F.concat(F.substring("text", F.lit(1), n - half), F.substring(F.coalesce("next_text", F.lit("")), F.lit(1), half))
+    out = fingerprints.with_next(marked, ["text", "mark"]).select("doc_id", n.cast("long").alias("n_chars"), "mark", "next_mark",
+                                                                   edited.alias("edited"))
+    out = out.select("doc_id", "n_chars", "mark", "next_mark", F.sha2("edited", 256).alias("edited_sha256"),
+                     fingerprints.fingerprint(F.col("edited")).alias("edited_mark"))
+    return out.select("doc_id", "n_chars", "edited_sha256", fingerprints.fingerprint_text(F.col("mark")).alias("fingerprint"),
+                      fingerprints.fingerprint_text(F.col("edited_mark")).alias("edited_fingerprint"),
+                      fingerprints.likeness(F.col("mark"), F.col("edited_mark")).alias("near_edited"),
+                      fingerprints.likeness(F.col("mark"), F.col("next_mark")).alias("near_next"))
+
+
 @query
 def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All conversations and one of control strings alone, formatted and read back."""
