@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..session import ship_package, write_table
 from ..sources.tables import table
-from . import chat, fingerprints, line_dedup, mixing, near_dedup, packing, secrets, substring_dedup, toxicity
+from . import chat, fingerprints, line_dedup, mixing, near_dedup, packing, secrets, substring_dedup, top_k, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 _Q: dict[str, Query] = {}
@@ -69,6 +69,12 @@ def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(pieces)
 
 
+@query
+def op4_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five best candidates of every query vector."""
+    return top_k.exact_top_k(table(spark, sf_dir, "embeddings", "vec_id", "embedding"))
+
+
 @query
 def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Spans of secrets in every document."""
