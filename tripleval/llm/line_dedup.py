@@ -58,17 +58,19 @@ def drop_repeated_lines(docs: DataFrame, size: int = LINES) -> DataFrame:
     Earlier: in a document of smaller doc_id (null first; equal ids by the hash of the text), or
     further up in the same document; occurrences may overlap.  Rows of equal id and text are one
     document and get the same result.  A document of fewer lines than ``size`` stays as it is,
-    a null text stays null.
+    a null text stays null and has no lines.  Other columns pass through; n_lines and n_removed
+    replace columns of these names.
     """
     gone = write_table(covered_lines(docs, size), "line-covered")
-    keyed = docs.select("*", *_row_key(F.col("doc_id"), F.col("text")))
-    on = keyed["_id"].eqNullSafe(gone["_id"]) & (keyed["_mark"] == gone["_mark"])
-    joined = keyed.join(gone.select(F.col("_id"), F.col("_mark"), "_gone"), on, "left").drop(gone["_id"]).drop(gone["_mark"])
-    lines = _lines(F.col("text"))
-    # line numbers of the document without the covered ones, then their lines
-    numbers = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("_gone"))
-    left = F.array_join(F.transform(numbers, lambda k: F.get(F.col("_split"), k)), "\n")
-    return joined.withColumn("_split", lines).withColumn("n_lines", F.when(F.col("text").isNull(), 0).otherwise(F.size("_split"))) \
-        .withColumn("n_removed", F.coalesce(F.size("_gone"), F.lit(0))) \
-        .withColumn("text", F.when(F.col("_gone").isNull(), F.col("text")).otherwise(left)) \
-        .drop("_split", "_gone", "_id", "_mark")
+    rows = docs.select(F.struct("*").alias("_row"), *_row_key(F.col("doc_id"), F.col("text")))
+    gone = gone.select(F.col("_id").alias("_gone_id"), F.col("_mark").alias("_gone_mark"), "_gone")
+    joined = rows.join(gone, F.col("_id").eqNullSafe(F.col("_gone_id")) & (F.col("_mark") == F.col("_gone_mark")), "left")
+    text = F.col("_row.text")
+    lines = F.when(text.isNotNull(), _lines(text))
+    # numbers of the lines that stay, then the lines
+    left = F.get(F.transform(F.array(lines), lambda all_: F.array_join(F.transform(
+        F.array_except(F.sequence(F.lit(0), F.size(all_) - 1), F.col("_gone")), lambda k: F.get(all_, k)), "\n")), F.lit(0))
+    added = {"text": F.when(F.col("_gone").isNull(), text).otherwise(left),
+             "n_lines": F.coalesce(F.size(lines), F.lit(0)), "n_removed": F.coalesce(F.size("_gone"), F.lit(0))}
+    names = [*docs.columns, *(c for c in ("n_lines", "n_removed") if c not in docs.columns)]
+    return joined.select(*[added[c].alias(c) if c in added else F.col(f"_row.`{c}`").alias(c) for c in names])

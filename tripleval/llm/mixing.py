@@ -81,6 +81,40 @@ def _key(source: Column) -> Column:
     return F.when(source.isNull(), F.lit("n")).otherwise(F.concat(F.lit("s"), source))
 
 
+def _deal(docs: DataFrame, carried: list[Column], weights: tuple[float, ...], share: float, most: int, block: int,
+          shard_words: int, seed: int) -> DataFrame:
+    sized = [F.col("doc_id").cast("long").alias("_doc_id"), F.col("source").alias("_source"), _key(F.col("source")).alias("_key"),
+             n_words(F.col("text")).alias("_size")]
+    sizes = write_table(docs.select(*sized), "mix-sizes")
+    sources = sizes.groupBy("_key", F.col("_source").alias("source")).agg(F.sum("_size").alias("source_size"), F.count(F.lit(1)).alias("_docs"))
+    shards = F.ceil((F.col("source_size") + ROW_WORDS * F.col("_docs")) / F.lit(shard_words)).cast("long")
+    plan = targets(sources.withColumn("_shards", shards).drop("_docs"), weights, share, most)
+    cells = F.round(F.sum("target").over(Window.partitionBy()) / F.lit(block))
+    plan = write_table(apportion(plan.select("_key", "source", "source_size", "_shards", "target"), "target", cells, [])
+                       .withColumnsRenamed({"seats": "_blocks", "source_size": "_source_size", "target": "_target"})
+                       .drop("source"), "mix-plan")
+
+    h = F.md5(F.concat_ws("|", F.lit(str(seed)), F.coalesce(F.col("_doc_id").cast("string"), F.lit(""))).cast("binary"))
+    number = F.conv(F.substring("_hash", 1, 8), 16, 10).cast("long")
+
+    def placed(rows: DataFrame) -> DataFrame:
+        return lookup_join(rows.withColumn("_hash", h), plan, ["_key"], text_cols=("_key",)) \
+            .withColumn("_shard", F.pmod(number, F.col("_shards")))
+
+    content = placed(sizes).groupBy("_key", "_shard", "_blocks").agg(F.sum("_size").alias("_shard_size"))
+    quotas = apportion(content, "_shard_size", F.col("_blocks"), ["_key", "_blocks"]) \
+        .select("_key", "_shard", "_shard_size", F.least(F.col("seats") * block, F.col("_shard_size") * most).alias("_words"))
+    quotas = write_table(quotas, "mix-quotas")
+    rows = docs.select(*sized, *carried) if carried else sizes
+    dealt = lookup_join(placed(rows), quotas, ["_key", "_shard"], text_cols=("_key",))
+    front = Window.partitionBy("_key", "_shard").orderBy("_hash", "_doc_id", "_size").rowsBetween(Window.unboundedPreceding, -1)
+    whole = F.when(F.col("_shard_size") > 0, F.floor(F.col("_words") / F.col("_shard_size"))).otherwise(F.lit(0)).cast("long")
+    before = F.coalesce(F.sum("_size").over(front), F.lit(0))
+    rest = F.col("_words") - whole * F.col("_shard_size")
+    taken = whole * F.col("_size") + F.greatest(F.lit(0), F.least(F.col("_size"), rest - before))
+    return dealt.withColumn("_taken", taken.cast("long"))
+
+
 def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, most: int = MOST,
         block: int = BLOCK, shard_words: int = SHARD_WORDS, seed: int = SEED) -> DataFrame:
     """Words that the mix takes from every document (columns ``doc_id``, ``source``, ``text``).
@@ -89,28 +123,21 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SH
     null source is a source of its own (last).  A source is split into shards of about
     ``shard_words`` words by the hash of the document's id, so that a hot source is many window
     groups.  The order within a shard is the hash of (seed, doc_id), then doc_id and size; rows
-    with equal id and size are interchangeable.
+    with equal id and size are interchangeable.  Other columns are ignored.
     """
-    sizes = write_table(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", _key(F.col("source")).alias("_key"),
-                                    n_words(F.col("text")).alias("size")), "mix-sizes")
-    sources = sizes.groupBy("_key", "source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("_docs"))
-    shards = F.ceil((F.col("source_size") + ROW_WORDS * F.col("_docs")) / F.lit(shard_words)).cast("long")
-    plan = targets(sources.withColumn("_shards", shards).drop("_docs"), weights, share, most)
-    cells = F.round(F.sum("target").over(Window.partitionBy()) / F.lit(block))
-    plan = write_table(apportion(plan.select("_key", "source", "source_size", "_shards", "target"), "target", cells, [])
-                       .withColumnRenamed("seats", "_blocks"), "mix-plan")
+    dealt = _deal(docs, [], weights, share, most, block, shard_words, seed)
+    return dealt.select(F.col("_doc_id").alias("doc_id"), F.col("_source").alias("source"), F.col("_size").alias("size"),
+                        F.col("_source_size").alias("source_size"), F.col("_target").alias("target"), F.col("_taken").alias("taken"),
+                        F.col("_shard").alias("shard"))
 
-    h = F.md5(F.concat_ws("|", F.lit(str(seed)), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).cast("binary"))
-    number = F.conv(F.substring("_hash", 1, 8), 16, 10).cast("long")
-    placed = lookup_join(sizes.drop("source").withColumn("_hash", h), plan, ["_key"], text_cols=("_key", "source")) \
-        .withColumn("shard", F.pmod(number, F.col("_shards")))
-    content = placed.groupBy("_key", "shard", "_blocks").agg(F.sum("size").alias("shard_size"))
-    quotas = apportion(content, "shard_size", F.col("_blocks"), ["_key", "_blocks"]) \
-        .select("_key", "shard", "shard_size", F.least(F.col("seats") * block, F.col("shard_size") * most).alias("_words"))
-    dealt = placed.join(quotas, ["_key", "shard"])
-    front = Window.partitionBy("_key", "shard").orderBy("_hash", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
-    whole = F.when(F.col("shard_size") > 0, F.floor(F.col("_words") / F.col("shard_size"))).otherwise(F.lit(0)).cast("long")
-    before = F.coalesce(F.sum("size").over(front), F.lit(0))
-    rest = F.col("_words") - whole * F.col("shard_size")
-    taken = whole * F.col("size") + F.greatest(F.lit(0), F.least(F.col("size"), rest - before))
-    return dealt.select("doc_id", "source", "size", "source_size", "target", taken.cast("long").alias("taken"), "shard")
+
+def mix_documents(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, most: int = MOST,
+                  block: int = BLOCK, shard_words: int = SHARD_WORDS, seed: int = SEED) -> DataFrame:
+    """The mix as whole documents: the rows of ``docs``, each as often as ``mix`` takes its words, rounded to
+    whole copies (one document per shard at most is taken in part).  A document without words is
+    in no mix.  The rows travel once, with their shard; nothing is joined by id.
+    """
+    dealt = _deal(docs, [F.struct("*").alias("_row")], weights, share, most, block, shard_words, seed)
+    copies = F.when(F.col("_size") > 0, F.round(F.col("_taken") / F.col("_size"))).otherwise(F.lit(0)).cast("int")
+    repeated = dealt.withColumn("_copy", F.explode(F.array_repeat(F.lit(1), copies)))
+    return repeated.select(*[F.col(f"_row.`{c}`").alias(c) for c in docs.columns])

@@ -41,7 +41,7 @@ SHINGLE = 5
 MARGIN = 5
 BUCKET_BLOCK = 1500
 BUCKET_GROUP = 40_000
-CLUSTER_SHINGLES = 600_000
+CLUSTER_SHINGLES = 300_000
 
 SIGNED = "doc_id long, set_key binary, n_shingles long, signature binary, bands array<long>"
 
@@ -220,9 +220,9 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     sizes = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
     shared = members.join(sizes, "bucket").join(reps.select("id", "signature"), "id")
     shared = write_table(_block_pairs(shared, F.ceil(F.col("m") / BUCKET_BLOCK)), "buckets")
-    n = shared.count()
+    n, partitions = shared.count(), int(spark.conf.get("spark.sql.shuffle.partitions"))
     spread = F.when(F.col("_blocks") > 1, F.xxhash64("bucket", "pair")).otherwise(
-        F.pmod(F.xxhash64("bucket"), F.lit(max(1, -(-n // BUCKET_GROUP)))))
+        F.pmod(F.xxhash64("bucket"), F.lit(max(partitions, -(-n // BUCKET_GROUP)))))
     forests = shared.withColumn("_deal", spread).select("_deal", "bucket", "pair", "id", "signature") \
         .groupBy("_deal").applyInPandas(_bucket_forests(cut), "a long, b long")
     clusters = write_table(connected_components(forests), "clusters")
@@ -233,7 +233,7 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     members = write_table(_block_pairs(members.join(weight, "cluster"), blocks), "members")
     total = members.where("_blocks = 1").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
     spread = F.when(F.col("_blocks") > 1, F.xxhash64("cluster", "pair")).otherwise(
-        F.pmod(F.xxhash64("cluster"), F.lit(max(1, -(-total // CLUSTER_SHINGLES)))))
+        F.pmod(F.xxhash64("cluster"), F.lit(max(partitions, -(-total // CLUSTER_SHINGLES)))))
     wanted = members.select(F.col("id").alias("doc_id"), "set_key", "signature", "cluster", "pair", spread.alias("_deal"))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     placed = lookup_join(texts, wanted, ["doc_id"], text_cols=("set_key", "signature"))
@@ -247,3 +247,10 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("_component", "doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id")) \
         .withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+
+
+def drop_near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """``docs`` with one document of each group: that of the smallest doc_id.  Rows of one doc_id stay or go
+    together; null ids stay."""
+    gone = write_table(near_duplicates(docs, percent).where("not kept").select("doc_id").distinct(), "duplicates")
+    return lookup_join(docs, gone, ["doc_id"], "left_anti").select(*docs.columns)

@@ -234,3 +234,8 @@ def calibrated(p: Column, line: list[tuple[float, float]]) -> Column:
         if x1 > x0 and y1 >= y0:
             value = F.when(p >= x0, F.lit(y0) + (F.least(p, F.lit(x1)) - x0) * ((y1 - y0) / (x1 - x0))).otherwise(value)
     return F.greatest(F.lit(0.0), F.least(F.lit(1.0), value * (1 - 1e-3) + p * 1e-3))
+
+
+def drop_toxic(docs: DataFrame, labels: DataFrame, most: int = MAX_TRAINING_ROWS) -> DataFrame:
+    """``docs`` without those predicted toxic."""
+    return score(docs, labels, most).where("tox_predicted = 0").select(*docs.columns)
