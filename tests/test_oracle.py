@@ -3,11 +3,11 @@
 import duckdb
 import pytest
 
-import __spark_entry__ as entry
 from tools.check_oracle import TABLES, rows_of, type_mismatches
+from tripleval.plans import registry
 
-KEYS = sorted(entry.queries())
-SQL = entry.oracle_sql()
+KEYS = sorted(registry.queries())
+SQL = registry.oracle_sql()
 
 
 @pytest.fixture(scope="module")
@@ -20,7 +20,7 @@ def con(sf_dir):
 
 @pytest.mark.parametrize("key", KEYS)
 def test_query_matches_oracle(spark, sf_dir, con, key):
-    df = entry.queries()[key](spark, sf_dir)
+    df = registry.queries()[key](spark, sf_dir)
     rows = [tuple(r) for r in df.collect()]
     if key not in SQL:
         assert len(df.columns) > 0
