@@ -11,17 +11,27 @@ def _tokens(s):
     return re.findall(r"[a-z0-9]+", s.lower())
 
 
-def _brute(train, val, df_min=2, df_max=20):
+def _brute(train, val):
     toks = {tid: set(_tokens(o)) for tid, o, _ in train}
-    df = Counter(t for ts in toks.values() for t in ts)
-    rare = {t for t, c in df.items() if df_min <= c <= df_max}
-    answers = {tid: a for tid, _, a in train}
+    first = {}
+    for tid, _, a in sorted(train):
+        first.setdefault(a, tid)
+    by_token = {}
+    for tid, _, a in train:
+        for t in toks[tid]:
+            by_token.setdefault(t, Counter())[first[a]] += 1
+    weight = {}
+    for t, c in by_token.items():
+        best = min(c, key=lambda k: (-c[k], k))
+        weight[t] = (best, c[best] * 10**9 // sum(c.values()))
+    answers = {k: a for a, k in first.items()}
     out = {}
     for dist, vid, obs in val:
-        vt = set(_tokens(obs)) & rare
-        scores = Counter(tid for tid, ts in toks.items() for t in vt if t in ts)
+        scores = Counter()
+        for t in set(_tokens(obs)) & set(weight):
+            scores[weight[t][0]] += weight[t][1]
         if scores:
-            best = min(scores, key=lambda tid: (-scores[tid], tid))
+            best = min(scores, key=lambda k: (-scores[k], k))
             out[(dist, vid)] = (best, scores[best], answers[best])
     return out
 
@@ -31,29 +41,28 @@ def _fixture(seed=5, n_train=60, n_val=25):
     vocab = [f"w{i}" for i in range(80)]
     def doc():   # "the" and "of" on every row: hot keys for the token joins
         return "The of " + " ".join(rnd.choice(vocab) for _ in range(rnd.randint(3, 12)))
-    train = [(i, doc(), f"answer {i}") for i in range(n_train)]
+    train = [(i, doc(), f"answer {i % 17}") for i in range(n_train)]
     val = [("id" if i % 2 else "od", i, doc()) for i in range(n_val)]
     return train, val
 
 
-# None: broadcast; 0: shuffle joins (no key is heavy); 20: stop-words become heavy keys
-@pytest.mark.parametrize("limit", [None, 0, 20])
+# None: broadcast; 0: shuffle joins (no key is heavy); 2000: stop-words become heavy keys
+@pytest.mark.parametrize("limit", [None, 0, 2000])
 def test_fit_answerer_matches_brute_force(spark, monkeypatch, limit):
     if limit is not None:
-        monkeypatch.setattr(joins, "BROADCAST_ROW_LIMIT", limit)
-        monkeypatch.setattr(generate, "ANSWER_BROADCAST_ROWS", limit)
+        monkeypatch.setattr(joins, "BROADCAST_BYTES", limit)
     train, val = _fixture()
     tdf = spark.createDataFrame(train, "example_id long, observations string, response string")
     vdf = spark.createDataFrame(val, "distribution string, example_id long, observations string")
-    idx = generate.fit_answerer(tdf, salts=4)
-    got = {(r.distribution, r.example_id): (r.train_id, r.score, r.answer) for r in idx.retrieve(vdf, salts=4).collect()}
+    idx = generate.fit_answerer(tdf)
+    got = {(r.distribution, r.example_id): (r.train_id, r.score, r.answer) for r in idx.retrieve(vdf).collect()}
     assert got == _brute(train, val)
 
 
-@pytest.mark.parametrize("limit", [None, 0, 3])
+@pytest.mark.parametrize("limit", [None, 0, 300])
 def test_encode_paths_agree(spark, monkeypatch, limit):
     if limit is not None:
-        monkeypatch.setattr(joins, "BROADCAST_ROW_LIMIT", limit)
+        monkeypatch.setattr(joins, "BROADCAST_BYTES", limit)
     ex = spark.createDataFrame([(1, "the the a b", "c the"), (2, "b zz the", "")],
                                "example_id long, prompt string, response string")
     vocab = encode.build_vocab(ex)

@@ -60,8 +60,7 @@ def encode_examples(examples: DataFrame, vocab: DataFrame, keys=("example_id",))
                                 F.lit(None).cast("string").alias("token")))
     toks = ex.select(*keys, F.explode(F.concat(sentinel, tagged("prompt", 0), tagged("response", 1))).alias("t")) \
         .select(*keys, "t.side", "t.pos", "t.token")
-    joined = checked_join(toks, vocab.select("token", "token_id"), ["token"], [*keys, "side", "pos"], how="left",
-                          small_rows_per_key=1)
+    joined = checked_join(toks, vocab.select("token", "token_id"), ["token"], how="left")
     items = (joined.groupBy(*keys)
              .agg(F.array_sort(F.collect_list(F.struct(
                  "side", "pos", F.coalesce("token_id", F.lit(UNK_ID)).alias("id")))).alias("_items")))

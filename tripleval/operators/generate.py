@@ -1,5 +1,5 @@
 """Answer generation: native generators, a pluggable Arrow-batch generator, and
-the rare-token answerer that stands in for fine-tuning.
+the token answerer that stands in for fine-tuning.
 
 Generation output follows a causal LM: ``full_text`` = prompt + continuation,
 and ``extract_answer`` recovers the answer from it.
@@ -9,9 +9,10 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
+from decimal import Decimal
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.prompts import extract_answer, render_inference_prompt
@@ -25,8 +26,6 @@ NATIVE_GENERATORS = ("lead", "last_line", "echo")
 END_MARK = "<|end|>"
 
 KEY = ["distribution", "example_id"]
-# answers are text: a tighter row bound before they are broadcast
-ANSWER_BROADCAST_ROWS = 100_000
 TEXT_COLS = ["observations", "question", "reference"]
 
 
@@ -68,7 +67,7 @@ def generate_native_variants(inputs: DataFrame, models: Sequence[str], carry: Se
     """Baseline and trained generations of native generators in one pass.
 
     ``inputs`` carries ``answer``: the trained answerer's retrieved answer (null
-    when no train row shares a rare token).  Each input row fans out to
+    when no train row shares a token).  Each input row fans out to
     (model, variant) rows; the trained variant falls back to the baseline
     continuation, so no second pass or join over generated rows is needed.
     """
@@ -133,62 +132,61 @@ def join_predictions_references(predictions: DataFrame, inputs: DataFrame) -> Da
 
 
 # ------------------------------------------------------------------ fit / answer
+# A token's weight is counted in billionths, so that sums are exact in any order.
+WEIGHT_UNIT = 1_000_000_000
+_ID_SHIFT = Decimal(1 << 63)
+_ID_RANGE = Decimal(1 << 64)
+
+
+def _best(score: Column, row_id: Column) -> Column:
+    """The largest (score, -id) of a group as one decimal, which a hash aggregate can hold."""
+    return F.max(score.cast("decimal(18,0)") * F.lit(_ID_RANGE) - (row_id.cast("decimal(20,0)") + F.lit(_ID_SHIFT)))
+
+
+def _unpacked(best: Column) -> tuple[Column, Column]:
+    """(score, id) of ``_best``."""
+    score = F.ceil(best / F.lit(_ID_RANGE)).cast("decimal(18,0)")
+    return score.cast("long"), (score * F.lit(_ID_RANGE) - best - F.lit(_ID_SHIFT)).cast("long")
+
+
 @dataclass
-class RareTokenIndex:
-    postings: DataFrame   # (token, train_id)
-    answers: DataFrame    # (train_id, answer)
-    max_postings: int | None = None   # proven bound: df_max * number of rare tokens
-    df_max: int = 20
-    n_train: int | None = None        # rows of ``answers`` (one per train row)
-
-    def retrieve(self, inputs: DataFrame, salts: int = 32) -> DataFrame:
-        """Best train answer per validation example: most shared rare tokens, ties -> lowest id."""
+class TokenAnswers:
+    tokens: DataFrame     # (token, train_id, weight): one row per train token
+    answers: DataFrame    # (train_id, answer): one row per distinct answer, under its lowest train id
+
+    def retrieve(self, inputs: DataFrame) -> DataFrame:
+        """Train answer of the highest summed token weight per validation example (ties: lowest id)."""
         vt = inputs.select(*KEY, F.explode(F.array_distinct(rouge_tokens(F.col("observations")))).alias("token"))
-        # validation tokens include stop-words on every row; postings only rare tokens
-        # a rare token has at most df_max postings
-        pairs = checked_join(vt, self.postings, ["token"], KEY, salts=salts, max_rows=self.max_postings,
-                             small_rows_per_key=self.df_max)
-        scores = pairs.groupBy(*KEY, "train_id").agg(F.count(F.lit(1)).alias("score"))
-        best = (scores.groupBy(*KEY)
-                .agg(F.max(F.struct("score", (-F.col("train_id")).alias("neg_id"))).alias("b"))
-                .select(*KEY, (-F.col("b.neg_id")).alias("train_id"), F.col("b.score").alias("score")))
-        # one train row can be the best match of many rows: heavy train ids join map-side
-        return (checked_join(best, self.answers, ["train_id"], KEY, max_rows=self.n_train, small_rows_per_key=1,
-                             limit=ANSWER_BROADCAST_ROWS)
-                .select(*KEY, "train_id", "score", "answer"))
-
-
-def fit_answerer(train: DataFrame, df_min: int = 2, df_max: int = 20, salts: int = 32,
-                 materialize: bool = True) -> RareTokenIndex:
-    """Inverted index over train observations restricted to rare tokens (df in [df_min, df_max]).
-
-    ``train`` has (example_id, observations, response).  The distinct
-    (train_id, token) table is written once (the index artifact); document
-    frequency is a grouped count over it with map-side combine.  The postings
-    join is size-checked: the rare-token list is broadcast when small, else a
-    skew-split join isolates the common tokens (a stop-word sits on every
-    train row) with a proven bound.
+        # a stop-word is on every validation row, and has one row of weights
+        found = checked_join(vt, self.tokens, ["token"])
+        scores = found.groupBy(*KEY, "train_id").agg(F.sum("weight").alias("score"))
+        score, train_id = _unpacked(F.col("best"))
+        best = (scores.groupBy(*KEY).agg(_best(F.col("score"), F.col("train_id")).alias("best"))
+                .select(*KEY, train_id.alias("train_id"), score.alias("score")))
+        # one answer can be the best of many rows: heavy ids join map-side
+        return checked_join(best, self.answers, ["train_id"]).select(*KEY, "train_id", "score", "answer")
+
+
+def fit_answerer(train: DataFrame) -> TokenAnswers:
+    """One row per train token: the answer it occurs with most often and how surely.
+
+    ``train`` has (example_id, observations, response).  Equal responses are one
+    answer, numbered by the lowest example id.  A token on df rows, c of them
+    with its most frequent answer (ties: lowest id), has that answer with weight
+    floor(c / df * 10^9).  Every token counts, whatever its frequency, and the
+    result is linear in the distinct tokens: stop-words simply weigh little.
     """
-    toks = train.select(F.col("example_id").alias("train_id"),
-                        F.explode(F.array_distinct(rouge_tokens(F.col("observations")))).alias("token"))
-    if materialize:
-        toks = write_table(toks, "train-tokens")
-    rare = (toks.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
-            .where(F.col("df").between(df_min, df_max)).select("token"))
-    n_rare = rare.count()
-    postings = checked_join(toks, rare, ["token"], ["train_id"], salts=salts, max_rows=n_rare,
-                            small_rows_per_key=1)
-    answers = train.select(F.col("example_id").alias("train_id"), F.col("response").alias("answer"))
-    return RareTokenIndex(postings, answers, df_max * n_rare, df_max, train.count())
-
-
-def generate_finetuned(inputs: DataFrame, baseline: DataFrame, index: RareTokenIndex) -> DataFrame:
-    """Trained variant: retrieved train answer, else the baseline continuation."""
-    hits = index.retrieve(inputs).select(*KEY, "answer")
-    base = baseline.withColumn(
-        "_cont", F.substring(F.col("full_text"), F.length("prompt") + 1, 2147483647))
-    return (base.join(hits, KEY, "left")
-            .select("model_id", *KEY, *TEXT_COLS, "prompt",
-                    F.concat("prompt", F.coalesce(F.col("answer"), F.col("_cont")),
-                             F.when(F.col("answer").isNotNull(), F.lit("\n" + END_MARK)).otherwise(F.lit("")))
-                    .alias("full_text")))
+    keyed = train.select("example_id", "observations", F.md5(F.col("response").cast("binary")).alias("response_key"))
+    ids = train.groupBy(F.md5(F.col("response").cast("binary")).alias("response_key")) \
+        .agg(F.min("example_id").alias("train_id"))
+    rows = checked_join(keyed, ids, ["response_key"])
+    pairs = (rows.select("train_id", F.explode(F.array_distinct(rouge_tokens(F.col("observations")))).alias("token"))
+             .groupBy("token", "train_id").agg(F.count(F.lit(1)).alias("c")))
+    c, train_id = _unpacked(F.col("best"))
+    tokens = (pairs.groupBy("token").agg(_best(F.col("c"), F.col("train_id")).alias("best"), F.sum("c").alias("df"))
+              .select("token", train_id.alias("train_id"), c.alias("c"), "df")
+              .select("token", "train_id", F.expr(f"c * {WEIGHT_UNIT} div df").alias("weight")))
+    answers = (train.select(F.col("example_id").alias("train_id"), F.md5(F.col("response").cast("binary")).alias("response_key"),
+                            F.col("response").alias("answer"))
+               .join(ids, ["train_id", "response_key"]).select("train_id", "answer").dropDuplicates(["train_id"]))
+    return TokenAnswers(write_table(tokens, "answer-tokens"), answers)

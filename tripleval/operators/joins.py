@@ -1,4 +1,4 @@
-"""Join helpers: size-checked broadcast, skew-split join, salted join.
+"""Join helpers: broadcast behind a check of the side's bytes, skew-split join beyond it.
 
 Hot keys are the norm in token joins (a stop-word sits on every row) and can
 appear in lookups (one training row may be the best match for many rows).
@@ -11,26 +11,28 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-# Rows below which a side is broadcast after an explicit count or a proven bound.
-BROADCAST_ROW_LIMIT = 2_000_000
+from ..session import write_table
 
+# Bytes of a table in memory below which a side is broadcast after measuring it.
+BROADCAST_BYTES = 64 << 20
+ROW_OVERHEAD = 48
 
-def salted_join(big: DataFrame, small: DataFrame, keys: Sequence[str], salt_cols: Sequence[str],
-                salts: int = 32, how: str = "inner") -> DataFrame:
-    """Equi-join where single key values on ``big`` may hold a large share of rows.
 
-    ``big`` rows get a deterministic salt from ``salt_cols`` (stable under task
-    retry); ``small`` is replicated once per salt.  A hot key is then spread
-    over ``salts`` shuffle partitions instead of one.
-    """
-    salted = big.withColumn("_salt", F.pmod(F.xxhash64(*[F.col(c) for c in salt_cols]), F.lit(salts)))
-    fanned = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return salted.join(fanned, [*keys, "_salt"], how).drop("_salt")
+def measured(df: DataFrame) -> tuple[int, int, int]:
+    """(rows, bytes, bytes of the largest row) of ``df``: texts by their length, other columns by 8."""
+    size = F.lit(ROW_OVERHEAD + 8 * len(df.columns)).cast("long")
+    for f in df.schema.fields:
+        if isinstance(f.dataType, T.StringType):
+            size = size + F.coalesce(F.octet_length(F.col(f"`{f.name}`")), F.lit(0))
+    r = df.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(size), F.lit(0)).alias("b"),
+               F.coalesce(F.max(size), F.lit(1)).alias("m")).first()
+    return r["n"], r["b"], r["m"]
 
 
 def skew_split_join(big: DataFrame, small: DataFrame, keys: Sequence[str], small_rows_per_key: int,
-                    how: str = "inner", limit: int | None = None) -> DataFrame:
+                    how: str = "inner", limit: int = 100_000) -> DataFrame:
     """Equi-join that isolates heavy keys with a proven bound instead of replicating ``small``.
 
     With n rows on ``big`` and at most k = ``small_rows_per_key`` rows per key
@@ -39,12 +41,13 @@ def skew_split_join(big: DataFrame, small: DataFrame, keys: Sequence[str], small
     otherwise), so the heavy-key list and the heavy keys' slice of ``small``
     (at most ``limit`` rows) are both broadcast, and heavy keys join map-side.
     Every other key joins by a shuffle in which no key has more than T rows on
-    ``big``.  ``how`` is ``inner`` or ``left`` (``big`` kept).
+    ``big``.  ``big`` is written once, as it is read several times.  ``how`` is
+    ``inner`` or ``left`` (``big`` kept).
     """
     if how not in ("inner", "left"):
         raise ValueError("how must be 'inner' or 'left'")
-    limit = BROADCAST_ROW_LIMIT if limit is None else limit
     keys = list(keys)
+    big = write_table(big, "skew-big")
     n = big.count()
     threshold = max(1, math.ceil(n * max(1, small_rows_per_key) / max(1, limit)))
     heavy = F.broadcast(big.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
@@ -57,20 +60,12 @@ def skew_split_join(big: DataFrame, small: DataFrame, keys: Sequence[str], small
     return hot.unionByName(cool)
 
 
-def checked_join(big: DataFrame, small: DataFrame, keys: Sequence[str], salt_cols: Sequence[str] = (),
-                 limit: int | None = None, salts: int = 32, how: str = "inner",
-                 max_rows: int | None = None, small_rows_per_key: int | None = None) -> DataFrame:
-    """Broadcast ``small`` when its size is proven small; otherwise a skew-safe shuffle join.
-
-    ``max_rows`` is an upper bound the caller can prove (skips the count);
-    ``limit`` defaults to ``BROADCAST_ROW_LIMIT``.  Beyond the limit the join is
-    a skew-split join when ``small`` has a known bound of rows per key, else a
-    salted join.
-    """
-    limit = BROADCAST_ROW_LIMIT if limit is None else limit
-    bound = max_rows if max_rows is not None else small.count()
-    if bound <= limit:
+def checked_join(big: DataFrame, small: DataFrame, keys: Sequence[str], how: str = "inner",
+                 small_rows_per_key: int = 1, limit: int | None = None) -> DataFrame:
+    """Broadcast ``small`` when its measured bytes stay below ``limit`` (``BROADCAST_BYTES``);
+    otherwise a skew-split join, for ``small`` has at most ``small_rows_per_key`` rows per key."""
+    limit = BROADCAST_BYTES if limit is None else limit
+    _, size, largest = measured(small)
+    if size <= limit:
         return big.join(F.broadcast(small), list(keys), how)
-    if small_rows_per_key is not None and how in ("inner", "left"):
-        return skew_split_join(big, small, keys, small_rows_per_key, how, limit)
-    return salted_join(big, small, keys, salt_cols, salts, how)
+    return skew_split_join(big, small, keys, small_rows_per_key, how, limit // largest)

@@ -14,47 +14,54 @@ from ..functions.models import model_short_name, sql_model_short_name
 from ..functions.text import non_blank_lines, sql_non_blank_lines
 from .tables import table
 
+# The fact columns of the fact file format.
 FACT_COLS = ["fact 1.1", "fact 1.2", "fact 2.1", "fact 2.2", "fact 3.1", "fact 3.2"]
 SENTENCE_SPLIT = r"\.\s*"
 
 
 # ---------------------------------------------------------------- triplets (ID)
 def id_triplets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """documents -> triplets: observations = all non-blank lines but the last."""
+    """documents -> triplets, one per document: the answer is the last non-blank line, the observations
+    are all before it (none, for a document of one line)."""
     d = table(spark, sf_dir, "documents", "doc_id", "text", "lang", "source", spread=True)
-    lines = non_blank_lines(F.col("text"))
+    lines = non_blank_lines(F.coalesce(F.col("text"), F.lit("")))
     return (d.select("doc_id", "lang", "source", lines.alias("lines"))
-            .where(F.size("lines") >= 3)
             .select(F.col("doc_id").alias("triplet_id"),
                     F.lit("id").alias("dataset"),
                     F.col("lang").alias("form"),
-                    F.array_join(F.slice("lines", F.lit(1), F.size("lines") - 1), "\n").alias("observations"),
+                    F.array_join(F.slice("lines", F.lit(1), F.greatest(F.size("lines") - 1, F.lit(0))), "\n")
+                    .alias("observations"),
                     F.concat(F.lit("What follows for source "), F.col("source"), F.lit("?")).alias("question"),
-                    F.element_at("lines", -1).alias("answer")))
+                    F.coalesce(F.get("lines", F.size("lines") - 1), F.lit("")).alias("answer")))
 
 
 ID_TRIPLETS_SQL = f"""
 SELECT doc_id AS triplet_id, 'id' AS dataset, lang AS form,
        array_to_string(list_slice(lines, 1, len(lines) - 1), chr(10)) AS observations,
        'What follows for source ' || source || '?' AS question,
-       lines[len(lines)] AS answer
-FROM (SELECT doc_id, lang, source, {sql_non_blank_lines('text')} AS lines FROM documents)
-WHERE len(lines) >= 3
+       coalesce(lines[len(lines)], '') AS answer
+FROM (SELECT doc_id, lang, source, {sql_non_blank_lines("coalesce(text, '')")} AS lines FROM documents)
 """
 
 
 # ---------------------------------------------------------------- fact table (OD)
 def facts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """benchmark -> fact table: last sentence is the rule, up to six facts before it."""
+    """benchmark -> fact table: the last sentence is the rule, those before it are the facts.
+
+    Sentences past the last fact column are joined into it.  Rows of the file ``val``, which has
+    no column ``fact 3.2``, end with ``fact 3.1``.
+    """
     b = table(spark, sf_dir, "benchmark", "item_id", "text")
     sents = F.filter(F.split(F.col("text"), SENTENCE_SPLIT), lambda s: s != F.lit(""))
     s = b.select("item_id", sents.alias("s"))
     n = F.size("s")
+    last = F.when(F.pmod("item_id", F.lit(3)) == 2, len(FACT_COLS) - 1).otherwise(len(FACT_COLS))
     cols = [F.col("item_id").alias("fact_id"),
             F.when(F.pmod("item_id", F.lit(3)) == 0, "test").when(F.pmod("item_id", F.lit(3)) == 1, "train")
             .otherwise("val").alias("file_split")]
     for k, name in enumerate(FACT_COLS, start=1):
-        cols.append(F.when(n > k, F.element_at("s", k)).alias(name))
+        rest = F.array_join(F.slice("s", F.lit(k), F.greatest(n - k, F.lit(0))), ". ")
+        cols.append(F.when((n > k) & (last > k), F.get("s", F.lit(k - 1))).when((n > k) & (last == k), rest).alias(name))
     cols += [F.concat(F.lit("template"), F.pmod("item_id", F.lit(4)).cast("string")).alias("rule template"),
              F.concat(F.lit("type"), F.pmod("item_id", F.lit(3)).cast("string")).alias("rule type"),
              F.when(n > 0, F.element_at("s", -1)).alias("rule")]
@@ -63,7 +70,9 @@ def facts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _sql_facts() -> str:
     fact_cols = ",\n       ".join(
-        f"CASE WHEN len(s) > {k} THEN s[{k}] END AS \"{name}\"" for k, name in enumerate(FACT_COLS, start=1))
+        f"CASE WHEN len(s) > {k} AND last > {k} THEN s[{k}] "
+        f"WHEN len(s) > {k} AND last = {k} THEN array_to_string(list_slice(s, {k}, len(s) - 1), '. ') END AS \"{name}\""
+        for k, name in enumerate(FACT_COLS, start=1))
     return f"""
 SELECT item_id AS fact_id,
        CASE item_id % 3 WHEN 0 THEN 'test' WHEN 1 THEN 'train' ELSE 'val' END AS file_split,
@@ -71,7 +80,8 @@ SELECT item_id AS fact_id,
        'template' || CAST(item_id % 4 AS VARCHAR) AS "rule template",
        'type' || CAST(item_id % 3 AS VARCHAR) AS "rule type",
        CASE WHEN len(s) > 0 THEN s[len(s)] END AS rule
-FROM (SELECT item_id, list_filter(regexp_split_to_array(text, '{SENTENCE_SPLIT}'), lambda x: x <> '') AS s
+FROM (SELECT item_id, list_filter(regexp_split_to_array(text, '{SENTENCE_SPLIT}'), lambda x: x <> '') AS s,
+             CASE WHEN item_id % 3 = 2 THEN {len(FACT_COLS) - 1} ELSE {len(FACT_COLS)} END AS last
       FROM benchmark)
 """
 
@@ -80,46 +90,31 @@ FACTS_SQL = _sql_facts()
 
 
 # ---------------------------------------------------------------- conversation triplets
-CONTEXT_TURNS = 8
-
-
-def conversation_triplets(spark: SparkSession, sf_dir: str, context_turns: int = CONTEXT_TURNS) -> DataFrame:
-    """One triplet per user turn directly followed (turn + 1) by an assistant turn.
+def conversation_triplets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One triplet per conversation, under its id: the last turn is the answer, the one before it
+    the question, all earlier turns are the observations (equal turn numbers: by role, then text).
 
-    Observations are the up to ``context_turns`` turns before the user turn,
-    joined by ``\n`` in turn order.  Every step is keyed by (conv_id, turn):
-    each turn is fanned out to the ``context_turns`` turns after it and grouped
-    there (groups of at most ``context_turns`` rows), and the next-turn match is
-    an equi-join, so a very long conversation spreads over many tasks.
+    A conversation becomes one row, so its turns are collected once, in linear time.
     """
     c = table(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text", spread=True)
-    user = c.where(F.col("role") == "user").select("conv_id", "turn", F.col("text").alias("question"))
-    nxt = c.where(F.col("role") == "assistant").select(
-        "conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("answer"))
-    ctx = (c.select("conv_id", "turn", "text",
-                    F.explode(F.sequence(F.lit(1), F.lit(context_turns))).alias("k"))
-           .select("conv_id", (F.col("turn") + F.col("k")).alias("turn"), F.struct(
-               F.col("k").__neg__().alias("order"), F.col("text").alias("text")).alias("t"))
-           .groupBy("conv_id", "turn")
-           .agg(F.array_join(F.transform(F.array_sort(F.collect_list("t")), lambda x: x["text"]), "\n")
-                .alias("observations")))
-    pairs = user.join(nxt, ["conv_id", "turn"])
-    return (pairs.join(ctx, ["conv_id", "turn"], "left")
-            .select((F.col("conv_id") * 1000 + F.col("turn")).alias("triplet_id"),
+    turn = F.struct("turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
+    texts = F.transform(F.sort_array(F.collect_list(turn)), lambda t: t["text"])
+    n = F.size("texts")
+    return (c.groupBy("conv_id").agg(texts.alias("texts"))
+            .select(F.col("conv_id").alias("triplet_id"),
                     F.lit("conv").alias("dataset"),
-                    F.concat(F.lit("turn_"), F.col("turn").cast("string")).alias("form"),
-                    F.coalesce("observations", F.lit("")).alias("observations"),
-                    "question", "answer"))
-
-
-CONV_TRIPLETS_SQL = f"""
-SELECT u.conv_id * 1000 + u.turn AS triplet_id, 'conv' AS dataset, 'turn_' || CAST(u.turn AS VARCHAR) AS form,
-       coalesce((SELECT string_agg(p.text, chr(10) ORDER BY p.turn) FROM conversations p
-                 WHERE p.conv_id = u.conv_id AND p.turn BETWEEN u.turn - {CONTEXT_TURNS} AND u.turn - 1), '')
-           AS observations,
-       u.text AS question, a.text AS answer
-FROM conversations u JOIN conversations a ON a.conv_id = u.conv_id AND a.turn = u.turn + 1
-WHERE u.role = 'user' AND a.role = 'assistant'
+                    F.concat(F.lit("turns_"), n.cast("string")).alias("form"),
+                    F.array_join(F.slice("texts", F.lit(1), F.greatest(n - 2, F.lit(0))), "\n").alias("observations"),
+                    F.coalesce(F.get("texts", n - 2), F.lit("")).alias("question"),
+                    F.get("texts", n - 1).alias("answer")))
+
+
+CONV_TRIPLETS_SQL = """
+SELECT conv_id AS triplet_id, 'conv' AS dataset, 'turns_' || CAST(len(t) AS VARCHAR) AS form,
+       array_to_string(t[1:greatest(len(t) - 2, 0)], chr(10)) AS observations,
+       CASE WHEN len(t) > 1 THEN t[len(t) - 1] ELSE '' END AS question, t[len(t)] AS answer
+FROM (SELECT conv_id, list(coalesce(text, '') ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS t
+      FROM conversations GROUP BY conv_id)
 """
 
 
