@@ -98,7 +98,7 @@ def cmd_explore(spark: SparkSession, a) -> None:
     elif a.what == "forms":
         explore.sorted_forms(trip).orderBy("position").show(1000, truncate=False)
     elif a.what == "page":
-        page = explore.page_slice(explore.number_items(trip), a.page, a.size)
+        page = explore.page_slice(trip, a.page, a.size)
         page.orderBy("item").show(a.size, truncate=80, vertical=True)
     elif a.what == "filter":
         explore.first_n(explore.filter_by_form(trip, a.form), ["triplet_id"], a.n).show(a.n, truncate=80,

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 VARIANTS = ["baseline", "finetuned"]
@@ -17,21 +17,23 @@ def compare_variants(metrics: DataFrame) -> DataFrame:
 
 
 def compare_spectra(spectra_summary: DataFrame) -> DataFrame:
-    """Delta on the metric keys present in both variants only (inner join)."""
-    b = spectra_summary.where(F.col("variant") == "baseline").select("model_id", "metric",
-                                                                     F.col("value").alias("baseline"))
-    f = spectra_summary.where(F.col("variant") == "finetuned").select("model_id", "metric",
-                                                                      F.col("value").alias("finetuned"))
-    return (b.join(f, ["model_id", "metric"])
+    """Delta on the metric keys present in both variants only; one pass over the summary."""
+    wide = spectra_summary.groupBy("model_id", "metric").pivot("variant", VARIANTS).agg(F.first("value"))
+    return (wide.where(F.col("baseline").isNotNull() & F.col("finetuned").isNotNull())
             .withColumn("delta", F.round(F.col("finetuned") - F.col("baseline"), 6)))
 
 
+def signed(delta: Column) -> Column:
+    """``%+.4f``; a missing delta stays missing."""
+    return F.when(delta.isNotNull(), F.format_string("%+.4f", delta))
+
+
 def improvement_table(comparison: DataFrame, distribution: str = "id",
                       metrics=("rouge1", "rougeL", "bleu")) -> DataFrame:
     """Per model: delta of each metric, formatted ``%+.4f`` (ID distribution)."""
     sel = comparison.where((F.col("distribution") == distribution) & F.col("metric").isin(*metrics))
     wide = sel.groupBy("model_id").pivot("metric", list(metrics)).agg(F.first("delta"))
-    return wide.select("model_id", *[F.format_string("%+.4f", F.col(m)).alias(f"delta_{m}") for m in metrics])
+    return wide.select("model_id", *[signed(F.col(m)).alias(f"delta_{m}") for m in metrics])
 
 
 def leaderboard(comparison: DataFrame, distribution: str = "id", metric: str = "bleu", k: int = 5) -> DataFrame:

@@ -2,13 +2,14 @@
 
 Plan shape
 ----------
-Tokenisation is native (regex columns).  Per-example statistics (clipped n-gram
-overlaps, LCS length, summary-level union-LCS hits, BLEU n-gram matches) need
-multiset counting and a longest-common-subsequence loop; they run map-side in
-one Arrow-batched pandas UDF that is linear in the tokens of the row
-(bit-parallel LCS), so no n-gram ever crosses a shuffle.  The only shuffle is
-the final grouped aggregation, whose partial sums are combined map-side:
-one row per (model, variant, distribution) leaves each task.
+Tokenisation and clipped n-gram overlaps (ROUGE-1/2, BLEU) are column
+expressions: the tagged grams of both sides are sorted in one array and counted
+in one pass, so no n-gram crosses a shuffle.  Only the longest common
+subsequence (ROUGE-L, ROUGE-Lsum) needs a loop; it runs map-side in an
+Arrow-batched UDF with bit-parallel rows, |a| * |b| / wordsize steps for two
+token lists, and is planned only when one of these metrics is wanted.  The only
+shuffle is the final grouped aggregation, whose partial sums are combined
+map-side: one row per (model, variant, distribution) leaves each task.
 """
 
 from __future__ import annotations
@@ -20,115 +21,98 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
-from ..functions.text import bleu_tokens, rouge_tokens
+from ..functions.text import bleu_tokens, ngrams, rouge_tokens
 
 GROUP = ["model_id", "variant", "distribution"]
 ROUGE_KEYS = ["rouge1", "rouge2", "rougeL", "rougeLsum"]
 ALL_METRICS = ROUGE_KEYS + ["bleu"]
 
-STATS_SCHEMA = ("r1_hit long, r2_hit long, lcs long, lsum_hit long, "
-                "b1 long, b2 long, b3 long, b4 long")
+LENGTHS = ["r_pred_len", "r_ref_len", "r2_pred_len", "r2_ref_len", "lsum_pred_len", "lsum_ref_len", "sys_len", "ref_len"]
+HITS = ["r1_hit", "r2_hit", "b1", "b2", "b3", "b4"]
+STATS_SCHEMA = "lcs long, lsum_hit long"
 
 
 # ------------------------------------------------------------------ per-row kernels
-def clipped_overlap(a, b) -> int:
-    """sum over grams of min(count in a, count in b)."""
-    if len(a) == 0 or len(b) == 0:
-        return 0
-    ca, cb = Counter(a), Counter(b)
-    if len(ca) > len(cb):
-        ca, cb = cb, ca
-    return sum(min(v, cb[k]) for k, v in ca.items() if k in cb)
+def clipped_overlap(a: Column, b: Column) -> Column:
+    """sum over grams of min(count in a, count in b), for two arrays of strings.
 
+    Sorted by (gram, side), the grams of ``a`` come first in each run: they are
+    counted, and every gram of ``b`` uses one up."""
+    def tagged(x: Column, side: int) -> Column:
+        return F.transform(x, lambda g: F.struct(g.alias("g"), F.lit(side).alias("side")))
 
-def grams(tokens, n: int):
-    t = list(tokens)
-    return [" ".join(t[i:i + n]) for i in range(len(t) - n + 1)] if n > 1 else t
+    def step(acc: Column, x: Column) -> Column:
+        left = F.when(acc["g"].eqNullSafe(x["g"]), acc["left"]).otherwise(F.lit(0))
+        hit = (x["side"] == 1) & (left > 0)
+        return F.struct(x["g"].alias("g"), (left + F.when(x["side"] == 0, 1).when(hit, -1).otherwise(0)).alias("left"),
+                        (acc["hits"] + F.when(hit, 1).otherwise(0)).alias("hits"))
 
+    start = F.struct(F.lit(None).cast("string").alias("g"), F.lit(0).alias("left"), F.lit(0).alias("hits"))
+    both = F.sort_array(F.concat(tagged(a, 0), tagged(b, 1)))
+    return F.aggregate(both, start, step)["hits"].cast("long")
 
-def lcs_length(a, b) -> int:
-    """Bit-parallel LCS length (Hyyro 2004): O(|b| * |a| / wordsize)."""
-    m = len(a)
-    if m == 0 or len(b) == 0:
-        return 0
+
+def _lcs_rows(a, b) -> tuple[list[int], int]:
+    """Bit rows of the LCS table, one per token of ``b``: bit i is 0 where the length grows at a[i] (Hyyro 2004)."""
     masks: dict = {}
     for i, tok in enumerate(a):
         masks[tok] = masks.get(tok, 0) | (1 << i)
-    full = (1 << m) - 1
-    v = full
+    full = (1 << len(a)) - 1
+    v, rows = full, []
     for tok in b:
         u = v & masks.get(tok, 0)
         v = ((v + u) | (v - u)) & full
-    return m - bin(v).count("1")
-
-
-def lcs_indices(ref, cand) -> list[int]:
-    """Indices into ``ref`` of one LCS, by the standard table backtrack."""
-    r, c = len(ref), len(cand)
-    t = [[0] * (c + 1) for _ in range(r + 1)]
-    for i in range(1, r + 1):
-        ri, row, prev = ref[i - 1], t[i], t[i - 1]
-        for j in range(1, c + 1):
-            row[j] = prev[j - 1] + 1 if ri == cand[j - 1] else max(prev[j], row[j - 1])
-    i, j, out = r, c, []
-    while i > 0 and j > 0:
+        rows.append(v)
+    return rows, full
+
+
+def lcs_length(a, b) -> int:
+    """Length of the longest common subsequence: |a| * |b| / wordsize steps."""
+    if len(a) == 0 or len(b) == 0:
+        return 0
+    rows, full = _lcs_rows(a, b)
+    return len(a) - (rows[-1] & full).bit_count()
+
+
+def lcs_positions(ref, cand) -> list[int]:
+    """Positions in ``ref`` of one longest common subsequence, read off the bit rows from the end:
+    where the length does not grow at a position, that position is left out."""
+    if len(ref) == 0 or len(cand) == 0:
+        return []
+    rows, _ = _lcs_rows(ref, cand)
+    i, j, out = len(ref), len(cand), []
+    while i and j:
         if ref[i - 1] == cand[j - 1]:
-            out.append(i - 1)
+            i, j = i - 1, j - 1
+            out.append(i)
+        elif rows[j - 1] >> (i - 1) & 1:
             i -= 1
-            j -= 1
-        elif t[i][j - 1] > t[i - 1][j]:
-            j -= 1
         else:
-            i -= 1
-    out.reverse()
-    return out
+            j -= 1
+    return out[::-1]
 
 
 def union_lcs_hits(ref_lines, pred_lines) -> int:
-    """Summary-level LCS hits: union of LCS positions per reference line, clipped by counts."""
-    ref_lines = [list(x) for x in ref_lines]
-    pred_lines = [list(x) for x in pred_lines]
-    if not ref_lines or not pred_lines:
-        return 0
-    if sum(map(len, ref_lines)) == 0 or sum(map(len, pred_lines)) == 0:
-        return 0
-    if len(ref_lines) == 1 and len(pred_lines) == 1:
-        return lcs_length(ref_lines[0], pred_lines[0])
-    cnt_r = Counter(t for s in ref_lines for t in s)
-    cnt_p = Counter(t for s in pred_lines for t in s)
+    """Summary-level LCS hits: per reference line the union of its common positions with every
+    predicted line; a token hits at most as often as the prediction has it."""
+    ref_lines, pred_lines = [list(x) for x in ref_lines], [list(x) for x in pred_lines]
+    left = Counter(t for line in pred_lines for t in line)
     hits = 0
-    for r in ref_lines:
-        union: set[int] = set()
-        for p in pred_lines:
-            union.update(lcs_indices(r, p))
-        for i in sorted(union):
-            tok = r[i]
-            if cnt_p[tok] > 0 and cnt_r[tok] > 0:
-                hits += 1
-                cnt_p[tok] -= 1
-                cnt_r[tok] -= 1
+    for ref in ref_lines:
+        found = set().union(*(lcs_positions(ref, line) for line in pred_lines))
+        for tok, n in Counter(ref[i] for i in found).items():
+            n = min(n, left[tok])
+            left[tok] -= n
+            hits += n
     return hits
 
 
-def _row_stats(rp, rr, rpl, rrl, bp, br, want) -> tuple:
-    rp, rr = list(rp), list(rr)
-    r1 = clipped_overlap(rp, rr) if "rouge1" in want else 0
-    r2 = clipped_overlap(grams(rp, 2), grams(rr, 2)) if "rouge2" in want else 0
-    lcs = lcs_length(rr, rp) if "rougeL" in want else 0
-    lsum = union_lcs_hits(rrl, rpl) if "rougeLsum" in want else 0
-    b = [0, 0, 0, 0]
-    if "bleu" in want:
-        bp, br = list(bp), list(br)
-        b = [clipped_overlap(grams(bp, n), grams(br, n)) for n in range(1, 5)]
-    return (r1, r2, lcs, lsum, *b)
-
-
-def _stats_udf(want: frozenset):
+def _lcs_udf(want: frozenset):
     @pandas_udf(STATS_SCHEMA)
-    def stats(rp: pd.Series, rr: pd.Series, rpl: pd.Series, rrl: pd.Series,
-              bp: pd.Series, br: pd.Series) -> pd.DataFrame:
-        rows = [_row_stats(*vals, want) for vals in zip(rp, rr, rpl, rrl, bp, br)]
-        return pd.DataFrame(rows, columns=["r1_hit", "r2_hit", "lcs", "lsum_hit", "b1", "b2", "b3", "b4"])
+    def stats(rp: pd.Series, rr: pd.Series, rpl: pd.Series, rrl: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame({
+            "lcs": [lcs_length(r, p) if "rougeL" in want else 0 for p, r in zip(rp, rr)],
+            "lsum_hit": [union_lcs_hits(r, p) if "rougeLsum" in want else 0 for p, r in zip(rpl, rrl)]})
     return stats
 
 
@@ -170,16 +154,23 @@ def example_stats(predictions: DataFrame, metrics=ALL_METRICS) -> DataFrame:
         (ref("ref_line_tokens") if "rougeLsum" in want else empty2).alias("_rrl"),
         (bleu_tokens(F.col("prediction")) if "bleu" in want else empty).alias("_bp"),
         (ref("ref_bleu_tokens") if "bleu" in want else empty).alias("_br"))
-    st = _stats_udf(want)("_rp", "_rr", "_rpl", "_rrl", "_bp", "_br")
-    lens = [F.size("_rp").alias("r_pred_len"), F.size("_rr").alias("r_ref_len"),
-            F.greatest(F.size("_rp") - 1, F.lit(0)).alias("r2_pred_len"),
-            F.greatest(F.size("_rr") - 1, F.lit(0)).alias("r2_ref_len"),
-            F.aggregate("_rpl", F.lit(0), lambda a, x: a + F.size(x)).alias("lsum_pred_len"),
-            F.aggregate("_rrl", F.lit(0), lambda a, x: a + F.size(x)).alias("lsum_ref_len"),
-            F.size("_bp").alias("sys_len"), F.size("_br").alias("ref_len")]
-    return with_tokens.select(*predictions.columns, *lens, st.alias("s")).select(
-        *predictions.columns, *[c for c in ["r_pred_len", "r_ref_len", "r2_pred_len", "r2_ref_len",
-                                            "lsum_pred_len", "lsum_ref_len", "sys_len", "ref_len"]], "s.*")
+    zero = F.lit(0).cast("long")
+    if want & {"rougeL", "rougeLsum"}:
+        lcs = _lcs_udf(want)("_rp", "_rr", "_rpl", "_rrl")
+    else:
+        lcs = F.struct(zero.alias("lcs"), zero.alias("lsum_hit"))
+
+    def overlap(pred: str, ref_: str, n: int, metric: str) -> Column:
+        return clipped_overlap(ngrams(F.col(pred), n), ngrams(F.col(ref_), n)) if metric in want else zero
+
+    hits = [overlap("_rp", "_rr", 1, "rouge1").alias("r1_hit"), overlap("_rp", "_rr", 2, "rouge2").alias("r2_hit"),
+            *[overlap("_bp", "_br", n, "bleu").alias(f"b{n}") for n in range(1, 5)]]
+    lens = [F.size("_rp"), F.size("_rr"), F.greatest(F.size("_rp") - 1, F.lit(0)), F.greatest(F.size("_rr") - 1, F.lit(0)),
+            F.aggregate("_rpl", F.lit(0), lambda a, x: a + F.size(x)),
+            F.aggregate("_rrl", F.lit(0), lambda a, x: a + F.size(x)), F.size("_bp"), F.size("_br")]
+    counted = [c.alias(n) for c, n in zip(lens, LENGTHS)]
+    return with_tokens.select(*predictions.columns, *counted, *hits, lcs.alias("_lcs")).select(
+        *predictions.columns, *LENGTHS, *HITS, "_lcs.*")
 
 
 # ------------------------------------------------------------------ scores

@@ -95,8 +95,9 @@ def q_fit_answerer(spark, d):
     "SELECT model_id, variant, distribution, example_id, observations, question, reference, prediction FROM preds",
     "preds"))
 def q_join_predictions_references(spark, d):
-    preds = ev.predictions(examples(spark, d)).select(*KEY4, "prediction")
-    return generate.join_predictions_references(preds, _inputs(spark, d))
+    ex = examples(spark, d)
+    preds = ev.predictions(ex).select(*KEY4, "prediction")
+    return generate.join_predictions_references(preds, generate.validation_inputs(parse_prompt(ex)))
 
 
 def _metric_sql(name: str) -> str:

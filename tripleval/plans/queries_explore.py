@@ -62,16 +62,13 @@ def q_rank_global(spark, d):
     return rank_global(_trip(spark, d).select("triplet_id", "form"), ["triplet_id"], rank_col="item")
 
 
-@register("page_slice", sql(f"""SELECT triplet_id, form, item,
-    'Showing items {(PAGE - 1) * PAGE_SIZE + 1}-' || CAST(least({PAGE * PAGE_SIZE}, n) AS VARCHAR) || ' of '
-        || CAST(n AS VARCHAR)
-        AS caption,
+@register("page_slice", sql(f"""SELECT {', '.join(TRIP)}, item, n AS total,
+    CAST({(PAGE - 1) * PAGE_SIZE + 1} AS BIGINT) AS first_item, least({PAGE * PAGE_SIZE}, n) AS last_item,
     CAST(floor((n - 1) / {PAGE_SIZE}) + 1 AS BIGINT) AS pages
-    FROM (SELECT triplet_id, form, row_number() OVER (ORDER BY triplet_id) AS item, count(*) OVER () AS n FROM id_trip)
+    FROM (SELECT *, row_number() OVER (ORDER BY triplet_id) AS item, count(*) OVER () AS n FROM id_trip)
     WHERE item BETWEEN {(PAGE - 1) * PAGE_SIZE + 1} AND {PAGE * PAGE_SIZE}""", "id_trip"))
 def q_page_slice(spark, d):
-    numbered = explore.number_items(_trip(spark, d).select("triplet_id", "form"))
-    return explore.page_slice(numbered, PAGE, PAGE_SIZE)
+    return explore.page_slice(_trip(spark, d).select(*TRIP), PAGE, PAGE_SIZE)
 
 
 @register("jump_to_page", sql(f"""SELECT triplet_id, item, CAST(floor((item - 1) / {JUMP_SIZE}) + 1 AS BIGINT) AS page
@@ -82,9 +79,7 @@ def q_jump_to_page(spark, d):
                            explore.jump_to_page(F.col("item"), JUMP_SIZE).cast("bigint").alias("page"))
 
 
-@register("first_n", sql(f"""SELECT {', '.join(TRIP)}, total, least({FIRST_N}, total) AS shown,
-    CASE WHEN total > {FIRST_N} THEN 'Showing {FIRST_N} of ' || CAST(total AS VARCHAR)
-         || ' results. Use Export tab to get all.' END AS caption FROM
+@register("first_n", sql(f"""SELECT {', '.join(TRIP)}, total, least({FIRST_N}, total) AS shown FROM
     (SELECT *, count(*) OVER () AS total FROM id_trip WHERE form = 'de') ORDER BY triplet_id LIMIT {FIRST_N}""",
                          "id_trip"))
 def q_first_n(spark, d):

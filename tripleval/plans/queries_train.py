@@ -14,26 +14,22 @@ MAX_LEN = encode.MAX_LEN
 BATCH = 8
 
 
-def _train(spark, d):
-    return examples(spark, d).where(F.col("split") == "train").select("example_id", "prompt", "response")
+def _train(ex):
+    return ex.where(F.col("split") == "train").select("example_id", "prompt", "response")
 
 
-def _val(spark, d):
-    return (examples(spark, d).where(F.col("split").isin("id_val", "od_val"))
-            .select("dataset", "example_id", "prompt", "response"))
-
-
-def _vocab(spark, d):
-    return encode.build_vocab(_train(spark, d))
+def _val(ex):
+    return ex.where(F.col("split").isin("id_val", "od_val")).select("dataset", "example_id", "prompt", "response")
 
 
 def _encoded(spark, d):
-    return encode.encode_examples(_train(spark, d), _vocab(spark, d))
+    train = _train(examples(spark, d))
+    return encode.encode_examples(train, encode.build_vocab(train))
 
 
 @register("build_vocab", sql("SELECT * FROM vocab", "vocab"))
 def q_build_vocab(spark, d):
-    return _vocab(spark, d)
+    return encode.build_vocab(_train(examples(spark, d)))
 
 
 @register("encode_examples", sql("SELECT * FROM enc", "enc"))
@@ -72,7 +68,8 @@ def q_pad_batches(spark, d):
     CASE WHEN len(prompt_ids) > {MAX_LEN} THEN list_slice(prompt_ids, 1, {MAX_LEN}) ELSE prompt_ids END AS ids_head
     FROM enc_val""", "enc_val"))
 def q_truncate_inference_prompt(spark, d):
-    enc = encode.encode_examples(_val(spark, d), _vocab(spark, d), keys=("dataset", "example_id"))
+    ex = examples(spark, d)
+    enc = encode.encode_examples(_val(ex), encode.build_vocab(_train(ex)), keys=("dataset", "example_id"))
     return enc.select("dataset", "example_id",
                       encode.truncate_inference_prompt(F.col("prompt_ids"), MAX_LEN, "tail").alias("ids_tail"),
                       encode.truncate_inference_prompt(F.col("prompt_ids"), MAX_LEN, "head").alias("ids_head"))
