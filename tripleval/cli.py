@@ -37,6 +37,13 @@ def _session(master: str | None) -> SparkSession:
     return b.config("spark.sql.adaptive.enabled", "true").getOrCreate()
 
 
+def _show(df: DataFrame) -> None:
+    """Print all rows, a partition at a time: tables of one row per model, metric or form."""
+    print("\t".join(df.columns))
+    for row in df.toLocalIterator():
+        print("\t".join(str(v) for v in row))
+
+
 def _facts_paths(spec: str) -> dict[str, str]:
     out = {}
     for part in spec.split(","):
@@ -46,7 +53,10 @@ def _facts_paths(spec: str) -> dict[str, str]:
 
 
 def _read_triplets(spark: SparkSession, a) -> DataFrame:
-    return files.src_triplets_json(spark, a.triplets, multi_line=a.multi_line).drop("_corrupt_record")
+    records, bad = files.sound_records(files.src_triplets_json(spark, a.triplets, multi_line=a.multi_line))
+    if bad:
+        print(f"warning: {bad} malformed lines or files in {a.triplets} were left out", file=sys.stderr)
+    return records
 
 
 def _examples(spark: SparkSession, a) -> DataFrame:
@@ -54,7 +64,8 @@ def _examples(spark: SparkSession, a) -> DataFrame:
     ident = render_prompt(seeded_split(trip, "triplet_id", a.seed, a.val_fraction))
     if a.facts:
         fmt = "csv" if a.facts_format == "csv" else a.facts_format
-        opts = {"header": True, "multiLine": True, "escape": '"'} if fmt == "csv" else {}
+        opts = {"header": True, "multiLine": True, "escape": '"', "ignoreLeadingWhiteSpace": False,
+                "ignoreTrailingWhiteSpace": False} if fmt == "csv" else {}
         facts = files.src_fact_files(spark, _facts_paths(a.facts), fmt, **opts).withColumn(
             "fact_id", F.col("fact_id").cast("bigint"))
         ex = assemble_datasets(ident, render_prompt(facts_to_triplets(facts)))
@@ -68,7 +79,7 @@ def cmd_evaluate(spark: SparkSession, a) -> None:
     e = ev.evaluate_models(_examples(spark, a), models, skip_finetuning=a.skip_finetuning)
     writers.sink_predictions_jsonl(e.predictions, f"{a.out}/predictions")
     writers.sink_metrics_summary(e.comparison, f"{a.out}/metrics")
-    e.comparison.orderBy("model_id", "distribution", "metric").show(200, truncate=False)
+    _show(e.comparison.orderBy("model_id", "distribution", "metric"))
 
 
 def cmd_fleet(spark: SparkSession, a) -> None:
@@ -92,17 +103,17 @@ def cmd_explore(spark: SparkSession, a) -> None:
     if a.what == "stats":
         explore.dataset_stats(trip).show(truncate=False)
     elif a.what == "distribution":
-        explore.form_distribution(trip).show(1000, truncate=False)
+        _show(explore.form_distribution(trip))
     elif a.what == "lengths":
         explore.length_table(trip).show()
     elif a.what == "forms":
-        explore.sorted_forms(trip).orderBy("position").show(1000, truncate=False)
+        _show(explore.sorted_forms(trip).orderBy("position"))
     elif a.what == "page":
         page = explore.page_slice(trip, a.page, a.size)
-        page.orderBy("item").show(a.size, truncate=80, vertical=True)
+        page.orderBy("item").show(a.size, truncate=False, vertical=True)
     elif a.what == "filter":
-        explore.first_n(explore.filter_by_form(trip, a.form), ["triplet_id"], a.n).show(a.n, truncate=80,
-                                                                                         vertical=True)
+        explore.first_n(explore.filter_by_form(trip, a.form), ["triplet_id"], a.n).show(
+            a.n, truncate=False, vertical=True)
     elif a.what == "export":
         form = None if a.form in (None, "All") else a.form
         if a.format == "json":

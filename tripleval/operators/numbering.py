@@ -57,24 +57,23 @@ def hash_bucket_cut(df: DataFrame, hash_col: str, tie_col: str, cut: Column, dig
 
     ``hash_col`` is a hex digest, so its first ``digits`` characters split the
     rows into 16**digits near-equal buckets.  Bucket sizes and their prefix sums
-    form a table of at most 16**digits rows (broadcast).  Buckets entirely below
-    or above the cut are decided directly; only the one bucket straddling the
-    cut is numbered with a window.  ``cut`` may reference ``_total``.
+    form a table of at most 16**digits rows; the one bucket that holds the
+    cut-th row is numbered, which gives that row's (hash, tie).  Both steps read
+    the two key columns alone; the rows themselves are compared with that one
+    value in a map-only projection.  ``cut`` may reference ``_total``.
     """
-    keyed = df.withColumn("_b", F.substring(hash_col, 1, digits))
-    sizes = keyed.groupBy("_b").agg(F.count(F.lit(1)).alias("_n"))
+    keys = df.select(F.col(hash_col).alias("_hash"), F.col(tie_col).alias("_tie"), F.substring(hash_col, 1, digits).alias("_b"))
+    sizes = keys.groupBy("_b").agg(F.count(F.lit(1)).alias("_n"))
     before = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    bounds = (sizes.select("_b", "_n",
-                           F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"),
+    bounds = (sizes.select("_b", "_n", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"),
                            F.sum("_n").over(Window.partitionBy()).alias("_total"))
-              .withColumn("_cut", cut.cast("bigint")))
-    j = keyed.join(F.broadcast(bounds), "_b")
-    straddle = (F.col("_start") < F.col("_cut")) & (F.col("_start") + F.col("_n") > F.col("_cut"))
-    direct = j.where(~straddle).withColumn(flag_col, F.col("_start") + F.col("_n") <= F.col("_cut"))
-    w = Window.partitionBy("_b").orderBy(hash_col, tie_col)
-    edge = (j.where(straddle)
-            .withColumn(flag_col, F.col("_start") + F.row_number().over(w) <= F.col("_cut")))
-    return direct.unionByName(edge).drop("_b", "_n", "_start", "_total", "_cut")
+              .withColumn("_cut", cut.cast("bigint"))
+              .where((F.col("_start") < F.col("_cut")) & (F.col("_start") + F.col("_n") >= F.col("_cut"))))
+    rank = F.row_number().over(Window.partitionBy("_b").orderBy("_hash", "_tie"))
+    last = (keys.join(F.broadcast(bounds), "_b").withColumn("_rank", F.col("_start") + rank)
+            .where(F.col("_rank") == F.col("_cut")).select(F.struct("_hash", "_tie").alias("_last")))
+    place = F.struct(F.col(hash_col).alias("_hash"), F.col(tie_col).alias("_tie"))
+    return df.withColumn(flag_col, F.coalesce(place <= last.scalar(), F.lit(False)))
 
 
 def progress_index(models: DataFrame, order_col: str = "idx") -> DataFrame:

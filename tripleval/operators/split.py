@@ -10,7 +10,8 @@ from .numbering import hash_bucket_cut
 
 def split_hash(id_col: str, seed: int) -> F.Column:
     """Shuffle key: md5 of ``'{seed}|{id}'`` (same digest in Spark and DuckDB)."""
-    return F.md5(F.concat(F.lit(f"{seed}|"), F.col(id_col).cast("string")))
+    text = F.coalesce(F.col(id_col).cast("string"), F.raise_error(F.lit(f"{id_col} must not be null: a row without id has no place")))
+    return F.md5(F.concat(F.lit(f"{seed}|"), text))
 
 
 def sql_split_hash(id_expr: str, seed: int) -> str:

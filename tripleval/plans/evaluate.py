@@ -28,10 +28,8 @@ VAL_FRACTION = 0.30
 
 def id_examples(spark: SparkSession, sf_dir: str, seed: int = SEED, val_fraction: float = VAL_FRACTION) -> DataFrame:
     """documents -> triplets -> seeded split -> rendered prompts."""
-    # the triplet source is written once: the split reads it in three passes
-    # (bucket sizes on the id column alone, decided buckets, the one straddling bucket)
-    trip = write_table(fixtures.id_triplets(spark, sf_dir), "id-triplets")
-    return render_prompt(seeded_split(trip, "triplet_id", seed, val_fraction))
+    # the split finds its threshold on the id column alone; the texts are read once
+    return render_prompt(seeded_split(fixtures.id_triplets(spark, sf_dir), "triplet_id", seed, val_fraction))
 
 
 def od_examples(spark: SparkSession, sf_dir: str) -> DataFrame:

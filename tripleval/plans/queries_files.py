@@ -33,6 +33,20 @@ def q_src_triplets_json(spark, d):
     return files.src_triplets_json(spark, path).select(*TRIP)
 
 
+@register("src_triplets_json_array", sql(f"""SELECT row_number() OVER (ORDER BY triplet_id) - 1 AS triplet_id,
+    {', '.join(TRIP[1:])} FROM id_trip""", "id_trip"))
+def q_src_triplets_json_array(spark, d):
+    """Files of one JSON array each, whose records have no id: positions in (file, position) order."""
+    path = scratch_path(spark, "triplets-json-array")
+    records = writers.export_records(fixtures.id_triplets(spark, d), None)
+    part = F.format_string("%012d", F.floor(F.col("id") / 500))
+    keys = [F.col(f"`{k}`") for k in files.TRIPLET_KEYS]
+    arrays = (records.groupBy(part.alias("part")).agg(F.sort_array(F.collect_list(F.struct("id", *keys))).alias("r"))
+              .select("part", F.to_json(F.transform("r", lambda r: r.dropFields("id"))).alias("value")))
+    arrays.repartition("part").write.mode("overwrite").partitionBy("part").text(path)
+    return files.src_triplets_json(spark, f"{path}/*/*.txt", multi_line=True).select(*TRIP)
+
+
 @register("export_json", sql(f"SELECT {', '.join(TRIP)} FROM id_trip WHERE form = 'fr'", "id_trip"))
 def q_export_json(spark, d):
     path = scratch_path(spark, "export-json")
@@ -46,7 +60,7 @@ _TRIPLET_CSV = T.StructType([T.StructField("id", T.LongType()), T.StructField("f
 
 
 def _read_triplet_csv(spark, path):
-    return files.src_csv(spark, path, _TRIPLET_CSV).select(
+    return files.src_csv(spark, path, _TRIPLET_CSV, na_values=()).select(
         F.col("id").alias("triplet_id"), "form", F.col("`Training Observations`").alias("observations"),
         F.col("Question").alias("question"), F.col("Answer").alias("answer"))
 
@@ -89,7 +103,8 @@ def q_src_fact_files(spark, d):
         paths[split] = f"{base}/{split}"
         writers.sink_csv(f.where(F.col("file_split") == split).select(*[F.col(f"`{c}`") for c in cols]),
                          paths[split])
-    out = files.src_fact_files(spark, paths, "csv", header=True, multiLine=True, escape='"')
+    out = files.src_fact_files(spark, paths, "csv", header=True, multiLine=True, escape='"',
+                               ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
     return out.select(F.col("fact_id").cast("bigint").alias("fact_id"), "file_split",
                       *[F.col(f"`{c}`") for c in _FACT_OUT[1:]])
 
@@ -142,26 +157,30 @@ def q_src_metric_files(spark, d):
     FROM comparison""", "comparison"))
 def q_sink_metrics_summary(spark, d):
     df = spark.read.schema(files.METRICS_SUMMARY_SCHEMA).json(f"{_metric_files(spark, d)}/*/*.json") \
-        .withColumn("model_dir", F.regexp_extract(F.col("_metadata.file_path"), r"model_dir=([^/]+)/[^/]+$", 1))
+        .withColumnRenamed("model_id", "model_dir")
     rows = [F.struct(F.lit(dist).alias("distribution"), F.lit(m).alias("metric"),
                      F.col(f"{block}.improvements.{m}").alias("improvement"))
             for dist, block in (("id", "in_distribution"), ("od", "out_of_distribution")) for m in writers.METRICS]
     return df.select("model_dir", F.explode(F.array(*rows)).alias("r")).select("model_dir", "r.*")
 
 
-@register("export_markdown", sql(f"""SELECT 0 AS item, '# IR-Triplet Export: {MD_FORM}' || chr(10) AS block
+@register("export_markdown", sql(f"""SELECT unnest(string_split(block, chr(10))) AS line FROM (
+    SELECT '# IR-Triplet Export: {MD_FORM}' || chr(10) AS block
     UNION ALL
-    SELECT item, concat_ws(chr(10),
+    SELECT concat_ws(chr(10),
         chr(10) || '## Triplet ' || CAST(item AS VARCHAR) || chr(10),
         '**Form:** ' || coalesce(form, 'None') || chr(10),
         chr(10) || '**Observations:**' || chr(10) || observations || chr(10),
         chr(10) || '**Question:**' || chr(10) || question || chr(10),
         chr(10) || '**Answer:**' || chr(10) || answer || chr(10),
         chr(10) || '---' || chr(10)) AS block
-    FROM (SELECT *, row_number() OVER (ORDER BY triplet_id) AS item FROM id_trip WHERE form = '{MD_FORM}')""",
+    FROM (SELECT *, row_number() OVER (ORDER BY triplet_id) AS item FROM id_trip WHERE form = '{MD_FORM}'))""",
                                  "id_trip"))
 def q_export_markdown(spark, d):
-    return writers.export_markdown(fixtures.id_triplets(spark, d), MD_FORM, scratch_path(spark, "export-md"))
+    """The lines of the written files."""
+    path = scratch_path(spark, "export-md")
+    writers.export_markdown(fixtures.id_triplets(spark, d), MD_FORM, path)
+    return spark.read.text(path).select(F.col("value").alias("line"))
 
 
 @register("export_file_name", sql(f"""SELECT form, ext, {sql_export_file_name('form', 'ext')} AS file_name FROM
@@ -179,7 +198,7 @@ def q_stream_run_summary(spark, d):
     """Run records land as several files; the stream's final state equals the batch counts."""
     base = scratch_path(spark, "stream")
     runs_dir, out_dir = f"{base}/runs", f"{base}/summary"
-    fixtures.runs(spark, d).repartitionByRange(4, "run_id").write.mode("overwrite").parquet(runs_dir)
+    fixtures.runs(spark, d).repartitionByRange("run_id").write.mode("overwrite").parquet(runs_dir)
     q = stream_run_summary(spark, runs_dir, f"{base}/checkpoint", out_dir)
     q.awaitTermination()
     if q.exception() is not None:

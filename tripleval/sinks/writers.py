@@ -10,7 +10,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.models import export_file_name
 from ..operators.numbering import rank_global
 
 METRICS = ["rouge1", "rouge2", "rougeL", "rougeLsum", "bleu"]
@@ -53,13 +52,20 @@ def metrics_summary(comparison: DataFrame, spectra: DataFrame | None = None) ->
     return g.withColumn("timestamp", F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"))
 
 
+def folder_name(model_id: F.Column) -> F.Column:
+    """A model's folder: its id, or where that has other characters, a plain form and eight digits of its hash."""
+    plain = F.regexp_replace(model_id, "[^A-Za-z0-9._-]", "_")
+    return F.when(plain == model_id, plain).otherwise(
+        F.concat(plain, F.lit("-"), F.substring(F.md5(model_id.cast("binary")), 1, 8)))
+
+
 def sink_metrics_summary(comparison: DataFrame, path: str, spectra: DataFrame | None = None,
                          dir_col: F.Column | None = None) -> None:
-    """``path/model_dir=<dir>/part-*.json``: the nested summary of each model (null blocks are
-    omitted by the JSON writer); ``src_metric_files`` reads the folder name back."""
+    """``path/model_dir=<dir>/part-*.json``: one file with the nested summary of each model, which names
+    its ``model_id`` (null blocks are omitted by the JSON writer)."""
     s = metrics_summary(comparison, spectra)
-    d = dir_col if dir_col is not None else F.regexp_replace(F.col("model_id"), "[^A-Za-z0-9._-]", "_")
-    s.withColumn("model_dir", d).write.mode("overwrite").partitionBy("model_dir").json(path)
+    d = dir_col if dir_col is not None else folder_name(F.col("model_id"))
+    s.withColumn("model_dir", d).repartition("model_dir").write.mode("overwrite").partitionBy("model_dir").json(path)
 
 
 def sink_batch_summary(runs: DataFrame, path: str) -> None:
@@ -75,8 +81,9 @@ def sink_batch_summary(runs: DataFrame, path: str) -> None:
 
 
 def sink_csv(df: DataFrame, path: str) -> None:
-    """Header CSV, quotes doubled inside quoted fields (readable by pandas)."""
-    df.write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
+    """Header CSV, quotes doubled inside quoted fields (readable by pandas); white space is kept."""
+    (df.write.mode("overwrite").option("header", True).option("escape", '"')
+     .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path))
 
 
 def export_records(triplets: DataFrame, form: str | None) -> DataFrame:
@@ -95,7 +102,9 @@ def export_csv(triplets: DataFrame, form: str | None, path: str) -> None:
 
 
 def markdown_blocks(triplets: DataFrame, form: str | None, order_col: str = "triplet_id") -> DataFrame:
-    """(item, block): item 0 is the title, item i the i-th triplet rendered as Markdown."""
+    """(item, block): item 0 is the title, item i the i-th triplet rendered as Markdown.
+
+    The headings are fixed values of the export format."""
     sel = triplets if form in (None, "All") else triplets.where(F.col("form") == form)
     numbered = rank_global(sel, [order_col], rank_col="item")
     nl = "\n"
@@ -111,13 +120,7 @@ def markdown_blocks(triplets: DataFrame, form: str | None, order_col: str = "tri
     return title.unionByName(numbered.select(F.col("item").cast("long"), block.alias("block")))
 
 
-def export_markdown(triplets: DataFrame, form: str | None, path: str) -> DataFrame:
-    """Write the blocks in item order (range-partitioned files); returns the rendered blocks."""
+def export_markdown(triplets: DataFrame, form: str | None, path: str) -> None:
+    """Write the blocks in item order (range-partitioned files)."""
     blocks = markdown_blocks(triplets, form)
     blocks.repartitionByRange("item").sortWithinPartitions("item").select("block").write.mode("overwrite").text(path)
-    return blocks
-
-
-def export_name(form: F.Column, ext: str) -> F.Column:
-    """Download name of an export: ``ir_triplets_{form}.{ext}``."""
-    return export_file_name(form, F.lit(ext))

@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..operators.numbering import rank_global
+from ..session import write_table
 from .fixtures import FACT_COLS
 
 # Keys of a triplet record (fixed values of the file format).
@@ -44,7 +46,7 @@ DIST_BLOCK = T.StructType([T.StructField("baseline", METRIC_BLOCK), T.StructFiel
                            T.StructField("improvements", METRIC_BLOCK)])
 MAP = T.MapType(T.StringType(), T.DoubleType())
 METRICS_SUMMARY_SCHEMA = T.StructType([
-    T.StructField("timestamp", T.StringType()),
+    T.StructField("model_id", T.StringType()), T.StructField("timestamp", T.StringType()),
     T.StructField("in_distribution", DIST_BLOCK),
     T.StructField("out_of_distribution", DIST_BLOCK),
     T.StructField("weightwatcher", T.StructType([T.StructField("baseline", MAP), T.StructField("finetuned", MAP),
@@ -80,30 +82,49 @@ TRIPLET_RECORD = T.StructType([f for f in TRIPLET_JSON_SCHEMA.fields if f.name !
 
 
 def src_triplets_json(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
-    """Triplet records.
-
-    JSON lines (default, splittable): ``id`` comes from the record; malformed
-    lines keep ``_corrupt_record``.  ``multi_line``: one JSON array per file, as
-    existing datasets are stored.  Each file is parsed by one task (the format
-    is one document); a record without ``id`` takes its position, numbered
-    globally in (file, position) order, so the dataset order is kept.
+    """Triplet records; ``_corrupt_record`` keeps the text of a malformed line or file (null otherwise).
+
+    JSON lines (default, splittable) or, with ``multi_line``, one JSON array per
+    file, as existing datasets are stored (one task per file; the format is one
+    document).  A record without ``id`` takes its position, numbered globally in
+    (file, position) order, so that the dataset order is kept; the numbering is
+    only planned when such records exist.  A malformed file is one row with
+    nothing but ``_corrupt_record``: it is never dropped here.
     """
     if not multi_line:
         df = (spark.read.schema(TRIPLET_JSON_SCHEMA).option("mode", "PERMISSIVE")
-              .option("columnNameOfCorruptRecord", "_corrupt_record").json(path))
+              .option("columnNameOfCorruptRecord", "_corrupt_record").json(path)
+              .select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_start"),
+                      F.monotonically_increasing_id().alias("_line")))
     else:
-        from ..operators.numbering import rank_global
-        raw = spark.read.text(path, wholetext=True).select(
-            F.col("_metadata.file_path").alias("_file"), "value")
-        recs = raw.select("_file", F.posexplode(F.from_json("value", T.ArrayType(TRIPLET_RECORD))).alias("_pos", "r"))
-        numbered = rank_global(recs.select("_file", "_pos", "r.*"), ["_file", "_pos"], rank_col="_item", start=0)
-        df = (numbered.withColumn("id", F.coalesce(F.col("id"), F.col("_item")))
-              .withColumn("_corrupt_record", F.lit(None).cast("string")))
+        raw = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("_file"), "value")
+        parsed = raw.withColumn("_records", F.from_json("value", T.ArrayType(TRIPLET_RECORD)))
+        good = parsed.where(F.col("_records").isNotNull()).select(
+            "_file", F.lit(0).cast("bigint").alias("_start"), F.posexplode("_records").alias("_line", "r"))
+        good = good.select("r.*", F.lit(None).cast("string").alias("_corrupt_record"), "_file", "_start",
+                           F.col("_line").cast("bigint").alias("_line"))
+        bad = parsed.where(F.col("_records").isNull()).select(
+            F.col("value").alias("_corrupt_record"), "_file", F.lit(0).cast("bigint").alias("_start"),
+            F.lit(0).cast("bigint").alias("_line"))
+        df = good.unionByName(bad, allowMissingColumns=True)
+    df = write_table(df, "triplet-records")
+    unnumbered = F.col("id").isNull() & F.col("_corrupt_record").isNull()
+    if not df.where(unnumbered).isEmpty():
+        sound = df.where(F.col("_corrupt_record").isNull())
+        numbered = rank_global(sound, ["_file", "_start", "_line"], rank_col="_item", start=0)
+        df = numbered.withColumn("id", F.coalesce(F.col("id"), F.col("_item"))).drop("_item").unionByName(
+            df.where(F.col("_corrupt_record").isNotNull()))
     return df.select(F.col("id").alias("triplet_id"), F.lit("id").alias("dataset"), "form",
                      F.col("`Training Observations`").alias("observations"),
                      F.col("Question").alias("question"), F.col("Answer").alias("answer"), "_corrupt_record")
 
 
+def sound_records(records: DataFrame) -> tuple[DataFrame, int]:
+    """The records that could be read, and how many lines or files could not."""
+    bad = records.where(F.col("_corrupt_record").isNotNull()).count()
+    return records.where(F.col("_corrupt_record").isNull()).drop("_corrupt_record"), bad
+
+
 def src_fact_files(spark: SparkSession, paths: dict[str, str], fmt: str = "parquet", **options) -> DataFrame:
     """One logical fact table from several files, concatenated in the given order and
     aligned by column name (missing columns are null); ``file_split`` keeps provenance."""
@@ -122,6 +143,8 @@ def src_csv(spark: SparkSession, path: str, schema: T.StructType, na_values=PAND
 
     String fields equal to one of ``na_values`` become null, as pandas reads them."""
     df = (spark.read.option("header", True).option("multiLine", True).option("escape", '"')
+          .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)
+          .option("nullValue", "\u0000")      # a field without quotes and text is null, "" an empty text
           .schema(schema).csv(path))
     if not na_values:
         return df
@@ -144,10 +167,12 @@ def src_summary_header(spark: SparkSession, path: str) -> DataFrame:
 
 
 def src_metric_files(spark: SparkSession, path_glob: str) -> DataFrame:
-    """Metrics summaries of many model folders -> long (model_dir, distribution, variant, metric, value)."""
+    """Metrics summaries of many model folders -> long (model_dir, distribution, variant, metric, value).
+
+    ``model_dir`` is the model's id where the summary names it, else its folder's name."""
     # one summary object per file, possibly pretty-printed over several lines
     df = spark.read.schema(METRICS_SUMMARY_SCHEMA).option("multiLine", True).json(path_glob).withColumn(
-        "model_dir", F.regexp_extract(F.col("_metadata.file_path"), r"/(?:[^/=]+=)?([^/=]+)/[^/]+$", 1))
+        "model_dir", F.coalesce("model_id", F.regexp_extract(F.col("_metadata.file_path"), r"/(?:[^/=]+=)?([^/=]+)/[^/]+$", 1)))
     rows = []
     for dist, block in (("id", "in_distribution"), ("od", "out_of_distribution")):
         for variant in ("baseline", "finetuned"):

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
+from ..operators.compare import signed
 from ..session import cpu_partitions
 
 RUN_SCHEMA = T.StructType([
@@ -27,6 +28,15 @@ RUN_SCHEMA = T.StructType([
     T.StructField("output_dir", T.StringType())])
 
 
+def _stream_session(spark: SparkSession, state_partitions: int | None) -> SparkSession:
+    """A session of its own for a stream: the number of state partitions is fixed from
+    ``spark.sql.shuffle.partitions`` when a query first starts, and the caller's settings stay."""
+    own = spark.newSession()
+    own.conf.set("spark.sql.session.timeZone", spark.conf.get("spark.sql.session.timeZone"))
+    own.conf.set("spark.sql.shuffle.partitions", str(state_partitions or cpu_partitions(spark)))
+    return own
+
+
 def status_counts_stream(spark: SparkSession, runs_dir: str, watermark: str = "1 day",
                          max_files_per_trigger: int = 64) -> DataFrame:
     runs = spark.readStream.schema(RUN_SCHEMA).option("maxFilesPerTrigger", max_files_per_trigger).parquet(runs_dir)
@@ -43,19 +53,12 @@ def stream_run_summary(spark: SparkSession, runs_dir: str, checkpoint: str, out_
     def write(batch: DataFrame, _epoch: int) -> None:
         batch.coalesce(1).write.mode("overwrite").parquet(out_dir)
 
-    # The state-store partition count is fixed from spark.sql.shuffle.partitions when
-    # a query first starts (then kept in its checkpoint); size it for this query.
-    key = "spark.sql.shuffle.partitions"
-    before = spark.conf.get(key)
-    spark.conf.set(key, str(state_partitions or cpu_partitions(spark)))
-    try:
-        writer = (status_counts_stream(spark, runs_dir, max_files_per_trigger=max_files_per_trigger)
-                  .writeStream.outputMode("complete")
-                  .option("checkpointLocation", checkpoint).foreachBatch(write))
-        writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="10 seconds")
-        return writer.start()
-    finally:
-        spark.conf.set(key, before)
+    own = _stream_session(spark, state_partitions)
+    writer = (status_counts_stream(own, runs_dir, max_files_per_trigger=max_files_per_trigger)
+              .writeStream.outputMode("complete")
+              .option("checkpointLocation", checkpoint).foreachBatch(write))
+    writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="10 seconds")
+    return writer.start()
 
 
 RESULT_STREAM_SCHEMA = T.StructType([
@@ -80,7 +83,7 @@ def improvement_stream(spark: SparkSession, results_dir: str, metrics=IMPROVEMEN
     results = spark.readStream.schema(RESULT_STREAM_SCHEMA).json(results_dir)
     latest = (results.where(F.col("status") == "success")
               .groupBy("model_id").agg(F.max_by("metrics", "run_id").alias("m")))
-    return latest.select("model_id", *[F.format_string("%+.4f", F.col("m")[f"id.delta.{k}"]).alias(f"delta_{k}")
+    return latest.select("model_id", *[signed(F.col("m")[f"id.delta.{k}"]).alias(f"delta_{k}")
                                        for k in metrics])
 
 
@@ -90,13 +93,8 @@ def stream_improvement_table(spark: SparkSession, results_dir: str, checkpoint:
     def write(batch: DataFrame, _epoch: int) -> None:
         batch.coalesce(1).write.mode("overwrite").parquet(out_dir)
 
-    key = "spark.sql.shuffle.partitions"
-    before = spark.conf.get(key)
-    spark.conf.set(key, str(cpu_partitions(spark)))
-    try:
-        writer = (improvement_stream(spark, results_dir).writeStream.outputMode("complete")
-                  .option("checkpointLocation", checkpoint).foreachBatch(write))
-        writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="10 seconds")
-        return writer.start()
-    finally:
-        spark.conf.set(key, before)
+    own = _stream_session(spark, None)
+    writer = (improvement_stream(own, results_dir).writeStream.outputMode("complete")
+              .option("checkpointLocation", checkpoint).foreachBatch(write))
+    writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="10 seconds")
+    return writer.start()
