@@ -110,7 +110,7 @@ def test_fleet_rerun_is_idempotent(spark):
     path = tempfile.mkdtemp(prefix="tripleval-fleet-")
     run_fleet(spark, ex, ["m1", "m2"], predict, path)
     run_fleet(spark, ex, ["m2"], predict, path)          # resume / repeat of one model
-    counts = {r.model_id: r["count"] for r in spark.read.parquet(path).groupBy("model_id").count().collect()}
+    counts = {r.model_id: r["count"] for r in spark.read.parquet(f"{path}/predictions").groupBy("model_id").count().collect()}
     assert counts == {"m1": 1, "m2": 1}
 
 
@@ -136,3 +136,42 @@ def test_stream_improvement_table_equals_batch(spark, sf_dir):
     got = sorted(tuple(r) for r in spark.read.parquet(os.path.join(base, "out")).collect())
     expect = sorted(tuple(r) for r in improvement_table(comparison).collect())
     assert got == expect
+
+
+def _fleet_examples(spark):
+    return spark.createDataFrame([(1, "train", "p", "r")], "example_id long, split string, prompt string, response string")
+
+
+def test_fleet_resumes_models_without_success(spark):
+    from tripleval.plans.fleet import recorded_runs
+    calls = []
+
+    def predict(examples, model):
+        calls.append(model)
+        if model == "flaky" and calls.count("flaky") == 1:
+            raise RuntimeError("first try")
+        return spark.createDataFrame([(model, "baseline", "id", 1, "a b", "a b")],
+                                     "model_id string, variant string, distribution string, example_id long, "
+                                     "prediction string, reference string")
+
+    path = tempfile.mkdtemp(prefix="tripleval-fleet-")
+    models = ["one", "flaky", "two"]
+    runs, _ = run_fleet(spark, _fleet_examples(spark), models, predict, path, resume=True)
+    assert {r.model_id: r.status for r in runs.collect()} == {"one": "success", "flaky": "failed", "two": "success"}
+    runs, metrics = run_fleet(spark, _fleet_examples(spark), models, predict, path, resume=True)
+    assert calls == ["one", "flaky", "two", "flaky"]          # finished models are not run again
+    assert {r.model_id: r.status for r in runs.collect()} == dict.fromkeys(models, "success")
+    assert {r.model_id for r in metrics.collect()} == set(models)
+    assert recorded_runs(spark, path).count() == 4
+
+
+def test_own_generators_and_metrics_in_the_evaluation(spark, sf_dir):
+    from tripleval.plans import evaluate as ev
+    from tripleval.plans.queries_core import _echo_factory
+    ex = ev.examples(spark, sf_dir)
+    exact = {"exact": lambda p, r: (p == r).cast("double"), "length": lambda p, r: F.length(p)}
+    e = ev.evaluate_models(ex, ["echo", "mine"], generators={"mine": _echo_factory}, scorers=exact)
+    rows = {(r.model_id, r.variant, r.distribution, r.metric): r.value for r in e.metrics.collect()}
+    assert {k[3] for k in rows} == {"rouge1", "rouge2", "rougeL", "rougeLsum", "bleu", "exact", "length"}
+    for (model, *rest), value in rows.items():                # the own model says what the native one says
+        assert rows[("echo", *rest)] == value

@@ -13,6 +13,7 @@ page, the first N rows) are shown on the console.
 from __future__ import annotations
 
 import argparse
+import importlib
 import sys
 
 from pyspark.sql import DataFrame, SparkSession
@@ -74,22 +75,38 @@ def _examples(spark: SparkSession, a) -> DataFrame:
     return write_table(ex.drop("text"), "examples", ["split"])
 
 
+def _generators(specs: list[str]) -> dict:
+    """``model=module:factory`` options as model id -> factory."""
+    out = {}
+    for spec in specs:
+        model, _, place = spec.partition("=")
+        module, _, name = place.partition(":")
+        out[model] = getattr(importlib.import_module(module), name)
+    return out
+
+
 def cmd_evaluate(spark: SparkSession, a) -> None:
-    models = a.models.split(",") if a.models else list(NATIVE_GENERATORS)
-    e = ev.evaluate_models(_examples(spark, a), models, skip_finetuning=a.skip_finetuning)
+    generators = _generators(a.generator)
+    models = a.models.split(",") if a.models else [*NATIVE_GENERATORS, *generators]
+    e = ev.evaluate_models(_examples(spark, a), models, skip_finetuning=a.skip_finetuning, generators=generators)
     writers.sink_predictions_jsonl(e.predictions, f"{a.out}/predictions")
     writers.sink_metrics_summary(e.comparison, f"{a.out}/metrics")
     _show(e.comparison.orderBy("model_id", "distribution", "metric"))
 
 
 def cmd_fleet(spark: SparkSession, a) -> None:
-    model_list = a.models.split(",") if a.models else list(NATIVE_GENERATORS)
+    generators = _generators(a.generator)
+    model_list = a.models.split(",") if a.models else [*NATIVE_GENERATORS, *generators]
     registry = spark.createDataFrame([(i, m) for i, m in enumerate(model_list)], "idx int, model_id string")
     chosen = runs.select_by_index(registry, a.select, len(model_list))
     selected = [m for m in model_list if m in {r.model_id for r in chosen.select("model_id").collect()}]
     ex = _examples(spark, a)
-    run_log, metrics = run_fleet(spark, ex, selected)
+    run_log, metrics = run_fleet(spark, ex, selected, path=f"{a.out}/fleet", resume=a.resume, generators=generators)
+    run_log = runs.resolve_output_dir(run_log, registry.withColumn("output_dir", F.lit(None).cast("string"))) \
+        .withColumnRenamed("resolved_dir", "output_dir")
+    run_log, metrics = write_table(run_log, "fleet-runs"), write_table(metrics, "fleet-metrics")
     comparison = compare.compare_variants(metrics)
+    writers.sink_fleet_summary(run_log, comparison, f"{a.out}/summary")
     # result lines carry each model's metrics map; stream_improvement_table can follow them
     writers.sink_batch_summary(run_log.join(metrics_map(comparison), "model_id", "left"), f"{a.out}/batch_summary")
     writers.sink_metrics_summary(comparison, f"{a.out}/metrics")
@@ -155,6 +172,10 @@ def build_parser() -> argparse.ArgumentParser:
     data_args(f)
     f.add_argument("--models", default=None)
     f.add_argument("--select", default="all")
+    f.add_argument("--resume", action="store_true", help="run only models without a successful record under --out")
+    for sp in (e, f):
+        sp.add_argument("--generator", action="append", default=[], metavar="MODEL=MODULE:FACTORY",
+                        help="a model of one's own: a factory as in operators.generate.generate_with")
     x = sub.add_parser("explore")
     x.add_argument("--triplets", required=True)
     x.add_argument("--multi-line", action="store_true")

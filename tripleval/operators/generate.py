@@ -111,6 +111,26 @@ def generate_with(inputs: DataFrame, model_id: str, factory: GeneratorFactory) -
     return src.mapInPandas(run, schema)
 
 
+def generate_with_variants(inputs: DataFrame, model_id: str, factory: GeneratorFactory) -> DataFrame:
+    """Both variants of a pluggable model in one pass over the batches.  ``inputs`` carries ``answer``:
+    the trained variant answers with it where there is one, else like the baseline."""
+    prompt = render_inference_prompt(F.col("observations"), F.col("question"))
+    src = inputs.select(*KEY, *TEXT_COLS, "answer", prompt.alias("prompt"))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        fn = factory()
+        for b in batches:
+            yield b.assign(baseline=fn(b).astype(str).values)
+
+    rows = src.mapInPandas(run, "distribution string, example_id bigint, observations string, question string, reference string, "
+                                "answer string, prompt string, baseline string")
+    tuned = F.coalesce(F.concat("prompt", "answer", F.lit("\n" + END_MARK)), F.col("baseline"))
+    both = F.explode(F.array(F.struct(F.lit("baseline").alias("variant"), F.col("baseline").alias("full_text")),
+                             F.struct(F.lit("finetuned").alias("variant"), tuned.alias("full_text"))))
+    return rows.withColumn("_v", both).select(F.lit(model_id).alias("model_id"), "_v.variant", *KEY, *TEXT_COLS, "prompt",
+                                              "_v.full_text")
+
+
 def to_predictions(generations: DataFrame, variant: str | None = None, carry: Sequence[str] = ()) -> DataFrame:
     """generations -> ``predictions`` (model, variant, distribution, example, texts, prediction).
 

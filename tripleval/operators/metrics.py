@@ -15,6 +15,7 @@ map-side: one row per (model, variant, distribution) leaves each task.
 from __future__ import annotations
 
 from collections import Counter
+from collections.abc import Callable, Mapping
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -229,3 +230,14 @@ def corpus_metrics(scores: DataFrame, metrics=ALL_METRICS, group=GROUP) -> DataF
 
 def metric_bundle(predictions: DataFrame, metrics=ALL_METRICS, group=GROUP) -> DataFrame:
     return corpus_metrics(example_scores(example_stats(predictions, metrics)), metrics, group)
+
+
+Scorer = Callable[[Column, Column], Column]
+
+
+def scored_means(predictions: DataFrame, scorers: Mapping[str, Scorer], group=GROUP) -> DataFrame:
+    """Further metrics as rows of the metrics table: the mean of each scorer over the examples."""
+    scores = [F.struct(F.lit(name).alias("metric"), fn(F.col("prediction"), F.col("reference")).cast("double").alias("value"))
+              for name, fn in scorers.items()]
+    return (predictions.select(*group, F.explode(F.array(*scores)).alias("s")).groupBy(*group, "s.metric")
+            .agg(F.round(F.avg("s.value"), 6).alias("value"), F.count(F.lit(1)).alias("n_examples")))

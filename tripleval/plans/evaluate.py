@@ -7,16 +7,18 @@ job per model.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.compare import compare_variants
-from ..operators.generate import (KEY, NATIVE_GENERATORS, fit_answerer, generate_native, generate_native_variants,
-                                  to_predictions, validation_inputs)
-from ..operators.metrics import ALL_METRICS, metric_bundle, reference_tokens
+from ..operators.generate import (KEY, NATIVE_GENERATORS, GeneratorFactory, fit_answerer, generate_native,
+                                  generate_native_variants, generate_with, generate_with_variants, to_predictions,
+                                  validation_inputs)
+from ..operators.metrics import ALL_METRICS, Scorer, metric_bundle, reference_tokens, scored_means
 from ..operators.split import assemble_datasets, seeded_split
 from ..operators.triplets import facts_to_triplets, parse_prompt, render_prompt
 from ..session import cpu_partitions, write_table
@@ -76,20 +78,41 @@ def answered_inputs(examples_df: DataFrame, materialize: bool = False) -> DataFr
 
 
 def predictions(examples_df: DataFrame, models: Sequence[str] = NATIVE_GENERATORS,
-                skip_finetuning: bool = False, answered: DataFrame | None = None) -> DataFrame:
-    """Predictions of every model in both variants (baseline only with ``skip_finetuning``)."""
+                skip_finetuning: bool = False, answered: DataFrame | None = None,
+                generators: Mapping[str, GeneratorFactory] | None = None) -> DataFrame:
+    """Predictions of every model in both variants (baseline only with ``skip_finetuning``).
+
+    A model of ``generators`` (model id -> factory) runs over Arrow batches; the
+    others are native generators, which share one plan.
+    """
+    generators = {m: g for m, g in (generators or {}).items() if m in models}
+    native = [m for m in models if m not in generators]
     if skip_finetuning:
         inputs = validation_inputs(parse_prompt(examples_df))
-        return to_predictions(generate_native(inputs, models), "baseline")
-    with_answer = answered if answered is not None else answered_inputs(examples_df)
+        parts = [to_predictions(generate_native(inputs, native), "baseline")] if native else []
+        parts += [to_predictions(generate_with(inputs, m, g), "baseline") for m, g in generators.items()]
+        return reduce(DataFrame.unionByName, parts)
+    with_answer = answered if answered is not None else answered_inputs(examples_df, materialize=bool(generators))
+    parts = [to_predictions(generate_with_variants(with_answer, m, g)) for m, g in generators.items()]
+    if not native:
+        return reduce(DataFrame.unionByName, parts)
     # references are tokenised once per example, before the fan-out to models and variants
     with_tokens = reference_tokens(with_answer)
     carry = [c for c in with_tokens.columns if c not in with_answer.columns]
-    return to_predictions(generate_native_variants(with_tokens, models, carry), carry=carry)
+    preds = to_predictions(generate_native_variants(with_tokens, native, carry), carry=carry)
+    if not parts:
+        return preds
+    return reduce(DataFrame.unionByName, parts, preds.drop(*carry))
 
 
 def evaluate_models(examples_df: DataFrame, models: Sequence[str] = NATIVE_GENERATORS,
-                    skip_finetuning: bool = False, metrics=ALL_METRICS) -> Evaluation:
-    preds = predictions(examples_df, models, skip_finetuning)
+                    skip_finetuning: bool = False, metrics=ALL_METRICS,
+                    generators: Mapping[str, GeneratorFactory] | None = None,
+                    scorers: Mapping[str, Scorer] | None = None) -> Evaluation:
+    """Predictions, metrics and comparison of all models.  ``scorers`` are further metrics: name -> column
+    expression over (prediction, reference), averaged over the examples."""
+    preds = predictions(examples_df, models, skip_finetuning, generators=generators)
     m = metric_bundle(preds, metrics)
+    if scorers:
+        m = m.unionByName(scored_means(preds, scorers))
     return Evaluation(preds, m, compare_variants(m))

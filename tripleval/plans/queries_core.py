@@ -76,6 +76,22 @@ def q_generate_answers(spark, d):
         "model_id", "distribution", "example_id", "full_text")
 
 
+def _echo_factory():
+    """A stand-in model: the prompt, then the question's words."""
+    def fn(batch):
+        words = batch["question"].str.split().str[:generate.MAX_NEW_WORDS].str.join(" ")
+        return batch["prompt"] + words + "\n" + generate.END_MARK
+    return fn
+
+
+@register("generate_answers_batches", sql("SELECT model_id, distribution, example_id, full_text FROM base_gen WHERE model_id = 'echo'",
+                                          "base_gen"))
+def q_generate_answers_batches(spark, d):
+    """A pluggable model over Arrow batches."""
+    return generate.generate_with(_inputs(spark, d), "echo", _echo_factory).select(
+        "model_id", "distribution", "example_id", "full_text")
+
+
 @register("extract_answer", sql("SELECT model_id, variant, distribution, example_id, prediction FROM preds "
                                 "WHERE variant = 'baseline'", "preds"))
 def q_extract_answer(spark, d):

@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 
 from ..functions.models import export_file_name, sql_export_file_name
 from ..operators.explore import sorted_forms
-from ..session import scratch_path
+from ..session import scratch_path, write_table
 from ..sinks import writers
 from ..sources import files, fixtures
 from ..streaming.run_summary import stream_run_summary
@@ -129,6 +129,23 @@ def q_src_run_summaries(spark, d):
         "run_id", "model_id", "model_name", "status", "duration_seconds", "output_dir", "error")
 
 
+@register("src_batch_summary_documents", sql("""SELECT model_id, 'success' AS status, distribution, metric, baseline, finetuned,
+    delta AS improvement FROM comparison""", "comparison"))
+def q_src_batch_summary_documents(spark, d):
+    """A fleet's summary document with nested metrics, written and read back."""
+    path = scratch_path(spark, "fleet-summary")
+    e = evaluation(spark, d)
+    comparison = write_table(e.comparison, "comparison")
+    runs = comparison.select("model_id").distinct().withColumn("status", F.lit("success"))
+    writers.sink_fleet_summary(runs, comparison, path)
+    doc = files.src_batch_summary_documents(spark, path)
+    rows = [F.struct(F.lit(dist).alias("distribution"), F.lit(m).alias("metric"),
+                     *[F.col(f"metrics.{block}.{part}.{m}").alias(name) for part, name in (
+                         ("baseline", "baseline"), ("finetuned", "finetuned"), ("improvements", "improvement"))])
+            for dist, block in (("id", "in_distribution"), ("od", "out_of_distribution")) for m in writers.METRICS]
+    return doc.select("model_id", "status", F.explode(F.array(*rows)).alias("r")).select("model_id", "status", "r.*")
+
+
 @register("sink_predictions_jsonl", sql("""SELECT model_id, distribution, variant,
     observations AS "Training Observations", question AS "Question", reference AS "Reference",
     prediction AS "Prediction" FROM preds""", "preds"))

@@ -80,6 +80,24 @@ def sink_batch_summary(runs: DataFrame, path: str) -> None:
     runs.select(*cols).write.mode("overwrite").json(f"{path}/results")
 
 
+def sink_fleet_summary(runs: DataFrame, comparison: DataFrame, path: str, spectra: DataFrame | None = None) -> None:
+    """One batch-summary document for a fleet: status counts and ``results[]``, each run with its nested
+    ``metrics``; ``src_batch_summary_documents`` reads it back.
+
+    The document is one JSON object by its format, as long as the fleet's list of
+    models; a run log of any length goes to ``sink_batch_summary``.
+    """
+    blocks = [c for c in ("in_distribution", "out_of_distribution", "weightwatcher")]
+    nested = metrics_summary(comparison, spectra)
+    nested = nested.select("model_id", F.struct(*[c for c in blocks if c in nested.columns]).alias("metrics"))
+    cols = [c for c in ["run_id", "model_id", "model_name", "status", "duration_seconds", "output_dir", "error"] if c in runs.columns]
+    results = runs.join(nested, "model_id", "left").select(F.struct(*cols, "metrics").alias("r"), "status")
+    doc = results.agg(F.count(F.lit(1)).alias("total_models"), F.count_if(F.col("status") == "success").alias("successful"),
+                      F.count_if(F.col("status") == "failed").alias("failed"), F.sort_array(F.collect_list("r")).alias("results")) \
+        .withColumn("timestamp", F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"))
+    doc.write.mode("overwrite").json(path)
+
+
 def sink_csv(df: DataFrame, path: str) -> None:
     """Header CSV, quotes doubled inside quoted fields (readable by pandas); white space is kept."""
     (df.write.mode("overwrite").option("header", True).option("escape", '"')
