@@ -99,7 +99,62 @@ def _encode_sql(src: str, keys=("example_id",)) -> str:
         LEFT JOIN {ids('response', 'answer_ids')} a USING ({k})"""
 
 
+# One-sided Jacobi on the columns of a weight matrix: every step rotates 32 disjoint pairs of the 64 columns (a round
+# robin of 63 steps meets all pairs) until all are orthogonal; their squared lengths are then the eigenvalues of W'W.
+WIDTH, SWEEPS = 64, 11
+STEPS = (WIDTH - 1) * SWEEPS
+_TURN = f"(2 * (p.step % {WIDTH - 1}) - p.i + {WIDTH - 1}) % {WIDTH - 1}"
+SINGULAR = f"""
+  SELECT 0 AS step, model_id, variant, layer, i, list("values"[i + 1] ORDER BY row_id) AS x
+  FROM weights, range(0, {WIDTH}) t(i) GROUP BY model_id, variant, layer, i
+  UNION ALL
+  SELECT step + 1, model_id, variant, layer, i,
+         CASE WHEN abs(g) <= 1e-15 * sqrt(a * b) THEN x
+              ELSE list_transform(list_zip(x, y), lambda z: z[1] * co + z[2] * si) END
+  FROM (SELECT *, 1 / sqrt(1 + t * t) AS co, (CASE WHEN i < j THEN -1 ELSE 1 END) * t / sqrt(1 + t * t) AS si
+        FROM (SELECT *, CASE WHEN g = 0 THEN 0 ELSE (CASE WHEN (b - a) / (2 * g) < 0 THEN -1 ELSE 1 END)
+                        / (abs((b - a) / (2 * g)) + sqrt(1 + ((b - a) / (2 * g)) ** 2)) END AS t
+              FROM (SELECT p.step, p.model_id, p.variant, p.layer, p.i, q.i AS j, p.x, q.x AS y,
+                           list_dot_product(p.x, q.x) AS g,
+                           CASE WHEN p.i < q.i THEN list_dot_product(p.x, p.x) ELSE list_dot_product(q.x, q.x) END AS a,
+                           CASE WHEN p.i < q.i THEN list_dot_product(q.x, q.x) ELSE list_dot_product(p.x, p.x) END AS b
+                    FROM singular p JOIN singular q ON q.model_id = p.model_id AND q.variant = p.variant AND q.layer = p.layer
+                     AND q.i = CASE WHEN p.i = {WIDTH - 1} THEN p.step % {WIDTH - 1} WHEN {_TURN} = p.i THEN {WIDTH - 1}
+                               ELSE {_TURN} END)))
+  WHERE step < {STEPS}"""
+
 CTES: dict[str, tuple[str, list[str]]] = {
+    "singular": (SINGULAR, ["weights"]),
+    "eig": (f"""SELECT model_id, variant, layer, ev, row_number() OVER (PARTITION BY model_id, variant, layer ORDER BY ev) AS k
+        FROM (SELECT *, max(ev) OVER (PARTITION BY model_id, variant, layer) AS top FROM
+               (SELECT model_id, variant, layer, list_dot_product(x, x) AS ev FROM singular WHERE step = {STEPS}))
+        WHERE ev > top * 1e-10""", ["singular"]),
+    "slope": ("""SELECT a.model_id, a.variant, a.layer, a.k, a.ev AS xmin, count(*) AS n, 1.0 + count(*) / sum(ln(b.ev / a.ev)) AS alpha
+        FROM eig a JOIN eig b ON a.model_id = b.model_id AND a.variant = b.variant AND a.layer = b.layer AND b.k >= a.k
+        GROUP BY ALL HAVING sum(ln(b.ev / a.ev)) > 0""", ["eig"]),
+    "power_law": ("""SELECT model_id, variant, layer, alpha FROM (
+        SELECT *, row_number() OVER (PARTITION BY model_id, variant, layer ORDER BY dist, k) AS place FROM (
+          SELECT s.model_id, s.variant, s.layer, s.k, s.alpha, max(greatest(
+              abs((e.k - s.k + 1) / n::DOUBLE - (1.0 - pow(e.ev / xmin, 1.0 - alpha))),
+              abs((e.k - s.k) / n::DOUBLE - (1.0 - pow(e.ev / xmin, 1.0 - alpha))))) AS dist
+          FROM slope s JOIN eig e ON s.model_id = e.model_id AND s.variant = e.variant AND s.layer = e.layer AND e.k >= s.k
+          GROUP BY ALL)) WHERE place = 1""", ["slope"]),
+    "layer_stats": ("""SELECT model_id, variant, layer, metric, round(value, 6) AS value FROM (
+        WITH w AS (SELECT e.model_id, e.variant, e.layer, sum(ev) AS total, max(ev) AS top, any_value(alpha) AS alpha,
+                          log10(sum(pow(ev, alpha))) AS log_alpha_norm
+                   FROM eig e LEFT JOIN power_law p ON e.model_id = p.model_id AND e.variant = p.variant AND e.layer = p.layer
+                   GROUP BY e.model_id, e.variant, e.layer)
+        SELECT model_id, variant, layer, 'log_norm' AS metric, log10(total) AS value FROM w
+        UNION ALL SELECT model_id, variant, layer, 'log_spectral_norm', log10(top) FROM w
+        UNION ALL SELECT model_id, variant, layer, 'stable_rank', total / top FROM w
+        UNION ALL SELECT model_id, variant, layer, 'alpha', alpha FROM w
+        UNION ALL SELECT model_id, variant, layer, 'alpha_weighted', alpha * log10(top) FROM w
+        UNION ALL SELECT model_id, variant, layer, 'log_alpha_norm', log_alpha_norm FROM w) WHERE value IS NOT NULL""",
+                    ["eig", "power_law"]),
+    "spectra": ("""SELECT model_id, variant, metric, round(avg(value), 6) AS value FROM layer_stats GROUP BY ALL""", ["layer_stats"]),
+    "spectra_cmp": ("""SELECT model_id, metric, b.value AS baseline, f.value AS finetuned, round(f.value - b.value, 6) AS delta
+        FROM (SELECT * FROM spectra WHERE variant = 'baseline') b JOIN (SELECT * FROM spectra WHERE variant = 'finetuned') f
+        USING (model_id, metric)""", ["spectra"]),
     "id_trip": (ID_TRIPLETS_SQL, []),
     "id_split": (sql_seeded_split("SELECT * FROM id_trip", "triplet_id"), ["id_trip"]),
     "id_ex": (f"""SELECT triplet_id AS example_id, dataset, form, split,
@@ -282,4 +337,4 @@ def sql(final: str, *names: str) -> str:
     if not order:
         return final
     body = ",\n".join(f"{n} AS (\n{CTES[n][0]}\n)" for n in order)
-    return f"WITH {body}\n{final}"
+    return f"WITH RECURSIVE {body}\n{final}"

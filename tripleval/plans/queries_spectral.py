@@ -1,8 +1,7 @@
 """Registered queries: spectral statistics of weight tables, bootstrap intervals.
 
-Eigenvalues and power-law fits have no SQL twin: those keys are rows-only in
-the oracle check and are verified against numpy / brute force in the tests.
-The bootstrap draws its weights from md5, which both engines compute alike,
+The SQL twin finds eigenvalues by one-sided Jacobi rotations in a recursive
+CTE and fits the power law with joins.  The bootstrap draws its weights from md5, which both engines compute alike,
 so it has an exact twin.
 """
 
@@ -10,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.models import alpha_band, finetune_quality_band
+from ..functions.models import alpha_band, finetune_quality_band, sql_alpha_band, sql_finetune_quality_band
 from ..operators import compare, metrics, spectral
 from ..operators.bootstrap import rouge_bootstrap, sql_poisson_weight, sql_uniform_from_md5
 from ..sources import fixtures
@@ -34,40 +33,44 @@ def q_frobenius_norm(spark, d):
     return spectral.frobenius_norm(fixtures.weights(spark, d))
 
 
-@register("spectral_layer_stats")
+@register("spectral_layer_stats", sql("SELECT * FROM layer_stats", "layer_stats"))
 def q_spectral_layer_stats(spark, d):
     return _layer_stats(spark, d)
 
 
-@register("spectral_summary")
+@register("spectral_summary", sql("SELECT * FROM spectra", "spectra"))
 def q_spectral_summary(spark, d):
     return spectral.spectral_summary(_layer_stats(spark, d))
 
 
-@register("compare_spectra")
+@register("compare_spectra", sql("SELECT * FROM spectra_cmp", "spectra_cmp"))
 def q_compare_spectra(spark, d):
     return _spectra_cmp(spark, d)
 
 
-@register("spectra_ranking")
+@register("spectra_ranking", sql("""SELECT model_id, baseline, finetuned, delta FROM spectra_cmp
+    WHERE metric = 'alpha_weighted'""", "spectra_cmp"))
 def q_spectra_ranking(spark, d):
     return compare.spectra_ranking(_spectra_cmp(spark, d))
 
 
-@register("alpha_band")
+@register("alpha_band", sql(f"""SELECT model_id, variant, layer, value AS alpha, {sql_alpha_band('value')} AS band
+    FROM layer_stats WHERE metric = 'alpha'""", "layer_stats"))
 def q_alpha_band(spark, d):
     st = _layer_stats(spark, d).where(F.col("metric") == "alpha")
     return st.select("model_id", "variant", "layer", F.col("value").alias("alpha"),
                      alpha_band(F.col("value")).alias("band"))
 
 
-@register("finetune_quality_band")
+@register("finetune_quality_band", sql(f"""SELECT model_id, delta, {sql_finetune_quality_band('delta')} AS quality
+    FROM spectra_cmp WHERE metric = 'alpha_weighted'""", "spectra_cmp"))
 def q_finetune_quality_band(spark, d):
     c = _spectra_cmp(spark, d).where(F.col("metric") == "alpha_weighted")
     return c.select("model_id", "delta", finetune_quality_band(F.col("delta")).alias("quality"))
 
 
-@register("filter_has_spectra")
+@register("filter_has_spectra", sql("""SELECT run_id, r.model_id, status, delta AS alpha_weighted_delta FROM runs r
+    JOIN spectra_cmp c ON c.model_id = r.model_id WHERE status = 'success' AND metric = 'alpha_weighted'""", "runs", "spectra_cmp"))
 def q_filter_has_spectra(spark, d):
     """Successful runs of models that carry a spectral change (alpha_weighted delta)."""
     runs = fixtures.runs(spark, d).where(F.col("status") == "success")
