@@ -64,7 +64,8 @@ def drop_repeated_lines(docs: DataFrame, size: int = LINES) -> DataFrame:
     gone = write_table(covered_lines(docs, size), "line-covered")
     rows = docs.select(F.struct("*").alias("_row"), *_row_key(F.col("doc_id"), F.col("text")))
     gone = gone.select(F.col("_id").alias("_gone_id"), F.col("_mark").alias("_gone_mark"), "_gone")
-    joined = rows.join(gone, F.col("_id").eqNullSafe(F.col("_gone_id")) & (F.col("_mark") == F.col("_gone_mark")), "left")
+    # texts and positions meet by shuffle at every size: the positions grow with the corpus
+    joined = rows.join(gone.hint("merge"), F.col("_id").eqNullSafe(F.col("_gone_id")) & (F.col("_mark") == F.col("_gone_mark")), "left")
     text = F.col("_row.text")
     lines = F.when(text.isNotNull(), _lines(text))
     # numbers of the lines that stay, then the lines
