@@ -57,12 +57,15 @@ def rouge_bootstrap(scores: DataFrame, key_cols, metrics, group=("model_id", "va
                     replicates: int = 200, seed: int = 42) -> DataFrame:
     """(group..., metric, low, mid, high, mean): 2.5 / 50 / 97.5 percentiles of replicate means."""
     group, key_cols, metrics = list(group), list(key_cols), list(metrics)
-    rows = scores.select(*group, *key_cols, *metrics)
-    # replicate -1 has weight 1: its mean is the plain mean, so one pass serves both
-    reps = rows.withColumn("rep", F.explode(F.sequence(F.lit(-1), F.lit(replicates - 1))))
-    w = F.when(F.col("rep") < 0, F.lit(1)).otherwise(
-        poisson_weight(uniform_from_md5([F.lit(seed), F.col("rep"), *[F.col(c) for c in key_cols]])))
-    per_rep = (reps.withColumn("w", w).groupBy(*group, "rep")
+    # the rows of one example (its models and variants) travel together, so that a weight is drawn once
+    # per example and replicate; replicate -1 has weight 1: its mean is the plain mean
+    own = [c for c in group if c not in key_cols]
+    kept = scores.groupBy(*key_cols).agg(F.collect_list(F.struct(*own, *metrics)).alias("rows"))
+    reps = kept.withColumn("rep", F.explode(F.sequence(F.lit(-1), F.lit(replicates - 1))))
+    drawn = reps.withColumn("u", uniform_from_md5([F.lit(seed), F.col("rep"), *[F.col(c) for c in key_cols]]))
+    drawn = drawn.withColumn("w", F.when(F.col("rep") < 0, F.lit(1)).otherwise(poisson_weight(F.col("u")))).where(F.col("w") > 0)
+    spread = drawn.select(*key_cols, "rep", "w", F.explode("rows").alias("r")).select(*key_cols, "rep", "w", "r.*")
+    per_rep = (spread.groupBy(*group, "rep")
                .agg(F.sum("w").alias("ws"), *[F.sum(F.col("w") * F.col(m)).alias(m) for m in metrics])
                .where(F.col("ws") > 0))
     per_rep_long = per_rep.select(*group, "rep", F.explode(F.array(*[
