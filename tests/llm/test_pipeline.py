@@ -1,0 +1,87 @@
+"""The corpus pipeline against brute force, stage by stage, and on odd rows."""
+
+from __future__ import annotations
+
+import math
+import tempfile
+
+import public_tokenizers
+from tokenizers import Tokenizer
+
+import corpus_pipeline
+from tests.llm import brute
+from tripleval.llm import mixing, toxicity
+
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+
+
+def stages(spark, docs, sf_dir):
+    """Each stage's rows, written and read again."""
+    for name, stage in corpus_pipeline.STAGES:
+        path = tempfile.mkdtemp(prefix="tripleval-stage-") + "/x"
+        stage(spark, docs, sf_dir).write.parquet(path)
+        docs = spark.read.parquet(path)
+        yield name, docs
+
+
+def test_stages_against_brute_force(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    before = {r["doc_id"]: r for r in docs.collect()}
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    toxic = {r["doc_id"] for r in toxicity.score(docs, labels).where("tox_predicted = 1").collect()}
+    out = dict(stages(spark, docs, sf_dir))
+    assert list(out) == [n for n, _ in corpus_pipeline.STAGES]
+    assert all(df.columns == COLUMNS for n, df in out.items() if n != "best-fit packing")
+
+    clean = out["toxicity"].collect()
+    assert {r["doc_id"] for r in clean} == set(before) - toxic and len(clean) == len(before) - len(toxic)
+    assert all(r == before[r["doc_id"]] for r in clean)
+
+    lines = out["line dedup"].collect()
+    want = brute.without_lines([(r["doc_id"], r["text"]) for r in clean])
+    assert {r["doc_id"]: r["text"] for r in lines} == {i: x[2] for i, x in want.items()}
+    assert all(r["n_chars"] == len(r["text"]) for r in lines)
+
+    near = out["near dedup"].collect()
+    groups = brute.near_groups([(r["doc_id"], r["text"]) for r in lines])
+    assert sorted(r["doc_id"] for r in near) == sorted(i for i, x in groups.items() if x[2])
+
+    mixed = out["source mix"].collect()
+    size = {r["doc_id"]: len(r["text"].encode().split()) for r in near}
+    source = {r["doc_id"]: r["source"] for r in near}
+    sizes = {}
+    for i, s in source.items():
+        sizes[s] = sizes.get(s, 0) + size[i]
+    target = brute.targets(sizes)
+    assert {r["doc_id"] for r in mixed} <= set(size) and all(size[r["doc_id"]] for r in mixed)
+    for s, t in target.items():
+        taken = sum(size[r["doc_id"]] for r in mixed if r["source"] == s)
+        longest = max(n for i, n in size.items() if source[i] == s)
+        assert abs(taken - t) <= longest / 2 + mixing.BLOCK and taken <= 2 * sizes[s]
+
+    packed = out["best-fit packing"].collect()
+    tokenizer = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    lengths = [len(tokenizer.encode(r["text"], add_special_tokens=False).ids) + 1 for r in mixed]
+    assert sum(r["length"] for r in packed) == sum(lengths)
+    assert len({r["sequence_id"] for r in packed}) <= math.ceil(sum(lengths) / 4096) + 1
+    for r in packed:
+        assert r["offset"] + r["length"] <= 4096
+
+
+def test_run_gives_the_last_stage(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    *_, (_, last) = stages(spark, docs, sf_dir)
+    cols = ["doc_id", "piece", "start", "length", "ids_crc32"]
+    assert sorted(map(tuple, corpus_pipeline.run(spark, sf_dir).select(*cols).collect())) == sorted(map(tuple, last.select(*cols).collect()))
+
+
+def test_odd_rows_and_empty_tables(spark, sf_dir):
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    passage = "\n".join(f"line {k} of a passage that is repeated word for word" for k in range(6))
+    rows = [(1, passage, "en", "a", len(passage)), (2, passage, None, None, None), (None, None, None, None, None), (3, "", "en", "b", 0),
+            (4, "w " * 60_000, "en", "a", 120_000), (4, "w " * 60_000, "en", "a", 120_000), (None, passage, "en", "b", None)]
+    out = dict(stages(spark, spark.createDataFrame(rows, schema), sf_dir))
+    assert out["toxicity"].count() == out["line dedup"].count() == len(rows)
+    assert out["best-fit packing"].count() >= 2
+    for _, df in stages(spark, spark.createDataFrame([], schema), sf_dir):
+        assert df.count() == 0
