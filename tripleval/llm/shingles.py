@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -13,6 +14,17 @@ TEXT_STEP = 8 << 20
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
+_LIBC = ctypes.CDLL(None)
+
+
+def give_back() -> None:
+    """Return freed memory to the system: a Python worker outlives its tasks, and what it keeps is missing
+    in the next stage.  Called after each Arrow batch."""
+    pa.default_memory_pool().release_unused()
+    if hasattr(_LIBC, "malloc_trim"):
+        _LIBC.malloc_trim(0)
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """A bijective scrambling of 64-bit numbers (the finaliser of splitmix64)."""
     x = x ^ (x >> np.uint64(30))

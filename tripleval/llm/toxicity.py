@@ -13,6 +13,7 @@ import math
 import re
 from collections import Counter
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -23,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import write_table
-from .shingles import steps, word_codes
+from .shingles import give_back, steps, word_codes
 
 MAX_TRAINING_ROWS = 40_000
 FOLDS = 5
@@ -34,6 +35,9 @@ TREES = 20
 DEPTH = 4
 SEED = 11
 NEAR = 5
+# Words with their features that a task remembers; beyond it starts anew.
+REMEMBERED_WORDS = 300_000
+TEXT_STEP = 4 << 20
 
 SEED_WORDS = ("idiot moron stupid loser pathetic scum worthless trash clown disgusting dumb fool jerk "
               "idiota estúpido imbécil tonto basura dummkopf trottel abschaum widerlich dumm "
@@ -70,18 +74,33 @@ class WordFeatures:
     def __init__(self, lexicon: dict[str, float]):
         self.lexicon, self.seed = lexicon, frozenset(SEED_WORDS)
         self.known: dict[str, tuple] = {}
+        self.same: dict[tuple, tuple] = {}
 
     def of(self, word: str) -> tuple:
-        row = self.known.get(word)
-        if row is None:
-            row = self._of(word)
-            if len(self.known) >= 300_000:
-                self.known.clear()
-            if len(word) <= 64:
-                self.known[word] = row
+        row = self._of(word)
+        row = self.same.setdefault(row, row)        # few distinct rows: one object each
+        if len(self.known) >= REMEMBERED_WORDS:
+            self.known.clear()
+            self.same.clear()
+        if len(word) <= 64:
+            self.known[word] = row
         return row
 
     def _of(self, word: str) -> tuple:
+        core = word if word.isalpha() else word.rstrip(".,;:!?")
+        if not core.isalpha():
+            return self._any(word)
+        low, tail = core.lower(), word[len(core):]
+        n = len(low)
+        get = self.lexicon.get
+        w = get(low, 0.0)
+        p = 0.0 if n < 5 else get(low[:4] + "-", 0.0) if n == 5 else max(get(low[:4] + "-", 0.0), get(low[:5] + "-", 0.0))
+        capitals = 0 if core.islower() else sum(map(str.isupper, core))
+        calls, asks = (tail.count("!"), tail.count("?")) if tail else (0, 0)
+        return (low in self.seed, w > 0, w, w >= 2, p > 0, p >= 2, low in SECOND_PERSON, capitals, n, capitals == n > 2,
+                calls, asks, len(tail) - calls - asks, 0, 0, 0, 0, len(word), w, p)
+
+    def _any(self, word: str) -> tuple:
         runs = LETTERS.findall(word.lower())
         seed = learned = strong = prefix = strong_prefix = you = 0
         weight = best = best_prefix = 0.0
@@ -116,22 +135,27 @@ class WordFeatures:
 def text_features(texts: pa.StringArray, words: WordFeatures) -> np.ndarray:
     """One row of ``FEATURES`` per text; a text without words has zeros."""
     out = []
-    for first, last in steps(texts):
+    for first, last in steps(texts, TEXT_STEP):
         codes, distinct, counts = word_codes(texts.slice(first, last - first))
-        each = np.array([words.of(w) for w in distinct], np.float64).reshape(-1, WordFeatures.WIDTH)
+        known = list(map(words.known.get, distinct))
+        rows = [words.of(w) if r is None else r for w, r in zip(distinct, known)]
+        each = np.fromiter(chain.from_iterable(rows), np.float32, len(rows) * WordFeatures.WIDTH)
+        each = np.ascontiguousarray(each.reshape(-1, WordFeatures.WIDTH).T)
         n = len(counts)
         owner = np.repeat(np.arange(n), counts)
         total = np.zeros((n, WordFeatures.WIDTH))
         for k in range(18):
-            total[:, k] = np.bincount(owner, each[codes, k], n)
+            if each[k].any():
+                total[:, k] = np.bincount(owner, each[k][codes], n)
         for k in (18, 19):
-            np.maximum.at(total[:, k], owner, each[codes, k])
-        seen = np.concatenate([[0], np.cumsum(each[codes, 6] > 0)])
+            hit = np.flatnonzero(each[k][codes])
+            np.maximum.at(total[:, k], owner[hit], each[k][codes[hit]])
+        seen = np.concatenate([[0], np.cumsum(each[6][codes] > 0)])
         begin = (np.cumsum(counts) - counts)[owner] if len(owner) else owner
         end = np.cumsum(counts)[owner] if len(owner) else owner
         at = np.arange(len(codes))
         close = seen[np.minimum(at + NEAR + 1, end)] > seen[np.maximum(at - NEAR, begin)]
-        bad = (each[codes, 0] > 0) | (each[codes, 3] > 0) | (each[codes, 5] > 0)
+        bad = ((each[0] > 0) | (each[3] > 0) | (each[5] > 0))[codes]
         near = np.bincount(owner, close & bad, n)
         w, letters, chars = np.maximum(counts, 1), np.maximum(total[:, 8], 1), np.maximum(total[:, 17], 1)
         t = total.T
@@ -199,6 +223,7 @@ def score(docs: DataFrame, labels: DataFrame, most: int = MAX_TRAINING_ROWS) ->
         for texts in batches:
             x = text_features(texts, words)
             yield pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * len(FEATURES)), pa.array(x.ravel()))
+            give_back()
 
     vector = array_to_vector(features(F.coalesce(F.col("text").cast("string"), F.lit(""))))
     fit = write_table(rows.select(features(F.coalesce("text", F.lit(""))).alias("x"), "_toxic", "_part"), "tox-features")
