@@ -35,6 +35,9 @@ HEADLINE = [
     "stream_run_summary",
 ]
 
+# A trivial query of the same run: times relative to it can be compared across machines and days.
+CONTROL = "run_status_counts"
+
 
 def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
@@ -62,6 +65,8 @@ def main() -> None:
     sf = sf_dir.rstrip("/").rsplit("sf", 1)[-1]
     out = {"metric": "headline_queries_total", "value": total, "unit": "sec", "queries": times, "sf": sf,
            "cpus": cpus}
+    if times.get(CONTROL):
+        out["relative_to_control"] = {n: round(t / times[CONTROL], 1) for n, t in times.items() if t is not None}
     if errors:
         out["errors"] = errors
     print(json.dumps(out))

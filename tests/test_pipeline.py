@@ -175,3 +175,20 @@ def test_own_generators_and_metrics_in_the_evaluation(spark, sf_dir):
     assert {k[3] for k in rows} == {"rouge1", "rouge2", "rougeL", "rougeLsum", "bleu", "exact", "length"}
     for (model, *rest), value in rows.items():                # the own model says what the native one says
         assert rows[("echo", *rest)] == value
+
+
+def test_stream_counts_late_landings_and_reports_dropped_ones(spark):
+    from tripleval.streaming.run_summary import late_rows
+    base = tempfile.mkdtemp(prefix="tripleval-late-")
+    schema = "run_id long, model_id string, model_name string, status string"
+    for k, day in enumerate([20, 19, 1, 2, 25]):               # not in time order
+        (spark.createDataFrame([(k, "m", "m", "success")], schema)
+         .withColumn("started_at", F.lit(f"2024-01-{day:02} 00:00:00").cast("timestamp_ntz"))
+         .coalesce(1).write.mode("append").parquet(f"{base}/runs"))
+    q = stream_run_summary(spark, f"{base}/runs", f"{base}/c1", f"{base}/o1", max_files_per_trigger=1)
+    q.awaitTermination()
+    assert [(r.status, r.n) for r in spark.read.parquet(f"{base}/o1").collect()] == [("success", 5)]
+    q = stream_run_summary(spark, f"{base}/runs", f"{base}/c2", f"{base}/o2", max_files_per_trigger=1, watermark="1 day")
+    q.awaitTermination()
+    kept = sum(r.n for r in spark.read.parquet(f"{base}/o2").collect())
+    assert late_rows(q) > 0 and kept + late_rows(q) == 5

@@ -1,13 +1,12 @@
 """Keep the run-status summary and the improvement table current while run records land.
 
 Structured Streaming file source over ``runs/`` (explicit schema), duplicates
-of a run dropped within an event-time watermark (bounded state), status counts
-in complete mode written by ``foreachBatch`` to an overwrite-idempotent
-folder.  The checkpoint makes the query restartable; the ``availableNow``
-trigger processes what has landed and stops.  With landings in time order the
-final output equals the batch aggregate over the same files; a record whose
-``started_at`` is more than the watermark delay behind the newest one already
-seen is dropped by the bounded-state de-duplication (late data).
+of a run dropped, status counts in complete mode written by ``foreachBatch`` to
+an overwrite-idempotent folder.  The checkpoint makes the query restartable; the
+``availableNow`` trigger processes what has landed and stops.  By default every
+record counts, whenever it lands: the de-duplication keeps one small row per run
+in the state store (RocksDB, on disk).  With a ``watermark`` the state is bounded
+instead, records later than it are dropped, and ``late_rows`` tells how many.
 """
 
 from __future__ import annotations
@@ -34,27 +33,37 @@ def _stream_session(spark: SparkSession, state_partitions: int | None) -> SparkS
     own = spark.newSession()
     own.conf.set("spark.sql.session.timeZone", spark.conf.get("spark.sql.session.timeZone"))
     own.conf.set("spark.sql.shuffle.partitions", str(state_partitions or cpu_partitions(spark)))
+    own.conf.set("spark.sql.streaming.stateStore.providerClass",
+                 "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     return own
 
 
-def status_counts_stream(spark: SparkSession, runs_dir: str, watermark: str = "1 day",
+def late_rows(query: StreamingQuery) -> int:
+    """Records that the query's watermark has dropped so far (over the progress reports it keeps)."""
+    return sum(op["numRowsDroppedByWatermark"] for p in query.recentProgress for op in p["stateOperators"])
+
+
+def status_counts_stream(spark: SparkSession, runs_dir: str, watermark: str | None = None,
                          max_files_per_trigger: int = 64) -> DataFrame:
     runs = spark.readStream.schema(RUN_SCHEMA).option("maxFilesPerTrigger", max_files_per_trigger).parquet(runs_dir)
-    dedup = (runs.withColumn("event_time", F.col("started_at").cast("timestamp"))
-             .withWatermark("event_time", watermark)
-             .dropDuplicatesWithinWatermark(["run_id"]))
+    if watermark is None:
+        dedup = runs.dropDuplicates(["run_id"])
+    else:
+        dedup = (runs.withColumn("event_time", F.col("started_at").cast("timestamp"))
+                 .withWatermark("event_time", watermark)
+                 .dropDuplicatesWithinWatermark(["run_id"]))
     return dedup.groupBy("status").agg(F.count(F.lit(1)).alias("n"))
 
 
 def stream_run_summary(spark: SparkSession, runs_dir: str, checkpoint: str, out_dir: str,
                        available_now: bool = True, state_partitions: int | None = None,
-                       max_files_per_trigger: int = 64) -> StreamingQuery:
+                       max_files_per_trigger: int = 64, watermark: str | None = None) -> StreamingQuery:
     """Start the summary stream; each micro-batch overwrites ``out_dir`` with the full counts."""
     def write(batch: DataFrame, _epoch: int) -> None:
         batch.coalesce(1).write.mode("overwrite").parquet(out_dir)
 
     own = _stream_session(spark, state_partitions)
-    writer = (status_counts_stream(own, runs_dir, max_files_per_trigger=max_files_per_trigger)
+    writer = (status_counts_stream(own, runs_dir, watermark, max_files_per_trigger)
               .writeStream.outputMode("complete")
               .option("checkpointLocation", checkpoint).foreachBatch(write))
     writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="10 seconds")
