@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import rouge_tokens
-from ..session import cpu_partitions
+from ..session import shuffle_partitions
 from .joins import checked_join
 from .numbering import rank_global
 
@@ -49,7 +49,7 @@ def encode_examples(examples: DataFrame, vocab: DataFrame, keys=("example_id",))
     group by definition.
     """
     keys = [keys] if isinstance(keys, str) else list(keys)
-    n = cpu_partitions(examples.sparkSession)
+    n = shuffle_partitions(examples.sparkSession)
     ex = examples.select(*keys, "prompt", "response").repartition(n, *keys)
 
     def tagged(col: str, side: int) -> Column:

@@ -21,7 +21,7 @@ from ..operators.generate import (KEY, NATIVE_GENERATORS, GeneratorFactory, fit_
 from ..operators.metrics import ALL_METRICS, Scorer, metric_bundle, reference_tokens, scored_means
 from ..operators.split import assemble_datasets, seeded_split
 from ..operators.triplets import facts_to_triplets, parse_prompt, render_prompt
-from ..session import cpu_partitions, write_table
+from ..session import shuffle_partitions, write_table
 from ..sources import fixtures
 
 SEED = 42
@@ -69,10 +69,10 @@ def answered_inputs(examples_df: DataFrame, materialize: bool = False) -> DataFr
     train = parsed.where(F.col("split") == "train").select(
         "example_id", "observations", F.col("reference").alias("response"))
     hits = fit_answerer(train).retrieve(inputs).select(*KEY, "answer")
-    # Generation and scoring are CPU-bound and small in bytes: an explicit partition
-    # count (a few waves over the cores) keeps them spread over every core (AQE does
-    # not coalesce it), and the join with the hits reuses this partitioning.
-    n = cpu_partitions(examples_df.sparkSession)
+    # Generation and scoring are CPU-bound and small in bytes: the session's full number
+    # of partitions keeps them spread over every core (AQE would coalesce them), and the
+    # join with the hits reuses this partitioning.
+    n = shuffle_partitions(examples_df.sparkSession)
     out = inputs.repartition(n, *KEY).join(hits, KEY, "left")
     return write_table(out, "answered-inputs") if materialize else out
 

@@ -63,11 +63,15 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def shuffle_partitions(spark: SparkSession) -> int:
+    """The session's number of shuffle partitions, which is sized with the data."""
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
 def cpu_partitions(spark: SparkSession, waves: int = 4) -> int:
-    """Partition count for a CPU-bound stage: a few waves over the cluster's cores,
-    never more than ``spark.sql.shuffle.partitions``."""
-    shuffle = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return max(1, min(shuffle, waves * spark.sparkContext.defaultParallelism))
+    """Partition count for small state: a few waves over the cluster's cores, never more
+    than ``spark.sql.shuffle.partitions``."""
+    return max(1, min(shuffle_partitions(spark), waves * spark.sparkContext.defaultParallelism))
 
 
 def write_table(df: DataFrame, name: str, partition_by: list[str] | None = None) -> DataFrame:
