@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from ..session import write_table
 from .common import lookup_join
 from .components import connected_components
-from .shingles import shingle_sets
+from .shingles import give_back, shingle_sets
 
 HASHES = 256
 BITS = 2
@@ -105,6 +105,7 @@ def signatures(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(keys, pa.binary()), pa.array(ns, pa.int64()), pa.array(sigs, pa.binary()),
                  pa.array(bands, pa.list_(pa.int64()))], names=["doc_id", "set_key", "n_shingles", "signature", "bands"])
+            give_back()
 
     src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     return src.mapInArrow(run, SIGNED)

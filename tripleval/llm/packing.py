@@ -23,15 +23,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import write_table
-from .shingles import steps, word_codes
+from .shingles import give_back, steps, word_codes
 
 SEQUENCE = 4096
 END_ID = 1
 GROUP_ITEMS = 50_000
 MAX_ROUNDS = 6
-# Entries (a word and its ids, some 250 bytes) that a worker remembers; beyond it starts anew.
-REMEMBERED_WORDS = 1_000_000
+# Entries (a word and its ids, some 150 bytes) that a worker remembers; beyond it starts anew.
+REMEMBERED_WORDS = 300_000
+SEEN_SLOTS = 1 << 22
 REMEMBERED_CHARS = 64
+TEXT_STEP = 2 << 20
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 PACKED = PIECES + ", sequence_id long, offset long, open boolean, bins long, bound long"
@@ -71,7 +73,8 @@ class WordIds:
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
-        self.known: dict[str, array] = {}
+        self.known: dict[str, bytes] = {}
+        self.seen = bytearray(SEEN_SLOTS)
 
     @classmethod
     def at(cls, path: str) -> WordIds:
@@ -79,39 +82,48 @@ class WordIds:
             cls._by_path[path] = cls(path)
         return cls._by_path[path]
 
-    def _letters(self, low: str) -> array:
+    def _remember(self, word: str, ids: bytes) -> None:
+        """Keep a word that was met before; most words are met once."""
+        slot = hash(word) & (SEEN_SLOTS - 1)
+        if self.seen[slot]:
+            if len(word) <= REMEMBERED_CHARS:
+                self.known[word] = ids
+        else:
+            self.seen[slot] = 1
+
+    def _letters(self, low: str) -> bytes:
         """Ids of one run of lower-case letters: the model takes it byte by byte as characters."""
         ids = self.known.get(low)
         if ids is None:
             chars = low if low.isascii() else low.encode().decode("latin-1").translate(BYTE_CHARS)
-            ids = array("I", [t.id for t in self.model.tokenize(chars)])
-            if len(low) <= REMEMBERED_CHARS:
-                self.known[low] = ids
+            ids = array("I", [t.id for t in self.model.tokenize(chars)]).tobytes()
+            self._remember(low, ids)
         return ids
 
-    def ids(self, word: str) -> array:
-        """Ids of a word without white space ('' has none)."""
+    def ids(self, word: str) -> bytes:
+        """Ids of a word without white space ('' has none), as 32-bit numbers."""
         end = word[-1] if word[-1:] in (",", ".") and len(word) > 1 else ""
         core = word[:-1] if end else word
         if core.isalpha() and (core.isascii() or simple_latin(core)):
             ids = self._letters(core.lower())
             if end:
                 ids = ids + (self.known.get(end) or self.ids(end))
+            elif word.islower():
+                return ids
         else:
-            ids = array("I", self.tokenizer.encode(word, add_special_tokens=False).ids)
-        if len(word) <= REMEMBERED_CHARS:
-            self.known[word] = ids
+            ids = array("I", self.tokenizer.encode(word, add_special_tokens=False).ids).tobytes()
+        self._remember(word, ids)
         return ids
 
     def encode(self, texts: pa.StringArray) -> Iterator[np.ndarray]:
         """Ids (32-bit) of each text, a bounded number of bytes at a time (one text at least)."""
-        for first, last in steps(texts):
+        for first, last in steps(texts, TEXT_STEP):
             codes, distinct, counts = word_codes(texts.slice(first, last - first))
             if len(self.known) > REMEMBERED_WORDS:
                 self.known.clear()
             each = list(map(self.known.get, distinct))
             each = [self.ids(w) if x is None else x for w, x in zip(distinct, each)]
-            sizes = np.fromiter(map(len, each), np.int64, len(each))
+            sizes = np.fromiter(map(len, each), np.int64, len(each)) // 4
             flat = np.frombuffer(b"".join(each), np.uint32)
             begin = np.cumsum(sizes) - sizes
             n = sizes[codes]
@@ -142,6 +154,7 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, limit: int = SEQUENCE, en
             yield pa.RecordBatch.from_arrays(
                 [pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()))],
                 names=["doc_id", "piece", "start", "length", "ids_crc32"])
+            give_back()
 
     src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     return src.mapInArrow(run, PIECES)

@@ -10,7 +10,7 @@ import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 
-TEXT_STEP = 8 << 20
+TEXT_STEP = 4 << 20
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -57,6 +57,8 @@ def word_codes(texts: pa.StringArray) -> tuple[np.ndarray, list[str], np.ndarray
         real = codes != distinct.index("")
         owner = np.repeat(np.arange(len(counts)), counts)
         codes, counts = codes[real], np.bincount(owner[real], minlength=len(counts))
+    del found, coded
+    pa.default_memory_pool().release_unused()
     return codes, distinct, counts
 
 

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import write_table
-from .shingles import gram_hashes, hash_words, mix64, steps, word_codes
+from .shingles import give_back, gram_hashes, hash_words, mix64, steps, word_codes
 
 WINDOW = 20
 GRAM = 5
@@ -356,6 +356,7 @@ def _steps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for first, last in steps(batch.column(batch.num_columns - 1), STEP_BYTES):
             yield batch.slice(first, last - first)
+        give_back()
 
 
 def _packed(found: Iterator[tuple[int, bytes]]) -> Iterator[pa.RecordBatch]:
