@@ -25,7 +25,7 @@ ROUGE_TOKEN = "[a-z0-9]+"
 # 3. split period/comma unless followed by a digit
 # 4. split dash preceded by a digit
 BLEU13A_STEPS = [
-    (r"([\x{7B}-\x{7E}\x{5B}-\x{60}\x{20}-\x{26}\x{28}-\x{2B}\x{3A}-\x{40}/])", " $1 ", r" \1 "),
+    (r"([\{-~\[-` -&\(-\+:-@/])", " $1 ", r" \1 "),
     (r"([^0-9])([\.,])", "$1 $2 ", r"\1 \2 "),
     (r"([\.,])([^0-9])", " $1 $2", r" \1 \2"),
     (r"([0-9])(-)", "$1 $2 ", r"\1 \2 "),
