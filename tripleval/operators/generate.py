@@ -199,6 +199,7 @@ def fit_answerer(train: DataFrame) -> TokenAnswers:
     keyed = train.select("example_id", "observations", F.md5(F.col("response").cast("binary")).alias("response_key"))
     ids = train.groupBy(F.md5(F.col("response").cast("binary")).alias("response_key")) \
         .agg(F.min("example_id").alias("train_id"))
+    ids = write_table(ids, "answer-ids")
     rows = checked_join(keyed, ids, ["response_key"])
     pairs = (rows.select("train_id", F.explode(F.array_distinct(rouge_tokens(F.col("observations")))).alias("token"))
              .groupBy("token", "train_id").agg(F.count(F.lit(1)).alias("c")))
@@ -209,4 +210,4 @@ def fit_answerer(train: DataFrame) -> TokenAnswers:
     answers = (train.select(F.col("example_id").alias("train_id"), F.md5(F.col("response").cast("binary")).alias("response_key"),
                             F.col("response").alias("answer"))
                .join(ids, ["train_id", "response_key"]).select("train_id", "answer").dropDuplicates(["train_id"]))
-    return TokenAnswers(write_table(tokens, "answer-tokens"), answers)
+    return TokenAnswers(write_table(tokens, "answer-tokens"), write_table(answers, "answers"))
