@@ -13,6 +13,9 @@ from pyspark.sql import functions as F
 from tripleval.llm import line_dedup, mixing, near_dedup, packing, toxicity
 from tripleval.session import scratch_path, ship_package, write_table
 
+# Least similarity of near duplicates, in percent, on five-word shingles; the query op6 has its own (85).
+NEAR_PERCENT = 80
+
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier does not call toxic; it learns from the table ``labels``."""
@@ -28,9 +31,9 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def dedup_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates."""
+    """One document of each group of near duplicates, at a similarity of NEAR_PERCENT or more."""
     ship_package(spark)
-    return near_dedup.drop_near_duplicates(docs)
+    return near_dedup.drop_near_duplicates(docs, NEAR_PERCENT)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import random
 import tempfile
 
 import public_tokenizers
@@ -10,7 +11,7 @@ from tokenizers import Tokenizer
 
 import corpus_pipeline
 from tests.llm import brute
-from tripleval.llm import mixing, toxicity
+from tripleval.llm import mixing, near_dedup, toxicity
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -85,3 +86,25 @@ def test_odd_rows_and_empty_tables(spark, sf_dir):
     assert out["best-fit packing"].count() >= 2
     for _, df in stages(spark, spark.createDataFrame([], schema), sf_dir):
         assert df.count() == 0
+
+
+def test_near_stage_takes_pairs_from_080(spark, sf_dir):
+    """Copies with two of 100 words changed (similarity 0.81), and with three (0.73), which stay."""
+    rng, rows = random.Random(20), []
+    for k in range(40):
+        base = [f"w{rng.randrange(10**6)}" for _ in range(100)]
+        copy = list(base)
+        for at in (20, 60) if k % 4 else (20, 50, 80):
+            copy[at + rng.randrange(10)] = f"changed{k}"
+        rows += [(2 * k, " ".join(base)), (2 * k + 1, " ".join(copy))]
+    want = {i for i, x in brute.near_groups(rows, percent=80).items() if x[2]}
+    assert len(want) == 50 and len([x for x in brute.near_groups(rows).values() if x[2]]) == 80
+    docs = spark.createDataFrame([(i, t, "en", "a", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    out = corpus_pipeline.dedup_near(spark, docs, sf_dir)
+    assert out.columns == COLUMNS and sorted(r["doc_id"] for r in out.collect()) == sorted(want)
+
+
+def test_bands_by_threshold():
+    for percent in (80, 82, 85, 90):
+        bands, rows = near_dedup.layout(percent)
+        assert bands * rows <= near_dedup.HASHES and (1 - (percent / 100) ** rows) ** bands < 4e-6

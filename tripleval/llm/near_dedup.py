@@ -1,7 +1,8 @@
 """Near-duplicate documents by b-bit MinHash, confirmed on full shingle sets.
 
 1. Per document: the distinct five-word shingles, 256 minima, of which the low two bits are
-   packed into eight 64-bit words, and 36 band keys of seven whole minima each.
+   packed into eight 64-bit words, and the band keys of whole minima: 36 bands of seven at a
+   threshold of 0.85 or more, 42 bands of six below, down to 0.8.
 2. Documents with equal sets form a class; one representative stands for it from here on.
 3. Representatives that share a band are compared by bit counts: equal two-bit lanes, corrected
    for chance collisions.  A bucket gives a spanning forest of its likely pairs, never all pairs.
@@ -10,8 +11,8 @@
    connected already need no check, as only the components are asked for.
 5. Components of the confirmed links give the groups.
 
-A pair at the threshold shares no band with probability 1e-6, and is estimated below the margin
-of five standard deviations with probability 3e-7.  Large buckets and clusters are cut into
+A pair at the threshold shares no band with probability 1e-6 (3e-6 at 0.8), and is estimated below
+the margin of five standard deviations with probability 3e-7.  Large buckets and clusters are cut into
 blocks, and every pair of blocks is a task, so that nothing is capped.
 """
 
@@ -33,9 +34,9 @@ from .shingles import give_back, shingle_sets
 
 HASHES = 256
 BITS = 2
-BAND_ROWS = 7
-BANDS = 36
 PERCENT = 85
+# (least percent, bands, minima a band): the layout of the highest threshold that ``percent`` reaches.
+LAYOUTS = ((85, 36, 7), (80, 42, 6))
 SHINGLE = 5
 # The estimate's standard deviation at the threshold: sqrt(p (1 - p) / 256) / (1 - 1/4) with p = J + (1 - J) / 4.
 MARGIN = 5
@@ -83,11 +84,21 @@ def cutoff(percent: int = PERCENT) -> float:
     return j - MARGIN * (p * (1 - p) / HASHES) ** 0.5 / (1 - c)
 
 
-def signatures(docs: DataFrame) -> DataFrame:
+def layout(percent: int = PERCENT) -> tuple[int, int]:
+    """(bands, minima a band) for a threshold."""
+    for least, n_bands, rows in LAYOUTS:
+        if percent >= least:
+            return n_bands, rows
+    raise ValueError(f"no bands are laid out for a threshold of {percent} percent")
+
+
+def signatures(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """doc_id, set_key, n_shingles, signature, bands of every document (columns doc_id, text)."""
+    n_bands, band_rows = layout(percent)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         xor, odd = _parameters()
-        weights = np.random.default_rng(7).integers(1, 1 << 62, BAND_ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+        weights = np.random.default_rng(7).integers(1, 1 << 62, band_rows, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
         for batch in batches:
             keys, ns, sigs, bands = [], [], [], []
             for s in shingle_sets(batch.column(1), SHINGLE):
@@ -99,8 +110,8 @@ def signatures(docs: DataFrame) -> DataFrame:
                     continue
                 low = minima(s, xor, odd)
                 sigs.append(pack_low_bits(low))
-                rows = low[:BANDS * BAND_ROWS].reshape(BANDS, BAND_ROWS).astype(np.uint64)
-                key = (rows * weights).sum(axis=1, dtype=np.uint64) ^ (np.arange(BANDS, dtype=np.uint64) << np.uint64(57))
+                rows = low[:n_bands * band_rows].reshape(n_bands, band_rows).astype(np.uint64)
+                key = (rows * weights).sum(axis=1, dtype=np.uint64) ^ (np.arange(n_bands, dtype=np.uint64) << np.uint64(57))
                 bands.append(key.view(np.int64).tolist())
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(keys, pa.binary()), pa.array(ns, pa.int64()), pa.array(sigs, pa.binary()),
@@ -206,12 +217,12 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     Documents are linked when 100 * intersection >= ``percent`` * union of their shingle sets.
     Null or empty texts have no shingles and are linked with nothing.  A null doc_id has no
     place in an order of ids: such a row is kept, with a null component_id, and makes no links.
-    Rows that repeat a doc_id share its component.  ``percent`` must not be below 80, for which
-    the bands are laid out.
+    Rows that repeat a doc_id share its component.  ``percent`` must not be below 80, the
+    lowest threshold that bands are laid out for.
     """
     spark = docs.sparkSession
     cut = cutoff(percent)
-    signed = write_table(signatures(docs), "minhash")
+    signed = write_table(signatures(docs, percent), "minhash")
     reps = signed.where("n_shingles > 0 and doc_id is not null").groupBy("set_key") \
         .agg(F.min("doc_id").alias("id"), F.first("n_shingles").alias("n"), F.first("signature").alias("signature"),
              F.first("bands").alias("bands"))
