@@ -108,3 +108,22 @@ def test_bands_by_threshold():
     for percent in (80, 82, 85, 90):
         bands, rows = near_dedup.layout(percent)
         assert bands * rows <= near_dedup.HASHES and (1 - (percent / 100) ** rows) ** bands < 4e-6
+
+
+def test_near_stage_tells_rows_apart(spark, sf_dir):
+    """Unrelated texts under one id, rows repeated whole, and null ids."""
+    texts = {x: " ".join(f"{x}{k}" for k in range(60)) for x in "abcde"}
+    near_e = texts["e"] + " more"
+    rows = [(5, texts["a"], "en"), (7, texts["a"], "en"), (7, texts["b"], "en"), (9, texts["c"], "en"), (9, texts["c"], "en"),
+            (9, texts["c"], "de"), (None, texts["c"], "en"), (None, texts["d"], "en"), (None, texts["d"], "en"), (None, texts["e"], "en"),
+            (11, near_e, "en"), (12, "", "en"), (13, None, "en"), (None, None, "en"), (-1, texts["b"] + " more", "en")]
+    docs = spark.createDataFrame([(i, t, lang, "a", len(t or "")) for i, t, lang in rows],
+                                 "doc_id long, text string, lang string, source string, n_chars long")
+    out = corpus_pipeline.dedup_near(spark, docs, sf_dir)
+    assert out.columns == COLUMNS and out.dtypes == docs.dtypes
+    want = [(5, texts["a"], "en"), (-1, texts["b"] + " more", "en"), (9, texts["c"], "de"), (None, texts["d"], "en"), (11, near_e, "en"),
+            (12, "", "en"), (13, None, "en"), (None, None, "en")]
+    assert sorted((tuple(r)[:3] for r in out.collect()), key=str) == sorted(want, key=str)
+    # an unrelated text under a repeated id stays when its namesake goes
+    out = corpus_pipeline.dedup_near(spark, docs.where("doc_id in (5, 7)"), sf_dir)
+    assert sorted((r["doc_id"], r["text"]) for r in out.collect()) == [(5, texts["a"]), (7, texts["b"])]
