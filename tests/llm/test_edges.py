@@ -168,6 +168,29 @@ def test_packing_in_many_groups(spark):
     assert bound <= len(fill) <= bound * 1.03 + 1
 
 
+def test_packing_goes_on_while_it_gains(spark, monkeypatch):
+    """Lengths that leave few bins full: rounds end with one group, or with one that gains nothing."""
+    rounds, write = [], packing.write_table
+
+    def seen(df, name):
+        rounds.append(write(df, name))
+        return rounds[-1]
+
+    monkeypatch.setattr(packing, "write_table", seen)
+    rng = random.Random(11)
+    items = spark.createDataFrame([(i, 0, 0, rng.randrange(30, 45), i) for i in range(900)], packing.PIECES).cache()
+    rows = packing.pack(items, capacity=100, group_items=30).collect()
+    assert sorted(r["doc_id"] for r in rows) == list(range(900))
+    fill = {}
+    for r in sorted(rows, key=lambda r: r["offset"]):
+        assert fill.get(r["sequence_id"], 0) == r["offset"]
+        fill[r["sequence_id"]] = r["offset"] + r["length"]
+    assert max(fill.values()) <= 100
+    state = [(len(x), len({r["sequence_id"] for r in x})) for x in ([r for r in t.collect() if r["open"]] for t in rounds)]
+    all_rows = [t.count() for t in rounds]
+    assert len(rounds) > 6 and (all_rows[-1] <= 30 or (state[-1][0] == state[-2][0] and state[-1][1] >= state[-2][1]))
+
+
 def test_lower_bound_holds_and_sees_halves():
     assert packing.lower_bound(np.array([2049] * 10), 4096) == 10
     assert packing.lower_bound(np.array([1366] * 9), 4096) == 5      # two of them fit, not three

@@ -3,9 +3,9 @@
 Bound-certified repacking: items are dealt by hash into groups of bounded size; each group is
 packed best-fit decreasing and its bin count is compared with a lower bound from dual feasible
 functions.  A group that meets its bound is certified and keeps its bins, but for its emptiest
-one; a group with a gap keeps only its full bins.  The released documents are dealt anew into
-fewer groups and packed again, until one group takes all of them.  The number of released
-documents falls with every round, so the later rounds are small.
+one; a group with a gap keeps only its full bins.  The released documents are dealt anew and
+packed again, until one group takes all of them, or a round releases as many documents in no
+fewer bins than the round before, whose bins then stand.  There is no limit to the rounds.
 """
 
 from __future__ import annotations
@@ -28,7 +28,8 @@ from .shingles import give_back, steps, word_codes
 SEQUENCE = 4096
 END_ID = 1
 GROUP_ITEMS = 50_000
-MAX_ROUNDS = 6
+# A sequence's number: the round, the group (24 bits), the bin (20 bits).
+ROUND_SHIFT, GROUP_SHIFT = 44, 20
 # Entries (a word and its ids, some 150 bytes) that a worker remembers; beyond it starts anew.
 REMEMBERED_WORDS = 800_000
 SEEN_SLOTS = 1 << 22
@@ -221,7 +222,7 @@ def _pack_group(capacity: int, round_no: int, last: bool):
             elif fill.min() < capacity:
                 released[int(fill.argmin())] = True
         out = items[["doc_id", "piece", "start", "length", "ids_crc32"]].copy()
-        out["sequence_id"] = (round_no << 56) + (int(key[0]) << 20) + bins
+        out["sequence_id"] = (round_no << ROUND_SHIFT) + (int(key[0]) << GROUP_SHIFT) + bins
         out["offset"] = offsets
         out["open"] = released[bins]
         out["bins"], out["bound"] = len(fill), bound
@@ -229,8 +230,7 @@ def _pack_group(capacity: int, round_no: int, last: bool):
     return run
 
 
-def pack(items: DataFrame, capacity: int = SEQUENCE, group_items: int = GROUP_ITEMS,
-         max_rounds: int = MAX_ROUNDS) -> DataFrame:
+def pack(items: DataFrame, capacity: int = SEQUENCE, group_items: int = GROUP_ITEMS) -> DataFrame:
     """Sequences for the pieces of ``token_pieces``: adds ``sequence_id`` and ``offset`` (gapless
     from 0), and of the group that placed the piece its ``bins`` and certified lower ``bound``.
 
@@ -238,20 +238,22 @@ def pack(items: DataFrame, capacity: int = SEQUENCE, group_items: int = GROUP_IT
     empty table gives an empty result.  Every round is written to the shared folder, so a lost
     executor repeats tasks of one round only.
     """
-    done, n = None, items.count()
-    for r in range(max_rounds):
+    done, n, bins, r = None, items.count(), None, 0
+    while True:
         groups = max(1, -(-n // group_items))
-        last = groups == 1 or r == max_rounds - 1
+        last = groups == 1
         salt = F.xxhash64(F.lit(r), "doc_id", "piece", "ids_crc32", F.monotonically_increasing_id())
         dealt = items.withColumn("_group", F.pmod(salt, F.lit(groups)).cast("long"))
         packed = write_table(dealt.groupBy("_group").applyInPandas(_pack_group(capacity, r, last), PACKED),
                              f"pack-{r}")
+        left = packed.where("open")
+        released, opened = left.agg(F.count(F.lit(1)), F.countDistinct("sequence_id")).first()
+        if bins is not None and released == n and opened >= bins:
+            # nothing gained: the round before packed the same items as well
+            return done.unionByName(before)
         kept = packed.where(~F.col("open")).drop("open")
         done = kept if done is None else done.unionByName(kept)
-        if last:
+        if released == 0:
             return done
-        items = packed.where("open").select("doc_id", "piece", "start", "length", "ids_crc32")
-        n = items.count()
-        if n == 0:
-            return done
-    return done
+        before = left.drop("open")
+        items, n, bins, r = before.select("doc_id", "piece", "start", "length", "ids_crc32"), released, opened, r + 1
