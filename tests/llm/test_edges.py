@@ -256,6 +256,20 @@ def test_secrets(spark, docs, odd, nothing):
     assert secrets.scan(docs).count() == len(DOCS)
 
 
+def test_secrets_in_runs_of_no_encoding(spark):
+    rng = random.Random(12)
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    draw = lambda n: "".join(rng.choice(letters) for _ in range(n))
+    plain, slashed, short = draw(64), draw(30) + "/" + draw(33), "+".join(draw(9) + "_" + draw(9) for _ in range(4))
+    texts = [f"at my_repo/ghp_{plain} end", f"at sk_live_{slashed} end", f"at {short} end"]
+    docs = frame(spark, [*enumerate(texts), (3, "a/long_path/of-plain_words/in-a_tree/of-many_folders/and-other_files")])
+    found = {r["doc_id"]: r["tokens"] for r in docs.select("doc_id", secrets.random_tokens(docs["text"]).alias("tokens")).collect()}
+    assert all(t is not None for x in found.values() for t in x) and all(found[i] for i in range(4))
+    got = {r["doc_id"]: {texts[r["doc_id"]][s["start"]:s["end"]] for s in r["spans"]} for r in secrets.scan(docs).collect() if r["doc_id"] < 3}
+    assert plain in got[0] and slashed in got[1] and got[2] == {short}
+    assert not {r["doc_id"]: r["spans"] for r in secrets.scan(docs).collect()}[3]
+
+
 def test_fingerprints(spark, docs, odd, nothing):
     from pyspark.sql import functions as F
     own = docs.select("doc_id", "text", fingerprints.fingerprint(F.col("text")).alias("m")).withColumn(

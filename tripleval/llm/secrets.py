@@ -2,8 +2,9 @@
 
 Base kinds: ``assign`` (a password-like name and its value), ``access`` (access key ids) and ``hex``
 (long hexadecimal runs).  ``random`` adds long tokens that look like draws from an encoding's
-alphabet.  Per token the encoding is inferred (the smallest alphabet that holds all its symbols),
-and three tests are made against uniform draws: chi-squared on the symbol counts, runs above and
+alphabet.  Per token the encoding is inferred (the smallest alphabet that holds all its symbols);
+a run that no encoding holds (one of + and /, and one of - and _) is split at the symbols outside
+each alphabet, and its long parts are tokens, or the whole run if none is long.  Three tests are made against uniform draws: chi-squared on the symbol counts, runs above and
 below the middle of the alphabet, and serial correlation.  A token passes the battery when none of
 them rejects.
 
@@ -30,7 +31,8 @@ HEX = r"[0-9a-f]{24,}"
 LEAST_VALUE = 6
 KINDS = ("assign", "access", "hex", "random")
 
-CANDIDATE = r"[A-Za-z0-9+/_-]{20,}+"
+LEAST_TOKEN = 20
+CANDIDATE = rf"[A-Za-z0-9+/_-]{{{LEAST_TOKEN},}}+"
 UPPER, LOWER, DIGITS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz", "0123456789"
 # (name, pattern of a whole token, alphabet), the smallest first; all-digit tokens are numbers, not keys.
 ENCODINGS = (
@@ -40,6 +42,8 @@ ENCODINGS = (
     ("base62", "^(?![0-9]+$)[A-Za-z0-9]+$", UPPER + LOWER + DIGITS),
     ("base64", "^[A-Za-z0-9+/]+$", UPPER + LOWER + DIGITS + "+/"),
     ("base64url", "^[A-Za-z0-9_-]+$", UPPER + LOWER + DIGITS + "-_"),
+    # what no encoding holds, and has no long part that one holds
+    ("mixed", "^[A-Za-z0-9+/_-]+$", UPPER + LOWER + DIGITS + "+/-_"),
 )
 # Letter frequencies of English text in percent, a to z.
 LETTERS = (8.2, 1.5, 2.8, 4.3, 12.7, 2.2, 2.0, 6.1, 7.0, 0.15, 0.77, 4.0, 2.4, 6.7, 7.5, 1.9, 0.095, 6.0, 6.3, 9.1, 2.8, 0.98,
@@ -137,6 +141,20 @@ def _battery(token: Column, encoding: int) -> Column:
     return F.get(F.transform(F.array(walk), judge), F.lit(0))
 
 
+def _tokens(run: Column) -> Column:
+    """Array of (start, end, match): the run itself if an encoding holds it; else its parts of one alphabet
+    each, which may overlap, or the run if no part is long enough."""
+    def of(alphabet: str) -> Column:
+        parts = match_spans(run["match"], "[" + alphabet.replace("-", r"\-") + f"]{{{LEAST_TOKEN},}}+")
+        return F.transform(parts, lambda x: F.struct((run["start"] + x["start"]).alias("start"), (run["start"] + x["end"]).alias("end"),
+                                                     x["match"].alias("match")))
+
+    parts = F.array_distinct(F.concat(*[of(alphabet) for _, _, alphabet in ENCODINGS[:-1]]))
+    held = ~(run["match"].rlike("[+/]") & run["match"].rlike("[_-]"))
+    return F.when(held, F.array(run)).otherwise(
+        F.get(F.transform(F.array(parts), lambda x: F.when(F.size(x) > 0, x).otherwise(F.array(run))), F.lit(0)))
+
+
 def random_tokens(text: Column) -> Column:
     """Array of (start, end, stratum, p, passes) of the candidate tokens of a text."""
     def under(m: Column, k: int) -> Column:
@@ -153,12 +171,13 @@ def random_tokens(text: Column) -> Column:
             first = first.when(m["match"].rlike(ENCODINGS[k][1]), under(m, k))
         return first
 
-    return F.filter(F.transform(match_spans(text, CANDIDATE), test), lambda x: x.isNotNull()).cast(f"array<{TOKEN}>")
+    tokens = F.flatten(F.transform(match_spans(text, CANDIDATE), _tokens))
+    return F.transform(tokens, test).cast(f"array<{TOKEN}>")
 
 
 def thresholds(found: DataFrame, rate: float = FALSE_DISCOVERIES) -> dict[int, int]:
     """Per stratum the least bucket that Benjamini-Hochberg accepts at ``rate``; at most one entry per
-    stratum (30) comes to the driver, from a histogram of at most 401 buckets each."""
+    stratum (35) comes to the driver, from a histogram of at most 401 buckets each."""
     counts = found.select(F.explode("tokens").alias("t")).groupBy("t.stratum", "t.p").agg(F.count(F.lit(1)).alias("n"))
     rows: dict[int, dict[int, int]] = {}
     for r in counts.collect():
