@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..session import ship_package, write_table
 from ..sources.tables import table
-from . import chat, fingerprints, line_dedup, mixing, near_dedup, oracle, packing, secrets, substring_dedup, top_k, toxicity
+from . import chat, fingerprints, jaccard_join, line_dedup, mixing, near_dedup, oracle, packing, secrets, substring_dedup, top_k, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 _Q: dict[str, Query] = {}
@@ -122,5 +122,11 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+@query
+def op11_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups and links of documents whose three-word shingles are similar to 0.90."""
+    return jaccard_join.jaccard_groups(table(spark, sf_dir, "documents", "doc_id", "text", spread=True))
+
+
 def oracle_sql() -> dict[str, str]:
     return dict(oracle.SQL)
