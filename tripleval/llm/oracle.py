@@ -67,6 +67,28 @@ c AS (SELECT doc_id, min(other) AS component_id FROM r GROUP BY doc_id)
 SELECT doc_id, coalesce(n, 0) AS n_shingles, coalesce(component_id, doc_id) AS component_id, coalesce(links, 0) AS n_links
 FROM documents LEFT JOIN n USING (doc_id) LEFT JOIN l USING (doc_id) LEFT JOIN c USING (doc_id)"""
 
+PHRASES = r"""
+WITH p AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(
+    translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS p FROM documents),
+w AS (SELECT lang, regexp_extract_all(p, '[^\x20\x09]+') AS w FROM p),
+t AS (SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM w GROUP BY lang),
+g AS (SELECT lang, s, unnest(list_transform(range(1, len(w) - s + 2), lambda i: array_to_string(list_slice(w, i, i + s - 1), ' '))) AS phrase
+      FROM w, (SELECT unnest([1, 2, 3, 4]) AS s) WHERE len(w) >= s),
+f AS (SELECT lang, s, phrase, count(*) AS f FROM g GROUP BY lang, s, phrase HAVING count(*) >= 30),
+b AS (SELECT *, string_split(phrase, ' ') AS w FROM f),
+i AS (SELECT x.lang, array_to_string(list_slice(w, k, k + m - 1), ' ') AS phrase, max(f) AS longer
+      FROM b x, (SELECT unnest([2, 3]) AS m), (SELECT unnest([1, 2, 3]) AS k) WHERE m < s AND k + m - 1 <= s GROUP BY ALL),
+c AS (SELECT b.* FROM b LEFT JOIN i USING (lang, phrase) WHERE s > 1 AND (longer IS NULL OR 100 * longer < 80 * f)),
+x AS (
+  SELECT c.lang, c.phrase, c.f AS a, k, y.f AS l, z.f AS r, CAST(CAST(c.f AS HUGEINT) * 2000000 // (y.f + z.f) AS BIGINT) AS score
+  FROM c, (SELECT unnest([1, 2, 3]) AS k), f y, f z
+  WHERE k < c.s AND y.lang = c.lang AND y.phrase = array_to_string(list_slice(w, 1, k), ' ')
+    AND z.lang = c.lang AND z.phrase = array_to_string(list_slice(w, k + 1, c.s), ' ')),
+o AS (SELECT * FROM x QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score
+FROM o JOIN t USING (lang) QUALIFY rank <= 2000"""
+
 LINES = """
 WITH l AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents),
 w AS (
@@ -133,4 +155,5 @@ SQL = {
     "op9_line_dedup": LINES,
     "op10_substring_dedup": REPEATS,
     "op11_ngram_jaccard_join": JACCARD,
+    "op12_phrase_collocations": PHRASES,
 }

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..session import ship_package, write_table
 from ..sources.tables import table
-from . import chat, fingerprints, jaccard_join, line_dedup, mixing, near_dedup, oracle, packing, secrets, substring_dedup, top_k, toxicity
+from . import chat, collocations, fingerprints, jaccard_join, line_dedup, mixing, near_dedup, oracle, packing, secrets, substring_dedup, top_k, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 _Q: dict[str, Query] = {}
@@ -128,5 +128,11 @@ def op11_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.jaccard_groups(table(spark, sf_dir, "documents", "doc_id", "text", spread=True))
 
 
+@query
+def op12_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 2,000 strongest phrases of two to four words of each language."""
+    return collocations.collocations(table(spark, sf_dir, "documents", "lang", "text", spread=True))
+
+
 def oracle_sql() -> dict[str, str]:
     return dict(oracle.SQL)
