@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..session import ship_package, write_table
 from ..sources.tables import table
-from . import chat, collocations, fingerprints, jaccard_join, line_dedup, mixing, near_dedup, oracle, packing, secrets, substring_dedup, top_k, toxicity
+from . import chat, collocations, fingerprints, hard_negatives, jaccard_join, line_dedup, mixing, near_dedup, oracle, packing, secrets, substring_dedup, top_k, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 _Q: dict[str, Query] = {}
@@ -134,5 +134,12 @@ def op12_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.collocations(table(spark, sf_dir, "documents", "lang", "text", spread=True))
 
 
+@query
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Negatives of 80 % to all of the score of each anchor's five positives."""
+    vectors = table(spark, sf_dir, "embeddings", "vec_id", "embedding", "label")
+    return hard_negatives.hard_negatives(hard_negatives.shifted_labels(vectors))
+
+
 def oracle_sql() -> dict[str, str]:
     return dict(oracle.SQL)
