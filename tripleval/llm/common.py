@@ -13,19 +13,22 @@ ROW_OVERHEAD = 64
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-def small_bytes(df: DataFrame, *text_cols: str) -> int:
-    """Bytes of ``df`` in memory: a fixed overhead per row plus the texts."""
+def small_bytes(df: DataFrame, *text_cols: str, array_cols: tuple[str, ...] = (), item: int = 8) -> int:
+    """Bytes of ``df`` in memory: a fixed overhead per row, the texts, and the arrays at ``item`` bytes an element."""
     size = F.lit(ROW_OVERHEAD + 8 * len(df.columns)).cast("long")
     for c in text_cols:
         size = size + F.coalesce(F.octet_length(c), F.lit(0))
+    for c in array_cols:
+        size = size + item * F.greatest(F.coalesce(F.size(c), F.lit(0)), F.lit(0))
     return df.agg(F.coalesce(F.sum(size), F.lit(0)).alias("b")).first()["b"]
 
 
 def lookup_join(big: DataFrame, small: DataFrame, keys: list[str], how: str = "inner",
-                text_cols: tuple[str, ...] = (), limit: int = BROADCAST_BYTES) -> DataFrame:
+                text_cols: tuple[str, ...] = (), limit: int = BROADCAST_BYTES, array_cols: tuple[str, ...] = (),
+                item: int = 8) -> DataFrame:
     """Join ``big`` with a table of one row per key: broadcast when its measured bytes stay
     below ``limit``, otherwise an ordinary shuffle join (AQE splits skewed keys of ``big``)."""
-    if small_bytes(small, *text_cols) <= limit:
+    if small_bytes(small, *text_cols, array_cols=array_cols, item=item) <= limit:
         small = F.broadcast(small)
     return big.join(small, keys, how)
 

@@ -1,12 +1,13 @@
 """Exact Jaccard join of documents on word n-grams, by prefix trees.
 
-1. A document is the set of its n-gram hashes, in one global order: cool grams by hash, then hot
-   ones by hash.  Documents with equal sets form a class that one representative stands for.
-2. Two sets whose similarity reaches the threshold t share a gram within their first
-   n - ceil(t n) + 1.  Only such prefix grams travel, and of those only the ones that another set
-   has too.  Grams whose hash lies in the lowest quarter (``COUNTED``) are counted in every set, and
-   those of ``HOT`` or more sets rank last, so that a licence line or a shared passage joins nothing.
-   The few sets that this leaves without a full prefix read on, past the lowest quarter.
+1. A document is the set of its n-gram hashes.  Documents with equal sets form a class that one
+   representative stands for.
+2. One global order of grams: those whose hash lies in the lowest quarter (``COUNTED``) are counted in
+   all sets and come first, rare ones before frequent ones; then the others by hash; last the counted
+   ones of ``HOT`` or more sets, so that a licence line or a shared passage joins nothing.  Two sets
+   whose similarity reaches the threshold t share a gram within their first n - ceil(t n) + 1.  A set
+   with as many counted grams of its own is done; of the others only prefix grams travel.  The few
+   sets without as many cool counted grams read on, past the lowest quarter.
 3. A gram's sets of comparable size meet at home, the smallest of their numbers.  Near copies
    share most prefix grams and hence few homes, so a set travels about once, not once per gram.
 4. At home the sets are stored in a trie.  All probes descend it together: a path's overlap is
@@ -31,7 +32,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import shuffle_partitions, write_table
-from .common import BROADCAST_BYTES
+from .common import lookup_join
 from .components import connected_components
 from .shingles import give_back, shingle_sets
 
@@ -47,7 +48,6 @@ BLOCK_GRAMS = 600_000
 # Grams of a chain between two checks of the bounds; bytes of the table of probes and grams.
 STRIDE = 64
 TABLE_BYTES = 32 << 20
-ROW_BYTES = 192
 
 SIGNED = "doc_id long, text_hash long, set_key binary, n long, low array<long>"
 LINKS = "a long, b long, links long"
@@ -118,16 +118,22 @@ def _extended(size: int, percent: int):
 def prefix_grams(docs: DataFrame, reps: DataFrame, size: int, percent: int) -> DataFrame:
     """num, n, gram: the prefix of every representative in the global order, without grams that no other set has."""
     length = prefix_length(F.col("n"), percent)
-    grams = reps.select("num", "n", F.posexplode("low").alias("at", "gram"))
+    grams = reps.select("num", F.explode("low").alias("gram"))
     counts = grams.groupBy("gram").agg(F.count(F.lit(1)).alias("sets")).where("sets > 1")
-    grams = write_table(grams.join(counts, "gram").withColumn("hot", (F.col("sets") >= HOT).cast("int")), "grams")
-    before = F.sum("hot").over(Window.partitionBy("num").orderBy("at").rowsBetween(Window.unboundedPreceding, 0))
-    cool = grams.withColumn("place", F.col("at") - before).where((F.col("hot") == 0) & (F.col("place") < length))
-    hot = grams.where("hot = 1").groupBy("num").agg(F.collect_list("gram").alias("hot"))
-    short = reps.select("num", "n", "doc_id", "text_hash", F.size("low").alias("low")).join(hot, "num", "left") \
-        .where(F.col("low") - F.coalesce(F.size("hot"), F.lit(0)) < length)
-    short = write_table(short.select("num", "n", "doc_id", "text_hash", "hot"), "short-prefixes")
-    texts = _texts(docs).join(short, ["doc_id", "text_hash"]).select("num", "hot", "text")
+    grams = write_table(grams.join(counts, "gram"), "grams")
+    hot = F.col("sets") >= HOT
+    shared = grams.groupBy("num").agg(F.count(F.lit(1)).alias("shared"), F.count(F.when(hot, 1)).alias("hot"))
+    sizes = reps.select("num", "n", "doc_id", "text_hash", F.size("low").alias("low")).join(shared, "num", "left") \
+        .fillna(0, ["shared", "hot"]).withColumn("alone", F.col("low") - F.col("shared"))
+    # a set with enough grams of its own has no other prefix
+    open_ = write_table(sizes.where(F.col("alone") < length), "open-sets")
+    place = F.row_number().over(Window.partitionBy("num").orderBy("sets", "gram"))
+    cool = lookup_join(grams.where(~hot), open_.where("shared > hot").select("num", "n", "alone"), ["num"]) \
+        .withColumn("place", F.col("alone") + place).where(F.col("place") <= length)
+    late = lookup_join(grams.where(hot), open_.where("hot > 0").select("num"), ["num"]).groupBy("num").agg(F.collect_list("gram").alias("late"))
+    short = open_.where(F.col("low") - F.col("hot") < length).join(late, "num", "left").select("num", "n", "doc_id", "text_hash", "late")
+    short = write_table(short, "short-prefixes")
+    texts = lookup_join(_texts(docs), short, ["doc_id", "text_hash"], array_cols=("late",)).select("num", "late", "text")
     more = texts.mapInArrow(_extended(size, percent), "num long, gram long").join(short.select("num", "n"), "num")
     return cool.select("num", "n", "gram").unionByName(more.select("num", "n", "gram"))
 
@@ -297,10 +303,8 @@ def jaccard_groups(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE)
     deals = max(shuffle_partitions(spark), -(-alone // BLOCK_GRAMS))
     deal = F.when(F.col("blocks") > 1, F.xxhash64("home", "pair")).otherwise(F.pmod(F.xxhash64("home"), F.lit(deals)))
     wanted = placed.withColumn("deal", deal).join(reps.select("num", "doc_id", "text_hash", "members"), "num")
-    size_of = F.coalesce(F.sum(F.lit(ROW_BYTES) + 8 * F.size("earlier")), F.lit(0))
-    if placed.agg(size_of.alias("b")).first()["b"] <= BROADCAST_BYTES:
-        wanted = F.broadcast(wanted)
-    found = _texts(docs).join(wanted, ["doc_id", "text_hash"]) \
+    wanted = write_table(wanted, "wanted")
+    found = lookup_join(_texts(docs), wanted, ["doc_id", "text_hash"], array_cols=("earlier",)) \
         .select("deal", "home", "pair", "own", "crossed", "num", "probe", "earlier", "members", "text") \
         .groupBy("deal").applyInPandas(_joined(size, percent), LINKS)
     found = write_table(found, "links")
