@@ -6,15 +6,17 @@ import collections
 import hashlib
 import re
 
+import numpy as np
+
 
 def sha(text: str | bytes) -> str:
     return hashlib.sha256(text.encode() if isinstance(text, str) else text).hexdigest()
 
 
-def shingle_set(text: str | None, lower: bool = True) -> frozenset:
+def shingle_set(text: str | None, lower: bool = True, size: int = 5) -> frozenset:
     w = (text or "").encode()
     w = (w.lower() if lower else w).split()
-    return frozenset(tuple(w[a:a + 5]) for a in range(max(1, len(w) - 4))) if w else frozenset()
+    return frozenset(tuple(w[a:a + size]) for a in range(max(1, len(w) - size + 1))) if w else frozenset()
 
 
 def near_groups(rows, percent: int = 85) -> dict:
@@ -40,6 +42,71 @@ def near_groups(rows, percent: int = 85) -> dict:
     return {i: (len(s), find(i), find(i) == i) for i, s in sets.items()}
 
 
+def jaccard_groups(rows, percent: int = 90, size: int = 3) -> dict:
+    """doc_id -> (n_shingles, component, links) by comparing all pairs."""
+    sets = {i: shingle_set(t, size=size) for i, t in rows}
+    links, parent = dict.fromkeys(sets, 0), {i: i for i in sets}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    ids = sorted(sets)
+    for k, i in enumerate(ids):
+        for j in ids[:k]:
+            a, b = sets[i], sets[j]
+            if not a or 100 * min(len(a), len(b)) < percent * max(len(a), len(b)):
+                continue
+            if 100 * len(a & b) >= percent * len(a | b):
+                links[i] += 1
+                links[j] += 1
+                x, y = find(i), find(j)
+                parent[max(x, y)] = min(x, y)
+    return {i: (len(s), find(i), links[i]) for i, s in sets.items()}
+
+
+def collocations(rows, least: int = 30, top: int = 2000) -> set:
+    """(lang, rank, phrase, a, l, r, n, score) of (lang, text) rows."""
+    count, total = collections.Counter(), collections.Counter()
+    for lang, text in rows:
+        lang = "und" if lang is None else lang
+        for piece in re.split(rb"[.,;:!?\x0A-\x0D]", (text or "").encode().lower()):
+            w = [x for x in re.split(rb"[ \t]+", piece) if x]
+            total[lang] += len(w)
+            for s in range(1, 5):
+                for i in range(len(w) - s + 1):
+                    count[lang, tuple(w[i:i + s])] += 1
+    found = collections.defaultdict(list)
+    for (lang, p), a in count.items():
+        if len(p) < 2 or a < least:
+            continue
+        inside = [q for (x, q), f in count.items() if x == lang and len(q) > len(p) and 100 * f >= 80 * a and f >= least
+                  and any(q[i:i + len(p)] == p for i in range(len(q) - len(p) + 1))]
+        if not inside:
+            cuts = [(2_000_000 * a // (count[lang, p[:k]] + count[lang, p[k:]]), k) for k in range(1, len(p))]
+            score, k = min(cuts)
+            found[lang].append((-score, -a, b" ".join(p), count[lang, p[:k]], count[lang, p[k:]]))
+    return {(lang, rank, p.decode(), -a, left, right, total[lang], -s)
+            for lang, rows_ in found.items() for rank, (s, a, p, left, right) in enumerate(sorted(rows_)[:top], 1)}
+
+
+def hard_negatives(rows, every: int = 100, k: int = 5) -> set:
+    """Rows of (vec_id, vector, label) with unique ids; labels are taken as they are."""
+    vec = {i: ([int(np.floor(256 * float(x))) for x in v], label) for i, v, label in rows
+           if i is not None and label is not None and v is not None and all(x is not None and np.isfinite(x) for x in v)}
+    out = set()
+    for i, (q, label) in vec.items():
+        if i % every:
+            continue
+        score = {j: sum(a * b for a, b in zip(q, v)) for j, (v, _) in vec.items() if j != i and len(v) == len(q)}
+        order = sorted(score, key=lambda j: (-score[j], j))
+        for p in [j for j in order if vec[j][1] == label][:k]:
+            fit = [j for j in order if vec[j][1] != label and 80 * score[p] <= 100 * score[j] <= 100 * score[p]]
+            out |= {(i, p, r, j, score[p], score[j]) for r, j in enumerate(fit[:k], 1)}
+    return out
+
+
 def without_repeats(rows, window: int = 20) -> dict:
     """doc_id -> (n_words, n_removed, kept) of the words not covered by a window seen before."""
     seen, out = set(), {}

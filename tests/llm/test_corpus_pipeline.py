@@ -44,7 +44,7 @@ def test_stages_against_brute_force(spark, sf_dir):
     assert all(r["n_chars"] == len(r["text"]) for r in lines)
 
     near = out["near dedup"].collect()
-    groups = brute.near_groups([(r["doc_id"], r["text"]) for r in lines])
+    groups = brute.near_groups([(r["doc_id"], r["text"]) for r in lines], percent=corpus_pipeline.NEAR_PERCENT)
     assert sorted(r["doc_id"] for r in near) == sorted(i for i, x in groups.items() if x[2])
 
     mixed = out["source mix"].collect()

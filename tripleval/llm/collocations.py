@@ -79,14 +79,16 @@ def prefix_polynomials(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return sums, np.cumprod(powers, out=powers)
 
 
-def fingerprint(polynomial: np.ndarray, seed: np.ndarray, size: int) -> np.ndarray:
-    return mix64(mix64(polynomial + LENGTH_STEPS[size]) + seed)
+def fingerprint(polynomial: np.ndarray, seed: np.ndarray, size: int, bits: int = 64) -> np.ndarray:
+    """Fingerprints of phrases of one size, of which the upper ``bits`` bits are kept."""
+    return mix64(mix64(polynomial + LENGTH_STEPS[size]) + seed) >> np.uint64(64 - bits) << np.uint64(64 - bits)
 
 
 class Step:
     """Words of some texts: hashes, byte ranges, and the piece that each lies in."""
 
-    def __init__(self, texts: pa.StringArray, seed: np.ndarray):
+    def __init__(self, texts: pa.StringArray, seed: np.ndarray, fp_bits: int = 64):
+        self.fp_bits = fp_bits
         kind, plain = _byte_tables()
         offsets = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset:texts.offset + len(texts) + 1].astype(np.int64)
         data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[offsets[0]:offsets[-1]]
@@ -121,10 +123,15 @@ class Step:
             at = np.arange(n)
         at = at[at < n]
         at = at[self.piece[at] == self.piece[at + size - 1]]
-        return at, fingerprint((self.sums[at + size] - self.sums[at]) * self.powers[at], self.seed[at], size)
+        return at, fingerprint((self.sums[at + size] - self.sums[at]) * self.powers[at], self.seed[at], size, self.fp_bits)
+
+    def empty(self, at: np.ndarray) -> np.ndarray:
+        """Fingerprints of the empty phrase of each word's language."""
+        return fingerprint(np.zeros(len(at), np.uint64), self.seed[at], 0, self.fp_bits)
 
     def proof(self, at: np.ndarray, size: int) -> np.ndarray:
-        return (mix64((self.proof_sums[at + size] - self.proof_sums[at]) * self.powers[at]) >> np.uint64(32)).astype(np.uint32)
+        words = (self.proof_sums[at + size] - self.proof_sums[at]) * self.powers[at]
+        return (mix64(mix64(words) + self.seed[at] * np.uint64(MULTIPLIER)) >> np.uint64(32)).astype(np.uint32)
 
 
 def tally(fp: np.ndarray, proof: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -161,20 +168,20 @@ def _occurrences(step: Step, bits: np.ndarray | None) -> Iterator[tuple[int, np.
         yield size, *step.grams(size, np.flatnonzero(good))
 
 
-def _counted(bits: np.ndarray | None):
+def _counted(bits: np.ndarray | None, fp_bits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             langs = batch.column(0).dictionary_encode()
             seed = seeds(langs.dictionary.to_pylist())[langs.indices.to_numpy()]
             marks = batch.column(2).to_numpy()
             for a, b in steps(batch.column(1), STEP_BYTES):
-                step = Step(batch.column(1).slice(a, b - a), seed[a:b])
+                step = Step(batch.column(1).slice(a, b - a), seed[a:b], fp_bits)
                 mark, out = marks[a:b], []
                 if bits is None:        # the empty phrase counts the words of a language
                     at = np.arange(len(step.hashes))
-                    one, times = tally(fingerprint(np.zeros(len(at), np.uint64), step.seed, 0), np.zeros(len(at), np.uint32))
-                    out.append((one, times, fingerprint(np.zeros(len(one), np.uint64), step.seed[one], 0),
-                                np.zeros(len(one), np.uint32), 0))
+                    fp, proof = step.empty(at), step.proof(at, 0)
+                    one, times = tally(fp, proof)
+                    out.append((one, times, fp[one], proof[one], 0))
                 for size, at, fp in _occurrences(step, bits):
                     proof = step.proof(at, size)
                     one, times = tally(fp, proof)
@@ -206,10 +213,10 @@ def _totals(counted: DataFrame, *keys: str, least: int) -> DataFrame:
         .where((F.col("f") >= least) | (F.col("size") == 0))
 
 
-def frequent(texts: DataFrame, least: int, bits: np.ndarray | None = None) -> DataFrame:
+def frequent(texts: DataFrame, least: int, bits: np.ndarray | None = None, fp_bits: int = 64) -> DataFrame:
     """fp, f, size and a pointer of every phrase that occurs ``least`` times: words and pairs, or with
     ``bits`` longer ones."""
-    counted = texts.select("lang", "text", "text_hash").mapInArrow(_counted(bits), COUNTED)
+    counted = texts.select("lang", "text", "text_hash").mapInArrow(_counted(bits, fp_bits), COUNTED)
     found = write_table(_totals(counted, "fp", least=least), "fingerprints")
     mixed = found.where("low <> high").select("fp")
     if not mixed.isEmpty():
@@ -228,7 +235,7 @@ def pair_bits(found: DataFrame) -> np.ndarray:
     return bits
 
 
-def _read_back(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _read_back(batches: Iterator[pa.RecordBatch], fp_bits: int) -> Iterator[pa.RecordBatch]:
     """Phrases that the pointers of each text point at, if they give the pointer's fingerprint."""
     _, plain = _byte_tables()
     for batch in batches:
@@ -242,7 +249,7 @@ def _read_back(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for p, words in zip(pointers, said):
                 h = np.array([known[w] for w in words], np.uint64)
                 sums, _ = prefix_polynomials(h)
-                if len(words) == p["size"] and int(fingerprint(sums[-1:], seed, p["size"]).view(np.int64)[0]) == p["fp"]:
+                if len(words) == p["size"] and int(fingerprint(sums[-1:], seed, p["size"], fp_bits).view(np.int64)[0]) == p["fp"]:
                     langs.append(lang)
                     sizes.append(p["size"])
                     phrases.append(b" ".join(words).decode())
@@ -251,16 +258,16 @@ def _read_back(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                                           pa.array(fs, pa.int64())], names=["lang", "size", "phrase", "f"])
 
 
-def phrase_counts(docs: DataFrame, least: int = LEAST) -> DataFrame:
+def phrase_counts(docs: DataFrame, least: int = LEAST, fp_bits: int = 64) -> DataFrame:
     """lang, size, phrase, f of every phrase of one to four words that occurs ``least`` times in its language; the
-    empty phrase (size 0) has the number of words."""
+    empty phrase (size 0) has the number of words.  ``fp_bits``: bits of a fingerprint (fewer in tests)."""
     texts = _texts(docs)
-    short = frequent(texts, least)
-    found = short.unionByName(frequent(texts, least, pair_bits(short)))
+    short = frequent(texts, least, None, fp_bits)
+    found = short.unionByName(frequent(texts, least, pair_bits(short), fp_bits))
     pointers = found.groupBy("text_hash").agg(F.collect_list(F.struct("fp", "f", "size", "at", "bytes")).alias("pointers"))
-    pointers = write_table(pointers.withColumn("width", F.repeat(F.lit("x"), 48 * F.size("pointers"))), "pointers")
-    read = lookup_join(texts, pointers, ["text_hash"], text_cols=("width",)).select("lang", "text", "pointers") \
-        .mapInArrow(_read_back, "lang string, size int, phrase string, f long")
+    pointers = write_table(pointers, "pointers")
+    read = lookup_join(texts, pointers, ["text_hash"], array_cols=("pointers",), item=64).select("lang", "text", "pointers") \
+        .mapInArrow(lambda batches: _read_back(batches, fp_bits), "lang string, size int, phrase string, f long")
     # a text that occurs again gives its phrases again
     return write_table(read.groupBy("lang", "size", "phrase").agg(F.max("f").alias("f")), "phrases")
 
