@@ -230,7 +230,7 @@ def _cell(k: int, same: bool):
         if len(anchors) and len(trees):
             t = trees.iloc[0]
             dim = int(t["dim"])
-            x = np.frombuffer(t["vectors"], np.float64).reshape(-1, dim)
+            x = np.frombuffer(t["vectors"], np.float64).reshape(int(t["n"]), dim)
             tree = {"ids": np.frombuffer(t["ids"], np.int64), "labels": np.frombuffer(t["labels"], np.int64), "top": float(t["top"]),
                     "radii": np.frombuffer(t["radii"], np.float64), "masks": np.frombuffer(t["masks"], np.int64),
                     **{c: np.frombuffer(t[c], np.int32) for c in ("middle", "first", "last")}}
@@ -268,7 +268,7 @@ def search(anchors: DataFrame, trees: DataFrame, k: int, same: bool) -> DataFram
         left = lookup_join(pairs, load, KEY).withColumn("cell", F.pmod(F.xxhash64("anchor_id"), F.col("cells")))
         right = trees.join(load, KEY).withColumn("cell", F.explode(F.sequence(F.lit(0).cast("long"), F.col("cells") - 1)))
         left = left.select(*KEY, "cell", "anchor_id", "label", "norm", "vector", "lows", "highs")
-        right = right.drop("root", "radius", "mask", "n", "cells")
+        right = right.drop("root", "radius", "mask", "cells")
         return write_table(left.groupBy(*KEY, "cell").cogroup(right.groupBy(*KEY, "cell")).applyInPandas(
             lambda a, t: _cell(k, same)(a, t), FOUND), "found")
 
