@@ -8,6 +8,7 @@ import zlib
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 
 from tests.llm import brute
 from tripleval.llm import (chat, components, fingerprints, line_dedup, mixing, near_dedup, packing, secrets, substring_dedup, top_k,
@@ -378,3 +379,21 @@ def test_text_features_of_plain_cases():
     assert x[1][name["seed_density"]] == pytest.approx(1 / 5) and x[1][name["near_you_density"]] > 0
     assert x[1][name["hidden_density"]] == pytest.approx(1 / 5)
     assert x[2][name["shout_rate"]] == 1 and x[3][name["shout_rate"]] == 0
+
+
+def test_stages_keep_columns_of_any_name_and_type(spark):
+    """Columns named like the operators' own, and a map, which has no order."""
+    names = ["tox_raw", "tox_p", "tox_vector", "tox_probability", "tox_class", "tox_score", "tox_held_out", "tox_predicted", "_toxic", "_part",
+             "row", "rank", "n", "id", "a", "b", "one", "component_id", "kept"]
+    rows = [(i, t, f"clash {i}", {"k": str(i)}) for i, t in [*DOCS, (1, PASSAGE), (None, PASSAGE), (None, None)]]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, clash string, extra map<string,string>") \
+        .select("doc_id", "text", "extra", *(F.col("clash").alias(c) for c in names))
+    labels = spark.createDataFrame([(k, k % 2) for k in range(1, 15)], "doc_id long, toxic int")
+    for out in (toxicity.drop_toxic(docs, labels), near_dedup.drop_near_duplicates(docs), near_dedup.drop_near_duplicates(docs.where("doc_id > 1"))):
+        assert out.dtypes == docs.dtypes
+        got = out.collect()
+        assert got and all(r["tox_score"] == r["kept"] == f"clash {r['doc_id']}" and r["extra"] == {"k": str(r["doc_id"])} for r in got)
+    scored = toxicity.score(docs, labels)
+    assert scored.columns == [c for c in docs.columns if c not in ("tox_score", "tox_held_out", "tox_predicted")] + [
+        "tox_held_out", "tox_score", "tox_predicted"]
+    assert scored.count() == len(rows) and all(r["tox_raw"] == f"clash {r['doc_id']}" for r in scored.collect())

@@ -263,20 +263,24 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
 
 def drop_near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """``docs`` with one document of each group: that of the smallest doc_id (null ids last, then by the hash
-    of the text).  Rows of equal id and text are one document, of which the least row stays; null ids
-    count as equal here.  Different texts under one id are documents of their own."""
+    of the text).  Rows of equal id and text are one document, of which the row with the smallest hash of its
+    other columns' values stays; null ids count as equal here.  Different texts under one id are documents of
+    their own.  Other columns are kept whatever their names and types."""
     ids = docs.groupBy(F.col("doc_id").cast("long").alias("id")).agg(F.count(F.lit(1)).alias("m"))
     if ids.where("id is null or m > 1").isEmpty():
         gone = write_table(near_duplicates(docs, percent).where("not kept").select("doc_id"), "duplicates")
         return lookup_join(docs, gone, ["doc_id"], "left_anti").select(*docs.columns)
-    # ids do not tell the rows apart: one row per id and text, with a number of its own
+    # ids do not tell the rows apart: every row gets a number, and one number of each id and text goes on
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("id"), F.xxhash64(text).alias("a"),
-                       F.xxhash64(F.lit(1), text).alias("b")).groupBy("id", "a", "b").agg(F.min("row").alias("row"))
+                       F.xxhash64(F.lit(1), text).alias("b"), F.xxhash64(F.to_json(F.struct("*"))).alias("rank"))
     rows = write_table(rows.withColumn("n", F.monotonically_increasing_id()), "rows")
-    found = near_duplicates(rows.select(F.col("n").alias("doc_id"), F.col("row.text").alias("text")), percent)
+    one = rows.groupBy("id", "a", "b").agg(F.min(F.struct("rank", "n")).alias("one")).select("id", "a", "b", "one.n")
+    one = write_table(one, "distinct-rows")
+    found = near_duplicates(lookup_join(rows.select("n", "row.text"), one.select("n"), ["n"], "left_semi")
+                            .select(F.col("n").alias("doc_id"), "text"), percent)
     place = F.struct(F.col("id").isNull().alias("last"), "id", "a", "b", "n")
-    first = rows.select("id", "a", "b", "n").join(found.select(F.col("doc_id").alias("n"), "component_id"), "n") \
+    first = one.join(found.select(F.col("doc_id").alias("n"), "component_id"), "n") \
         .groupBy("component_id").agg(F.min(place).alias("first"))
     kept = write_table(first.select("first.n"), "kept-rows")
     return lookup_join(rows, kept, ["n"], "left_semi").select("row.*")

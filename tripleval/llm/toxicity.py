@@ -26,9 +26,10 @@ from pyspark.sql import functions as F
 from ..session import write_table
 from .shingles import give_back, steps, word_codes
 
+# Bounds of what is learned (parameters of ``score``): labelled rows, and items of the lexicon.
 MAX_TRAINING_ROWS = 40_000
-FOLDS = 5
 MAX_LEXICON = 4_000
+FOLDS = 5
 LEAST_DOCUMENTS = 3
 LEAST_Z = 3.0
 TREES = 20
@@ -181,8 +182,9 @@ def training_labels(labels: DataFrame, most: int = MAX_TRAINING_ROWS) -> DataFra
         .withColumn("_part", F.pmod(F.xxhash64("_label_id", F.lit("part")), F.lit(10)))
 
 
-def learn_lexicon(rows: DataFrame) -> dict[str, float]:
-    """Log odds of the items that occur in clearly more toxic than other documents (columns text, _toxic)."""
+def learn_lexicon(rows: DataFrame, most: int = MAX_LEXICON) -> dict[str, float]:
+    """Log odds of the items that occur in clearly more toxic than other documents (columns text, _toxic): the
+    ``most`` items of the clearest odds."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count: dict[tuple[str, float], int] = Counter()
         for batch in batches:
@@ -200,22 +202,34 @@ def learn_lexicon(rows: DataFrame) -> dict[str, float]:
     odds = F.log((F.col("bad") + 0.5) / bad) - F.log((F.col("good") + 0.5) / good)
     z = odds / F.sqrt(1 / (F.col("bad") + 0.5) + 1 / (F.col("good") + 0.5))
     found = counts.where(F.col("bad") >= LEAST_DOCUMENTS).select("item", odds.alias("odds"), z.alias("z")) \
-        .where(F.col("z") >= LEAST_Z).orderBy(F.col("z").desc(), "item").limit(MAX_LEXICON).collect()
+        .where(F.col("z") >= LEAST_Z).orderBy(F.col("z").desc(), "item").limit(most).collect()
     return {r["item"]: min(r["odds"], 6.0) for r in found if r["odds"] > 0}
 
 
-def score(docs: DataFrame, labels: DataFrame, most: int = MAX_TRAINING_ROWS) -> DataFrame:
+def score(docs: DataFrame, labels: DataFrame, most: int = MAX_TRAINING_ROWS, lexicon_items: int = MAX_LEXICON) -> DataFrame:
     """``docs`` with ``tox_held_out``, ``tox_score`` (0 to 1) and ``tox_predicted`` (score >= 0.5).
 
     ``docs`` has doc_id and text, ``labels`` doc_id and toxic; null labels teach nothing, repeated ones
     count once.  Null and empty texts have a score too: of features that are all zero.  Where the
     labelled rows lack one of the classes, every score is the share of label 1 (0 without rows).
+    ``most`` bounds the labelled rows that are learned from, ``lexicon_items`` the learned lexicon (the
+    items of the clearest odds stay).  Other columns are kept whatever their names and types; only a
+    column named like one of the three results is replaced by it.
     """
-    out = docs.withColumn("tox_held_out", held_out(F.col("doc_id")))
+    results = ["tox_held_out", "tox_score", "tox_predicted"]
+    out = _scored(docs, labels, most, lexicon_items)
+    return out.select(*(F.col("row").getField(c).alias(c) for c in docs.columns if c.lower() not in results), *results)
+
+
+def _scored(docs: DataFrame, labels: DataFrame, most: int, lexicon_items: int) -> DataFrame:
+    """row (all columns of ``docs``) and the three results."""
+    out = docs.select(F.struct("*").alias("row"), F.col("doc_id").alias("doc_id"), F.col("text").alias("text")) \
+        .withColumn("tox_held_out", held_out(F.col("doc_id")))
+    docs = docs.select("doc_id", "text")
     known = write_table(training_labels(labels, most), "tox-labels")
     rows = docs.select(F.col("doc_id").alias("_label_id"), "text").join(F.broadcast(known), "_label_id")
     rows = write_table(rows, "tox-rows")
-    lexicon = learn_lexicon(rows.where("_part < 3"))
+    lexicon = learn_lexicon(rows.where("_part < 3"), lexicon_items)
 
     @F.arrow_udf("array<double>")
     def features(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
@@ -261,6 +275,6 @@ def calibrated(p: Column, line: list[tuple[float, float]]) -> Column:
     return F.greatest(F.lit(0.0), F.least(F.lit(1.0), value * (1 - 1e-3) + p * 1e-3))
 
 
-def drop_toxic(docs: DataFrame, labels: DataFrame, most: int = MAX_TRAINING_ROWS) -> DataFrame:
-    """``docs`` without those predicted toxic."""
-    return score(docs, labels, most).where("tox_predicted = 0").select(*docs.columns)
+def drop_toxic(docs: DataFrame, labels: DataFrame, most: int = MAX_TRAINING_ROWS, lexicon_items: int = MAX_LEXICON) -> DataFrame:
+    """``docs`` without those predicted toxic; columns of any names and types stay as they are."""
+    return _scored(docs, labels, most, lexicon_items).where("tox_predicted = 0").select("row.*")
