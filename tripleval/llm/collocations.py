@@ -2,12 +2,13 @@
 
 1. A task turns its texts into word hashes and takes prefix polynomials of them, so that the
    fingerprint of any n-gram is one difference and one product.  Language and length are part of it.
-2. Equal fingerprints of a step of texts are counted at once; what travels is a fingerprint, a second and
-   independent one, the count, and a pointer to one occurrence (hash of the text, byte offset, bytes).
+2. Equal fingerprints of a step of texts are counted at once; what travels is a fingerprint, some bits of a
+   second and independent one (the proof), the count, and a pointer to one occurrence (hash of the text,
+   byte offset).  They meet sorted, and totals are taken from the sorted stream in bounded memory.
 3. Single words and pairs go first.  A fixed-size bitmap of the frequent pairs' fingerprints then
    keeps three- and four-word phrases at home that hold an infrequent pair; it may let others pass, never
    too few.
-4. A fingerprint whose second ones differ holds several phrases: those are counted apart.
+4. A fingerprint whose proofs differ holds several phrases: those are counted apart.
 5. Only frequent phrases become text: their pointers join the texts, and what they point at must
    give the fingerprint again.
 6. Scores, cuts and the rule of longer phrases are joins and aggregates of that small table.
@@ -35,7 +36,9 @@ NO_LANGUAGE = "und"
 COVERED = 80
 SCALE = 2_000_000
 
-STEP_BYTES = 12 << 20
+STEP_BYTES = 6 << 20
+BATCH_ROWS = 1 << 16
+PROOF_BITS = 16
 # Bits of the map of frequent pairs: 8 MB at any size of the corpus.
 FILTER_BITS = 26
 
@@ -48,7 +51,9 @@ CHECK_KEY = "2nd fingerprints"      # 16 bytes
 BETWEEN_WORDS = b" \t"
 BETWEEN_PIECES = b".,;:!?\n\x0b\x0c\r"
 
-COUNTED = "fp long, proof int, size int, times long, text_hash long, at int, bytes int"
+# place: byte offset of the first word, times 8, plus the number of words
+COUNTED = "fp long, proof int, times int, text_hash long, place long"
+TOTALS = "fp long, f long, mixed boolean, text_hash long, place long"
 
 
 def _byte_tables() -> tuple[np.ndarray, np.ndarray]:
@@ -94,23 +99,18 @@ class Step:
         data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[offsets[0]:offsets[-1]]
         offsets = offsets - offsets[0]
         kinds = kind[data]
-        inside = np.zeros(len(data) + 1, bool)          # one more: the end of the last text
-        inside[:-1] = kinds == 0
-        opens = inside[:-1].copy()
-        opens[1:] &= ~inside[:-2]
+        inside = kinds == 0
+        opens = inside.copy()
+        opens[1:] &= ~inside[:-1]
         first = offsets[:-1][np.diff(offsets) > 0]
         opens[first] = inside[first]                     # a text's first byte opens a word whatever stands before
         self.start = np.flatnonzero(opens)
-        closes = inside[:-1] & ~inside[1:]
-        last = offsets[1:][np.diff(offsets) > 0] - 1
-        closes[last] = inside[last]
-        self.end = np.flatnonzero(closes) + 1
         split = pa.StringArray.from_buffers(len(texts), pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(plain[data]))
         codes, distinct, counts = word_codes(split)
         self.owner = np.repeat(np.arange(len(counts)), counts)
         self.offsets, self.seed = offsets, seed[self.owner]
         self.piece = np.searchsorted(np.flatnonzero(kinds == 2), self.start) + self.owner
-        self.hashes = hash_words(distinct)[codes]
+        self.codes, self.hashes = codes, hash_words(distinct)[codes]
         self.proofs = pd.util.hash_array(np.asarray(distinct, dtype=object), hash_key=CHECK_KEY, categorize=False)[codes] \
             if distinct else np.empty(0, np.uint64)
         self.sums, self.powers = prefix_polynomials(self.hashes)
@@ -131,14 +131,14 @@ class Step:
 
     def proof(self, at: np.ndarray, size: int) -> np.ndarray:
         words = (self.proof_sums[at + size] - self.proof_sums[at]) * self.powers[at]
-        return (mix64(mix64(words) + self.seed[at] * np.uint64(MULTIPLIER)) >> np.uint64(32)).astype(np.uint32)
+        return (mix64(mix64(words) + self.seed[at] * np.uint64(MULTIPLIER)) >> np.uint64(64 - PROOF_BITS)).astype(np.int32)
 
 
 def tally(fp: np.ndarray, proof: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(position of one occurrence, number) of each distinct pair of fingerprint and proof."""
     if not len(fp):
         return np.empty(0, np.int64), np.empty(0, np.int64)
-    order = np.argsort(fp, kind="stable")
+    order = np.argsort(fp)
     new = np.ones(len(fp), bool)
     new[1:] = fp[order[1:]] != fp[order[:-1]]
     if (~new[1:] & (proof[order[1:]] != proof[order[:-1]])).any():
@@ -176,58 +176,87 @@ def _counted(bits: np.ndarray | None, fp_bits: int):
             marks = batch.column(2).to_numpy()
             for a, b in steps(batch.column(1), STEP_BYTES):
                 step = Step(batch.column(1).slice(a, b - a), seed[a:b], fp_bits)
-                mark, out = marks[a:b], []
+                found = list(_occurrences(step, bits))
                 if bits is None:        # the empty phrase counts the words of a language
                     at = np.arange(len(step.hashes))
-                    fp, proof = step.empty(at), step.proof(at, 0)
-                    one, times = tally(fp, proof)
-                    out.append((one, times, fp[one], proof[one], 0))
-                for size, at, fp in _occurrences(step, bits):
+                    found.append((0, at, step.empty(at)))
+                for size, at, fp in found:
                     proof = step.proof(at, size)
                     one, times = tally(fp, proof)
-                    out.append((at[one], times, fp[one], proof[one], size))
-                for at, times, fp, proof, size in out:
-                    owner, last = step.owner[at], step.end[at + max(size, 1) - 1]
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(fp.view(np.int64)), pa.array(proof.view(np.int32)), pa.array(np.full(len(at), size, np.int32)),
-                         pa.array(times.astype(np.int64)), pa.array(mark[owner]),
-                         pa.array((step.start[at] - step.offsets[owner]).astype(np.int32)),
-                         pa.array((last - step.start[at]).astype(np.int32))],
-                        names=["fp", "proof", "size", "times", "text_hash", "at", "bytes"])
-                del step, out
+                    order = np.argsort(one)         # rows of one text stay together and pack well
+                    one, times = one[order], times[order]
+                    at, fp, proof = at[one], fp[one], proof[one]
+                    owner = step.owner[at]
+                    place = (step.start[at] - step.offsets[owner]) * 8 + size
+                    mark = marks[a:b][owner]
+                    for k in range(0, len(at), BATCH_ROWS):
+                        c = slice(k, k + BATCH_ROWS)
+                        yield pa.RecordBatch.from_arrays(
+                            [pa.array(fp[c].view(np.int64)), pa.array(proof[c]), pa.array(times[c].astype(np.int32)), pa.array(mark[c]),
+                             pa.array(place[c])], names=["fp", "proof", "times", "text_hash", "place"])
+                del step, found
             give_back()
 
     return run
 
 
+def _merged(least: int):
+    """Totals of rows sorted by fingerprint, for fingerprints of ``least`` or more and for empty phrases."""
+    def batch_of(fp, f, mixed, mark, place) -> pa.RecordBatch:
+        keep = (f >= least) | (place % 8 == 0)
+        return pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in (fp, f, mixed, mark, place)],
+                                          names=["fp", "f", "mixed", "text_hash", "place"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        carry = None            # the last fingerprint of the batches before: it may go on
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            fp, proof, times, mark, place = (batch.column(k).to_numpy() for k in range(5))
+            first = np.flatnonzero(np.append(True, fp[1:] != fp[:-1]))
+            low, high = np.minimum.reduceat(proof, first), np.maximum.reduceat(proof, first)
+            now = [fp[first], np.add.reduceat(times.astype(np.int64), first), low, high, mark[first], place[first]]
+            if carry is not None:
+                if carry[0][0] == now[0][0]:
+                    now[1][0] += carry[1][0]
+                    now[2][0], now[3][0] = min(now[2][0], carry[2][0]), max(now[3][0], carry[3][0])
+                else:
+                    now = [np.concatenate(x) for x in zip(carry, now)]
+            carry = [x[-1:].copy() for x in now]
+            fp, f, low, high, mark, place = (x[:-1] for x in now)
+            yield batch_of(fp, f, low != high, mark, place)
+        if carry is not None:
+            fp, f, low, high, mark, place = carry
+            yield batch_of(fp, f, low != high, mark, place)
+        give_back()
+
+    return run
+
+
 def _texts(docs: DataFrame) -> DataFrame:
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     return docs.select(F.coalesce(F.col("lang").cast("string"), F.lit(NO_LANGUAGE)).alias("lang"), text.alias("text")) \
         .where("text <> ''").withColumn("text_hash", F.xxhash64("text"))
 
 
-def _totals(counted: DataFrame, *keys: str, least: int) -> DataFrame:
-    return counted.groupBy(*keys).agg(
-        F.sum("times").alias("f"), F.min("proof").alias("low"), F.max("proof").alias("high"), F.first("size").alias("size"),
-        F.first("text_hash").alias("text_hash"), F.first("at").alias("at"), F.first("bytes").alias("bytes")) \
-        .where((F.col("f") >= least) | (F.col("size") == 0))
-
-
 def frequent(texts: DataFrame, least: int, bits: np.ndarray | None = None, fp_bits: int = 64) -> DataFrame:
-    """fp, f, size and a pointer of every phrase that occurs ``least`` times: words and pairs, or with
-    ``bits`` longer ones."""
+    """fp, f and a pointer of every phrase that occurs ``least`` times: words and pairs, or with ``bits`` longer
+    ones; and the empty phrases."""
     counted = texts.select("lang", "text", "text_hash").mapInArrow(_counted(bits, fp_bits), COUNTED)
-    found = write_table(_totals(counted, "fp", least=least), "fingerprints")
-    mixed = found.where("low <> high").select("fp")
+    sorted_ = counted.repartition("fp").sortWithinPartitions("fp")
+    found = write_table(sorted_.mapInArrow(_merged(least), TOTALS), "fingerprints")
+    mixed = found.where("mixed").select("fp")
     if not mixed.isEmpty():
-        apart = _totals(counted.join(mixed, "fp", "left_semi"), "fp", "proof", least=least)
-        found = write_table(found.where("low = high").unionByName(apart.drop("proof")), "fingerprints")
-    return found.select("fp", "f", "size", "text_hash", "at", "bytes")
+        apart = counted.join(mixed, "fp", "left_semi").groupBy("fp", "proof") \
+            .agg(F.sum("times").alias("f"), F.first("text_hash").alias("text_hash"), F.first("place").alias("place")) \
+            .where((F.col("f") >= least) | (F.col("place") % 8 == 0))
+        found = write_table(found.where("not mixed").drop("mixed").unionByName(apart.drop("proof")), "fingerprints")
+    return found.select("fp", "f", "text_hash", "place")
 
 
 def pair_bits(found: DataFrame) -> np.ndarray:
     """Bitmap of the frequent pairs' fingerprints: 2**FILTER_BITS bits, whatever their number."""
-    slots = found.where("size = 2").select(F.shiftrightunsigned("fp", 64 - FILTER_BITS).alias("slot"))
+    slots = found.where("place % 8 = 2").select(F.shiftrightunsigned("fp", 64 - FILTER_BITS).alias("slot"))
     words = slots.select(F.shiftright("slot", 6).alias("word"), F.expr("shiftleft(1L, cast(slot % 64 as int))").alias("bit"))
     got = words.groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
     bits = np.zeros(1 << (FILTER_BITS - 6), np.uint64)
@@ -235,6 +264,16 @@ def pair_bits(found: DataFrame) -> np.ndarray:
     return bits
 
 
+def _words_from(raw: bytes, at: int, size: int) -> list[bytes]:
+    """The ``size`` words that begin at ``at``."""
+    width = 64 * (size + 1)
+    while True:
+        words = raw[at:at + width].split(None, size)
+        if len(words) > size or at + width >= len(raw):
+            return words[:size]
+        width *= 4
+
+
 def _read_back(batches: Iterator[pa.RecordBatch], fp_bits: int) -> Iterator[pa.RecordBatch]:
     """Phrases that the pointers of each text point at, if they give the pointer's fingerprint."""
     _, plain = _byte_tables()
@@ -243,15 +282,15 @@ def _read_back(batches: Iterator[pa.RecordBatch], fp_bits: int) -> Iterator[pa.R
         for lang, text, pointers in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist()):
             raw = plain[np.frombuffer(text.encode(), np.uint8)].tobytes()
             seed = seeds([lang])
-            said = [raw[p["at"]:p["at"] + p["bytes"]].split() if p["size"] else [] for p in pointers]
+            said = [_words_from(raw, p["place"] // 8, p["place"] % 8) for p in pointers]
             distinct = sorted({w for words in said for w in words})
             known = dict(zip(distinct, hash_words([w.decode() for w in distinct])))
             for p, words in zip(pointers, said):
-                h = np.array([known[w] for w in words], np.uint64)
-                sums, _ = prefix_polynomials(h)
-                if len(words) == p["size"] and int(fingerprint(sums[-1:], seed, p["size"], fp_bits).view(np.int64)[0]) == p["fp"]:
+                size = p["place"] % 8
+                sums, _ = prefix_polynomials(np.array([known[w] for w in words], np.uint64))
+                if len(words) == size and int(fingerprint(sums[-1:], seed, size, fp_bits).view(np.int64)[0]) == p["fp"]:
                     langs.append(lang)
-                    sizes.append(p["size"])
+                    sizes.append(size)
                     phrases.append(b" ".join(words).decode())
                     fs.append(p["f"])
         yield pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(sizes, pa.int32()), pa.array(phrases, pa.string()),
@@ -264,9 +303,9 @@ def phrase_counts(docs: DataFrame, least: int = LEAST, fp_bits: int = 64) -> Dat
     texts = _texts(docs)
     short = frequent(texts, least, None, fp_bits)
     found = short.unionByName(frequent(texts, least, pair_bits(short), fp_bits))
-    pointers = found.groupBy("text_hash").agg(F.collect_list(F.struct("fp", "f", "size", "at", "bytes")).alias("pointers"))
+    pointers = found.groupBy("text_hash").agg(F.collect_list(F.struct("fp", "f", "place")).alias("pointers"))
     pointers = write_table(pointers, "pointers")
-    read = lookup_join(texts, pointers, ["text_hash"], array_cols=("pointers",), item=64).select("lang", "text", "pointers") \
+    read = lookup_join(texts, pointers, ["text_hash"], array_cols=("pointers",), item=48).select("lang", "text", "pointers") \
         .mapInArrow(lambda batches: _read_back(batches, fp_bits), "lang string, size int, phrase string, f long")
     # a text that occurs again gives its phrases again
     return write_table(read.groupBy("lang", "size", "phrase").agg(F.max("f").alias("f")), "phrases")
