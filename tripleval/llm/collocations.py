@@ -25,7 +25,6 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import write_table
-from .common import lookup_join
 from .shingles import give_back, hash_words, mix64, steps, word_codes
 
 LEAST = 30
@@ -38,6 +37,8 @@ SCALE = 2_000_000
 
 STEP_BYTES = 6 << 20
 BATCH_ROWS = 1 << 16
+# Rows that a task gathers from its steps before it sends their totals.
+GATHERED_ROWS = 2_500_000
 PROOF_BITS = 16
 # Bits of the map of frequent pairs: 8 MB at any size of the corpus.
 FILTER_BITS = 26
@@ -168,34 +169,60 @@ def _occurrences(step: Step, bits: np.ndarray | None) -> Iterator[tuple[int, np.
         yield size, *step.grams(size, np.flatnonzero(good))
 
 
+def _step_rows(step: Step, marks: np.ndarray, bits: np.ndarray | None) -> list[np.ndarray]:
+    """Columns fp, proof, times, text_hash, place of the phrases of a step."""
+    found = list(_occurrences(step, bits))
+    if bits is None:        # the empty phrase counts the words of a language
+        at = np.arange(len(step.hashes))
+        found.append((0, at, step.empty(at)))
+    out = []
+    for size, at, fp in found:
+        proof = step.proof(at, size)
+        one, times = tally(fp, proof)
+        at = at[one]
+        owner = step.owner[at]
+        out.append([fp[one], proof[one], times.astype(np.int32), marks[owner], (step.start[at] - step.offsets[owner]) * 8 + size])
+    return [np.concatenate(x) for x in zip(*out)]
+
+
+def _gathered(parts: list[list[np.ndarray]]) -> Iterator[pa.RecordBatch]:
+    """Totals of the rows of several steps.  Rows of one text stay together, and so pack well."""
+    fp, proof, times, mark, place = (np.concatenate(x) for x in zip(*parts))
+    parts.clear()
+    order = np.argsort(fp)
+    same = fp[order[1:]] == fp[order[:-1]]
+    if (same & (proof[order[1:]] != proof[order[:-1]])).any():
+        order = np.lexsort((proof, fp))
+        same = (fp[order[1:]] == fp[order[:-1]]) & (proof[order[1:]] == proof[order[:-1]])
+    first = np.flatnonzero(np.append(True, ~same))
+    times = np.add.reduceat(times[order], first).astype(np.int32)
+    one = order[first]
+    by = np.lexsort((place[one], mark[one]))
+    one, times = one[by], times[by]
+    for k in range(0, len(one), BATCH_ROWS):
+        c = one[k:k + BATCH_ROWS]
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(fp[c].view(np.int64)), pa.array(proof[c]), pa.array(times[k:k + BATCH_ROWS]), pa.array(mark[c]), pa.array(place[c])],
+            names=["fp", "proof", "times", "text_hash", "place"])
+
+
 def _counted(bits: np.ndarray | None, fp_bits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts: list[list[np.ndarray]] = []
         for batch in batches:
             langs = batch.column(0).dictionary_encode()
             seed = seeds(langs.dictionary.to_pylist())[langs.indices.to_numpy()]
             marks = batch.column(2).to_numpy()
             for a, b in steps(batch.column(1), STEP_BYTES):
-                step = Step(batch.column(1).slice(a, b - a), seed[a:b], fp_bits)
-                found = list(_occurrences(step, bits))
-                if bits is None:        # the empty phrase counts the words of a language
-                    at = np.arange(len(step.hashes))
-                    found.append((0, at, step.empty(at)))
-                for size, at, fp in found:
-                    proof = step.proof(at, size)
-                    one, times = tally(fp, proof)
-                    order = np.argsort(one)         # rows of one text stay together and pack well
-                    one, times = one[order], times[order]
-                    at, fp, proof = at[one], fp[one], proof[one]
-                    owner = step.owner[at]
-                    place = (step.start[at] - step.offsets[owner]) * 8 + size
-                    mark = marks[a:b][owner]
-                    for k in range(0, len(at), BATCH_ROWS):
-                        c = slice(k, k + BATCH_ROWS)
-                        yield pa.RecordBatch.from_arrays(
-                            [pa.array(fp[c].view(np.int64)), pa.array(proof[c]), pa.array(times[c].astype(np.int32)), pa.array(mark[c]),
-                             pa.array(place[c])], names=["fp", "proof", "times", "text_hash", "place"])
-                del step, found
+                rows = _step_rows(Step(batch.column(1).slice(a, b - a), seed[a:b], fp_bits), marks[a:b], bits)
+                if parts and sum(len(x[0]) for x in parts) + len(rows[0]) > GATHERED_ROWS:
+                    yield from _gathered(parts)
+                if len(rows[0]):
+                    parts.append(rows)
             give_back()
+        if parts:
+            yield from _gathered(parts)
+        give_back()
 
     return run
 
@@ -274,27 +301,41 @@ def _words_from(raw: bytes, at: int, size: int) -> list[bytes]:
         width *= 4
 
 
+def _polynomials(words: list[list[bytes]], size: int) -> np.ndarray:
+    """Polynomials of phrases of ``size`` words."""
+    distinct = sorted({w for phrase in words for w in phrase})
+    number = {w: k for k, w in enumerate(distinct)}
+    h = hash_words([w.decode() for w in distinct])
+    codes = np.array([[number[w] for w in phrase] for phrase in words], np.int64).reshape(len(words), size)
+    out, power = np.zeros(len(words), np.uint64), 1
+    for k in range(size):
+        out += h[codes[:, k]] * np.uint64(power)
+        power = power * INVERSE % (1 << 64)
+    return out
+
+
 def _read_back(batches: Iterator[pa.RecordBatch], fp_bits: int) -> Iterator[pa.RecordBatch]:
     """Phrases that the pointers of each text point at, if they give the pointer's fingerprint."""
     _, plain = _byte_tables()
     for batch in batches:
-        langs, sizes, phrases, fs = [], [], [], []
+        found: dict[int, list[tuple]] = {}
         for lang, text, pointers in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist()):
             raw = plain[np.frombuffer(text.encode(), np.uint8)].tobytes()
-            seed = seeds([lang])
-            said = [_words_from(raw, p["place"] // 8, p["place"] % 8) for p in pointers]
-            distinct = sorted({w for words in said for w in words})
-            known = dict(zip(distinct, hash_words([w.decode() for w in distinct])))
-            for p, words in zip(pointers, said):
+            for p in pointers:
                 size = p["place"] % 8
-                sums, _ = prefix_polynomials(np.array([known[w] for w in words], np.uint64))
-                if len(words) == size and int(fingerprint(sums[-1:], seed, size, fp_bits).view(np.int64)[0]) == p["fp"]:
-                    langs.append(lang)
-                    sizes.append(size)
-                    phrases.append(b" ".join(words).decode())
-                    fs.append(p["f"])
-        yield pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(sizes, pa.int32()), pa.array(phrases, pa.string()),
-                                          pa.array(fs, pa.int64())], names=["lang", "size", "phrase", "f"])
+                words = _words_from(raw, p["place"] // 8, size)
+                if len(words) == size:
+                    found.setdefault(size, []).append((lang, words, p["fp"], p["f"]))
+        for size, rows in found.items():
+            langs, words, fps, fs = zip(*rows)
+            coded = pa.array(langs, pa.string()).dictionary_encode()
+            seed = seeds(coded.dictionary.to_pylist())[coded.indices.to_numpy()]
+            good = np.flatnonzero(fingerprint(_polynomials(list(words), size), seed, size, fp_bits).view(np.int64) == np.array(fps, np.int64)).tolist()
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([langs[k] for k in good], pa.string()), pa.array(np.full(len(good), size, np.int32)),
+                 pa.array([b" ".join(words[k]).decode() for k in good], pa.string()), pa.array([fs[k] for k in good], pa.int64())],
+                names=["lang", "size", "phrase", "f"])
+        give_back()
 
 
 def phrase_counts(docs: DataFrame, least: int = LEAST, fp_bits: int = 64) -> DataFrame:
@@ -304,8 +345,7 @@ def phrase_counts(docs: DataFrame, least: int = LEAST, fp_bits: int = 64) -> Dat
     short = frequent(texts, least, None, fp_bits)
     found = short.unionByName(frequent(texts, least, pair_bits(short), fp_bits))
     pointers = found.groupBy("text_hash").agg(F.collect_list(F.struct("fp", "f", "place")).alias("pointers"))
-    pointers = write_table(pointers, "pointers")
-    read = lookup_join(texts, pointers, ["text_hash"], array_cols=("pointers",), item=48).select("lang", "text", "pointers") \
+    read = texts.join(write_table(pointers, "pointers"), "text_hash").select("lang", "text", "pointers") \
         .mapInArrow(lambda batches: _read_back(batches, fp_bits), "lang string, size int, phrase string, f long")
     # a text that occurs again gives its phrases again
     return write_table(read.groupBy("lang", "size", "phrase").agg(F.max("f").alias("f")), "phrases")
