@@ -4,7 +4,7 @@ from collections import Counter
 
 import pytest
 
-from tripleval.operators import encode, generate, joins
+from tripleval.operators import encode, joins, retrieve
 
 
 def _tokens(s):
@@ -13,23 +13,12 @@ def _tokens(s):
 
 def _brute(train, val):
     toks = {tid: set(_tokens(o)) for tid, o, _ in train}
-    first = {}
-    for tid, _, a in sorted(train):
-        first.setdefault(a, tid)
-    by_token = {}
-    for tid, _, a in train:
-        for t in toks[tid]:
-            by_token.setdefault(t, Counter())[first[a]] += 1
-    weight = {}
-    for t, c in by_token.items():
-        best = min(c, key=lambda k: (-c[k], k))
-        weight[t] = (best, c[best] * 10**9 // sum(c.values()))
-    answers = {k: a for a, k in first.items()}
+    df = Counter(t for s in toks.values() for t in s)
+    answers = {tid: a for tid, _, a in train}
     out = {}
     for dist, vid, obs in val:
-        scores = Counter()
-        for t in set(_tokens(obs)) & set(weight):
-            scores[weight[t][0]] += weight[t][1]
+        q = set(_tokens(obs))
+        scores = {tid: sum(10**9 // df[t] for t in q & s) * 1000 // len(s) for tid, s in toks.items() if q & s}
         if scores:
             best = min(scores, key=lambda k: (-scores[k], k))
             out[(dist, vid)] = (best, scores[best], answers[best])
@@ -54,11 +43,38 @@ def test_fit_answerer_matches_brute_force(spark, monkeypatch, limit):
     train, val = _fixture()
     tdf = spark.createDataFrame(train, "example_id long, observations string, response string")
     vdf = spark.createDataFrame(val, "distribution string, example_id long, observations string")
-    idx = generate.fit_answerer(tdf)
+    idx = retrieve.fit_answerer(tdf)
     got = {(r.distribution, r.example_id): (r.train_id, r.score, r.answer) for r in idx.retrieve(vdf).collect()}
     assert got == _brute(train, val)
 
 
+def test_answerer_on_ties_and_odd_rows(spark):
+    train = [(7, "a b", "x"), (3, "a b", "y"), (-4, "", "empty"), (5, None, "null"), (9, "c " * 500, None), (11, "b a", "y")]
+    val = [("id", 1, "a b"), ("id", 2, ""), ("od", 2, None), ("od", 3, "zzz"), ("od", 4, "c d")]
+    tdf = spark.createDataFrame(train, "example_id long, observations string, response string")
+    vdf = spark.createDataFrame(val, "distribution string, example_id long, observations string")
+    got = {(r.distribution, r.example_id): (r.train_id, r.score, r.answer) for r in retrieve.fit_answerer(tdf).retrieve(vdf).collect()}
+    # a and b are on three rows, c on one
+    assert got == {("id", 1): (3, 2 * (10**9 // 3) * 1000 // 2, "y"), ("od", 4): (9, 10**12, None)}
+    assert retrieve.fit_answerer(tdf.limit(0)).retrieve(vdf).collect() == []
+
+
+def test_search_leaves_long_lists_closed(spark):
+    """Rows of rare and common words: most postings are not read, and the result is that of an exhaustive search."""
+    rnd = random.Random(3)
+    common = [f"c{i}" for i in range(30)]
+    train = [(i, " ".join(rnd.sample(common, 20) + [f"t{i % 97}", f"r{i % 41}"]), f"answer {i}") for i in range(400)]
+    val = [("id", i, " ".join(rnd.sample(common, 20) + [f"t{rnd.randrange(97)}", f"r{rnd.randrange(41)}"])) for i in range(40)]
+    tdf = spark.createDataFrame(train, "example_id long, observations string, response string")
+    vdf = spark.createDataFrame(val, "distribution string, example_id long, observations string")
+    idx = retrieve.fit_answerer(tdf)
+    got = {(r.distribution, r.example_id): (r.train_id, r.score, r.answer) for r in idx.retrieve(vdf).collect()}
+    assert got == _brute(train, val)
+    work = idx.work(vdf).first()
+    assert work["postings"] == sum(sum(t in set(_tokens(o)) for _, o, _ in train) for _, _, v in val for t in set(_tokens(v)))
+    assert 0 < work["postings_read"] < 0.2 * work["postings"]
+
+
 @pytest.mark.parametrize("limit", [None, 0, 300])
 def test_encode_paths_agree(spark, monkeypatch, limit):
     if limit is not None:

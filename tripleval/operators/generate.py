@@ -1,5 +1,5 @@
-"""Answer generation: native generators, a pluggable Arrow-batch generator, and
-the token answerer that stands in for fine-tuning.
+"""Answer generation: native generators and a pluggable Arrow-batch generator.  The
+answerer that stands in for fine-tuning is in ``retrieve``.
 
 Generation output follows a causal LM: ``full_text`` = prompt + continuation,
 and ``extract_answer`` recovers the answer from it.
@@ -8,17 +8,13 @@ and ``extract_answer`` recovers the answer from it.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
-from dataclasses import dataclass
-from decimal import Decimal
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.prompts import extract_answer, render_inference_prompt
-from ..functions.text import cap_words, rouge_tokens
-from ..session import write_table
-from .joins import checked_join
+from ..functions.text import cap_words
 
 # New-token limit of generation, and the native generators.
 MAX_NEW_WORDS = 64
@@ -149,65 +145,3 @@ def join_predictions_references(predictions: DataFrame, inputs: DataFrame) -> Da
     return (predictions.select("model_id", "variant", *KEY, "prediction")
             .join(inputs.select(*KEY, *TEXT_COLS), KEY)
             .select("model_id", "variant", *KEY, *TEXT_COLS, "prediction"))
-
-
-# ------------------------------------------------------------------ fit / answer
-# A token's weight is counted in billionths, so that sums are exact in any order.
-WEIGHT_UNIT = 1_000_000_000
-_ID_SHIFT = Decimal(1 << 63)
-_ID_RANGE = Decimal(1 << 64)
-
-
-def _best(score: Column, row_id: Column) -> Column:
-    """The largest (score, -id) of a group as one decimal, which a hash aggregate can hold."""
-    return F.max(score.cast("decimal(18,0)") * F.lit(_ID_RANGE) - (row_id.cast("decimal(20,0)") + F.lit(_ID_SHIFT)))
-
-
-def _unpacked(best: Column) -> tuple[Column, Column]:
-    """(score, id) of ``_best``."""
-    score = F.ceil(best / F.lit(_ID_RANGE)).cast("decimal(18,0)")
-    return score.cast("long"), (score * F.lit(_ID_RANGE) - best - F.lit(_ID_SHIFT)).cast("long")
-
-
-@dataclass
-class TokenAnswers:
-    tokens: DataFrame     # (token, train_id, weight): one row per train token
-    answers: DataFrame    # (train_id, answer): one row per distinct answer, under its lowest train id
-
-    def retrieve(self, inputs: DataFrame) -> DataFrame:
-        """Train answer of the highest summed token weight per validation example (ties: lowest id)."""
-        vt = inputs.select(*KEY, F.explode(F.array_distinct(rouge_tokens(F.col("observations")))).alias("token"))
-        # a stop-word is on every validation row, and has one row of weights
-        found = checked_join(vt, self.tokens, ["token"])
-        scores = found.groupBy(*KEY, "train_id").agg(F.sum("weight").alias("score"))
-        score, train_id = _unpacked(F.col("best"))
-        best = (scores.groupBy(*KEY).agg(_best(F.col("score"), F.col("train_id")).alias("best"))
-                .select(*KEY, train_id.alias("train_id"), score.alias("score")))
-        # one answer can be the best of many rows: heavy ids join map-side
-        return checked_join(best, self.answers, ["train_id"]).select(*KEY, "train_id", "score", "answer")
-
-
-def fit_answerer(train: DataFrame) -> TokenAnswers:
-    """One row per train token: the answer it occurs with most often and how surely.
-
-    ``train`` has (example_id, observations, response).  Equal responses are one
-    answer, numbered by the lowest example id.  A token on df rows, c of them
-    with its most frequent answer (ties: lowest id), has that answer with weight
-    floor(c / df * 10^9).  Every token counts, whatever its frequency, and the
-    result is linear in the distinct tokens: stop-words simply weigh little.
-    """
-    keyed = train.select("example_id", "observations", F.md5(F.col("response").cast("binary")).alias("response_key"))
-    ids = train.groupBy(F.md5(F.col("response").cast("binary")).alias("response_key")) \
-        .agg(F.min("example_id").alias("train_id"))
-    ids = write_table(ids, "answer-ids")
-    rows = checked_join(keyed, ids, ["response_key"])
-    pairs = (rows.select("train_id", F.explode(F.array_distinct(rouge_tokens(F.col("observations")))).alias("token"))
-             .groupBy("token", "train_id").agg(F.count(F.lit(1)).alias("c")))
-    c, train_id = _unpacked(F.col("best"))
-    tokens = (pairs.groupBy("token").agg(_best(F.col("c"), F.col("train_id")).alias("best"), F.sum("c").alias("df"))
-              .select("token", train_id.alias("train_id"), c.alias("c"), "df")
-              .select("token", "train_id", F.expr(f"c * {WEIGHT_UNIT} div df").alias("weight")))
-    answers = (train.select(F.col("example_id").alias("train_id"), F.md5(F.col("response").cast("binary")).alias("response_key"),
-                            F.col("response").alias("answer"))
-               .join(ids, ["train_id", "response_key"]).select("train_id", "answer").dropDuplicates(["train_id"]))
-    return TokenAnswers(write_table(tokens, "answer-tokens"), write_table(answers, "answers"))

@@ -15,10 +15,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.compare import compare_variants
-from ..operators.generate import (KEY, NATIVE_GENERATORS, GeneratorFactory, fit_answerer, generate_native,
+from ..operators.generate import (KEY, NATIVE_GENERATORS, GeneratorFactory, generate_native,
                                   generate_native_variants, generate_with, generate_with_variants, to_predictions,
                                   validation_inputs)
 from ..operators.metrics import ALL_METRICS, Scorer, metric_bundle, reference_tokens, scored_means
+from ..operators.retrieve import fit_answerer
 from ..operators.split import assemble_datasets, seeded_split
 from ..operators.triplets import facts_to_triplets, parse_prompt, render_prompt
 from ..session import shuffle_partitions, write_table

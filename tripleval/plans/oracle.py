@@ -183,17 +183,14 @@ CTES: dict[str, tuple[str, list[str]]] = {
     "train": ("SELECT example_id, observations, reference AS response FROM parsed WHERE split = 'train'", ["parsed"]),
     "tt": (f"""SELECT DISTINCT train_id, token FROM
         (SELECT example_id AS train_id, unnest({sql_rouge_tokens('observations')}) AS token FROM train)""", ["train"]),
-    "ans": ("SELECT response, min(example_id) AS train_id FROM train GROUP BY response", ["train"]),
-    "weights_by_token": ("""SELECT token, train_id, c * 1000000000 // df AS weight FROM
-        (SELECT token, train_id, c, sum(c) OVER (PARTITION BY token) AS df,
-                row_number() OVER (PARTITION BY token ORDER BY c DESC, train_id) AS rn FROM
-           (SELECT token, a.train_id, count(*) AS c FROM tt JOIN train t ON t.example_id = tt.train_id
-            JOIN ans a ON a.response = t.response GROUP BY ALL)) WHERE rn = 1""", ["tt", "train", "ans"]),
+    "token_weights": ("SELECT token, 1000000000 // count(*) AS weight FROM tt GROUP BY token", ["tt"]),
+    "train_sizes": ("SELECT train_id, count(*) AS size FROM tt GROUP BY train_id", ["tt"]),
     "vt": (f"""SELECT DISTINCT distribution, example_id, token FROM
         (SELECT distribution, example_id, unnest({sql_rouge_tokens('observations')}) AS token FROM inputs)""",
            ["inputs"]),
-    "scores": ("""SELECT distribution, example_id, train_id, CAST(sum(weight) AS BIGINT) AS score
-        FROM vt JOIN weights_by_token USING (token) GROUP BY ALL""", ["vt", "weights_by_token"]),
+    "scores": ("""SELECT distribution, example_id, train_id, CAST(sum(weight) * 1000 // any_value(size) AS BIGINT) AS score
+        FROM vt JOIN token_weights USING (token) JOIN tt USING (token) JOIN train_sizes USING (train_id) GROUP BY ALL""",
+               ["vt", "tt", "token_weights", "train_sizes"]),
     "best": ("""SELECT distribution, example_id, train_id, score FROM (SELECT *, row_number() OVER
         (PARTITION BY distribution, example_id ORDER BY score DESC, train_id ASC) AS rn FROM scores) WHERE rn = 1""",
              ["scores"]),

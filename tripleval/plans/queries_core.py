@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.prompts import render_inference_prompt, sql_render_inference_prompt
-from ..operators import compare, generate, metrics
+from ..operators import compare, generate, metrics, retrieve
 from ..operators.split import seeded_split, split_counts
 from ..operators.triplets import facts_to_triplets, parse_prompt
 from ..sources import fixtures
@@ -104,7 +104,7 @@ def q_fit_answerer(spark, d):
     parsed = parse_prompt(examples(spark, d))
     train = parsed.where(F.col("split") == "train").select("example_id", "observations",
                                                            F.col("reference").alias("response"))
-    return generate.fit_answerer(train).retrieve(generate.validation_inputs(parsed))
+    return retrieve.fit_answerer(train).retrieve(generate.validation_inputs(parsed))
 
 
 @register("join_predictions_references", sql(
