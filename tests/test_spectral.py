@@ -63,24 +63,53 @@ def test_spectral_changes(spark):
         ("m", "alpha", 5.5, 4.25, -1.25), ("n", "alpha", 2.0, 2.5, 0.5)]
 
 
-def test_partial_gram_flush_keeps_sums(spark):
+def test_tree_of_triangles_keeps_singular_values(spark):
     rng = np.random.default_rng(3)
-    mats = {("m", "baseline", f"l{i}"): rng.normal(size=(15, 5)) for i in range(6)}
-    # rows of all layers interleaved in one partition, in small Arrow batches
-    rows = _weights(spark, mats).orderBy("row_id", "layer").coalesce(1)
+    mats = {("m", "baseline", f"l{i}"): rng.normal(size=(15 + 40 * i, 5)) for i in range(6)}
+    mats["m", "finetuned", "l0"] = rng.normal(size=(3, 5))      # fewer rows than columns
+    mats["m", "finetuned", "l1"] = np.zeros((9, 5))
+    # rows of all layers interleaved, in small Arrow batches: many triangles per layer
+    rows = _weights(spark, mats).repartition(20, "row_id")
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
     try:
-        full = {(r.layer, r.idx): r.value for r in spectral.gram_matrices(rows).collect()}
-        flushed_parts = spectral.gram_matrices(rows, max_open_layers=1)
-        flushed = {(r.layer, r.idx): r.value for r in flushed_parts.collect()}
-        partial = rows.select(*spectral.LAYER, "values").mapInPandas(
-            lambda it: spectral._partial_gram(it, 1),
-            "model_id string, variant string, layer string, d int, gram array<double>")
-        assert partial.count() > len(mats)   # flushing really emitted several partials per layer
+        parts = rows.select(*spectral.LAYER, "values").mapInPandas(lambda it: spectral._triangles(it, 1), spectral.TRIANGLE)
+        assert parts.count() > 5 * len(mats)
+        folded = spectral.triangles(rows, fan_in=2, max_open_layers=1).toPandas()
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
-    assert full.keys() == flushed.keys()
-    assert all(abs(full[k] - flushed[k]) < 1e-9 for k in full)
-    for (_, _, layer), m in mats.items():
-        g = m.T @ m
-        assert abs(full[(layer, 7)] - g.ravel()[7]) < 1e-9
+    assert folded.groupby(spectral.LAYER).size().max() <= 4
+    for key, g in folded.groupby(spectral.LAYER):
+        got = np.linalg.svd(spectral._stacked(g), compute_uv=False)
+        want = np.linalg.svd(mats[key], compute_uv=False)
+        assert np.allclose(got[:len(want)], want, atol=1e-9) and np.allclose(got[len(want):], 0, atol=1e-9)
+
+
+def test_small_singular_values_keep_their_digits():
+    """Squaring the condition number would lose the smallest value."""
+    rng = np.random.default_rng(4)
+    u, _ = np.linalg.qr(rng.normal(size=(200, 4)))
+    v, _ = np.linalg.qr(rng.normal(size=(4, 4)))
+    x = u @ np.diag([1.0, 1e-3, 1e-6, 1e-10]) @ v
+    r = spectral.fold([spectral.fold([x[k:k + 50]]) for k in range(0, 200, 50)])
+    assert np.linalg.svd(r, compute_uv=False)[-1] == pytest.approx(1e-10, rel=1e-4)
+
+
+def test_wide_layer(spark):
+    """1,024 columns: triangles travel as single rows."""
+    rng = np.random.default_rng(5)
+    w = rng.normal(size=(1500, 1024))
+    df = spark.createDataFrame([(("m"), "baseline", "l0", i, x.tolist()) for i, x in enumerate(w)],
+                               "model_id string, variant string, layer string, row_id int, values array<double>").repartition(3)
+    st = {r.metric: r.value for r in spectral.spectral_layer_stats(df).collect()}
+    s = np.linalg.svd(w, compute_uv=False) ** 2
+    assert st["log_norm"] == pytest.approx(np.log10(s.sum()), abs=2e-6)
+    assert st["stable_rank"] == pytest.approx(s.sum() / s.max(), abs=2e-6)
+
+
+def test_runs_with_spectra(spark):
+    runs = spark.createDataFrame([(1, "m", "success"), (2, "m", "failed"), (3, "n", "success"), (4, "o", "success")],
+                                 "run_id long, model_id string, status string")
+    changes = spark.createDataFrame([("m", "alpha_weighted", -1.5), ("m", "alpha", 2.0), ("n", "alpha", 1.0), ("o", "alpha_weighted", None)],
+                                    "model_id string, metric string, delta double")
+    got = spectral.filter_has_spectra(runs, changes).collect()
+    assert [(r.run_id, r.model_id, r.alpha_weighted_delta) for r in got] == [(1, "m", -1.5)]

@@ -1,11 +1,11 @@
 """Spectral statistics of weight matrices (per layer, then per model).
 
-Plan shape: each task folds its rows into a partial Gram matrix WᵀW per layer
-(numpy inside ``mapInPandas``, at most ``MAX_OPEN_LAYERS`` open at once);
-partial matrices are summed entry-wise by a grouped aggregation (map-side
-combine), so only d² numbers per layer reach the final stage; one task per
-layer then solves the d×d symmetric eigenproblem.  Valid while d² doubles of
-one layer fit in a task.
+Plan shape: tall-skinny QR by a reduction tree.  Each task folds its rows of a layer, a block at a
+time, into an upper triangle R of at most d x d numbers (numpy inside ``mapInPandas``, at most
+``MAX_OPEN_LAYERS`` open at once).  Triangles of a layer are stacked and folded again in groups of about
+``FAN_IN``, round by round, until one group holds those left of a layer.  The singular values of the last
+R are those of the layer; the condition number is never squared, as in W'W.  A task holds FAN_IN
+triangles at most, and only triangles travel, each as one row.
 """
 
 from __future__ import annotations
@@ -17,6 +17,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import write_table
+
 LAYER = ["model_id", "variant", "layer"]
 SPECTRAL_METRICS = ["log_norm", "log_spectral_norm", "stable_rank", "alpha", "alpha_weighted", "log_alpha_norm"]
 EIG_REL_TOL = 1e-10
@@ -28,43 +30,76 @@ def frobenius_norm(weights: DataFrame) -> DataFrame:
     return weights.groupBy(*LAYER).agg(F.round(F.sqrt(F.sum(sq)), 6).alias("frobenius_norm"))
 
 
-# Partial Gram matrices a task keeps in memory before it emits the oldest; the
-# partials are summed downstream, so flushing early only adds rows, never changes sums.
+# Layers a task keeps open before it emits the oldest: emitting early only adds rows to fold.
 MAX_OPEN_LAYERS = 16
+# Triangles folded at once; rows of weights folded at once, as a multiple of their length.
+FAN_IN = 8
+BLOCK_ROWS = 2
+
+TRIANGLE = "model_id string, variant string, layer string, d int, triangle binary"
+
+
+def fold(blocks: list[np.ndarray]) -> np.ndarray:
+    """The R of the QR decomposition of stacked rows."""
+    x = np.vstack(blocks)
+    return np.linalg.qr(x, mode="r") if len(x) > 1 else x
 
 
-def _emit(key: tuple, gram: np.ndarray) -> pd.DataFrame:
-    m, v, layer = key
-    return pd.DataFrame({"model_id": [m], "variant": [v], "layer": [layer], "d": [gram.shape[0]],
-                         "gram": [gram.ravel()]})
+class _Layer:
+    """Rows of one layer, folded whenever a block is full."""
 
+    def __init__(self) -> None:
+        self.blocks: list[np.ndarray] = []
+        self.rows = 0
 
-def _partial_gram(batches: Iterator[pd.DataFrame], max_open: int = MAX_OPEN_LAYERS) -> Iterator[pd.DataFrame]:
-    acc: dict[tuple, np.ndarray] = {}
+    def add(self, rows: np.ndarray) -> None:
+        for k in range(0, len(rows), max(1, BLOCK_ROWS * rows.shape[1])):
+            self.blocks.append(rows[k:k + max(1, BLOCK_ROWS * rows.shape[1])])
+            self.rows += len(self.blocks[-1])
+            if self.rows > 2 * BLOCK_ROWS * rows.shape[1]:
+                self.blocks = [fold(self.blocks)]
+                self.rows = len(self.blocks[0])
+
+    def row(self, key: tuple) -> pd.DataFrame:
+        r = np.ascontiguousarray(fold(self.blocks), np.float64)
+        return pd.DataFrame([(*key, r.shape[1], r.tobytes())], columns=[*LAYER, "d", "triangle"])
+
+
+def _triangles(batches: Iterator[pd.DataFrame], max_open: int = MAX_OPEN_LAYERS) -> Iterator[pd.DataFrame]:
+    layers: dict[tuple, _Layer] = {}
     for b in batches:
-        for key, g in b.groupby(LAYER, sort=False):
-            x = np.vstack(g["values"].to_numpy())
-            part = x.T @ x
-            if key in acc:
-                acc[key] += part
-                continue
-            if len(acc) >= max_open:
-                oldest = next(iter(acc))
-                yield _emit(oldest, acc.pop(oldest))
-            acc[key] = part
-    for key, gram in acc.items():
-        yield _emit(key, gram)
-
-
-def gram_matrices(weights: DataFrame, max_open_layers: int = MAX_OPEN_LAYERS) -> DataFrame:
-    """(model_id, variant, layer, idx, value): entries of WᵀW summed over all rows."""
-    def partial_gram(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        return _partial_gram(batches, max_open_layers)
-
-    partial = weights.select(*LAYER, "values").mapInPandas(
-        partial_gram, "model_id string, variant string, layer string, d int, gram array<double>")
-    return (partial.select(*LAYER, "d", F.posexplode("gram").alias("idx", "v"))
-            .groupBy(*LAYER, "d", "idx").agg(F.sum("v").alias("value")))
+        for key, g in b.groupby(LAYER, sort=False, dropna=False):
+            if key not in layers:
+                if len(layers) >= max_open:
+                    oldest = next(iter(layers))
+                    yield layers.pop(oldest).row(oldest)
+                layers[key] = _Layer()
+            layers[key].add(np.vstack(g["values"].to_numpy()))
+    for key, layer in layers.items():
+        yield layer.row(key)
+
+
+def _stacked(rows: pd.DataFrame) -> np.ndarray:
+    d = int(rows["d"].iloc[0])
+    return fold([np.frombuffer(t, np.float64).reshape(-1, d) for t in rows["triangle"]])
+
+
+def _fold_group(rows: pd.DataFrame) -> pd.DataFrame:
+    return rows[:1].assign(triangle=[np.ascontiguousarray(_stacked(rows)).tobytes()])
+
+
+def triangles(weights: DataFrame, fan_in: int = FAN_IN, max_open_layers: int = MAX_OPEN_LAYERS) -> DataFrame:
+    """(model_id, variant, layer, d, triangle): at most ``fan_in`` triangles of each layer, about."""
+    def first(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        return _triangles(batches, max_open_layers)
+
+    found = write_table(weights.select(*LAYER, "values").mapInPandas(first, TRIANGLE), "triangles")
+    while (most := found.groupBy(*LAYER).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0) > 2 * fan_in:
+        deal = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(-(-most // fan_in)))
+        folded = found.withColumn("deal", deal).groupBy(*LAYER, "deal").applyInPandas(
+            lambda rows: _fold_group(rows.drop(columns="deal")), TRIANGLE)
+        found = write_table(folded, "triangles")
+    return found
 
 
 def power_law_alpha(ev: np.ndarray) -> float | None:
@@ -105,21 +140,16 @@ def layer_metrics(eigs: np.ndarray) -> dict[str, float | None]:
     return {k: (None if v is None else float(v)) for k, v in out.items()}
 
 
-def _eig_stats(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-    d = int(pdf["d"].iloc[0])
-    gram = np.zeros(d * d)
-    gram[pdf["idx"].to_numpy()] = pdf["value"].to_numpy()
-    eigs = np.linalg.eigvalsh(gram.reshape(d, d))
-    stats = layer_metrics(eigs)
-    rows = [(*key, k, v) for k, v in stats.items() if v is not None]
-    return pd.DataFrame(rows, columns=[*LAYER, "metric", "value"])
+def _singular_stats(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+    values = np.linalg.svd(_stacked(rows), compute_uv=False)
+    stats = layer_metrics(values * values)
+    return pd.DataFrame([(*key, k, v) for k, v in stats.items() if v is not None], columns=[*LAYER, "metric", "value"])
 
 
 def spectral_layer_stats(weights: DataFrame) -> DataFrame:
     """(model_id, variant, layer, metric, value); a metric that cannot be fitted is absent."""
-    g = gram_matrices(weights)
-    return (g.groupBy(*LAYER).applyInPandas(
-        _eig_stats, "model_id string, variant string, layer string, metric string, value double")
+    return (triangles(weights).groupBy(*LAYER).applyInPandas(
+        _singular_stats, "model_id string, variant string, layer string, metric string, value double")
         .withColumn("value", F.round("value", 6)))
 
 
@@ -127,3 +157,11 @@ def spectral_summary(layer_stats: DataFrame) -> DataFrame:
     """Mean of each layer metric per (model, variant)."""
     return (layer_stats.groupBy("model_id", "variant", "metric")
             .agg(F.round(F.avg("value"), 6).alias("value")))
+
+
+def filter_has_spectra(runs: DataFrame, changes: DataFrame, metric: str = "alpha_weighted") -> DataFrame:
+    """Successful ``runs`` of models with a spectral change of ``metric`` (``changes`` from ``compare_spectra``), with its
+    delta; a model without one, or with a null delta, is left out."""
+    delta = changes.where((F.col("metric") == metric) & F.col("delta").isNotNull()) \
+        .select("model_id", F.col("delta").alias(f"{metric}_delta"))
+    return runs.where(F.col("status") == "success").join(delta, "model_id")

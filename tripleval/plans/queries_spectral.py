@@ -73,12 +73,8 @@ def q_finetune_quality_band(spark, d):
     JOIN spectra_cmp c ON c.model_id = r.model_id WHERE status = 'success' AND metric = 'alpha_weighted'""", "runs", "spectra_cmp"))
 def q_filter_has_spectra(spark, d):
     """Successful runs of models that carry a spectral change (alpha_weighted delta)."""
-    runs = fixtures.runs(spark, d).where(F.col("status") == "success")
-    changes = _spectra_cmp(spark, d).where(F.col("metric") == "alpha_weighted").select(
-        "model_id", F.col("delta").alias("alpha_weighted_delta"))
-    return (runs.join(changes, "model_id", "left")
-            .where(F.col("alpha_weighted_delta").isNotNull())
-            .select("run_id", "model_id", "status", "alpha_weighted_delta"))
+    return spectral.filter_has_spectra(fixtures.runs(spark, d), _spectra_cmp(spark, d)) \
+        .select("run_id", "model_id", "status", "alpha_weighted_delta")
 
 
 def _bootstrap_sql(replicates: int = 200, seed: int = 42) -> str:
