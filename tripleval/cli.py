@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 
 from .operators import compare, explore, runs
 from .operators.generate import NATIVE_GENERATORS
+from .operators.spectral import filter_has_spectra
 from .operators.split import assemble_datasets, seeded_split
 from .operators.triplets import facts_to_triplets, render_prompt
 from .plans import evaluate as ev
@@ -88,9 +89,13 @@ def _generators(specs: list[str]) -> dict:
 def cmd_evaluate(spark: SparkSession, a) -> None:
     generators = _generators(a.generator)
     models = a.models.split(",") if a.models else [*NATIVE_GENERATORS, *generators]
-    e = ev.evaluate_models(_examples(spark, a), models, skip_finetuning=a.skip_finetuning, generators=generators)
+    weights = spark.read.parquet(a.weights) if a.weights else None
+    e = ev.evaluate_models(_examples(spark, a), models, skip_finetuning=a.skip_finetuning, generators=generators, weights=weights)
+    spectra = None if e.spectra is None else write_table(e.spectra, "spectra")
     writers.sink_predictions_jsonl(e.predictions, f"{a.out}/predictions")
-    writers.sink_metrics_summary(e.comparison, f"{a.out}/metrics")
+    writers.sink_metrics_summary(e.comparison, f"{a.out}/metrics", spectra)
+    if spectra is not None:
+        _show(spectra.orderBy("model_id", "metric"))
     _show(e.comparison.orderBy("model_id", "distribution", "metric"))
 
 
@@ -106,10 +111,13 @@ def cmd_fleet(spark: SparkSession, a) -> None:
         .withColumnRenamed("resolved_dir", "output_dir")
     run_log, metrics = write_table(run_log, "fleet-runs"), write_table(metrics, "fleet-metrics")
     comparison = compare.compare_variants(metrics)
-    writers.sink_fleet_summary(run_log, comparison, f"{a.out}/summary")
+    spectra = write_table(ev.spectral_changes(spark.read.parquet(a.weights), selected), "spectra") if a.weights else None
+    writers.sink_fleet_summary(run_log, comparison, f"{a.out}/summary", spectra)
     # result lines carry each model's metrics map; stream_improvement_table can follow them
     writers.sink_batch_summary(run_log.join(metrics_map(comparison), "model_id", "left"), f"{a.out}/batch_summary")
-    writers.sink_metrics_summary(comparison, f"{a.out}/metrics")
+    writers.sink_metrics_summary(comparison, f"{a.out}/metrics", spectra)
+    if spectra is not None:
+        filter_has_spectra(run_log, spectra).select("model_id", "status", "alpha_weighted_delta").show(truncate=False)
     runs.run_status_counts(run_log).show()
     compare.improvement_table(comparison).show(truncate=False)
     compare.leaderboard(comparison).show(truncate=False)
@@ -174,6 +182,7 @@ def build_parser() -> argparse.ArgumentParser:
     f.add_argument("--select", default="all")
     f.add_argument("--resume", action="store_true", help="run only models without a successful record under --out")
     for sp in (e, f):
+        sp.add_argument("--weights", default=None, help="parquet of weight rows (model_id, variant, layer, values): adds spectral changes")
         sp.add_argument("--generator", action="append", default=[], metavar="MODEL=MODULE:FACTORY",
                         help="a model of one's own: a factory as in operators.generate.generate_with")
     x = sub.add_parser("explore")

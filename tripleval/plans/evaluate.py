@@ -14,12 +14,13 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.compare import compare_variants
+from ..operators.compare import compare_spectra, compare_variants
 from ..operators.generate import (KEY, NATIVE_GENERATORS, GeneratorFactory, generate_native,
                                   generate_native_variants, generate_with, generate_with_variants, to_predictions,
                                   validation_inputs)
 from ..operators.metrics import ALL_METRICS, Scorer, metric_bundle, reference_tokens, scored_means
 from ..operators.retrieve import fit_answerer
+from ..operators.spectral import spectral_layer_stats, spectral_summary
 from ..operators.split import assemble_datasets, seeded_split
 from ..operators.triplets import facts_to_triplets, parse_prompt, render_prompt
 from ..session import shuffle_partitions, write_table
@@ -57,6 +58,7 @@ class Evaluation:
     predictions: DataFrame
     metrics: DataFrame
     comparison: DataFrame
+    spectra: DataFrame | None = None      # compare_spectra, where weights are given
 
 
 def answered_inputs(examples_df: DataFrame, materialize: bool = False) -> DataFrame:
@@ -109,11 +111,18 @@ def predictions(examples_df: DataFrame, models: Sequence[str] = NATIVE_GENERATOR
 def evaluate_models(examples_df: DataFrame, models: Sequence[str] = NATIVE_GENERATORS,
                     skip_finetuning: bool = False, metrics=ALL_METRICS,
                     generators: Mapping[str, GeneratorFactory] | None = None,
-                    scorers: Mapping[str, Scorer] | None = None) -> Evaluation:
+                    scorers: Mapping[str, Scorer] | None = None, weights: DataFrame | None = None) -> Evaluation:
     """Predictions, metrics and comparison of all models.  ``scorers`` are further metrics: name -> column
-    expression over (prediction, reference), averaged over the examples."""
+    expression over (prediction, reference), averaged over the examples.  With ``weights`` (model_id, variant,
+    layer, values), the spectral changes of the models among them come along."""
     preds = predictions(examples_df, models, skip_finetuning, generators=generators)
     m = metric_bundle(preds, metrics)
     if scorers:
         m = m.unionByName(scored_means(preds, scorers))
-    return Evaluation(preds, m, compare_variants(m))
+    return Evaluation(preds, m, compare_variants(m), None if weights is None else spectral_changes(weights, models))
+
+
+def spectral_changes(weights: DataFrame, models: Sequence[str]) -> DataFrame:
+    """Spectral metrics of both variants and their difference, for the models that have weights."""
+    stats = spectral_layer_stats(weights.where(F.col("model_id").isin(*models)))
+    return compare_spectra(spectral_summary(stats))

@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 
 from ..functions.models import export_file_name, sql_export_file_name
 from ..operators.explore import sorted_forms
+from ..operators.generate import NATIVE_GENERATORS
 from ..session import scratch_path, write_table
 from ..sinks import writers
 from ..sources import files, fixtures
@@ -129,21 +130,40 @@ def q_src_run_summaries(spark, d):
         "run_id", "model_id", "model_name", "status", "duration_seconds", "output_dir", "error")
 
 
-@register("src_batch_summary_documents", sql("""SELECT model_id, 'success' AS status, distribution, metric, baseline, finetuned,
-    delta AS improvement FROM comparison""", "comparison"))
+def _with_spectra(spark, d):
+    """Comparison and spectral changes of the generators, which have weights here."""
+    e = ev.evaluate_models(examples(spark, d), weights=fixtures.generator_weights(spark, d, NATIVE_GENERATORS))
+    return write_table(e.comparison, "comparison"), write_table(e.spectra, "spectra")
+
+
+def _spectral_rows(*parts):
+    """The spectral block's maps as rows: metric and a column for each part (block, name)."""
+    first = F.col(f"{parts[0][0]}")
+    return F.transform(F.map_keys(first), lambda m: F.struct(
+        F.lit("spectral").alias("distribution"), m.alias("metric"), *[F.col(block)[m].alias(name) for block, name in parts]))
+
+
+SPECTRAL_SQL = f"""UNION ALL SELECT model_id, {{status}} 'spectral' AS distribution, metric, {{cols}} FROM
+    {fixtures.generator_spectra_sql(NATIVE_GENERATORS)} WHERE model_id IS NOT NULL"""
+
+
+@register("src_batch_summary_documents", sql(f"""SELECT model_id, 'success' AS status, distribution, metric, baseline, finetuned,
+    delta AS improvement FROM comparison {SPECTRAL_SQL.format(status="'success',", cols="baseline, finetuned, delta")}""",
+                                             "comparison", "spectra_cmp"))
 def q_src_batch_summary_documents(spark, d):
-    """A fleet's summary document with nested metrics, written and read back."""
+    """A fleet's summary document with nested metrics and spectral changes, written and read back."""
     path = scratch_path(spark, "fleet-summary")
-    e = evaluation(spark, d)
-    comparison = write_table(e.comparison, "comparison")
+    comparison, spectra = _with_spectra(spark, d)
     runs = comparison.select("model_id").distinct().withColumn("status", F.lit("success"))
-    writers.sink_fleet_summary(runs, comparison, path)
+    writers.sink_fleet_summary(runs, comparison, path, spectra)
     doc = files.src_batch_summary_documents(spark, path)
     rows = [F.struct(F.lit(dist).alias("distribution"), F.lit(m).alias("metric"),
                      *[F.col(f"metrics.{block}.{part}.{m}").alias(name) for part, name in (
                          ("baseline", "baseline"), ("finetuned", "finetuned"), ("improvements", "improvement"))])
             for dist, block in (("id", "in_distribution"), ("od", "out_of_distribution")) for m in writers.METRICS]
-    return doc.select("model_id", "status", F.explode(F.array(*rows)).alias("r")).select("model_id", "status", "r.*")
+    spectral = _spectral_rows(("metrics.weightwatcher.baseline", "baseline"), ("metrics.weightwatcher.finetuned", "finetuned"),
+                              ("metrics.weightwatcher.changes", "improvement"))
+    return doc.select("model_id", "status", F.explode(F.concat(F.array(*rows), spectral)).alias("r")).select("model_id", "status", "r.*")
 
 
 @register("sink_predictions_jsonl", sql("""SELECT model_id, distribution, variant,
@@ -170,15 +190,18 @@ def q_src_metric_files(spark, d):
     return files.src_metric_files(spark, f"{_metric_files(spark, d)}/*/*.json")
 
 
-@register("sink_metrics_summary", sql("""SELECT model_id AS model_dir, distribution, metric, delta AS improvement
-    FROM comparison""", "comparison"))
+@register("sink_metrics_summary", sql(f"""SELECT model_id AS model_dir, distribution, metric, delta AS improvement
+    FROM comparison {SPECTRAL_SQL.format(status="", cols="delta")}""", "comparison", "spectra_cmp"))
 def q_sink_metrics_summary(spark, d):
-    df = spark.read.schema(files.METRICS_SUMMARY_SCHEMA).json(f"{_metric_files(spark, d)}/*/*.json") \
-        .withColumnRenamed("model_id", "model_dir")
+    path = scratch_path(spark, "metric-files")
+    comparison, spectra = _with_spectra(spark, d)
+    writers.sink_metrics_summary(comparison, path, spectra)
+    df = spark.read.schema(files.METRICS_SUMMARY_SCHEMA).json(f"{path}/*/*.json").withColumnRenamed("model_id", "model_dir")
     rows = [F.struct(F.lit(dist).alias("distribution"), F.lit(m).alias("metric"),
                      F.col(f"{block}.improvements.{m}").alias("improvement"))
             for dist, block in (("id", "in_distribution"), ("od", "out_of_distribution")) for m in writers.METRICS]
-    return df.select("model_dir", F.explode(F.array(*rows)).alias("r")).select("model_dir", "r.*")
+    spectral = _spectral_rows(("weightwatcher.changes", "improvement"))
+    return df.select("model_dir", F.explode(F.concat(F.array(*rows), spectral)).alias("r")).select("model_dir", "r.*")
 
 
 @register("export_markdown", sql(f"""SELECT unnest(string_split(block, chr(10))) AS line FROM (

@@ -93,7 +93,8 @@ def sink_fleet_summary(runs: DataFrame, comparison: DataFrame, path: str, spectr
     cols = [c for c in ["run_id", "model_id", "model_name", "status", "duration_seconds", "output_dir", "error"] if c in runs.columns]
     results = runs.join(nested, "model_id", "left").select(F.struct(*cols, "metrics").alias("r"), "status")
     doc = results.agg(F.count(F.lit(1)).alias("total_models"), F.count_if(F.col("status") == "success").alias("successful"),
-                      F.count_if(F.col("status") == "failed").alias("failed"), F.sort_array(F.collect_list("r")).alias("results")) \
+                      F.count_if(F.col("status") == "failed").alias("failed"), F.array_sort(F.collect_list("r"), lambda a, b: F.when(a["model_id"] < b["model_id"], -1)
+                                   .when(a["model_id"] > b["model_id"], 1).otherwise(0)).alias("results")) \
         .withColumn("timestamp", F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"))
     doc.write.mode("overwrite").json(path)
 

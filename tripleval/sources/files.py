@@ -45,12 +45,12 @@ METRIC_BLOCK = T.StructType([T.StructField(m, T.DoubleType())
 DIST_BLOCK = T.StructType([T.StructField("baseline", METRIC_BLOCK), T.StructField("finetuned", METRIC_BLOCK),
                            T.StructField("improvements", METRIC_BLOCK)])
 MAP = T.MapType(T.StringType(), T.DoubleType())
+SPECTRAL_BLOCK = T.StructType([T.StructField("baseline", MAP), T.StructField("finetuned", MAP), T.StructField("changes", MAP)])
 METRICS_SUMMARY_SCHEMA = T.StructType([
     T.StructField("model_id", T.StringType()), T.StructField("timestamp", T.StringType()),
     T.StructField("in_distribution", DIST_BLOCK),
     T.StructField("out_of_distribution", DIST_BLOCK),
-    T.StructField("weightwatcher", T.StructType([T.StructField("baseline", MAP), T.StructField("finetuned", MAP),
-                                                 T.StructField("changes", MAP)]))])
+    T.StructField("weightwatcher", SPECTRAL_BLOCK)])
 
 
 SUMMARY_RESULT = T.StructType([
@@ -58,7 +58,8 @@ SUMMARY_RESULT = T.StructType([
     T.StructField("status", T.StringType()), T.StructField("duration_seconds", T.DoubleType()),
     T.StructField("output_dir", T.StringType()), T.StructField("error", T.StringType()),
     T.StructField("metrics", T.StructType([T.StructField("in_distribution", DIST_BLOCK),
-                                           T.StructField("out_of_distribution", DIST_BLOCK)]))])
+                                           T.StructField("out_of_distribution", DIST_BLOCK),
+                                           T.StructField("weightwatcher", SPECTRAL_BLOCK)]))])
 BATCH_SUMMARY_DOC_SCHEMA = T.StructType([
     T.StructField("timestamp", T.StringType()), T.StructField("total_models", T.LongType()),
     T.StructField("successful", T.LongType()), T.StructField("failed", T.LongType()),

@@ -7,6 +7,8 @@ operators.  Each builder has a DuckDB twin (``*_SQL``) used by the oracle.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -145,6 +147,18 @@ FROM embeddings, (VALUES ('baseline'), ('finetuned')) v(variant)
 """
 
 
+def generator_weights(spark: SparkSession, sf_dir: str, models: Sequence[str]) -> DataFrame:
+    """``weights`` of the first models, under the names of evaluated ``models``."""
+    named = F.create_map(*[F.lit(x) for k, m in enumerate(models) for x in (f"org/model-{k}b", m)])
+    return weights(spark, sf_dir).withColumn("model_id", named[F.col("model_id")]).where("model_id IS NOT NULL")
+
+
+def generator_spectra_sql(models: Sequence[str]) -> str:
+    """Spectral changes of ``generator_weights`` from the table spectra_cmp."""
+    names = " ".join(f"WHEN 'org/model-{k}b' THEN '{m}'" for k, m in enumerate(models))
+    return f"(SELECT CASE model_id {names} END AS model_id, metric, baseline, finetuned, delta FROM spectra_cmp)"
+
+
 # ---------------------------------------------------------------- run log
 def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """events -> run records: error events are failed runs, and models 3 and 7 never succeed."""
