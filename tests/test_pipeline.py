@@ -117,7 +117,7 @@ def test_fleet_rerun_is_idempotent(spark):
 def test_stream_improvement_table_equals_batch(spark, sf_dir):
     from tripleval.operators.compare import improvement_table
     from tripleval.plans import evaluate as ev
-    from tripleval.streaming.run_summary import metrics_map, stream_improvement_table
+    from tripleval.streaming.run_summary import improvement_rows, metrics_map, stream_improvement_table
     comparison = ev.evaluate_models(ev.examples(spark, sf_dir)).comparison
     mm = metrics_map(comparison)
     base = tempfile.mkdtemp(prefix="tripleval-impr-")
@@ -133,7 +133,7 @@ def test_stream_improvement_table_equals_batch(spark, sf_dir):
               F.lit(None).cast("map<string,double>").alias("metrics")).write.mode("append").json(res)
     q = stream_improvement_table(spark, res, os.path.join(base, "ckpt"), os.path.join(base, "out"))
     q.awaitTermination()
-    got = sorted(tuple(r) for r in spark.read.parquet(os.path.join(base, "out")).collect())
+    got = sorted(tuple(r) for r in improvement_rows(spark, os.path.join(base, "out")).collect())
     expect = sorted(tuple(r) for r in improvement_table(comparison).collect())
     assert got == expect
 
@@ -192,3 +192,41 @@ def test_stream_counts_late_landings_and_reports_dropped_ones(spark):
     q.awaitTermination()
     kept = sum(r.n for r in spark.read.parquet(f"{base}/o2").collect())
     assert late_rows(q) > 0 and kept + late_rows(q) == 5
+
+
+def test_improvement_stream_in_any_order_and_expiry(spark):
+    """Shuffled, late and repeated landings, a correction, failed runs; a second start; models that expire."""
+    import random
+    import time
+
+    from tripleval.streaming.run_summary import RESULT_STREAM_SCHEMA, improvement_rows, stream_improvement_table
+    runs = [(i, f"m{i % 4}", "failed" if i % 5 == 0 else "success", {"id.delta.rouge1": i / 100, "id.delta.bleu": -i / 10}) for i in range(24)]
+    runs += [(23, "m3", "success", {"id.delta.rouge1": 9.0, "id.delta.bleu": 1.0}), (1, "late", "success", {}), (2, "gone", "failed", {})]
+    landings = runs + runs[:9]
+    random.Random(4).shuffle(landings)
+    base = tempfile.mkdtemp(prefix="tripleval-impr-")
+    res, ckpt, out = (os.path.join(base, x) for x in ("results", "ckpt", "out"))
+    for part in range(3):
+        spark.createDataFrame(landings[part::4], RESULT_STREAM_SCHEMA).coalesce(1).write.mode("append").json(res)
+    stream_improvement_table(spark, res, ckpt, out, max_files_per_trigger=1).awaitTermination()
+    spark.createDataFrame(landings[3::4], RESULT_STREAM_SCHEMA).coalesce(1).write.mode("append").json(res)
+    stream_improvement_table(spark, res, ckpt, out, max_files_per_trigger=1).awaitTermination()     # goes on from its checkpoint
+    best = {}
+    for run_id, model, status, metrics in runs:
+        deltas = tuple(metrics.get(f"id.delta.{m}") for m in ("rouge1", "rougeL", "bleu"))
+        if status == "success":
+            best[model] = max(best.get(model, (-1, ())), (run_id, tuple((v is not None, v or 0.0) for v in deltas)))
+    want = {m: tuple(f"{v:+.4f}" if there else None for there, v in r[1]) for m, r in best.items()}
+    assert {r[0]: tuple(r)[1:] for r in improvement_rows(spark, out).collect()} == want and len(want) == 5
+
+    q = stream_improvement_table(spark, res, os.path.join(base, "ckpt2"), os.path.join(base, "out2"), available_now=False, keep_ms=1500)
+    try:
+        deadline = time.time() + 60
+        while time.time() < deadline:
+            time.sleep(2)
+            if os.path.isdir(os.path.join(base, "out2")) and q.lastProgress and q.lastProgress["batchId"] > 1 \
+                    and improvement_rows(spark, os.path.join(base, "out2")).isEmpty():
+                break
+        assert improvement_rows(spark, os.path.join(base, "out2")).isEmpty()        # every model has expired
+    finally:
+        q.stop()

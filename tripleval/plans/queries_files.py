@@ -16,7 +16,7 @@ from ..operators.generate import NATIVE_GENERATORS
 from ..session import scratch_path, write_table
 from ..sinks import writers
 from ..sources import files, fixtures
-from ..streaming.run_summary import stream_run_summary
+from ..streaming.run_summary import improvement_rows, metrics_map, stream_improvement_table, stream_run_summary
 from . import evaluate as ev
 from .fleet import run_fleet
 from .oracle import sql
@@ -147,6 +147,23 @@ SPECTRAL_SQL = f"""UNION ALL SELECT model_id, {{status}} 'spectral' AS distribut
     {fixtures.generator_spectra_sql(NATIVE_GENERATORS)} WHERE model_id IS NOT NULL"""
 
 
+@register("stream_improvement_table", sql("""SELECT model_id, printf('%+.4f', max(CASE WHEN metric = 'rouge1' THEN delta END)) AS delta_rouge1,
+    printf('%+.4f', max(CASE WHEN metric = 'rougeL' THEN delta END)) AS delta_rougeL,
+    printf('%+.4f', max(CASE WHEN metric = 'bleu' THEN delta END)) AS delta_bleu
+    FROM comparison WHERE distribution = 'id' GROUP BY model_id""", "comparison"))
+def q_stream_improvement_table(spark, d):
+    """The improvement table from a stream over landings of run results: a stale run, the run, a repeat and a failed run."""
+    base = scratch_path(spark, "improvement-stream")
+    results = metrics_map(write_table(evaluation(spark, d).comparison, "comparison"))
+    none = F.lit(None).cast("map<string,double>")
+    for run_id, status, metrics in ((2, "success", F.col("metrics")), (1, "success", F.transform_values("metrics", lambda k, v: v - 1)),
+                                    (2, "success", F.col("metrics")), (3, "failed", none)):
+        results.select(F.lit(run_id).cast("long").alias("run_id"), "model_id", F.lit(status).alias("status"), metrics.alias("metrics")) \
+            .write.mode("append").json(f"{base}/results")
+    stream_improvement_table(spark, f"{base}/results", f"{base}/checkpoint", f"{base}/out", max_files_per_trigger=1).awaitTermination()
+    return improvement_rows(spark, f"{base}/out")
+
+
 @register("src_batch_summary_documents", sql(f"""SELECT model_id, 'success' AS status, distribution, metric, baseline, finetuned,
     delta AS improvement FROM comparison {SPECTRAL_SQL.format(status="'success',", cols="baseline, finetuned, delta")}""",
                                              "comparison", "spectra_cmp"))
