@@ -230,3 +230,22 @@ def test_improvement_stream_in_any_order_and_expiry(spark):
         assert improvement_rows(spark, os.path.join(base, "out2")).isEmpty()        # every model has expired
     finally:
         q.stop()
+
+
+def test_join_of_predictions_and_inputs_loses_no_row(spark):
+    import pytest
+    from pyspark.errors import PySparkException
+
+    from tripleval.operators import generate as G
+    inputs = spark.createDataFrame([("id", 1, "o", "q", "r"), ("id", 2, "o", "q", "r")],
+                                   "distribution string, example_id long, observations string, question string, reference string")
+    whole = spark.createDataFrame([("m", "baseline", "id", 1, "p"), ("m", "baseline", "id", 2, "p")],
+                                  "model_id string, variant string, distribution string, example_id long, prediction string")
+    assert G.join_predictions_references(whole, inputs).count() == 2
+    lost = whole.where("example_id = 1").union(spark.createDataFrame([("m", "baseline", "od", 7, "p")], whole.schema))
+    kept = G.join_predictions_references(lost, inputs, unmatched="keep").collect()
+    assert sorted((r.model_id is None, r.reference is None, r.example_id) for r in kept) == [(False, False, 1), (False, True, 7), (True, False, 2)]
+    assert tuple(G.unmatched_counts(lost, inputs).first()) == (1, 1)
+    for part, said in ((lost.where("example_id = 7").union(whole), "no input"), (whole.limit(1), "no prediction")):
+        with pytest.raises(PySparkException, match=said):
+            G.join_predictions_references(part, inputs).count()

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .operators import compare, explore, runs
-from .operators.generate import NATIVE_GENERATORS
+from .operators.generate import MAX_NEW_WORDS, NATIVE_GENERATORS
 from .operators.spectral import filter_has_spectra
 from .operators.split import assemble_datasets, seeded_split
 from .operators.triplets import facts_to_triplets, render_prompt
@@ -90,7 +90,8 @@ def cmd_evaluate(spark: SparkSession, a) -> None:
     generators = _generators(a.generator)
     models = a.models.split(",") if a.models else [*NATIVE_GENERATORS, *generators]
     weights = spark.read.parquet(a.weights) if a.weights else None
-    e = ev.evaluate_models(_examples(spark, a), models, skip_finetuning=a.skip_finetuning, generators=generators, weights=weights)
+    e = ev.evaluate_models(_examples(spark, a), models, skip_finetuning=a.skip_finetuning, generators=generators, weights=weights,
+                           max_new_words=a.max_new_words)
     spectra = None if e.spectra is None else write_table(e.spectra, "spectra")
     writers.sink_predictions_jsonl(e.predictions, f"{a.out}/predictions")
     writers.sink_metrics_summary(e.comparison, f"{a.out}/metrics", spectra)
@@ -102,15 +103,18 @@ def cmd_evaluate(spark: SparkSession, a) -> None:
 def cmd_fleet(spark: SparkSession, a) -> None:
     generators = _generators(a.generator)
     model_list = a.models.split(",") if a.models else [*NATIVE_GENERATORS, *generators]
-    registry = spark.createDataFrame([(i, m) for i, m in enumerate(model_list)], "idx int, model_id string")
+    registry = files.src_model_registry(spark, model_list, _facts_paths(a.dirs) if a.dirs else {})
     chosen = runs.select_by_index(registry, a.select, len(model_list))
     selected = [m for m in model_list if m in {r.model_id for r in chosen.select("model_id").collect()}]
     ex = _examples(spark, a)
-    run_log, metrics = run_fleet(spark, ex, selected, path=f"{a.out}/fleet", resume=a.resume, generators=generators)
-    run_log = runs.resolve_output_dir(run_log, registry.withColumn("output_dir", F.lit(None).cast("string"))) \
-        .withColumnRenamed("resolved_dir", "output_dir")
+    run_log, metrics = run_fleet(spark, ex, selected, path=f"{a.out}/fleet", resume=a.resume, generators=generators,
+                                 max_new_words=a.max_new_words)
+    run_log = runs.resolve_output_dir(run_log, registry, a.base or f"{a.out}/models").withColumnRenamed("resolved_dir", "output_dir")
     run_log, metrics = write_table(run_log, "fleet-runs"), write_table(metrics, "fleet-metrics")
     comparison = compare.compare_variants(metrics)
+    done = spark.read.parquet(f"{a.out}/fleet/predictions") if run_log.where("status = 'success'").head(1) else None
+    for r in run_log.where("status = 'success'").select("model_id", "output_dir").collect():     # as long as the fleet's list
+        writers.sink_predictions_jsonl(done.where(F.col("model_id") == r["model_id"]), f"{r['output_dir']}/predictions")
     spectra = write_table(ev.spectral_changes(spark.read.parquet(a.weights), selected), "spectra") if a.weights else None
     writers.sink_fleet_summary(run_log, comparison, f"{a.out}/summary", spectra)
     # result lines carry each model's metrics map; stream_improvement_table can follow them
@@ -152,8 +156,7 @@ def cmd_explore(spark: SparkSession, a) -> None:
 def cmd_output_dirs(spark: SparkSession, a) -> None:
     ids = a.models.split(",")
     dirs = _facts_paths(a.dirs) if a.dirs else {}
-    reg = spark.createDataFrame([(i, m, dirs.get(m)) for i, m in enumerate(ids)],
-                                "idx int, model_id string, output_dir string")
+    reg = files.src_model_registry(spark, ids, dirs)
     runs.resolve_output_dir(reg.select("idx", "model_id"), reg, a.base).orderBy("idx").show(truncate=False)
     runs.missing_output_dirs(reg, reg).show(truncate=False)
 
@@ -181,7 +184,10 @@ def build_parser() -> argparse.ArgumentParser:
     f.add_argument("--models", default=None)
     f.add_argument("--select", default="all")
     f.add_argument("--resume", action="store_true", help="run only models without a successful record under --out")
+    f.add_argument("--dirs", default=None, help="model=dir,...: output folders under --base")
+    f.add_argument("--base", default=None, help="where models have their output folders (default: models under --out)")
     for sp in (e, f):
+        sp.add_argument("--max-new-words", type=int, default=MAX_NEW_WORDS, help="limit of a generated answer")
         sp.add_argument("--weights", default=None, help="parquet of weight rows (model_id, variant, layer, values): adds spectral changes")
         sp.add_argument("--generator", action="append", default=[], metavar="MODEL=MODULE:FACTORY",
                         help="a model of one's own: a factory as in operators.generate.generate_with")

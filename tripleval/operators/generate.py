@@ -25,13 +25,13 @@ KEY = ["distribution", "example_id"]
 TEXT_COLS = ["observations", "question", "reference"]
 
 
-def native_continuation(name: str, obs: F.Column, q: F.Column) -> F.Column:
+def native_continuation(name: str, obs: F.Column, q: F.Column, max_new_words: int = MAX_NEW_WORDS) -> F.Column:
     if name == "lead":          # first line of the observations
-        return cap_words(F.split_part(obs, F.lit("\n"), F.lit(1)), MAX_NEW_WORDS)
+        return cap_words(F.split_part(obs, F.lit("\n"), F.lit(1)), max_new_words)
     if name == "last_line":     # last line of the observations
-        return cap_words(F.split_part(obs, F.lit("\n"), F.lit(-1)), MAX_NEW_WORDS)
+        return cap_words(F.split_part(obs, F.lit("\n"), F.lit(-1)), max_new_words)
     if name == "echo":          # the question itself
-        return cap_words(q, MAX_NEW_WORDS)
+        return cap_words(q, max_new_words)
     raise ValueError(f"unknown native generator {name!r}")
 
 
@@ -47,19 +47,20 @@ def cross_models_examples(inputs: DataFrame, models: Sequence[str]) -> DataFrame
     return inputs.withColumn("model_id", F.explode(F.array(*[F.lit(m) for m in models])))
 
 
-def generate_native(inputs: DataFrame, models: Sequence[str]) -> DataFrame:
+def generate_native(inputs: DataFrame, models: Sequence[str], max_new_words: int = MAX_NEW_WORDS) -> DataFrame:
     """``generations`` for native generators; one projection, no shuffle."""
     rows = cross_models_examples(inputs, models)
     prompt = render_inference_prompt(F.col("observations"), F.col("question"))
     cont = None
     for m in models:
-        c = native_continuation(m, F.col("observations"), F.col("question"))
+        c = native_continuation(m, F.col("observations"), F.col("question"), max_new_words)
         cont = F.when(F.col("model_id") == m, c) if cont is None else cont.when(F.col("model_id") == m, c)
     return rows.select("model_id", *KEY, *TEXT_COLS, prompt.alias("prompt"),
                        F.concat(prompt, cont, F.lit("\n" + END_MARK)).alias("full_text"))
 
 
-def generate_native_variants(inputs: DataFrame, models: Sequence[str], carry: Sequence[str] = ()) -> DataFrame:
+def generate_native_variants(inputs: DataFrame, models: Sequence[str], carry: Sequence[str] = (),
+                             max_new_words: int = MAX_NEW_WORDS) -> DataFrame:
     """Baseline and trained generations of native generators in one pass.
 
     ``inputs`` carries ``answer``: the trained answerer's retrieved answer (null
@@ -73,7 +74,7 @@ def generate_native_variants(inputs: DataFrame, models: Sequence[str], carry: Se
     prompt = render_inference_prompt(F.col("observations"), F.col("question"))
     cont = None
     for m in models:
-        c = native_continuation(m, F.col("observations"), F.col("question"))
+        c = native_continuation(m, F.col("observations"), F.col("question"), max_new_words)
         cont = F.when(F.col("model_id") == m, c) if cont is None else cont.when(F.col("model_id") == m, c)
     base = F.concat(cont, F.lit("\n" + END_MARK))
     tuned = F.coalesce(F.concat(F.col("answer"), F.lit("\n" + END_MARK)), base)
@@ -136,12 +137,31 @@ def to_predictions(generations: DataFrame, variant: str | None = None, carry: Se
                               extract_answer(F.col("prompt"), F.col("full_text")).alias("prediction"))
 
 
-def join_predictions_references(predictions: DataFrame, inputs: DataFrame) -> DataFrame:
+def join_predictions_references(predictions: DataFrame, inputs: DataFrame, unmatched: str = "fail") -> DataFrame:
     """Align predictions with observations / questions / references by example key.
 
     Equi-join on (distribution, example_id); each input row matches one
     prediction per (model, variant), so the fan-out is bounded by the fleet.
+    A prediction without an input, or an input without a prediction, fails the job;
+    with ``unmatched="keep"`` such rows stay, with nulls for what is missing
+    (``unmatched_counts`` counts them).
     """
-    return (predictions.select("model_id", "variant", *KEY, "prediction")
-            .join(inputs.select(*KEY, *TEXT_COLS), KEY)
-            .select("model_id", "variant", *KEY, *TEXT_COLS, "prediction"))
+    if unmatched not in ("fail", "keep"):
+        raise ValueError("unmatched must be 'fail' or 'keep'")
+    both = predictions.select("model_id", "variant", *KEY, "prediction", F.lit(True).alias("_predicted")) \
+        .join(inputs.select(*KEY, *TEXT_COLS, F.lit(True).alias("_known")), KEY, "full")
+    if unmatched == "fail":
+        said = F.concat(F.lit("example "), F.coalesce(F.concat_ws("/", *KEY), F.lit("null")),
+                        F.when(F.col("_known").isNull(), F.lit(" has a prediction and no input")).otherwise(F.lit(" has no prediction")))
+        whole = F.col("_predicted").isNotNull() & F.col("_known").isNotNull()
+        both = both.where(F.when(whole, F.lit(True)).otherwise(F.raise_error(said).cast("boolean")))
+    return both.select("model_id", "variant", *KEY, *TEXT_COLS, "prediction")
+
+
+def unmatched_counts(predictions: DataFrame, inputs: DataFrame) -> DataFrame:
+    """One row: predictions without an input, and inputs without any prediction."""
+    p, i = predictions.select(*KEY), inputs.select(*KEY)
+    lost = p.join(i, KEY, "left_anti").select(F.lit(1).alias("p"), F.lit(0).alias("i")) \
+        .unionAll(i.join(p, KEY, "left_anti").select(F.lit(0).alias("p"), F.lit(1).alias("i")))
+    return lost.agg(F.coalesce(F.sum("p"), F.lit(0)).alias("predictions_without_input"),
+                    F.coalesce(F.sum("i"), F.lit(0)).alias("inputs_without_prediction"))

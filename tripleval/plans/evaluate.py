@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.compare import compare_spectra, compare_variants
-from ..operators.generate import (KEY, NATIVE_GENERATORS, GeneratorFactory, generate_native,
+from ..operators.generate import (KEY, MAX_NEW_WORDS, NATIVE_GENERATORS, GeneratorFactory, generate_native,
                                   generate_native_variants, generate_with, generate_with_variants, to_predictions,
                                   validation_inputs)
 from ..operators.metrics import ALL_METRICS, Scorer, metric_bundle, reference_tokens, scored_means
@@ -82,7 +82,7 @@ def answered_inputs(examples_df: DataFrame, materialize: bool = False) -> DataFr
 
 def predictions(examples_df: DataFrame, models: Sequence[str] = NATIVE_GENERATORS,
                 skip_finetuning: bool = False, answered: DataFrame | None = None,
-                generators: Mapping[str, GeneratorFactory] | None = None) -> DataFrame:
+                generators: Mapping[str, GeneratorFactory] | None = None, max_new_words: int = MAX_NEW_WORDS) -> DataFrame:
     """Predictions of every model in both variants (baseline only with ``skip_finetuning``).
 
     A model of ``generators`` (model id -> factory) runs over Arrow batches; the
@@ -92,7 +92,7 @@ def predictions(examples_df: DataFrame, models: Sequence[str] = NATIVE_GENERATOR
     native = [m for m in models if m not in generators]
     if skip_finetuning:
         inputs = validation_inputs(parse_prompt(examples_df))
-        parts = [to_predictions(generate_native(inputs, native), "baseline")] if native else []
+        parts = [to_predictions(generate_native(inputs, native, max_new_words), "baseline")] if native else []
         parts += [to_predictions(generate_with(inputs, m, g), "baseline") for m, g in generators.items()]
         return reduce(DataFrame.unionByName, parts)
     with_answer = answered if answered is not None else answered_inputs(examples_df, materialize=bool(generators))
@@ -102,7 +102,7 @@ def predictions(examples_df: DataFrame, models: Sequence[str] = NATIVE_GENERATOR
     # references are tokenised once per example, before the fan-out to models and variants
     with_tokens = reference_tokens(with_answer)
     carry = [c for c in with_tokens.columns if c not in with_answer.columns]
-    preds = to_predictions(generate_native_variants(with_tokens, native, carry), carry=carry)
+    preds = to_predictions(generate_native_variants(with_tokens, native, carry, max_new_words), carry=carry)
     if not parts:
         return preds
     return reduce(DataFrame.unionByName, parts, preds.drop(*carry))
@@ -111,11 +111,12 @@ def predictions(examples_df: DataFrame, models: Sequence[str] = NATIVE_GENERATOR
 def evaluate_models(examples_df: DataFrame, models: Sequence[str] = NATIVE_GENERATORS,
                     skip_finetuning: bool = False, metrics=ALL_METRICS,
                     generators: Mapping[str, GeneratorFactory] | None = None,
-                    scorers: Mapping[str, Scorer] | None = None, weights: DataFrame | None = None) -> Evaluation:
+                    scorers: Mapping[str, Scorer] | None = None, weights: DataFrame | None = None,
+                    max_new_words: int = MAX_NEW_WORDS) -> Evaluation:
     """Predictions, metrics and comparison of all models.  ``scorers`` are further metrics: name -> column
     expression over (prediction, reference), averaged over the examples.  With ``weights`` (model_id, variant,
     layer, values), the spectral changes of the models among them come along."""
-    preds = predictions(examples_df, models, skip_finetuning, generators=generators)
+    preds = predictions(examples_df, models, skip_finetuning, generators=generators, max_new_words=max_new_words)
     m = metric_bundle(preds, metrics)
     if scorers:
         m = m.unionByName(scored_means(preds, scorers))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping, Sequence
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -182,3 +183,14 @@ def src_metric_files(spark: SparkSession, path_glob: str) -> DataFrame:
                                      F.lit(m).alias("metric"), F.col(f"{block}.{variant}.{m}").alias("value")))
     return (df.select("model_dir", F.explode(F.array(*rows)).alias("r"))
             .select("model_dir", "r.*").where(F.col("value").isNotNull()))
+
+
+def src_model_registry(spark: SparkSession, models: Sequence[str], dirs: Mapping[str, str] | None = None) -> DataFrame:
+    """(idx, model_id, output_dir): an ordered list of models (0-based) with their output folders, null where the map has
+    none.  A model listed twice keeps its first place; folders of models that are not listed are an error."""
+    listed = list(dict.fromkeys(models))
+    unknown = sorted(set(dirs or {}) - set(listed))
+    if unknown:
+        raise ValueError(f"output folders of models that are not listed: {', '.join(unknown)}")
+    return spark.createDataFrame([(i, m, (dirs or {}).get(m)) for i, m in enumerate(listed)],
+                                 "idx int, model_id string, output_dir string")
