@@ -98,7 +98,9 @@ def test_similarity_estimate():
     assert near_dedup.similarity(x, x) == 1
 
 
-def test_components(spark):
+@pytest.mark.parametrize("broadcast", [16 << 20, 0])
+def test_components(spark, monkeypatch, broadcast):
+    monkeypatch.setattr(components, "BROADCAST_BYTES", broadcast)
     edges = spark.createDataFrame([(k, k + 1) for k in range(60)] + [(100, 101), (101, 100), (7, 7)], "a long, b long")
     got = {r["id"]: r["component"] for r in components.connected_components(edges).collect()}
     assert got == {**{k: 0 for k in range(61)}, 100: 100, 101: 100}
@@ -336,8 +338,8 @@ def test_top_k(spark):
 
 
 def test_top_k_in_many_cells(spark, monkeypatch):
-    monkeypatch.setattr(top_k, "CANDIDATE_BLOCK", 60)
-    monkeypatch.setattr(top_k, "QUERY_BLOCK", 2)
+    monkeypatch.setattr(top_k, "BLOCK", 60)
+    monkeypatch.setattr(top_k, "CELL_QUERIES", 2)
     rng = np.random.default_rng(3)
     x = rng.integers(-3, 3, (400, 3))
     df = spark.createDataFrame([(i, [float(a) for a in v / 256]) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
@@ -347,6 +349,38 @@ def test_top_k_in_many_cells(spark, monkeypatch):
         assert [got[q, k + 1] for k in range(5)] == [(i, -s) for s, i in best]
 
 
+def test_top_k_of_components_of_any_size(spark):
+    rows = [(50, [1e30, 1.0]), (1, [1.0, 2.0]), (2, [2.0, 0.0]), (100, [-1e15, 3.0]), (3, [1e15, -1.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    vec = {i: [int(np.floor(256.0 * x)) for x in v] for i, v in rows}
+    clip = lambda s: max(-(1 << 63), min((1 << 63) - 1, s))
+    want = {}
+    for q in (50, 100):
+        best = sorted((-sum(a * b for a, b in zip(vec[q], v)), i) for i, v in vec.items() if i != q)[:5]
+        want |= {(q, k + 1): (i, clip(-s)) for k, (s, i) in enumerate(best)}
+    assert {(r["query_id"], r["rank"]): (r["vec_id"], r["score"]) for r in top_k.exact_top_k(df).collect()} == want
+
+
+def test_pivots_exclude(spark):
+    """On vectors without clusters, most candidates are excluded by their caps."""
+    df = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
+    work = top_k.search_work(df).first()
+    assert work["scores"] == 40 * 1999 and work["scores_taken"] < 0.2 * work["scores"]
+
+
+def test_caps_hold():
+    rng = np.random.default_rng(6)
+    x = np.floor(256 * rng.normal(size=(300, 12)))
+    norm = (x * x).sum(axis=1)
+    for most in (1, 5, 12):
+        p = top_k.spread(x[:40], most)
+        assert len(p) == most
+        y = top_k.coordinates(top_k.distances(x, norm, p), norm, p)
+        assert (y @ y.T + top_k._slack(norm[:, None], norm.max()) >= x @ x.T).all()
+    assert len(top_k.spread(np.repeat(x[:2], 5, axis=0), 5)) == 2
+    assert len(top_k.spread(np.zeros((4, 3)), 2)) == 0
+
+
 def test_toxicity(spark, docs, odd, nothing):
     rng = random.Random(10)
     rows, labels = [], []

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from ..session import write_table
 from .common import lookup_join
-from .vectors import MOST, as_long, as_type, matrix, score_type, whole_vectors
+from .vectors import KEY, MOST, as_long, as_type, blocks, matrix, score_type, whole_vectors
 
 POSITIVES = 5
 NEGATIVES = 5
@@ -36,14 +36,9 @@ LEAST_SHARE = 80
 LABELS = 10
 SHIFT_EVERY = 7
 
-# Vectors and bytes of a block; anchors of a cell.
+# Vectors of a block; anchors of a cell.
 BLOCK = 2048
-BLOCK_BYTES = 4 << 20
 CELL_ANCHORS = 4096
-# Centres: vectors of the most frequent lengths, at most so many, and so many bytes, for each length.
-CENTRE_LENGTHS = 64
-CENTRES = 64
-CENTRE_BYTES = 1 << 20
 # Children of a node, vectors of a leaf, and nodes opened at once.
 CHILDREN = 48
 LEAF = 24
@@ -51,7 +46,6 @@ OPENED = 16
 
 TREE = ("dim int, centre int, part int, n int, top double, radius double, root array<double>, mask long, ids binary, labels binary, vectors binary, "
         "middle binary, radii binary, masks binary, first binary, last binary")
-KEY = ["dim", "centre", "part"]
 FOUND = "anchor_id long, hi decimal(38, 0), vec_id long, score decimal(38, 0)"
 
 
@@ -119,42 +113,6 @@ def _tree_row(rows: pd.DataFrame) -> pd.DataFrame:
                           masks.tobytes(), first.tobytes(), last.tobytes())], columns=[c.split()[0] for c in TREE.split(", ")])
 
 
-def centres(rows: DataFrame) -> dict[int, np.ndarray]:
-    """Up to CENTRES vectors of each of the most frequent lengths, about one for each block."""
-    sizes = rows.groupBy("dim").agg(F.count(F.lit(1)).alias("n")).where((F.col("dim") > 0) & (F.col("n") > BLOCK)) \
-        .orderBy(F.col("n").desc(), "dim").limit(CENTRE_LENGTHS)
-    share = F.least(F.lit(CENTRES), F.ceil(F.col("n") / BLOCK), F.floor(F.lit(CENTRE_BYTES) / (8 * F.col("dim"))))
-    order = F.row_number().over(Window.partitionBy("dim").orderBy(F.xxhash64("vector"), "vector"))
-    picked = rows.select("dim", "vector").join(F.broadcast(sizes.withColumn("share", share)), "dim").distinct() \
-        .withColumn("order", order).where(F.col("order") <= F.col("share"))
-    found: dict[int, list] = {}
-    for r in picked.select("dim", "vector").collect():      # at most CENTRE_LENGTHS * CENTRE_BYTES
-        found.setdefault(r["dim"], []).append(np.frombuffer(r["vector"], np.float64))
-    return {d: np.stack(v) for d, v in found.items()}
-
-
-def blocks(rows: DataFrame) -> DataFrame:
-    """``rows`` with centre (the nearest one) and part: large neighbourhoods are dealt into parts of bounded size."""
-    chosen = centres(rows)
-
-    def run(batches):
-        for frame in batches:
-            frame = frame.assign(centre=np.int32(0))
-            for dim, at in frame.groupby("dim").indices.items():
-                if dim in chosen:
-                    x, c = matrix(frame["vector"].iloc[at], int(dim)), chosen[dim]
-                    near = np.stack([((x - one) ** 2).sum(axis=1) for one in c], axis=1).argmin(axis=1)
-                    frame.loc[frame.index[at], "centre"] = near.astype(np.int32)
-            yield frame
-
-    rows = rows.mapInPandas(run, "vec_id long, label long, dim int, vector binary, norm double, centre int")
-    rows = write_table(rows, "vectors")
-    room = F.greatest(F.lit(1), F.least(F.lit(BLOCK), F.floor(F.lit(BLOCK_BYTES) / (8 * (F.col("dim") + 4)))))
-    sizes = rows.groupBy("dim", "centre").agg(F.count(F.lit(1)).alias("m")).select("dim", "centre", F.ceil(F.col("m") / room).alias("parts"))
-    rows = lookup_join(rows, sizes, ["dim", "centre"])
-    return rows.withColumn("part", F.pmod(F.xxhash64("vec_id", "label", "vector"), F.col("parts")).cast("int")).drop("parts")
-
-
 def descend(tree: dict, q: np.ndarray, norm: float, label: int, same: bool, own: int, lows: list, highs: list, k: int, kind: type
             ) -> tuple[list[list[tuple]], int]:
     """For each window of scores (low to high, both included) the best ``k`` vectors (score, vec_id) of the wanted labels; and
@@ -309,7 +267,7 @@ def hard_negatives(vectors: DataFrame, every: int = 100, positives: int = POSITI
     positive; as candidates of other anchors, all count.  Scores beyond 64 bits stop at their limits.
     """
     rows = whole_vectors(vectors, "label")
-    rows = write_table(blocks(write_table(rows, "whole-vectors")), "blocks")
+    rows = write_table(blocks(write_table(rows, "whole-vectors"), BLOCK, "label"), "blocks")
     trees = write_table(rows.groupBy(*KEY).applyInPandas(_tree_row, TREE), "cover-trees")
     anchors = rows.where(F.col("vec_id") % every == 0).groupBy("vec_id") \
         .agg(F.min(F.struct("label", "vector", "dim", "norm", "centre", "part")).alias("v")).select(F.col("vec_id").alias("anchor_id"), "v.*")

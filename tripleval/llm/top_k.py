@@ -1,135 +1,228 @@
 """Exact top-k search by inner product with a pivot table.
 
-The distances of all vectors to the same few pivots are computed once.  For a query q and a
-candidate x the triangle inequality gives |d(q, p) - d(x, p)| <= d(q, x) for every pivot p, and the
-largest of these lower bounds caps the inner product: 2 <q, x> = |q|^2 + |x|^2 - d(q, x)^2.
-Candidates are evaluated in the order of their caps until the k-th best score is above the next
-cap; so the result is exact.
-
-Queries and candidates meet in a grid of blocks: each cell is one task of bounded size, and a
-cell gives at most k rows per query.
+The distances of all vectors to the same pivots are computed once.  Together they bound every distance
+between two vectors: they fix the part of a vector in the pivots' span (its coordinates y) and the length
+r of what is left, and d(q, x)^2 >= |y_q - y_x|^2 + (r_q - r_x)^2 is the largest lower bound that holds
+for all vectors of these distances.  It caps the inner product by <y_q, y_x> + r_q r_x.  The pivots are
+as far from each other as a sample has them, three for every four components.
+
+1. Candidates are dealt into blocks around centres.  A block's table holds its vectors, their distances
+   to the pivots, and the box of their coordinates.
+2. Each query visits the block it lies in.  The k-th score found there is its threshold.
+3. Other blocks are visited only where the box's cap reaches the threshold.
+4. In a cell, candidates whose cap is below the threshold are out; the others are evaluated in the order
+   of their caps, a fixed number at a time, until the k-th best score is above the next cap.
+
+A cell is one block with a bounded number of queries, and gives at most k rows per query.
 """
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 import numpy as np
 import pandas as pd
-import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import write_table
+from .common import lookup_join
+from .vectors import KEY, MOST, as_long, as_type, blocks, matrix, score_type, whole_vectors
+
+# Pivots: a share of the components, at most so many, from the most frequent lengths, of bounded bytes.
+PIVOT_SHARE = 0.75
+PIVOTS = 512
+PIVOT_LENGTHS = 64
+PIVOT_BYTES = 4 << 20
+SAMPLED = 4
+# Vectors of a block, queries of a cell, candidates evaluated between two looks at the next cap.
+BLOCK = 4096
+CELL_QUERIES = 4096
+STEP = 16
+QUERY_STEP = 256
+
+TABLE = ("dim int, centre int, part int, low array<double>, high array<double>, ids binary, vectors binary, norms binary, distances binary")
+FOUND = "query_id long, vec_id long, score decimal(38, 0), taken long"
+
+
+def _wanted(dim: int) -> int:
+    return max(1, min(PIVOTS, round(PIVOT_SHARE * dim), PIVOT_BYTES // (8 * SAMPLED * max(1, dim))))
+
+
+def spread(sample: np.ndarray, most: int) -> np.ndarray:
+    """Up to ``most`` rows, each the one farthest from the span of those before it."""
+    left, rows = sample.copy(), []
+    scale = np.sqrt((sample * sample).sum(axis=1).max(initial=0))
+    for _ in range(min(most, *sample.shape)):
+        size = np.sqrt((left * left).sum(axis=1))
+        far = int(np.argmax(size))
+        if not size[far] > 1e-6 * scale:
+            break
+        rows.append(far)
+        axis = left[far] / size[far]
+        left -= np.outer(left @ axis, axis)
+    return sample[rows]
+
+
+def choose_pivots(rows: DataFrame) -> dict[int, np.ndarray]:
+    """Pivots of the most frequent lengths; vectors of other lengths have none, and are all evaluated."""
+    sizes = rows.groupBy("dim").agg(F.count(F.lit(1)).alias("n")).where("dim > 0").orderBy(F.col("n").desc(), "dim").limit(PIVOT_LENGTHS)
+    order = F.row_number().over(Window.partitionBy("dim").orderBy(F.xxhash64("vector"), "vector"))
+    share = F.least(F.lit(PIVOTS), F.round(PIVOT_SHARE * F.col("dim")), F.floor(F.lit(PIVOT_BYTES) / (8 * SAMPLED * F.col("dim"))))
+    few = rows.select("dim", "vector").join(F.broadcast(sizes.select("dim")), "dim").distinct().withColumn("order", order) \
+        .where((F.col("order") <= SAMPLED * PIVOTS) & (F.col("order") <= SAMPLED * F.greatest(F.lit(1), share)))
+    found: dict[int, list] = {}
+    for r in few.select("dim", "vector").collect():       # at most PIVOT_LENGTHS * PIVOT_BYTES
+        found.setdefault(r["dim"], []).append(np.frombuffer(r["vector"], np.float64))
+    with np.errstate(over="ignore", invalid="ignore"):
+        return {d: spread(np.stack(v), _wanted(d)) for d, v in found.items() if np.abs(np.stack(v)).max() < 1e100}
+
+
+def distances(x: np.ndarray, norm: np.ndarray, pivots: np.ndarray) -> np.ndarray:
+    own = (pivots * pivots).sum(axis=1)
+    return np.sqrt(np.maximum(0, norm[:, None] + own - 2 * (x @ pivots.T)))
+
+
+def coordinates(near: np.ndarray, norm: np.ndarray, pivots: np.ndarray) -> np.ndarray:
+    """What distances to the pivots and lengths fix of vectors: coordinates in the pivots' span, and the length of the rest."""
+    if not len(pivots):
+        return np.sqrt(norm)[:, None]
+    own = (pivots * pivots).sum(axis=1)
+    _, r = np.linalg.qr(pivots.T)
+    y = (norm[:, None] + own - near * near) / 2 @ np.linalg.inv(r)
+    return np.column_stack([y, np.sqrt(np.maximum(0, norm - (y * y).sum(axis=1)))])
+
+
+def _slack(norm: np.ndarray, most: float) -> np.ndarray:
+    """Rounding of caps is far below this."""
+    return (norm + most) * 1e-7 + 1
+
+
+def _table_row(pivots: dict[int, np.ndarray]):
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values(["vec_id", "vector"], kind="stable")
+        dim = int(rows["dim"].iloc[0])
+        x, norm = matrix(rows["vector"], dim), rows["norm"].to_numpy()
+        p = pivots.get(dim, np.empty((0, dim)))
+        near = distances(x, norm, p)
+        y = coordinates(near, norm, p)
+        return pd.DataFrame([(dim, rows["centre"].iloc[0], rows["part"].iloc[0], y.min(axis=0), y.max(axis=0),
+                              rows["vec_id"].to_numpy(np.int64).tobytes(), x.tobytes(), norm.tobytes(), near.tobytes())],
+                            columns=[c.split()[0] for c in TABLE.split(", ")])
+    return run
 
-PIVOTS = 32
-CANDIDATE_BLOCK = 16_384
-QUERY_BLOCK = 512
-SCALE = 256
-EXACT_FLOAT = 1 << 53
-LONG = (1 << 63) - 1
-
-PREPARED = "vec_id long, dim int, vector binary, norm double, pivots binary"
-FOUND = "query_id long, vec_id long, score long"
-
-
-def usable(vectors: DataFrame, scale: int = SCALE) -> DataFrame:
-    """vec_id and ``vector`` (array of long, floor(scale * x) with x as double) of the rows that take part: no null id, no null
-    vector, no null or non-finite component, and none whose scaled value does not fit in 64 bits."""
-    x = F.transform("embedding", lambda v: v.cast("double") * scale)
-    good = F.forall(x, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float(LONG)))
-    kept = vectors.where(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & good)
-    return kept.select(F.col("vec_id").cast("long").alias("vec_id"), F.transform(x, lambda v: F.floor(v).cast("long")).alias("vector"))
-
-
-def pivot_table(rows: DataFrame, pivots: dict[int, np.ndarray]) -> DataFrame:
-    """Every vector with its squared norm and its distances to the pivots of its dimension."""
-    def run(batches):
-        for batch in batches:
-            ids = batch.column(0)
-            lists = batch.column(1)
-            sizes = np.diff(lists.offsets.to_numpy())
-            flat = lists.flatten().to_numpy()
-            ends = np.cumsum(sizes)
-            norms, near, raw = np.zeros(len(sizes)), [b""] * len(sizes), [b""] * len(sizes)
-            for dim in np.unique(sizes).tolist():
-                at = np.flatnonzero(sizes == dim)
-                x = flat[(ends[at] - dim)[:, None] + np.arange(dim)[None, :]]
-                f = x.astype(np.float64)
-                norms[at] = (f * f).sum(axis=1)
-                p = pivots[dim]
-                d = np.sqrt(((f[:, None, :] - p[None, :, :]) ** 2).sum(axis=2)) if len(f) * p.size < 1 << 26 else np.stack(
-                    [np.sqrt(((f - one) ** 2).sum(axis=1)) for one in p], axis=1)
-                for k, i in enumerate(at.tolist()):
-                    raw[i], near[i] = x[k].tobytes(), d[k].tobytes()
-            yield pa.RecordBatch.from_arrays([ids, pa.array(sizes.astype(np.int32)), pa.array(raw, pa.binary()), pa.array(norms),
-                                              pa.array(near, pa.binary())], names=["vec_id", "dim", "vector", "norm", "pivots"])
-
-    return rows.mapInArrow(run, PREPARED)
-
-
-def _matrix(column: pd.Series, kind: type) -> np.ndarray:
-    return np.frombuffer(b"".join(column), kind).reshape(len(column), -1)
-
-
-def search_cell(queries: pd.DataFrame, candidates: pd.DataFrame, k: int) -> list[tuple[int, int, int]]:
-    """(query_id, vec_id, score) of the best ``k`` of the candidates for each query, all ties settled by id."""
-    x, q = _matrix(candidates["vector"], np.int64), _matrix(queries["vector"], np.int64)
-    cp, qp = _matrix(candidates["pivots"], np.float64), _matrix(queries["pivots"], np.float64)
-    ids, norm = candidates["vec_id"].to_numpy(), candidates["norm"].to_numpy()
-    largest = int(max(np.abs(x).max(initial=0), 1)) * int(max(np.abs(q).max(initial=0), 1)) * max(1, x.shape[1])
-    kind = np.float64 if largest < EXACT_FLOAT else np.int64 if largest < LONG else object
-    x, q = x.astype(kind), q.astype(kind)
-    out = []
-    for i, (qid, qnorm) in enumerate(zip(queries["vec_id"].tolist(), queries["norm"].tolist())):
-        bound = np.abs(cp - qp[i]).max(axis=1) if cp.shape[1] else np.zeros(len(ids))
-        both = norm + qnorm
-        cap = (both - bound * bound) / 2 + both * 1e-9 + 1      # rounding is far below the slack
-        order = np.argsort(-cap, kind="stable")
-        order = order[ids[order] != qid]
-        best_s, best_id, at, step = np.empty(0, kind), np.empty(0, np.int64), 0, 64
-        while at < len(order) and (len(best_s) < k or cap[order[at]] >= float(best_s[-1])):
-            part = order[at:at + step]
-            s, n = np.concatenate([best_s, x[part] @ q[i]]), np.concatenate([best_id, ids[part]])
-            top = np.lexsort((n, -s))[:k] if kind is not object else np.array(
-                sorted(range(len(s)), key=lambda j: (-s[j], n[j]))[:k])
-            best_s, best_id = s[top], n[top]
-            at, step = at + step, step * 2
-        out += [(qid, int(n), max(-LONG - 1, min(LONG, int(s)))) for n, s in zip(best_id.tolist(), best_s.tolist())]
-    return out
-
-
-def _cell(k: int):
-    def run(queries: pd.DataFrame, candidates: pd.DataFrame) -> pd.DataFrame:
-        found = search_cell(queries, candidates, k) if len(queries) and len(candidates) else []
-        return pd.DataFrame(found, columns=["query_id", "vec_id", "score"]).astype("int64")
+
+def evaluate(x: np.ndarray, ids: np.ndarray, caps: np.ndarray, q: np.ndarray, own: int, least, k: int) -> tuple[list[tuple], int]:
+    """The best ``k`` (score, id) among the candidates that reach ``least``, in the order of their caps; and the number evaluated."""
+    order = np.flatnonzero(~(caps < least) & (ids != own))      # a cap that is not a number leaves nothing out
+    order = order[np.argsort(-np.nan_to_num(caps[order], nan=np.inf), kind="stable")]
+    best: list[tuple] = []
+    at = 0
+    while at < len(order) and (len(best) < k or not caps[order[at]] < best[-1][0]):
+        part = order[at:at + STEP]
+        best = sorted(best + list(zip((x[part] @ q).tolist(), ids[part].tolist())), key=lambda s: (-s[0], s[1]))[:k]
+        at += STEP
+    return [b for b in best if b[0] >= least], min(at, len(order))
+
+
+def _cell(k: int, pivots: dict[int, np.ndarray]):
+    def run(queries: pd.DataFrame, tables: pd.DataFrame) -> pd.DataFrame:
+        out, taken = [], 0
+        if len(queries) and len(tables):
+            t = tables.iloc[0]
+            dim = int(t["dim"])
+            ids, norm = np.frombuffer(t["ids"], np.int64), np.frombuffer(t["norms"], np.float64)
+            x = np.frombuffer(t["vectors"], np.float64).reshape(len(ids), dim)
+            p = pivots.get(dim, np.empty((0, dim)))
+            y = coordinates(np.frombuffer(t["distances"], np.float64).reshape(len(ids), len(p)), norm, p)
+            q, q_norm = matrix(queries["vector"], dim), queries["norm"].to_numpy()
+            yq = coordinates(distances(q, q_norm, p), q_norm, p)
+            kind = score_type(x, q)
+            x, q = as_type(x, kind), as_type(q, kind)
+            slack = _slack(q_norm, float(norm.max()))
+            least = queries["least"].to_numpy(np.float64)
+            own = queries["query_id"].to_numpy()
+            for s in range(0, len(queries), QUERY_STEP):
+                caps = y @ yq[s:s + QUERY_STEP].T + slack[s:s + QUERY_STEP]
+                for i in range(caps.shape[1]):
+                    best, n = evaluate(x, ids, caps[:, i], q[s + i], int(own[s + i]), least[s + i], k)
+                    out += [(int(own[s + i]), v, Decimal(max(-MOST, min(MOST, int(score)))), None) for score, v in best]
+                    taken += n
+            out.append((None, None, None, taken))
+        return pd.DataFrame(out, columns=["query_id", "vec_id", "score", "taken"]).astype({"query_id": "Int64", "vec_id": "Int64", "taken": "Int64"})
     return run
 
 
+def _box_cap(q: Column, low: Column, high: Column) -> Column:
+    """The largest inner product of the coordinates ``q`` with any in the box."""
+    terms = F.zip_with(q, F.arrays_zip(low.alias("low"), high.alias("high")), lambda v, b: F.greatest(v * b["low"], v * b["high"]))
+    return F.aggregate(terms, F.lit(0.0), lambda s, v: s + v)
+
+
+def _visits(vectors: DataFrame, k: int, every: int) -> tuple[DataFrame, DataFrame]:
+    """Rows FOUND of all cells that are visited, and the queries."""
+    rows = write_table(whole_vectors(vectors), "whole-vectors")
+    pivots = choose_pivots(rows)
+    rows = write_table(blocks(rows, BLOCK), "blocks")
+    tables = write_table(rows.groupBy(*KEY).applyInPandas(_table_row(pivots), TABLE), "pivot-table")
+
+    @F.pandas_udf("array<double>")
+    def place(dim: pd.Series, vector: pd.Series, norm: pd.Series) -> pd.Series:
+        out = []
+        for d, v, n in zip(dim, vector, norm):
+            p = pivots.get(int(d), np.empty((0, int(d))))
+            one = np.array([n])
+            out.append(coordinates(distances(np.frombuffer(v, np.float64)[None, :], one, p), one, p)[0])
+        return pd.Series(out)
+
+    queries = rows.where(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.min(F.struct("vector", "dim", "norm", "centre", "part")).alias("v")) \
+        .select(F.col("vec_id").alias("query_id"), "v.*").withColumn("coordinates", place("dim", "vector", "norm"))
+    queries = write_table(queries, "queries")
+
+    def visit(pairs: DataFrame) -> DataFrame:
+        pairs = write_table(pairs.select(*KEY, "query_id", "vector", "norm", "least"), "visits")
+        load = pairs.groupBy(*KEY).agg(F.ceil(F.count(F.lit(1)) / CELL_QUERIES).alias("cells"))
+        left = lookup_join(pairs, load, KEY).withColumn("cell", F.pmod(F.xxhash64("query_id"), F.col("cells"))).drop("cells")
+        right = tables.drop("low", "high").join(load, KEY) \
+            .withColumn("cell", F.explode(F.sequence(F.lit(0).cast("long"), F.col("cells") - 1))).drop("cells")
+        return write_table(left.groupBy(*KEY, "cell").cogroup(right.groupBy(*KEY, "cell")).applyInPandas(
+            lambda q, t: _cell(k, pivots)(q, t), FOUND), "found")
+
+    first = visit(queries.withColumn("least", F.lit(float("-inf"))))
+    kth = first.where("query_id is not null").groupBy("query_id").agg(F.count(F.lit(1)).alias("n"), F.min("score").alias("kth")) \
+        .select("query_id", F.when(F.col("n") >= k, F.col("kth").cast("double")).alias("kth"))
+    # a threshold may be below its score by the rounding to a double, never above
+    least = F.when(F.col("kth").isNotNull(), F.col("kth") - F.abs("kth") * 1e-12)
+    known = lookup_join(queries, kth, ["query_id"], "left").withColumn("least", F.coalesce(least, F.lit(float("-inf"))))
+    boxes = tables.select(*KEY, "low", "high").withColumnsRenamed({"centre": "c", "part": "p"})
+    pairs = known.join(boxes, "dim").where("centre <> c or part <> p")      # each stated query against every block
+    size = F.element_at("high", -1) * F.element_at("high", -1) + F.aggregate(
+        F.arrays_zip("low", "high"), F.lit(0.0), lambda s, b: s + F.greatest(b["low"] * b["low"], b["high"] * b["high"]))
+    cap = _box_cap(F.col("coordinates"), F.col("low"), F.col("high")) + (F.col("norm") + size) * 1e-7 + 1
+    pairs = pairs.where(~(cap < F.col("least"))).drop("centre", "part").withColumnsRenamed({"c": "centre", "p": "part"})
+    return first.unionByName(visit(pairs)), rows
+
+
 def exact_top_k(vectors: DataFrame, k: int = 5, every: int = 50) -> DataFrame:
     """The ``k`` best candidates of every query by integer inner product: query_id, rank (from 1), vec_id, score.
 
-    ``vectors`` has vec_id and embedding.  Queries are the rows whose vec_id is divisible by ``every``,
-    candidates all rows but those of the query's own id; only vectors of the query's length meet
-    it.  Ties go to the smaller vec_id.  Of rows that repeat an id, each is a candidate, and the
-    smallest vector (in array order) is the query.  Scores beyond 64 bits stop at their limits.
+    ``vectors`` has vec_id and embedding, of which every component x counts as floor(256 * x).  Queries are the
+    rows whose vec_id is divisible by ``every``, candidates all rows but those of the query's own id; only vectors
+    of the query's length meet it.  Ties go to the smaller vec_id.  Rows with a null id, vector or component or a
+    non-finite component take no part; finite components of any size do.  Of rows that repeat an id, each is a
+    candidate, and the smallest vector (in bytes) is the query.  Scores beyond 64 bits stop at their limits, and
+    beyond 38 digits also in the ranking.
     """
-    rows = write_table(usable(vectors), "vectors")
-    pick = Window.partitionBy("dim").orderBy("order", "vec_id", "vector")
-    few = rows.select(F.size("vector").alias("dim"), F.xxhash64("vec_id").alias("order"), "vec_id", "vector") \
-        .withColumn("n", F.row_number().over(pick)).where(F.col("n") <= PIVOTS)
-    chosen: dict[int, list] = {}
-    for r in few.select("dim", "vector").collect():     # PIVOTS vectors of each length
-        chosen.setdefault(r["dim"], []).append(r["vector"])
-    pivots = {d: np.array(v, np.float64).reshape(len(v), d) for d, v in chosen.items()}
-    prepared = write_table(pivot_table(rows, pivots), "pivot-table")
-    queries = prepared.where(F.col("vec_id") % every == 0).groupBy("vec_id") \
-        .agg(F.min(F.struct("vector", "dim", "norm", "pivots")).alias("v")).select("vec_id", "v.*")
-    queries = write_table(queries, "queries")
-    g = max(1, -(-prepared.count() // CANDIDATE_BLOCK))
-    h = max(1, -(-queries.count() // QUERY_BLOCK))
-    cells = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    left = queries.withColumn("h", F.pmod(F.xxhash64("vec_id"), F.lit(h)).cast("int")).withColumn("g", cells(g))
-    right = prepared.withColumn("g", F.pmod(F.xxhash64("vec_id", "vector"), F.lit(g)).cast("int")).withColumn("h", cells(h))
-    found = left.groupBy("dim", "g", "h").cogroup(right.groupBy("dim", "g", "h")).applyInPandas(
-        lambda q, c: _cell(k)(q, c), FOUND)
+    found, _ = _visits(vectors, k, every)
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id"))
-    return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return found.where("query_id is not null").withColumn("rank", rank).where(F.col("rank") <= k) \
+        .select("query_id", "rank", "vec_id", as_long(F.col("score")).alias("score"))
+
+
+def search_work(vectors: DataFrame, k: int = 5, every: int = 50) -> DataFrame:
+    """One row: scores that an exhaustive search takes, and those that this one takes."""
+    found, rows = _visits(vectors, k, every)
+    same = rows.groupBy("dim").agg(F.count_distinct(F.when(F.col("vec_id") % every == 0, F.col("vec_id"))).alias("q"), F.count(F.lit(1)).alias("n"))
+    all_ = same.agg(F.sum(F.col("q") * (F.col("n") - 1)).alias("all"), F.lit(0).cast("long").alias("taken"))
+    return all_.unionByName(found.agg(F.lit(0).cast("long").alias("all"), F.sum("taken").alias("taken"))) \
+        .agg(F.sum("all").alias("scores"), F.sum("taken").alias("scores_taken"))

@@ -7,9 +7,19 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import write_table
+from .common import lookup_join
+
+KEY = ["dim", "centre", "part"]
+BLOCK_BYTES = 4 << 20
+# Centres: vectors of the most frequent lengths, at most so many, and so many bytes, for each length.
+CENTRE_LENGTHS = 64
+CENTRES = 64
+CENTRE_BYTES = 1 << 20
+
 SCALE = 256
 EXACT_FLOAT = 1 << 53
 LONG = (1 << 63) - 1
@@ -69,3 +79,41 @@ def as_type(x: np.ndarray, kind: type) -> np.ndarray:
 def as_long(score: Column) -> Column:
     """A decimal score as long; beyond 64 bits it stops at their limits."""
     return F.greatest(F.least(score, F.lit(LONG).cast("decimal(38, 0)")), F.lit(-LONG - 1).cast("decimal(38, 0)")).cast("long")
+
+
+def centres(rows: DataFrame, block: int) -> dict[int, np.ndarray]:
+    """Up to CENTRES vectors of each of the most frequent lengths, about one for each block."""
+    sizes = rows.groupBy("dim").agg(F.count(F.lit(1)).alias("n")).where((F.col("dim") > 0) & (F.col("n") > block)) \
+        .orderBy(F.col("n").desc(), "dim").limit(CENTRE_LENGTHS)
+    share = F.least(F.lit(CENTRES), F.ceil(F.col("n") / block), F.floor(F.lit(CENTRE_BYTES) / (8 * F.col("dim"))))
+    order = F.row_number().over(Window.partitionBy("dim").orderBy(F.xxhash64("vector"), "vector"))
+    picked = rows.select("dim", "vector").join(F.broadcast(sizes.withColumn("share", share)), "dim").distinct() \
+        .withColumn("order", order).where((F.col("order") <= CENTRES) & (F.col("order") <= F.col("share")))
+    found: dict[int, list] = {}
+    for r in picked.select("dim", "vector").collect():      # at most CENTRE_LENGTHS * CENTRE_BYTES
+        found.setdefault(r["dim"], []).append(np.frombuffer(r["vector"], np.float64))
+    return {d: np.stack(v) for d, v in found.items()}
+
+
+def blocks(rows: DataFrame, block: int, *extra: str) -> DataFrame:
+    """``rows`` with centre (the nearest one) and part: large neighbourhoods are dealt into parts of about
+    ``block`` vectors and BLOCK_BYTES at most."""
+    chosen = centres(rows, block)
+
+    def run(batches):
+        for frame in batches:
+            frame = frame.assign(centre=np.int32(0))
+            for dim, at in frame.groupby("dim").indices.items():
+                if dim in chosen:
+                    x, c = matrix(frame["vector"].iloc[at], int(dim)), chosen[dim]
+                    near = np.stack([((x - one) ** 2).sum(axis=1) for one in c], axis=1).argmin(axis=1)
+                    frame.loc[frame.index[at], "centre"] = near.astype(np.int32)
+            yield frame
+
+    more = "".join(f"{c} long, " for c in extra)
+    rows = rows.mapInPandas(run, f"vec_id long, {more}dim int, vector binary, norm double, centre int")
+    rows = write_table(rows, "vectors")
+    room = F.greatest(F.lit(1), F.least(F.lit(block), F.floor(F.lit(BLOCK_BYTES) / (8 * (F.col("dim") + 4)))))
+    sizes = rows.groupBy("dim", "centre").agg(F.count(F.lit(1)).alias("m")).select("dim", "centre", F.ceil(F.col("m") / room).alias("parts"))
+    rows = lookup_join(rows, sizes, ["dim", "centre"])
+    return rows.withColumn("part", F.pmod(F.xxhash64("vec_id", *extra, "vector"), F.col("parts")).cast("int")).drop("parts")
