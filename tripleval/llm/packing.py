@@ -31,10 +31,10 @@ GROUP_ITEMS = 50_000
 # A sequence's number: the round, the group (24 bits), the bin (20 bits).
 ROUND_SHIFT, GROUP_SHIFT = 44, 20
 # Entries (a word and its ids, some 150 bytes) that a worker remembers; beyond it starts anew.
-REMEMBERED_WORDS = 800_000
+REMEMBERED_WORDS = 600_000
 SEEN_SLOTS = 1 << 22
 REMEMBERED_CHARS = 64
-TEXT_STEP = 4 << 20
+TEXT_STEP = 2 << 20
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 PACKED = PIECES + ", sequence_id long, offset long, open boolean, bins long, bound long"

@@ -37,8 +37,8 @@ DEPTH = 4
 SEED = 11
 NEAR = 5
 # Words with their features that a task remembers; beyond it starts anew.
-REMEMBERED_WORDS = 300_000
-TEXT_STEP = 4 << 20
+REMEMBERED_WORDS = 200_000
+TEXT_STEP = 2 << 20
 
 SEED_WORDS = ("idiot moron stupid loser pathetic scum worthless trash clown disgusting dumb fool jerk "
               "idiota estúpido imbécil tonto basura dummkopf trottel abschaum widerlich dumm "
