@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from tripleval.operators import encode
+from tripleval.operators import encode, joins
 
 
 @pytest.mark.parametrize("p,a,kept", [(5, 3, 5), (600, 100, 412), (1000, 10, 502), (2000, 10, 502), (10, 600, 0)])
@@ -50,3 +50,24 @@ def test_truncate_inference_prompt(spark):
     r = df.select(encode.truncate_inference_prompt(F.col("ids"), 4, "tail").alias("t"),
                   encode.truncate_inference_prompt(F.col("ids"), 4, "head").alias("h")).first()
     assert list(r.t) == [6, 7, 8, 9] and list(r.h) == [0, 1, 2, 3]
+
+
+def test_only_rare_tokens_are_written_and_shuffled(spark, monkeypatch):
+    """Beyond the broadcast limit the frequent tokens meet their ids where they are."""
+    ex = spark.createDataFrame([(i, "the of and " * 20 + f"rare{i}", "the") for i in range(40)] + [(40, "", ""), (41, "the", None)],
+                               "example_id long, prompt string, response string")
+    vocab = encode.build_vocab(ex)
+    written = []
+    real = joins.write_table
+
+    def noted(df, name, partition_by=None):
+        out = real(df, name, partition_by)
+        written.append(out.count())
+        return out
+
+    monkeypatch.setattr(joins, "write_table", noted)
+    monkeypatch.setattr(joins, "BROADCAST_BYTES", 600)     # a few rows of the vocabulary
+    got = {r.example_id: (list(r.prompt_ids), list(r.answer_ids)) for r in encode.encode_examples(ex, vocab).collect()}
+    ids = {r.token: r.token_id for r in vocab.collect()}
+    assert got == {i: ([ids["the"], ids["of"], ids["and"]] * 20 + [ids[f"rare{i}"]], [ids["the"]]) for i in range(40)} | {40: ([], [])}
+    assert written == [41]      # one rare token of each example, and the example without tokens

@@ -11,14 +11,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import rouge_tokens
-from ..session import shuffle_partitions
-from .joins import checked_join
+from .joins import checked_join, gathered
 from .numbering import rank_global
 
 # Reserved ids and the label sentinel.
 PAD_ID, EOS_ID, UNK_ID = 0, 1, 2
 IGNORE = -100
 MAX_LEN = 512
+# Place of the first token of a response; the prompt's is 0.
+RESPONSE = 1 << 31
 
 
 def build_vocab(train_examples: DataFrame, max_size: int | None = None) -> DataFrame:
@@ -40,35 +41,32 @@ def encode_examples(examples: DataFrame, vocab: DataFrame, keys=("example_id",))
     """Tokenise prompt and response separately (no special tokens): (keys, prompt_ids, answer_ids).
 
     ``keys`` must identify an example (``(dataset, example_id)`` when datasets
-    are mixed).  Plan: one hash partitioning by the example key; prompt and
-    response tokens (and one sentinel per example, so an example without tokens
-    keeps its row) are exploded together with their side and position; the
-    vocabulary join is broadcast when its counted size allows, else a skew-split
-    join (frequent tokens are hot keys); the per-example regroup then needs no
-    further exchange on the broadcast path.  One example's tokens form one
-    group by definition.
+    are mixed).  Plan: prompt and response tokens are exploded where they are,
+    with their place; the vocabulary join is broadcast when its counted size
+    allows, else the most frequent tokens are, and only the others are shuffled
+    to meet their ids (``checked_join``).  Ids of consecutive places are put into
+    arrays before the one shuffle by example key.  An example without tokens
+    keeps its row, one without a prompt or response has none.  One example's tokens form one group by definition.
     """
     keys = [keys] if isinstance(keys, str) else list(keys)
-    n = shuffle_partitions(examples.sparkSession)
-    ex = examples.select(*keys, "prompt", "response").repartition(n, *keys)
 
     def tagged(col: str, side: int) -> Column:
         return F.transform(rouge_tokens(F.col(col)), lambda t, i: F.struct(
-            F.lit(side).alias("side"), i.alias("pos"), t.alias("token")))
+            (i.cast("long") + F.lit(side * RESPONSE)).alias("place"), t.alias("token")))
 
-    sentinel = F.array(F.struct(F.lit(-1).alias("side"), F.lit(-1).alias("pos"),
-                                F.lit(None).cast("string").alias("token")))
-    toks = ex.select(*keys, F.explode(F.concat(sentinel, tagged("prompt", 0), tagged("response", 1))).alias("t")) \
-        .select(*keys, "t.side", "t.pos", "t.token")
-    joined = checked_join(toks, vocab.select("token", "token_id"), ["token"], how="left")
-    items = (joined.groupBy(*keys)
-             .agg(F.array_sort(F.collect_list(F.struct(
-                 "side", "pos", F.coalesce("token_id", F.lit(UNK_ID)).alias("id")))).alias("_items")))
+    # numbered before the explode, so that the tokens of one example share their number
+    toks = examples.where("prompt IS NOT NULL AND response IS NOT NULL") \
+        .select(*keys, F.monotonically_increasing_id().alias("_row"), F.concat(tagged("prompt", 0), tagged("response", 1)).alias("_t")) \
+        .select(*keys, "_row", F.explode_outer("_t").alias("t")).select(*keys, "_row", "t.place", "t.token")
+    count = "count" if "count" in vocab.columns else None
+    joined = checked_join(toks, vocab.select("token", "token_id", *([count] if count else [])), ["token"], how="left", count=count)
+    coded = joined.withColumns({"id": F.coalesce("token_id", F.lit(UNK_ID)), "place": F.coalesce("place", F.lit(-1).cast("long"))})
+    runs = gathered(coded, keys, "id", "_row", "place")
 
-    def side_ids(side: int) -> Column:
-        return F.transform(F.filter("_items", lambda x: x["side"] == side), lambda x: x["id"])
+    def ids(first: int, last: int) -> Column:
+        return F.flatten(F.transform(F.filter("id", lambda r: r["place"].between(first, last)), lambda r: r["id"]))
 
-    return items.select(*keys, side_ids(0).alias("prompt_ids"), side_ids(1).alias("answer_ids"))
+    return runs.select(*keys, ids(0, RESPONSE - 1).alias("prompt_ids"), ids(RESPONSE, 2 * RESPONSE - 1).alias("answer_ids"))
 
 
 def truncate_left(ids: Column, max_len: int = MAX_LEN) -> Column:
@@ -106,7 +104,7 @@ def pad_batches(masked: DataFrame, batch_size: int = 8, key: str = "example_id",
     ``batch_id`` comes from the global numbering; the batch maximum is a window
     over at most ``batch_size`` rows per batch.
     """
-    ranked = rank_global(masked, [key], rank_col="_rank")
+    ranked = rank_global(masked.select(key, "input_ids", "attention_mask", "labels"), [key], rank_col="_rank")
     with_batch = ranked.withColumn("batch_id", F.floor((F.col("_rank") - 1) / batch_size).cast("bigint")) \
         .withColumn("pos_in_batch", ((F.col("_rank") - 1) % batch_size).cast("int"))
     w = Window.partitionBy("batch_id")
