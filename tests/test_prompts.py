@@ -54,3 +54,19 @@ def test_facts_to_triplets_nan_and_order(spark):
     assert r.observations == "ananbcnand"
     assert r.question == ("Can you infer a general rule from the observations of type T and template nan?")
     assert r.answer == "R" and r.dataset == "od"
+
+
+def test_batches_of_long_texts_come_in_steps(spark):
+    from tripleval.operators import generate
+
+    rows = [("id", i, "x" * (1 << 20), "q" if i else None, None) for i in range(12)]
+    inputs = spark.createDataFrame(rows, "distribution string, example_id long, observations string, question string, reference string").coalesce(1)
+
+    def factory():
+        return lambda batch: batch["question"].fillna("none") + f" {len(batch)}"
+
+    got = sorted((r.example_id, r.full_text) for r in generate.generate_with(inputs, "m", factory).collect())
+    assert [e for e, _ in got] == list(range(12)) and got[0][1].startswith("none ")
+    assert max(int(t.split()[1]) for _, t in got) <= 4      # a row is 2 MB of text, a step 8 MB
+    both = generate.generate_with_variants(inputs.withColumn("answer", F.lit(None).cast("string")), "m", factory).collect()
+    assert len(both) == 24 and max(int(r.full_text.split()[1]) for r in both) <= 4
