@@ -75,6 +75,20 @@ def test_search_leaves_long_lists_closed(spark):
     assert 0 < work["postings_read"] < 0.2 * work["postings"]
 
 
+def test_equal_train_rows_are_one_entry_and_lists_come_in_pieces(spark):
+    train = [(i, "same words here", f"answer {i}") for i in range(300, 0, -1)] + [(1000 + i, f"same d{i}", "d") for i in range(200)]
+    val = [("id", i, "here are the same words") for i in range(3)] + [("od", 9, "same d7")]
+    tdf = spark.createDataFrame(train, "example_id long, observations string, response string")
+    vdf = spark.createDataFrame(val, "distribution string, example_id long, observations string")
+    idx = retrieve.fit_answerer(tdf)
+    assert idx.rows.count() == 201      # the 300 equal rows are entry of the lowest id
+    sizes = idx.pieces.selectExpr("size(entries) AS n", "first").collect()
+    assert max(r.n for r in sizes) <= retrieve.PIECE and sum(r.n for r in sizes) == 3 + 2 * 200
+    assert sum(r["first"] for r in sizes) == idx.tokens.count()
+    got = {(r.distribution, r.example_id): (r.train_id, r.score, r.answer) for r in idx.retrieve(vdf).collect()}
+    assert got == _brute(train, val)
+
+
 @pytest.mark.parametrize("limit", [None, 0, 300])
 def test_encode_paths_agree(spark, monkeypatch, limit):
     if limit is not None:

@@ -71,3 +71,12 @@ def test_only_rare_tokens_are_written_and_shuffled(spark, monkeypatch):
     ids = {r.token: r.token_id for r in vocab.collect()}
     assert got == {i: ([ids["the"], ids["of"], ids["and"]] * 20 + [ids[f"rare{i}"]], [ids["the"]]) for i in range(40)} | {40: ([], [])}
     assert written == [41]      # one rare token of each example, and the example without tokens
+
+
+def test_examples_of_one_key_are_merged_by_place(spark):
+    ex = spark.createDataFrame([(1, "b a", "b"), (1, "b a", "b"), (2, "a b", ""), (2, "b", "a")],
+                               "example_id long, prompt string, response string").repartition(3)
+    vocab = encode.build_vocab(ex)
+    a, b = ({r.token: r.token_id for r in vocab.collect()}[t] for t in "ab")
+    got = {r.example_id: (list(r.prompt_ids), list(r.answer_ids)) for r in encode.encode_examples(ex, vocab).collect()}
+    assert got == {1: ([b, b, a, a], [b, b]), 2: (sorted([a, b]) + [b], [a])}

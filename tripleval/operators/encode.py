@@ -64,7 +64,13 @@ def encode_examples(examples: DataFrame, vocab: DataFrame, keys=("example_id",))
     runs = gathered(coded, keys, "id", "_row", "place")
 
     def ids(first: int, last: int) -> Column:
-        return F.flatten(F.transform(F.filter("id", lambda r: r["place"].between(first, last)), lambda r: r["id"]))
+        here = F.filter("id", lambda r: r["place"].between(first, last))
+        held = F.aggregate(here, F.lit(0), lambda n, r: n + F.size(r["id"]))
+        places = F.array_max(F.transform(here, lambda r: r["place"] + F.size(r["id"]))) - first
+        each = F.flatten(F.transform(here, lambda r: F.transform(r["id"], lambda x, i: F.struct((r["place"] + i).alias("p"), x.alias("x")))))
+        # examples of one key share their places, and lie in each other
+        return F.when(held > places, F.transform(F.sort_array(each), lambda t: t["x"])) \
+            .otherwise(F.flatten(F.transform(here, lambda r: r["id"])))
 
     return runs.select(*keys, ids(0, RESPONSE - 1).alias("prompt_ids"), ids(RESPONSE, 2 * RESPONSE - 1).alias("answer_ids"))
 
