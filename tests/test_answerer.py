@@ -2,6 +2,7 @@ import random
 import re
 from collections import Counter
 
+import numpy as np
 import pytest
 
 from tripleval.operators import encode, joins, retrieve
@@ -89,6 +90,38 @@ def test_equal_train_rows_are_one_entry_and_lists_come_in_pieces(spark):
     assert got == _brute(train, val)
 
 
+def test_first_reading_is_short_and_lists_below_the_mean_stay_closed(spark):
+    """Many common words and a few rare ones: the first reading takes the rare ones only, and a list whose weight is
+    below the mean that is left of the threshold is not read, for no row could reach that mean from it."""
+    common = [f"c{i}" for i in range(40)]
+    train = [(i, " ".join(common[i % 7:] + [f"r{i}", f"s{i}"]), f"answer {i}") for i in range(120)]
+    val = [("id", i, " ".join(common + [f"r{i}", f"s{i}"])) for i in range(0, 120, 3)]
+    tdf = spark.createDataFrame(train, "example_id long, observations string, response string")
+    vdf = spark.createDataFrame(val, "distribution string, example_id long, observations string")
+    idx = retrieve.fit_answerer(tdf)
+    first, then = idx.search(idx.query_rows(vdf))
+    assert first.count() == 2 * len(val)
+    assert then.where("weight < 100000000").count() == 0 < then.count()
+    got = {(r.distribution, r.example_id): (r.train_id, r.score, r.answer) for r in idx.retrieve(vdf).collect()}
+    assert got == _brute(train, val)
+
+
+def test_largest_rows_of_lists():
+    """The bound equals the plain search over sizes."""
+    rnd = random.Random(4)
+    for _ in range(30):
+        weight = sorted((rnd.randint(1, 10**6) for _ in range(rnd.randint(1, 30))), reverse=True)
+        goal = rnd.choice([0.0, rnd.uniform(1, 10**6)])
+        n = len(weight)
+        got = retrieve._largest_rows(np.array(weight), np.full(n, n), np.full(n, goal))
+        for j in range(n):
+            sizes = [s for s in range(1, 2000) if sum(weight[j:j + s]) * retrieve.SLACK >= goal * s]
+            if goal == 0:
+                assert got[j] == retrieve.LARGEST
+            else:
+                assert min(got[j], 1999) == max(sizes, default=0)
+
+
 @pytest.mark.parametrize("limit", [None, 0, 300])
 def test_encode_paths_agree(spark, monkeypatch, limit):
     if limit is not None:
