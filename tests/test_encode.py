@@ -1,3 +1,5 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -80,3 +82,40 @@ def test_examples_of_one_key_are_merged_by_place(spark):
     a, b = ({r.token: r.token_id for r in vocab.collect()}[t] for t in "ab")
     got = {r.example_id: (list(r.prompt_ids), list(r.answer_ids)) for r in encode.encode_examples(ex, vocab).collect()}
     assert got == {1: ([b, b, a, a], [b, b]), 2: (sorted([a, b]) + [b], [a])}
+
+
+@pytest.mark.parametrize("limit", [None, 0, 400])
+def test_rare_words_fill_the_gaps_of_their_rows(spark, monkeypatch, limit):
+    """Beyond the broadcast limit a row keeps its frequent ids as one array, and a rare word comes back as one long."""
+    rnd = random.Random(11)
+    def text(n):
+        return " ".join(rnd.choice(["the", "of", "and", f"r{rnd.randrange(60)}", f"u{rnd.randrange(10**6)}"]) for _ in range(n))
+    rows = [(i, text(rnd.randrange(12)), text(rnd.randrange(5))) for i in range(40)] + [(50, text(300), ""), (51, "", text(90)), (None, "the r1", "of")]
+    rows += [(i, "r3 the", "zz the") for i in (60, 60)]       # one key twice: merged by place
+    ex = spark.createDataFrame(rows, "example_id long, prompt string, response string")
+    vocab = encode.build_vocab(ex.where("example_id < 45 OR example_id = 60"))
+    ids = {r.token: r.token_id for r in vocab.collect()}
+    if limit is not None:
+        monkeypatch.setattr(joins, "BROADCAST_BYTES", limit)
+    runs = []
+    real = encode.runs_of
+    monkeypatch.setattr(encode, "runs_of", lambda *a: runs.append(real(*a)) or runs[-1])
+    def coded(s):
+        return [ids.get(w, encode.UNK_ID) for w in s.split()]
+    want = sorted([(i, coded(p), coded(r)) for i, p, r in rows if i != 60] + [(60, [x for x in coded("r3 the") for _ in "ab"], [x for x in coded("zz the") for _ in "ab"])], key=str)
+    got = encode.encode_examples(ex, vocab).collect()
+    assert sorted([(r.example_id, list(r.prompt_ids), list(r.answer_ids)) for r in got], key=str) == want
+    # at most one array of a prompt and one of a response, whatever rare words are between
+    assert runs[0].count() <= 2 * len(rows)
+
+
+def test_padded_rows_stay_where_they_were_numbered(spark):
+    """No window over the batches: their lengths alone are shuffled."""
+    masked = spark.createDataFrame([(i, list(range(i % 5 + 1)), [1] * (i % 5 + 1), [-100] * (i % 5 + 1)) for i in range(50)],
+                                   "example_id long, input_ids array<int>, attention_mask array<int>, labels array<int>")
+    out = encode.pad_batches(masked, 4)
+    assert "windowspecdefinition(batch_id" not in out._jdf.queryExecution().analyzed().toString()
+    got = out.orderBy("example_id").collect()
+    for k in range(0, 50, 4):
+        longest = max(i % 5 + 1 for i in range(k, min(k + 4, 50)))
+        assert {len(r.input_ids) for r in got[k:k + 4]} == {len(r.labels) for r in got[k:k + 4]} == {longest}
