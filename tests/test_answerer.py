@@ -106,6 +106,35 @@ def test_first_reading_is_short_and_lists_below_the_mean_stay_closed(spark):
     assert got == _brute(train, val)
 
 
+@pytest.mark.parametrize("block, part", [(60, 1000), (10**9, 4), (100, 6)])
+def test_blocks_and_parts_meet_without_shuffled_postings(spark, monkeypatch, block, part):
+    """Train rows travel once per part and validation rows once per block, whatever their lists hold."""
+    monkeypatch.setattr(retrieve, "BLOCK", block)
+    monkeypatch.setattr(retrieve, "PART", part)
+    train, val = _fixture(seed=11, n_train=90)
+    train += [(1000 + i, o, "later") for i, o, _ in train[:20]]      # ties go to the lower id, in whatever block
+    tdf = spark.createDataFrame(train, "example_id long, observations string, response string")
+    vdf = spark.createDataFrame(val, "distribution string, example_id long, observations string")
+    idx = retrieve.fit_answerer(tdf)
+    got = {(r.distribution, r.example_id): (r.train_id, r.score, r.answer) for r in idx.retrieve(vdf).collect()}
+    assert got == _brute(train, val)
+    postings = idx.rows.selectExpr("sum(size(numbers))").first()[0]
+    blocks, parts = -(-postings // block), -(-len(val) // part)
+    assert blocks * parts > 1
+    assert idx.cells(idx.query_rows(vdf)).count() == idx.rows.count() * parts + len(val) * blocks
+
+
+def test_answerer_reads_whole_rows_of_one_token_and_of_many(spark):
+    """Lists of many short rows beside long ones; every weight may be needed."""
+    rnd = random.Random(8)
+    train = [(i, f"k{i % 9}", f"a{i}") for i in range(300)] + [(500 + i, " ".join(f"k{rnd.randrange(400)}" for _ in range(200)), "long") for i in range(60)]
+    val = [("id", i, " ".join(f"k{rnd.randrange(400)}" for _ in range(1 + 12 * i))) for i in range(20)]
+    tdf = spark.createDataFrame(train, "example_id long, observations string, response string")
+    vdf = spark.createDataFrame(val, "distribution string, example_id long, observations string")
+    got = {(r.distribution, r.example_id): (r.train_id, r.score, r.answer) for r in retrieve.fit_answerer(tdf).retrieve(vdf).collect()}
+    assert got == _brute(train, val)
+
+
 def test_largest_rows_of_lists():
     """The bound equals the plain search over sizes."""
     rnd = random.Random(4)
