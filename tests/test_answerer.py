@@ -124,6 +124,31 @@ def test_blocks_and_parts_meet_without_shuffled_postings(spark, monkeypatch, blo
     assert idx.cells(idx.query_rows(vdf)).count() == idx.rows.count() * parts + len(val) * blocks
 
 
+def test_rows_are_not_shuffled_once_per_cell(spark, monkeypatch):
+    """Blocks and parts are shuffled a row each, and meet without a further exchange, however many cells there are."""
+    monkeypatch.setattr(retrieve, "BLOCK", 60)
+    monkeypatch.setattr(retrieve, "PART_TOKENS", 40)
+    train, val = _fixture(seed=12)
+    tdf = spark.createDataFrame(train, "example_id long, observations string, response string")
+    vdf = spark.createDataFrame(val, "distribution string, example_id long, observations string")
+    idx = retrieve.fit_answerer(tdf)
+    cells = idx.cells(idx.query_rows(vdf))
+    assert cells.select("cell").distinct().count() > 20
+    plan = cells._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" in plan and "Exchange" not in plan[:plan.index("CartesianProduct")]
+    got = {(r.distribution, r.example_id): (r.train_id, r.score, r.answer) for r in idx.retrieve(vdf).collect()}
+    assert got == _brute(train, val)
+
+
+def test_tables_of_the_search_are_small_on_disk(spark, monkeypatch):
+    """Examples and rows of the index are written with a codec that texts and token numbers shrink under."""
+    train, val = _fixture()
+    tdf = spark.createDataFrame(train, "example_id long, observations string, response string")
+    vdf = spark.createDataFrame(val, "distribution string, example_id long, observations string")
+    idx = retrieve.fit_answerer(tdf)
+    assert all(".zstd." in f for t in (idx.rows, idx.query_rows(vdf)) for f in t.inputFiles())
+
+
 def test_answerer_reads_whole_rows_of_one_token_and_of_many(spark):
     """Lists of many short rows beside long ones; every weight may be needed."""
     rnd = random.Random(8)
