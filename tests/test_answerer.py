@@ -140,6 +140,24 @@ def test_rows_are_not_shuffled_once_per_cell(spark, monkeypatch):
     assert got == _brute(train, val)
 
 
+def test_blocks_give_only_rows_that_reach_the_threshold(spark, monkeypatch):
+    """Lists of tokens too common to matter are not looked up, and a block without the best row gives none."""
+    monkeypatch.setattr(retrieve, "BLOCK", 200)
+    common = [f"c{i}" for i in range(20)]
+    train = [(i, " ".join(common + [f"r{i}"]), f"answer {i}") for i in range(60)]
+    val = [("id", i, " ".join(common + [f"r{i}"])) for i in range(60)]
+    tdf = spark.createDataFrame(train, "example_id long, observations string, response string")
+    vdf = spark.createDataFrame(val, "distribution string, example_id long, observations string")
+    idx = retrieve.fit_answerer(tdf)
+    cells = idx.cells(idx.query_rows(vdf))
+    assert cells.select("cell").distinct().count() > 3
+    found = cells.mapInArrow(retrieve._best_rows(idx.steps()), "distribution string, example_id long, train_id long, score long").collect()
+    assert sorted((r.example_id, r.train_id) for r in found) == [(i, i) for i in range(60)]
+    block = retrieve._Block(np.array([3, 3]), np.array([1, 2]), np.array([3, 3]), np.array([0, 1, 2, 0, 1, 3]))
+    opened = retrieve._Opened(block, np.zeros(3, int), np.array([3, 1, 0]), np.array([10**9, 10, 10]), np.array([10**9 * 1000 // 3]))
+    assert opened.number.tolist() == [3] and opened.total.tolist() == [0, 10**9, 10**9 + 10, 10**9 + 20]
+
+
 def test_tables_of_the_search_are_small_on_disk(spark, monkeypatch):
     """Examples and rows of the index are written with a codec that texts and token numbers shrink under."""
     train, val = _fixture()
