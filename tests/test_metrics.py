@@ -3,8 +3,10 @@ import random
 import re
 from collections import Counter
 
+import pyarrow as pa
 import pytest
 
+from tripleval.operators import generate as G
 from tripleval.operators import metrics as M
 
 
@@ -130,3 +132,31 @@ def test_rouge_bounds_random(spark):
         for k in M.ROUGE_KEYS:
             assert 0.0 <= r[k] <= 1.0
         assert r.lcs == _dp_lcs(r.prediction.split(), r.reference.split())
+
+
+def test_overlaps_and_subsequences_of_a_batch():
+    """Counted for all rows of a batch at once, in steps, with null, empty and long lists and slices."""
+    rnd = random.Random(2)
+    def toks(n):
+        return [rnd.choice("abcde") for _ in range(rnd.randint(0, n))]
+    a = [None, [], ["a"] * 300] + [toks(9) for _ in range(200)]
+    b = [["a"], ["b"], ["a"] * 299 + ["b"]] + [toks(9) for _ in range(200)]
+    kind = pa.list_(pa.string())
+    grams = lambda x, n: Counter(tuple(x[i:i + n]) for i in range(len(x) - n + 1))
+    for held in (M.HELD_TOKENS, 5):
+        with pytest.MonkeyPatch.context() as m:
+            m.setattr(M, "HELD_TOKENS", held)
+            got = M.clipped_overlaps(pa.array([["x"], *a], kind).slice(1), pa.array(b, kind), 4)
+        assert got.tolist() == [[sum((grams(x or [], n) & grams(y, n)).values()) for x, y in zip(a, b)] for n in range(1, 5)]
+    lines = pa.list_(kind)
+    refs, preds = [[x] if x else x for x in a] + [[["a", "b"], ["c"]]], [[x] for x in b] + [[["c", "a"], ["b"]]]
+    assert M._per_pair(M.union_lcs_hits, pa.array(refs, lines), pa.array(preds, lines)).to_pylist() == [M.union_lcs_hits(r or [], p) for r, p in zip(refs, preds)]
+
+
+def test_equal_pairs_are_compared_once_and_prompts_made_before_the_fan_out(spark, monkeypatch):
+    calls = []
+    refs, preds = pa.array([["a", "b"]] * 6), pa.array([["a"], ["b", "a"], ["b"], ["b", "a"], ["a", "c"], ["b", "a"]])
+    assert M._per_pair(lambda r, p: calls.append(p) or len(p), refs, preds).to_pylist() == [1, 2, 1, 2, 2, 2] and len(calls) == 4
+    inputs = spark.createDataFrame([("id", 1, "o", "q", "r", "x")], "distribution string, example_id long, observations string, question string, reference string, answer string")
+    plan = G.generate_native_variants(inputs, ["lead", "echo"])._jdf.queryExecution().optimizedPlan().toString()
+    assert "Training Observations" in plan[plan.index("Generate "):] and "Training Observations" not in plan[:plan.index("Generate ")]
