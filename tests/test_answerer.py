@@ -3,6 +3,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from tripleval.operators import encode, joins, retrieve
@@ -140,6 +141,19 @@ def test_rows_are_not_shuffled_once_per_cell(spark, monkeypatch):
     assert got == _brute(train, val)
 
 
+def test_tokens_of_texts_are_cut_out_in_steps(monkeypatch):
+    """The distinct tokens of each text, whatever the steps, empty texts and the slice of a batch."""
+    rnd = random.Random(6)
+    texts = [None, "", "a", "b", "", "", "\u00e41 x", "\u65e5a9\u672cb a9"] + ["".join(rnd.choice("ab0 -\u00e9\u65e5.\n") for _ in range(rnd.randint(0, 12))) for _ in range(400)] + ["", None]
+    for step in (retrieve.TEXT_BYTES, 50, 1):
+        monkeypatch.setattr(retrieve, "TEXT_BYTES", step)
+        got = [[] for _ in texts]
+        for start, row, code, dictionary in retrieve._lists_of_texts(pa.array(["zz", *texts]).slice(1)):
+            for r, c in zip(row, code):
+                got[start + r].append(dictionary[int(c)].as_py())
+        assert [sorted(x) for x in got] == [sorted(set(_tokens(x or ""))) for x in texts]
+
+
 def test_blocks_give_only_rows_that_reach_the_threshold(spark, monkeypatch):
     """Lists of tokens too common to matter are not looked up, and a block without the best row gives none."""
     monkeypatch.setattr(retrieve, "BLOCK", 200)
