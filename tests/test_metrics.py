@@ -149,8 +149,10 @@ def test_overlaps_and_subsequences_of_a_batch():
             got = M.clipped_overlaps(pa.array([["x"], *a], kind).slice(1), pa.array(b, kind), 4)
         assert got.tolist() == [[sum((grams(x or [], n) & grams(y, n)).values()) for x, y in zip(a, b)] for n in range(1, 5)]
     lines = pa.list_(kind)
-    refs, preds = [[x] if x else x for x in a] + [[["a", "b"], ["c"]]], [[x] for x in b] + [[["c", "a"], ["b"]]]
-    assert M._per_pair(M.union_lcs_hits, pa.array(refs, lines), pa.array(preds, lines)).to_pylist() == [M.union_lcs_hits(r or [], p) for r, p in zip(refs, preds)]
+    refs, preds = [[x] if x else [] for x in a] + [[["a", "b"], ["c"]]], [[x] for x in b] + [[["c", "a"], ["b"]]]
+    assert M._per_pair(M.union_lcs_hits, pa.array(refs, lines), pa.array(preds, lines)).to_pylist() == [M.union_lcs_hits(r, p) for r, p in zip(refs, preds)]
+    with pytest.raises(TypeError):
+        M._per_pair(M.lcs_length, pa.array(a, kind), pa.array(b, kind))
 
 
 def test_equal_pairs_are_compared_once_and_prompts_made_before_the_fan_out(spark, monkeypatch):
